@@ -2,9 +2,9 @@
 
 The encoding that merging would give is found from the left: at every place the longest piece that an Aho-Corasick automaton
 matches is tried first; it may follow the piece before it only if merging the two pieces' joined text gives just these two;
-where no piece fits, the place is marked in a bit field as failed and the last piece is shortened. Pieces never hold a space
-mark after another character, so text is encoded in units of space marks and the characters after them, and units already
-seen are taken from a table of bounded size.
+where no piece fits, the place is marked in a bit field as failed and the last piece is shortened. No piece holds a space
+mark after another character, or a Latin letter next to anything but such letters and marks (verified at load), so text is encoded
+in units between such places, and units already seen are taken from a table of bounded size.
 """
 
 from __future__ import annotations
@@ -21,10 +21,24 @@ from pyspark.sql import types as T
 from spectrel.llm.common import per_text, read, tokenizer_file
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Latin letters; and units: space marks, then Latin letters only or other characters only.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+UNIT = re.compile(f"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}]+)|{MARK}+")
 KNOWN = 300_000
 
 
+class Known(dict):
+    """Decimal ids, joined by commas, of units already encoded."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit: str) -> str:
+        self[unit] = out = ",".join(map(str, self.make(unit)))
+        return out
+
+
 def wire(data: bytes):
     """(field number, value) of a protocol buffer's message: an int, or bytes."""
     at = 0
@@ -50,6 +64,18 @@ def wire(data: bytes):
             at += n
 
 
+class Surfaces(dict):
+    """The bytes that strings of joined ids stand for."""
+
+    def __init__(self, coder):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, joined: str) -> bytes:
+        self[joined] = out = b"".join(map(self.coder.surface.__getitem__, joined.split(",")))
+        return out
+
+
 class PieceBpe:
     """Encoder and decoder for a SentencePiece model of type BPE with the identity normalizer and byte fallback."""
 
@@ -69,18 +95,20 @@ class PieceBpe:
         if len(self.byte_of) != 256 or any(lib.is_unused(i) for i in range(n)):
             raise ValueError("only models with byte fallback and without unused pieces are understood")
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.byte_of and i not in self.control and i != self.unk}
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("a piece has a space mark after another character")
+        if any(UNIT.fullmatch(p) is None for p in self.ids):
+            raise ValueError("a piece crosses a place at which text is cut into units")
         self.score = {p: lib.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.fits: dict[int, bool] = {}
+        self.good = {p: i for p, i in self.ids.items() if self.remerge(p) == [p]}  # merging never gives the others
+        self.longest = max(map(len, self.good))
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, len(p))
+        for p, i in self.good.items():
+            self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.whole = {p for p in self.ids if self.remerge(p) == [p]}
-        self.known: dict[str, str] = {}
-        self.counts: dict[str, int] = {}
+        self.known = Known(self.unit_ids)
+        self.surfaces = Surfaces(self)
+        self.surface = {str(i): bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)}
+        self.surface[str(self.unk)] = " ⁇ ".encode()
 
     def remerge(self, text: str) -> list[str]:
         """The pieces by merging: again and again the neighbours whose joined piece has the highest score, the leftmost of equals."""
@@ -102,74 +130,97 @@ class PieceBpe:
                     heapq.heappush(heap, (-s, a, sym[a] + sym[b]))
         return [s for s in sym if s]
 
-    def compatible(self, a: str, b: str) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > KNOWN:
-                self.fits.clear()
-            got = self.fits[a, b] = self.remerge(a + b) == [a, b]
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the pieces stay two pieces where their joined text is merged."""
+        if len(self.fits) > KNOWN:
+            self.fits.clear()
+        x, y = self.pieces[a], self.pieces[b]
+        self.fits[a << 32 | b] = got = self.remerge(x + y) == [x, y]
         return got
 
-    def split(self, unit: str) -> list[str]:
-        """The pieces of a unit, by backtracking; a character that is no piece stands alone."""
-        n = len(unit)
-        ends: list[list[int]] = [[] for _ in range(n)]  # lengths of pieces that start at a place, the longest last
-        for end, length in self.automaton.iter(unit):
-            if unit[end - length + 1 : end + 1] in self.whole:
-                ends[end - length + 1].append(length)
-        for i, e in enumerate(ends):
-            if unit[i] not in self.ids:
-                e.append(1)
-            e.sort()
-        failed = bytearray(n // 8 + 1)  # a bit for each place that no further encoding starts from
-        done: list[str] = []
-        at, tries = 0, [len(ends[0])] if n else []
+    def unit_ids(self, unit: str) -> list[int]:
+        """The ids of a unit, by backtracking; a character that is no piece becomes its bytes."""
+        if (i := self.good.get(unit)) is not None:
+            return [i]
+        n, fits = len(unit), self.fits
+        # the longest matches from the left, tried first at every place, are the result if each fits the one before
+        out, covered, last = [], 0, -1
+        for _, (length, i) in self.automaton.iter_long(unit):
+            if last >= 0 and not (fits[last << 32 | i] if last << 32 | i in fits else self.compatible(last, i)):
+                break
+            covered += length
+            last = i
+            out.append(i)
+        if covered == n:
+            return out
+        good, pieces = self.good, [None] * n
+
+        def starting(at: int) -> list[tuple[int, int]]:
+            """(length, id) of the pieces that start at a place, the longest last; (1, -1) for a character that is no piece."""
+            pieces[at] = out = [(e - at, good[p]) for e in range(at + 1, min(n, at + self.longest) + 1) if (p := unit[at:e]) in good] or [(1, -1)]
+            return out
+
+        failed = 0  # a bit for each place that no further encoding starts from
+        done: list[tuple[int, int]] = []
+        at, last = 0, -1
+        options = starting(0)
+        k = len(options)
         while at < n:
-            k = tries[-1] - 1
-            while k >= 0:
-                end = at + ends[at][k]
-                if not (failed[end >> 3] >> (end & 7)) & 1 and (not done or self.compatible(done[-1], unit[at:end])):
-                    break
+            while k:
                 k -= 1
-            if k >= 0:
-                tries[-1] = k
-                done.append(unit[at:end])
-                at = end
-                if at < n:
-                    tries.append(len(ends[at]))
+                length, i = options[k]
+                if not failed >> at + length & 1 and (last < 0 or i < 0 or (fits[last << 32 | i] if last << 32 | i in fits else self.compatible(last, i))):
+                    done.append((k, at))
+                    last, at = i, at + length
+                    if at < n:
+                        options = pieces[at] or starting(at)
+                        k = len(options)
+                    break
             else:
-                failed[at >> 3] |= 1 << (at & 7)
-                tries.pop()
+                failed |= 1 << at
                 if not done:
                     raise ValueError("no encoding was found")
-                at -= len(done.pop())
-        return done
-
-    def unit_ids(self, unit: str) -> list[int]:
-        out: list[int] = []
-        for p in self.split(unit):
-            i = self.ids.get(p)
-            out += [i] if i is not None else [self.id_of_byte[b] for b in p.encode()]
+                k, at = done.pop()
+                options = pieces[at]
+                last = pieces[done[-1][1]][done[-1][0]][1] if done else -1
+        out = []
+        for k, at in done:
+            i = pieces[at][k][1]
+            out += [i] if i >= 0 else [self.id_of_byte[b] for b in unit[at].encode()]
         return out
 
     def marked(self, text: str) -> str:
         return (MARK * bool(self.prefix) + text).replace(" ", MARK) if text else ""
 
+    def encode_units(self, text: str) -> list[str]:
+        """For each unit of the text its decimal ids, joined by commas."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        return list(map(self.known.__getitem__, UNIT.findall(self.marked(text))))
+
+    def encode_joined(self, text: str) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(self.encode_units(text))
+
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in s.split(",")] if (s := self.encode_joined(text)[0]) else []
-
-    def encode_joined(self, text: str) -> tuple[str, int]:
-        """Decimal ids joined by commas, and how many they are."""
-        known, counts = self.known, self.counts
-        units = UNIT.findall(self.marked(text))
-        for u in set(units).difference(known):
-            ids = self.unit_ids(u)
-            if len(known) > KNOWN:  # those of this text are needed below
-                mine = set(units)
-                for k in [k for k in known if k not in mine]:
-                    del known[k], counts[k]
-            known[u], counts[u] = ",".join(map(str, ids)), len(ids)
-        return ",".join(map(known.__getitem__, units)), sum(map(counts.__getitem__, units))
+        return [int(i) for i in s.split(",")] if (s := self.encode_joined(text)) else []
+
+    def decode_units(self, parts: list[str]) -> str:
+        """The text of ids, given as decimal ids joined by commas, in any number of parts."""
+        if not parts:
+            return ""
+        if len(self.surfaces) > KNOWN:
+            self.surfaces.clear()
+        raw = b"".join(map(self.surfaces.__getitem__, parts))
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:  # bytes that are no characters
+            return self.decode(map(int, ",".join(parts).split(",")))
+        return text[1:] if self.prefix and text[:1] == " " and self.opens_with_mark(parts[0]) else text
+
+    def opens_with_mark(self, joined: str) -> bool:
+        first = int(joined.split(",", 1)[0])
+        return first != self.unk and self.pieces[first].startswith(MARK)
 
     def decode(self, ids) -> str:
         """The text of ids: space marks become spaces, the first piece loses the mark of the added prefix, runs of byte pieces become
@@ -233,9 +284,9 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str
         c = coder(path)
 
         def do(texts):
-            got = [c.encode_joined(t.decode("utf-8", "replace") if t else "") for t in texts]
-            lists = [list(map(int, g.split(","))) if g else [] for g, _ in got]
-            return [[n for _, n in got], [g for g, _ in got], [c.decode(x) for x in lists], *[lists] * ids]
+            parts = [c.encode_units(t.decode("utf-8", "replace") if t else "") for t in texts]
+            got = [",".join(p) for p in parts]
+            return [[g.count(",") + 1 if g else 0 for g in got], got, [c.decode_units(p) for p in parts], *[[list(map(int, g.split(","))) if g else [] for g in got]] * ids]
 
         return do
 
@@ -252,8 +303,9 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
         def do(texts):
             cols: list[list] = [[], [], []]
             for t in texts:
-                joined, n = c.encode_joined(t.decode("utf-8", "replace") if t else "")
-                for col, v in zip(cols, (n, sha(joined), sha(c.decode(map(int, joined.split(",")) if joined else ()))), strict=True):
+                parts = c.encode_units(t.decode("utf-8", "replace") if t else "")
+                joined = ",".join(parts)
+                for col, v in zip(cols, (joined.count(",") + 1 if joined else 0, sha(joined), sha(c.decode_units(parts))), strict=True):
                     col.append(v)
             return cols
 
