@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from spectrel.llm.piecebpe import op7_sentencepiece
+from spectrel.llm.simhash import op1_simhash
 from spectrel.llm.tokencount import op9_token_counts
 
-QUERIES = {"op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts}
+QUERIES = {"op1_simhash": op1_simhash, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts}
 ORACLE: dict[str, str] = {}
