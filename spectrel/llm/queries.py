@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from spectrel.llm.decontam import OP3_SQL, op3_decontaminate
+from spectrel.llm.licenses import op5_licenses
 from spectrel.llm.piecebpe import op7_sentencepiece
 from spectrel.llm.simhash import op1_simhash
 from spectrel.llm.tokencount import op9_token_counts
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op5_licenses": op5_licenses, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts}
+ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL}
