@@ -6,8 +6,9 @@ from spectrel.llm.decontam import OP3_SQL, op3_decontaminate
 from spectrel.llm.licenses import op5_licenses
 from spectrel.llm.piecebpe import op7_sentencepiece
 from spectrel.llm.quality import op10_quality
+from spectrel.llm.sharding import op8_sharding
 from spectrel.llm.simhash import op1_simhash
 from spectrel.llm.tokencount import op9_token_counts
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op5_licenses": op5_licenses, "op7_sentencepiece": op7_sentencepiece, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op5_licenses": op5_licenses, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL}
