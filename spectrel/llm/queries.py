@@ -9,6 +9,7 @@ from spectrel.llm.quality import op10_quality
 from spectrel.llm.sharding import op8_sharding
 from spectrel.llm.simhash import op1_simhash
 from spectrel.llm.tokencount import op9_token_counts
+from spectrel.llm.urlfilter import op2_sql, op2_url_filter
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op5_licenses": op5_licenses, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
-ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL}
+QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_decontaminate": op3_decontaminate, "op5_licenses": op5_licenses, "op7_sentencepiece": op7_sentencepiece, "op8_sharding": op8_sharding, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
+ORACLE: dict[str, str] = {"op2_url_filter": op2_sql(), "op3_decontaminate": OP3_SQL}
