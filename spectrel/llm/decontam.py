@@ -155,11 +155,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **names) -> DataFrame:
     """docs without those that decontaminate() finds contaminated, as they are. Being contaminated depends on the text alone."""
-    ka, kb = free_name(docs, "key_a", "key_b")
+    ka, kb, xa, xb = free_name(docs, "key_a", "key_b", "xa", "xb")
     keyed = docs.select("*", F.xxhash64(text).alias(ka), F.xxhash64(text, F.lit(1)).alias(kb))
     found = decontaminate(keyed.select(F.col(f"`{text}`").alias("text"), F.col(ka).alias("ka"), F.col(kb).alias("kb")), items, doc_id="ka", keep=["ka", "kb"], **names)
-    bad = found.where("contaminated").select("ka", "kb").distinct()
-    return keyed.join(bad, [F.col(ka) == F.col("ka"), F.col(kb) == F.col("kb")], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    bad = found.where("contaminated").select(F.col("ka").alias(xa), F.col("kb").alias(xb)).distinct()
+    return keyed.join(bad, [F.col(ka) == F.col(xa), F.col(kb) == F.col(xb)], "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def _common(a: str, b: str, from_end: bool):

@@ -241,7 +241,7 @@ def near_dedup(docs: DataFrame, rule: SimHashRule = NEAR, text: str = "text", do
     are those of docs. An empty table gives an empty table.
     """
     shelf = Shelf(docs.sparkSession, "neardup")
-    keys = free_name(docs, "key_a", "key_b")
+    *keys, ka, kb, whole = free_name(docs, "key_a", "key_b", "ka", "kb", "row")
     i, t = F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`")
     keyed = docs.select("*", F.xxhash64(i, t).alias(keys[0]), F.xxhash64(t, F.lit(1), i).alias(keys[1]))
     source = keyed.select(F.col(f"`{doc_id}`").alias("id"), t.alias("text"), *[F.col(k).alias(n) for k, n in zip(keys, ("ka", "kb"), strict=True)])
@@ -253,11 +253,12 @@ def near_dedup(docs: DataFrame, rule: SimHashRule = NEAR, text: str = "text", do
     rooted = shelf.put(rows.join(roots, "fp").select("root", F.struct(F.col("id").isNull().alias("none"), "id", "ka", "kb").alias("row"), "n"))
     first = shelf.put(rooted.groupBy("root").agg(F.min("row").alias("first")))
     judged = shelf.put(rooted.join(first, "root").select("row.ka", "row.kb", (F.col("row") == F.col("first")).alias("stays"), "n"))
-    on = [F.col(keys[0]) == F.col("ka"), F.col(keys[1]) == F.col("kb")]
-    out = keyed.join(judged.where("not stays or n > 1").select("ka", "kb"), on, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    again = judged.where("stays and n > 1").select("ka", "kb")
-    whole = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
-    one = keyed.join(again, on, "left_semi").groupBy(*keys).agg(whole).select("row.*")
+    named = [F.col("ka").alias(ka), F.col("kb").alias(kb)]
+    on = [F.col(keys[0]) == F.col(ka), F.col(keys[1]) == F.col(kb)]
+    out = keyed.join(judged.where("not stays or n > 1").select(*named), on, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    again = judged.where("stays and n > 1").select(*named)
+    any_row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(whole)
+    one = keyed.join(again, on, "left_semi").groupBy(*keys).agg(any_row).select(f"{whole}.*")
     return out.unionByName(one)
 
 
