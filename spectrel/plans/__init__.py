@@ -1 +1 @@
-
+"""Fixtures and registered queries."""
