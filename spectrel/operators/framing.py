@@ -65,11 +65,12 @@ def deterministic_starts(frames: DataFrame, n_windows: int, keys: Sequence[str]
     return frames.join(chosen, [*keys, "idx"])
 
 
-def representative(samples: DataFrame, size: int, candidates: int = 20, keys: Sequence[str] = RECORD) -> DataFrame:
-    """For each record the first of its first windows, which don't overlap, whose RMS is nearest to their median: idx and rms."""
+def representative(samples: DataFrame, size: int, candidates: int = 20, keys: Sequence[str] = RECORD, digits: int = 6) -> DataFrame:
+    """For each record the first of its first windows, which don't overlap, whose RMS is nearest to their median: idx and rms. Distances that agree
+    in `digits` decimals are equal."""
     per = framed(samples.where(F.col("n") < size * candidates), size, size, keys).groupBy(*keys, "idx").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
     middle = per.groupBy(*keys).agg(F.median("rms").alias("mid"))
-    off = F.round(F.abs(F.col("rms") - F.col("mid")), 12)
+    off = F.round(F.abs(F.col("rms") - F.col("mid")), digits)
     best = F.min(F.struct(off.alias("off"), "idx", "rms"))
     return per.join(middle, list(keys)).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.idx", "b.rms")
 
