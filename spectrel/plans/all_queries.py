@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("spectral_queries", "series_queries", "decision_queries")
+MODULES = ("spectral_queries", "series_queries", "decision_queries", "table_queries")
 
 
 def load() -> None:
