@@ -105,7 +105,7 @@ def standardized(rows: DataFrame, columns: Sequence[str], centre: dict, scale: d
 def fit_linear(rows: DataFrame, columns: Sequence[str], label: str, max_iter: int = 1000, tol: float = 1e-8) -> LinearModel:
     """Logistic regression on population z-scores, L2 with C = 1, classes weighted to balance."""
     stats = rows.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns], F.count("*").alias("n_")).first()
-    centre, scale = {c: stats[c]["m"] for c in columns}, {c: stats[c]["s"] or 1.0 for c in columns}
+    centre, scale = {c: stats[c]["m"] for c in columns}, {c: stats[c]["s"] if stats[c]["s"] > 1e-12 else 1.0 for c in columns}
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row a class
     names, n = sorted(counts), stats["n_"]
     index, weight = F.lit(None).cast("double"), F.lit(None).cast("double")

@@ -355,7 +355,7 @@ def l_events(spark, d):
     return rounded(replay.event_windows(table(spark, d, "events")), 4, "value_sum")
 
 
-FEATURE_SET = ["rms", "crest_factor", "spectral_centroid_hz", "rel_band_power_1", "rel_band_power_2"]
+FEATURE_SET = ["peak", "crest_factor", "spectral_centroid_hz", "rel_band_power_1", "rel_band_power_2"]
 
 
 @query("i07_oof_scores")

@@ -23,7 +23,7 @@ LABEL_KEYS = ("label", "etiqueta", "activity", "actividad", "model", "modelo", "
 
 def numbers(text: Column) -> Column:
     """The numbers of a text, separated by commas, semicolons or white space; one header row is passed over. An error where a value is no number."""
-    body = F.regexp_replace(text, r"^[^\n]*[A-Za-z_][^\n]*\n", "")
+    body = F.regexp_replace(text, r"^[^\n]*[A-DF-Za-df-z_][^\n]*\n", "")
     parts = F.filter(F.split(F.trim(body), r"[,;\s]+"), lambda v: v != "")
     return F.transform(parts, lambda v: F.coalesce(v.try_cast("double"), F.raise_error(F.concat(F.lit("no number: "), v)).cast("double")))
 
@@ -37,7 +37,7 @@ def strict_integers(text: Column) -> Column:
 
 def read_text_signals(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, x): of text files; the strict form where it holds, else the lenient one."""
-    files = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
     strict = strict_integers(F.col("value"))
     return files.select("path", F.coalesce(F.transform(strict, lambda v: v.cast("double")), numbers(F.col("value"))).alias("x"))
 
