@@ -22,7 +22,7 @@ LOWER_ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Texts handled together in one step of a Python worker hold about so many bytes; a longer text stands alone.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def alnum_words(text: bytes | None) -> list[bytes]:

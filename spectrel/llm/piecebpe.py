@@ -14,6 +14,7 @@ import heapq
 import re
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ MARK = "▁"
 #: Latin letters; and units: space marks, then Latin letters only or other characters only.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 UNIT = re.compile(f"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}]+)|{MARK}+")
-KNOWN = 300_000
+KNOWN = 200_000
 
 
 class Known(dict):
@@ -286,7 +287,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str
         def do(texts):
             parts = [c.encode_units(t.decode("utf-8", "replace") if t else "") for t in texts]
             got = [",".join(p) for p in parts]
-            return [[g.count(",") + 1 if g else 0 for g in got], got, [c.decode_units(p) for p in parts], *[[list(map(int, g.split(","))) if g else [] for g in got]] * ids]
+            return [[g.count(",") + 1 if g else 0 for g in got], got, [c.decode_units(p) for p in parts], *([[np.fromstring(g, dtype=np.int32, sep=",") for g in got]] if ids else [])]
 
         return do
 
