@@ -95,7 +95,7 @@ def a04(spark, d):
     return paths(spark, d).select("path", na.inferred_label(F.col("path")).alias("label"))
 
 
-@query("a05_manifest", f"WITH {PATHS_SQL} SELECT path, {LABEL_SQL} AS label, CASE WHEN regexp_matches({STEM}, '(?i)^\\d{{5}}[LH]_\\d+$') THEN 'dronerf_' || regexp_extract({STEM}, '^(\\d{{5}})', 1) || '_' || regexp_extract({STEM}, '(\\d+)$', 1) ELSE regexp_replace(path, '\\.[^./]*$', '') END AS group_id, lower(regexp_extract({NAME}, '^.+(\\.[^.]*)$', 1)) AS suffix, regexp_extract({STEM}, '(?i)^(\\d{{5}})[LH]_\\d+$', 1) AS code, upper(regexp_extract({STEM}, '(?i)^\\d{{5}}([LH])_\\d+$', 1)) AS part, regexp_extract({STEM}, '(?i)^\\d{{5}}[LH]_(\\d+)$', 1) AS segment FROM pth")
+@query("a05_manifest", f"WITH {PATHS_SQL} SELECT path, {LABEL_SQL} AS label, CASE WHEN regexp_matches({STEM}, '(?i)^\\d{{5}}[LH]_\\d+$') THEN 'rec_' || regexp_extract({STEM}, '^(\\d{{5}})', 1) || '_' || regexp_extract({STEM}, '(\\d+)$', 1) ELSE regexp_replace(path, '\\.[^./]*$', '') END AS group_id, lower(regexp_extract({NAME}, '^.+(\\.[^.]*)$', 1)) AS suffix, regexp_extract({STEM}, '(?i)^(\\d{{5}})[LH]_\\d+$', 1) AS code, upper(regexp_extract({STEM}, '(?i)^\\d{{5}}([LH])_\\d+$', 1)) AS part, regexp_extract({STEM}, '(?i)^\\d{{5}}[LH]_(\\d+)$', 1) AS segment FROM pth")
 def a05(spark, d):
     return na.manifest(paths(spark, d))
 
@@ -137,7 +137,7 @@ def a10(spark, d):
 
 CATALOGUE_SQL = """c AS (SELECT * FROM (VALUES ('00000', 'background', 'none', 'none', 20), ('10000', 'target', 'bebop', 'connected', 20), ('10001', 'target', 'bebop', 'hovering', 20), ('10010', 'target', 'bebop', 'flying', 20), ('10011', 'target', 'bebop', 'video', 20), ('10100', 'target', 'ar', 'connected', 20), ('10101', 'target', 'ar', 'hovering', 20), ('10110', 'target', 'ar', 'flying', 20), ('10111', 'target', 'ar', 'video', 17), ('11000', 'target', 'phantom', 'connected', 20)) v(code, activity, model, mode, top)),
 r AS (SELECT *, 'dev' AS partition, unnest(range(CASE code WHEN '00000' THEN 10 ELSE 5 END)) AS segment FROM c UNION ALL SELECT *, 'eval', unnest(CASE code WHEN '00000' THEN [15, 16, 17] ELSE [top - 1] END) FROM c UNION ALL SELECT *, 'holdout', unnest(CASE code WHEN '00000' THEN [18, 19, 20] ELSE [top] END) FROM c),
-sel AS (SELECT code, activity, model, mode, partition, CAST(segment AS INTEGER) AS segment, part, 'dronerf_' || code || '_' || CAST(segment AS VARCHAR) AS group_id FROM r CROSS JOIN (SELECT unnest(['L', 'H']) AS part))"""
+sel AS (SELECT code, activity, model, mode, partition, CAST(segment AS INTEGER) AS segment, part, 'rec_' || code || '_' || CAST(segment AS VARCHAR) AS group_id FROM r CROSS JOIN (SELECT unnest(['L', 'H']) AS part))"""
 
 
 @query("a14_catalogue", f"WITH {CATALOGUE_SQL} SELECT * FROM sel")

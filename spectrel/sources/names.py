@@ -82,11 +82,12 @@ def signal_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(is_supported(F.col("path")) & ~skipped).orderBy("path")
 
 
-def manifest(files: DataFrame, path: str = "path") -> DataFrame:
-    """files with label, group_id, suffix, code, part and segment (empty where the name doesn't say)."""
+def manifest(files: DataFrame, path: str = "path", prefix: str = "rec_") -> DataFrame:
+    """files with label, group_id (prefix, code and segment, else the path without suffix), suffix, code, part and segment (empty where the name doesn't
+    say)."""
     p = F.col(path)
     q = parsed(p)
-    group = F.when(q["code"].isNotNull(), F.concat(F.lit("dronerf_"), q["segment_id"])).otherwise(F.regexp_replace(p, r"\.[^./]*$", ""))
+    group = F.when(q["code"].isNotNull(), F.concat(F.lit(prefix), q["segment_id"])).otherwise(F.regexp_replace(p, r"\.[^./]*$", ""))
     empty = lambda c: F.coalesce(c, F.lit(""))
     return files.select(*files.columns, inferred_label(p).alias("label"), group.alias("group_id"), suffix(p).alias("suffix"), empty(q["code"]).alias("code"), empty(q["part"]).alias("part"), empty(q["segment"]).alias("segment"))
 
@@ -95,8 +96,8 @@ def classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CLASSES, "code string, activity string, model string, mode string, max_segment int")
 
 
-def selection(spark: SparkSession) -> DataFrame:
-    """The frozen selection: a row for each class, partition, segment and part."""
+def selection(spark: SparkSession, prefix: str = "rec_") -> DataFrame:
+    """The frozen selection: a row for each class, partition, segment and part. Groups are named by the prefix, the code and the segment."""
     c = classes(spark)
     tail = lambda back, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("max_segment") - back + i)
     ground = F.col("code") == "00000"
@@ -104,4 +105,4 @@ def selection(spark: SparkSession) -> DataFrame:
     split = F.array(F.struct(F.lit("dev").alias("partition"), dev.alias("segments")), F.struct(F.lit("eval").alias("partition"), F.when(ground, tail(5, 3)).otherwise(tail(1, 1)).alias("segments")), F.struct(F.lit("holdout").alias("partition"), F.when(ground, tail(2, 3)).otherwise(tail(0, 1)).alias("segments")))
     rows = c.select("*", F.explode(split).alias("s")).select("code", "activity", "model", "mode", "max_segment", "s.partition", F.explode("s.segments").alias("segment"))
     rows = rows.crossJoin(F.broadcast(spark.createDataFrame([("L",), ("H",)], "part string")))
-    return rows.withColumn("group_id", F.concat(F.lit("dronerf_"), "code", F.lit("_"), F.col("segment").cast("string")))
+    return rows.withColumn("group_id", F.concat(F.lit(prefix), "code", F.lit("_"), F.col("segment").cast("string")))

@@ -122,6 +122,11 @@ def pairs(files: DataFrame, key: str = "segment") -> DataFrame:
     return low.join(high, key, "left")
 
 
+def read_features(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """A table of features or results from CSV with a header, by its schema; nothing is inferred."""
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False)
+
+
 def canonical_hash(text: Column) -> Column:
     """SHA-256 of a text with every line end as a line feed."""
     return F.sha2(F.regexp_replace(text, "\r\n?", "\n").cast("binary"), 256)

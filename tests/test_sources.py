@@ -32,7 +32,7 @@ def folder(tmp_path):
 def test_manifest(spark, folder):
     got = {r.path.rsplit("/", 1)[1]: r for r in na.manifest(na.signal_files(spark, str(folder))).collect()}
     assert set(got) == {"11000L_3.csv", "11000H_3.csv", "x.txt", "10000L_2.npy", "windows.npz", "plain.npz"}
-    assert got["11000L_3.csv"].group_id == "dronerf_11000_3" and got["11000L_3.csv"].label == "target" and got["x.txt"].label == "background"
+    assert got["11000L_3.csv"].group_id == "rec_11000_3" and got["11000L_3.csv"].label == "target" and got["x.txt"].label == "background"
     assert got["10000L_2.npy"].part == "L" and got["windows.npz"].label == "unknown" and got["windows.npz"].code == ""
 
 
@@ -57,7 +57,7 @@ def test_arrays(spark, folder):
 
 
 def test_dataset_manifest(spark, tmp_path):
-    file = {"code": "11000", "activity": "target", "model": "phantom", "mode": "connected", "part": "L", "segment": 3, "group_id": "dronerf_11000_3", "partition": "dev", "relative_path": "a.csv", "sample_rate_hz": 40e6, "sha256": "00", "size_bytes": 10}
+    file = {"code": "11000", "activity": "target", "model": "phantom", "mode": "connected", "part": "L", "segment": 3, "group_id": "rec_11000_3", "partition": "dev", "relative_path": "a.csv", "sample_rate_hz": 40e6, "sha256": "00", "size_bytes": 10}
     path = tmp_path / "m.json"
     path.write_text(json.dumps({"status": "local_subset_ready", "files": [file, {**file, "part": "H", "relative_path": "b.csv"}]}, indent=1))
     files = rd.read_manifest(spark, str(path))
@@ -84,6 +84,12 @@ def test_sinks(spark, tmp_path):
     assert set(sinks.run_facts()) == {"at", "python", "pyspark", "commit"}
 
 
+def test_feature_tables_from_csv(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("window_id,rms,part\n1,0.5,L\n2,,H\n")
+    got = rd.read_features(spark, str(tmp_path / "f.csv"), "window_id long, rms double, part string").collect()
+    assert [tuple(r) for r in got] == [(1, 0.5, "L"), (2, None, "H")]
+
+
 def test_stream_of_running_medians(spark, tmp_path):
     rows = [("g", "L", i, float(i)) for i in range(30)] + [("g", "H", i, 1.0) for i in range(10)]
     schema = "group_id string, part string, idx long, score double"
