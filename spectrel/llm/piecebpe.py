@@ -25,7 +25,8 @@ MARK = "▁"
 #: Latin letters; and units: space marks, then Latin letters only or other characters only.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 UNIT = re.compile(f"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}]+)|{MARK}+")
-KNOWN = 200_000
+#: Entries in a worker's tables of units already encoded, of id strings' bytes (cheap to make again), and of pairs of pieces.
+KNOWN, SURFACES, PAIRS = 400_000, 100_000, 300_000
 
 
 class Known(dict):
@@ -133,7 +134,7 @@ class PieceBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the pieces stay two pieces where their joined text is merged."""
-        if len(self.fits) > KNOWN:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         x, y = self.pieces[a], self.pieces[b]
         self.fits[a << 32 | b] = got = self.remerge(x + y) == [x, y]
@@ -210,7 +211,7 @@ class PieceBpe:
         """The text of ids, given as decimal ids joined by commas, in any number of parts."""
         if not parts:
             return ""
-        if len(self.surfaces) > KNOWN:
+        if len(self.surfaces) > SURFACES:
             self.surfaces.clear()
         raw = b"".join(map(self.surfaces.__getitem__, parts))
         try:
