@@ -11,13 +11,14 @@ from spectrel.operators import conditioning as co
 from spectrel.operators import decision as de
 from spectrel.operators import features as feat
 from spectrel.operators import filters as fi
+from spectrel.operators import framing as fr
 from spectrel.operators import kernels, robust
 from spectrel.operators import learning as le
 from spectrel.operators import synth as sy
 from spectrel.plans.decision_queries import ACTIVITY, GROUP_CTES, GUARD, REJECTION, REP, SCORE_COLUMNS, THRESHOLD, METRICS, report_sql
-from spectrel.plans.fixtures import EMB_SQL, FS, emb_windows
+from spectrel.plans.fixtures import EMB_SQL, FS, SHIP_SQL, emb_arrays, emb_windows, ship_series
 from spectrel.plans.registry import query
-from spectrel.plans.series_queries import hex_uniform, normal_sql
+from spectrel.plans.series_queries import PRE, STARTS, frames_sql, hex_uniform, normal_sql
 from spectrel.plans.spectral_queries import FEATURE_CTES, features4, rounded
 
 Condition = Callable[[DataFrame], DataFrame]
@@ -180,3 +181,35 @@ def j08(spark, d):
 @query("j02_calibration")
 def j02(spark, d):
     return calibrate(features4(spark, d).coalesce(2).cache(), ["crest_factor", "peak", "rel_band_power_1"], "label", 3)
+
+
+@query("j01_feature_build", f"WITH {SHIP_SQL}, {PRE}, {frames_sql(32, 16)}, {STARTS} SELECT group_id, part, CAST(idx AS BIGINT) AS idx, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS peak, round(max(abs(x)) / sqrt(avg(x * x)), 6) AS crest_factor FROM chosen JOIN pre USING (group_id, part) WHERE n >= idx * 16 AND n < idx * 16 + 32 GROUP BY group_id, part, idx")
+def j01(spark, d):
+    """From raw records to the feature table: conditioned, framed, evenly sampled, then the Arrow kernel; the time features are what SQL restates."""
+    recs = co.records(co.preprocess(ship_series(spark, d)))
+    frames = fr.deterministic_starts(fr.frame_arrays(recs, 32, 16), 7)
+    out = kernels.feature_table(frames, FS, 4, 16, "hann", "win", 8)
+    return rounded(out.select("group_id", "part", "idx", "rms", "peak", "crest_factor"), 6, "rms", "peak", "crest_factor")
+
+
+@query("j04_configurations")
+def j04(spark, d):
+    sweep_ = configuration_sweep(emb_arrays(spark, d), FS, [("hann", 4), ("hamming", 10)], "label", 2)
+    return de.select_band_count(rounded(sweep_, 6, "mean", "dispersion"))
+
+
+@query("j13_rehearsal")
+def j13(spark, d):
+    """Boolean checks of a rehearsal: a copy of the input decides alike, labels change nothing, one part alone is inconclusive, controls are rejected."""
+    w = emb_windows(spark, d)
+    a = decided(features_of(sweep(w, {"": lambda x: x}), FS, 4, 32, 16), THRESHOLD, REJECTION).select("group_id", "score", "visible")
+    b = decided(features_of(sweep(w.withColumn("label", F.lit("other")), {"": lambda x: x}), FS, 4, 32, 16), THRESHOLD, REJECTION).select("group_id", F.col("score").alias("s2"), F.col("visible").alias("v2"))
+    same = a.join(b, "group_id", "full").agg(F.coalesce(F.bool_and((F.abs(F.col("score") - F.col("s2")) < 1e-12) & (F.col("visible") == F.col("v2"))), F.lit(True)).alias("ok"))
+    single = decided(features_of(sweep(w, {"": only_part("L")}), FS, 4, 32, 16), THRESHOLD, REJECTION).agg(F.bool_and(F.col("parts_used") == 1).alias("ok"))
+    outside = j09(spark, d).agg(F.bool_and(~F.col("in_domain")).alias("ok"))
+    checks = (("copy_and_labels", same), ("single_part_is_seen", single), ("controls_rejected", outside))
+    out = None
+    for name, df in checks:
+        one = df.select(F.lit(name).alias("check"), "ok")
+        out = one if out is None else out.unionByName(one)
+    return out
