@@ -1,6 +1,7 @@
 """Results against libraries, brute force, SQL and held-out labels."""
 
 import random
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -49,9 +50,14 @@ def test_sql(spark, small, duck, name):
     assert as_rows(got, sorted(want.columns)) == as_rows(want, sorted(want.columns))
 
 
-def test_pieces_equal_the_library(small):
+@cache
+def piece_coders():
     path = tokenizer_file("piece_bpe_32k.model")
-    mine, lib = PieceBpe(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    return PieceBpe(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def test_pieces_equal_the_library(small):
+    mine, lib = piece_coders()
     for t in texts(small) + odd_texts(1500, 1):
         ids = lib.encode(t)
         assert mine.encode(t) == ids
@@ -61,9 +67,7 @@ def test_pieces_equal_the_library(small):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_pieces_of_any_text(t):
-    path = tokenizer_file("piece_bpe_32k.model")
-    mine = test_pieces_of_any_text.__dict__.setdefault("mine", PieceBpe(path))
-    lib = test_pieces_of_any_text.__dict__.setdefault("lib", sentencepiece.SentencePieceProcessor(model_file=path))
+    mine, lib = piece_coders()
     assert mine.encode(t) == lib.encode(t) and mine.decode(mine.encode(t)) == lib.decode(lib.encode(t))
 
 
