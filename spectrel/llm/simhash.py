@@ -46,9 +46,9 @@ class SimHashRule:
             raise ValueError("the blocks' thresholds don't cover the threshold")
 
 
-#: Near copies: five words, and a similarity of 0.8. Fingerprints of 64 bits that agree in 0.8 of their bits differ in 12 at most,
-#: and the 256 bits of both fingerprints must put the Jaccard similarity at 0.8 (a cosine of 8/9, an angle of 0.476, 38.8 bits; 29
-#: of the 192 bits).
+#: Near copies by fingerprints alone: five words, and a similarity of about 0.8. Fingerprints of 64 bits that agree in 0.8 of their bits
+#: differ in 12 at most, and the 256 bits of both fingerprints must put the Jaccard similarity at 0.8 (a cosine of 8/9, an angle of
+#: 0.476, 38.8 bits; 29 of the 192 bits). An estimate: near_dedup() compares the texts themselves.
 NEAR = SimHashRule(5, 12, ((0, 23, 4), (23, 23, 3), (46, 18, 3)), wide=29)
 
 
@@ -234,23 +234,187 @@ def simhash_components(docs: DataFrame, rule: SimHashRule = SimHashRule(), text:
     return base.join(named, F.col(f"`{fp}`") == F.col("__fp")).select(*[F.col(f"`{c}`") for c in kept], F.lower(F.lpad(F.hex(F.col(f"`{fp}`")), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, rule: SimHashRule = NEAR, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+@dataclass(frozen=True)
+class NearRule:
+    """shingle: words in a shingle. similarity: the least Jaccard similarity of linked texts' sets of shingles. bands, rows: of the
+    signature of bands * rows MinHashes; texts that agree in all rows of a band meet (of pairs at 0.8 all but 3 in 100,000). loose: the
+    share of the signature in which texts that meet must agree to be compared (4.2 deviations below 0.8). cell, cell_bytes: signatures
+    of a bucket, or texts of a group and their bytes, in a slice; beyond it they are dealt out as cells of two slices."""
+
+    shingle: int = 5
+    similarity: float = 0.8
+    bands: int = 20
+    rows: int = 4
+    loose: float = 0.61
+    cell: int = 4096
+    cell_bytes: int = 16 << 20
+
+
+SIMILAR = NearRule()
+
+
+def signature(h: np.ndarray, places: int) -> np.ndarray:
+    """The smallest of the upper 32 bits of each of `places` hashes of the values."""
+    at = np.arange(1, places + 1, dtype=np.uint64)[:, None]
+    add, times = mix(at), mix(at + np.uint64(places)) | np.uint64(1)
+    out = np.full(places, np.iinfo(np.uint64).max)
+    for k in range(0, len(h), 4096):
+        x = (h[None, k : k + 4096] ^ add) * times
+        x ^= x >> np.uint64(32)
+        x *= times
+        np.minimum(out, x.min(axis=1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def signatures(source: DataFrame, rule: NearRule) -> DataFrame:
+    """id, ka, kb, node (a hash of the whole set of shingles), sketch (a byte for each MinHash) and buckets (one a band; none without words)."""
+
+    def make():
+        def do(texts):
+            node, sketch, buckets = [], [], []
+            for t in texts:
+                h = np.unique(shingle_hashes(t, rule.shingle))
+                sig = signature(h, rule.bands * rule.rows)
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                sketch.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
+                bands = sig.reshape(rule.bands, rule.rows)
+                buckets.append(np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)] if len(h) else [], dtype=np.uint64).view(np.int64))
+            return [np.array(node, dtype=np.uint64).view(np.int64), sketch, buckets]
+
+        return do
+
+    return per_text(source, "text", [("node", T.LongType()), ("sketch", T.BinaryType()), ("buckets", T.ArrayType(T.LongType()))], make, ["id", "ka", "kb"])
+
+
+def unite(node: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
+    """(node, centre) for each node that is linked with others: every pair is tested, but for those that are connected before.
+
+    linked(r, js): which of the rows js the row r is linked with."""
+    label = np.arange(len(node))
+    for r in range(len(node) - 1):
+        js = r + 1 + np.flatnonzero(label[r + 1 :] != label[r])
+        if len(js):
+            js = js[linked(r, js)]
+        if len(js):
+            roots = np.unique(label[np.append(js, r)])
+            label[np.isin(label, roots)] = roots[0]
+    least = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, node)
+    centre = least[label]
+    out = centre != node
+    return node[out], centre[out]
+
+
+def dealt(members: DataFrame, key: str, slices: DataFrame) -> DataFrame:
+    """members once for each cell (i, j), i <= j, of its key in which its slice takes part; slices: key and k, its slices, for keys with more than one."""
+    cut = members.join(F.broadcast(slices), key, "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    cut = cut.select("*", mine.alias("m")).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    return cut.select(*members.columns, F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"))
+
+
+def loose_links(nodes: DataFrame, rule: NearRule, shelf: Shelf) -> DataFrame:
+    """(a, b): links whose components hold together all nodes that meet in a bucket and agree in enough of the signature."""
+    copies = shelf.put(nodes.select(F.explode("buckets").alias("bucket"), "node"))
+    size = shelf.put(copies.groupBy("bucket").count().where("count > 1"))
+    meet = copies.join(size.select("bucket"), "bucket").join(nodes.select("node", "sketch"), "node")
+    slices = size.where(F.col("count") > rule.cell).select("bucket", F.ceil(F.col("count") / rule.cell).cast("int").alias("k"))
+    cells = dealt(meet, "bucket", slices).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        """t: whole cells in their order."""
+        node = t.column("node").to_numpy()
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")])
+        start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        n = np.diff(np.append(start, len(node)))
+        two = start[n == 2]
+        two = two[(sketch[two] == sketch[two + 1]).mean(axis=1) >= rule.loose]
+        a, b = [node[two]], [node[two + 1]]
+        for at, k in zip(start[n > 2], n[n > 2], strict=True):
+            s = sketch[at : at + k]
+            x, y = unite(node[at : at + k], lambda r, js, s=s: (s[js] == s[r]).mean(axis=1) >= rule.loose)
+            a.append(x)
+            b.append(y)
+        return pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    def run(batches):
+        held = []  # the last cell may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = [batch.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            last = np.logical_and.reduce([e == e[-1] for e in ends])
+            at = int(np.argmax(last))
+            goes_on = not held or all(held[0].column(c)[0].as_py() == e[0] for c, e in zip(("bucket", "i", "j"), ends, strict=True))
+            if at or not goes_on:
+                yield compare(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held = []
+            held.append(batch.slice(at))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(texts: DataFrame, rule: NearRule, shelf: Shelf) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of a group with the similarity. texts: group, node, sketch, bytes, text."""
+    size = shelf.put(texts.groupBy("group").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")))
+    k = F.greatest(F.ceil(F.col("count") / rule.cell), F.ceil(F.col("bytes") / rule.cell_bytes)).cast("int")
+    cells = dealt(texts.drop("bytes"), "group", size.select("group", k.alias("k")).where("k > 1"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        sets = [np.unique(shingle_hashes(t, rule.shingle)) for t in table.column("text").cast(pa.binary()).to_pylist()]
+        n = np.array([len(s) for s in sets])
+
+        def linked(r: int, js: np.ndarray) -> np.ndarray:
+            out = ((sketch[js] == sketch[r]).mean(axis=1) >= rule.loose) & (np.minimum(n[js], n[r]) / np.maximum(n[js], n[r]) >= rule.similarity)
+            for x in np.flatnonzero(out):
+                other = sets[js[x]]
+                at = np.minimum(np.searchsorted(sets[r], other), n[r] - 1)
+                both = int((sets[r][at] == other).sum())
+                out[x] = both / (n[r] + len(other) - both) >= rule.similarity
+            return out
+
+        a, b = unite(node, linked)
+        return pa.table({"a": a, "b": b})
+
+    return cells.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def near_dedup(docs: DataFrame, rule: NearRule = SIMILAR, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without all but one row of each near-duplicate group: the one with the smallest doc_id (a null counts as the largest) stays.
 
-    Where several rows of a group have that doc_id, one of the text with the smallest hash stays, and of equal rows any one. The columns
-    are those of docs. An empty table gives an empty table.
+    Groups are joined by links, and a link is a pair whose sets of shingles have the rule's Jaccard similarity. Which pairs are compared
+    depends on MinHash signatures, by which nearly all pairs of that similarity meet; whether they are linked depends on the texts.
+    Texts with equal sets of shingles are one from the start (by 64 bits of hash). Where several rows of a group have the smallest
+    doc_id, one of the text with the smallest hash stays, and of equal rows any one. The columns are those of docs. An empty table
+    gives an empty table.
     """
     shelf = Shelf(docs.sparkSession, "neardup")
     *keys, ka, kb, whole = free_name(docs, "key_a", "key_b", "ka", "kb", "row")
     i, t = F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`")
     keyed = docs.select("*", F.xxhash64(i, t).alias(keys[0]), F.xxhash64(t, F.lit(1), i).alias(keys[1]))
-    source = keyed.select(F.col(f"`{doc_id}`").alias("id"), t.alias("text"), *[F.col(k).alias(n) for k, n in zip(keys, ("ka", "kb"), strict=True)])
-    wide = "wide" if rule.wide is not None else None
-    slim = shelf.put(fingerprints(source, rule, "text", "fp", wide, ["id", "ka", "kb"]))
+    source = keyed.select(F.col(f"`{doc_id}`").alias("id"), t.cast("string").alias("text"), *[F.col(k).alias(n) for k, n in zip(keys, ("ka", "kb"), strict=True)])
+    slim = shelf.put(signatures(source, rule))
     # equal rows are one from here on, with their number
-    rows = shelf.put(slim.groupBy("fp", "ka", "kb").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    roots = shelf.put(fingerprint_roots(slim, rule, shelf))
-    rooted = shelf.put(rows.join(roots, "fp").select("root", F.struct(F.col("id").isNull().alias("none"), "id", "ka", "kb").alias("row"), "n"))
+    rows = shelf.put(slim.groupBy("node", "ka", "kb").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    nodes = shelf.put(slim.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")))
+    groups = shelf.put(components(loose_links(nodes, rule, shelf), shelf).withColumnRenamed("root", "group"))
+    # one row of each node that has company gives the text
+    reps = rows.groupBy("node").agg(F.min(F.struct("ka", "kb", "n")).alias("r")).join(groups, "node").join(nodes.select("node", "sketch"), "node")
+    reps = shelf.put(reps.select("group", "node", "sketch", "r.*"))
+    told = source.select("ka", "kb", "text").join(reps, ["ka", "kb"])
+    columns = ["group", "node", "sketch", F.octet_length("text").cast("long").alias("bytes"), "text"]
+    texts = told.where("n = 1").select(*columns)
+    if reps.where("n > 1").limit(1).count():
+        again = told.where("n > 1").groupBy("group", "node", "sketch").agg(F.first("text").alias("text"))
+        texts = texts.unionByName(again.select(*columns))
+    roots = shelf.put(components(similar_links(shelf.put(texts), rule, shelf), shelf))
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = shelf.put(rooted.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "ka", "kb").alias("row"), "n"))
     first = shelf.put(rooted.groupBy("root").agg(F.min("row").alias("first")))
     judged = shelf.put(rooted.join(first, "root").select("row.ka", "row.kb", (F.col("row") == F.col("first")).alias("stays"), "n"))
     named = [F.col("ka").alias(ka), F.col("kb").alias(kb)]

@@ -147,6 +147,37 @@ def test_near_copies_go(spark):
     assert kept == near_survivors(data) == [i * 10 for i in range(60)]
 
 
+def jaccard_survivors(data):
+    """Of (doc_id, text) the doc_ids that stay if all pairs of a Jaccard similarity of 0.8 are linked, and how many such pairs there are."""
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in data]
+    links = [(a, b) for a in range(len(data)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = unite(len(data), links)
+    return sorted({data[r][0] for r in root}), len(links)
+
+
+@pytest.mark.parametrize("rule", [simhash.SIMILAR, simhash.NearRule(cell=3), simhash.NearRule(cell_bytes=5000)])
+def test_near_dedup_against_all_pairs(spark, rule):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    data = []
+    for i in range(300):  # isolated pairs of a similarity of about 0.74 to 0.9
+        w = [word() for _ in range(300)]
+        v = list(w)
+        for at in range(1 + i % 9):
+            v[5 + 30 * at] = word()
+        cut = rng.randrange(0, 30)
+        data += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v[cut:]))]
+    w = [word() for _ in range(200)]
+    for i in range(20):  # a chain, whose ends are far apart
+        data.append((1000 + i, " ".join(w[: 100 + 3 * i])))
+    line = " ".join(["the same line again"] * 60)
+    for i in range(20):  # one repeated line, and texts of their own
+        data.append((2000 + i, line + " " + " ".join(word() for _ in range(40))))
+    want, links = jaccard_survivors(data)
+    got = sorted(r.doc_id for r in simhash.near_dedup(spark.createDataFrame(data, "doc_id long, text string"), rule).collect())
+    assert got == want and links > 150 and set(range(2000, 2020)) <= set(got)
+
+
 @settings(max_examples=3, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), min_size=1, max_size=40))
 def test_components(spark, links):
