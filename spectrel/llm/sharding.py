@@ -77,9 +77,12 @@ def shard(docs: DataFrame, shards: int = 8, law: str = "bytes", ranges: int | No
     total = total or 0
     ranges = ranges or max(512, -(-count // RANGE_ROWS))
     splitters = quantiles(sample_keys(rows, total, SAMPLES * ranges), ranges)
-    for turn in range(8):
+    # a row larger than a range has one of its own; there are fewer of them than ranges
+    large = np.array([r[0] for r in rows.where(F.col("size") > max(1, total // ranges)).select("key").distinct().collect()], dtype=np.int64)
+    splitters = np.union1d(splitters, np.append(large, large[large < np.iinfo(np.int64).max] + 1))
+    turn = 0
+    while True:  # every turn divides every overfull range, down to single keys
         sums = ranges_of(rows, splitters).groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
-        # at most ranges * 2 to the 8th rows
         full = [r for r in sums if r["lo"] < r["hi"] and (r["size"] > 3 * total / ranges or r["n"] > 3 * count / ranges)]
         if not full:
             break
@@ -92,11 +95,14 @@ def shard(docs: DataFrame, shards: int = 8, law: str = "bytes", ranges: int | No
             own = more[(more > r["lo"]) & (more <= r["hi"])]
             share = 2 * max(1, r["size"] * ranges // max(1, total), r["n"] * ranges // count)
             splitters = np.union1d(splitters, quantiles(own, share) if len(own) else np.array([(r["lo"] + r["hi"]) // 2 + 1]))
+        turn += 1
     sums = sorted(sums, key=lambda r: r["range"]) if count else []
     before, bytes_, n = [], 0, 0
     for r in sums:
         before.append((r["range"], bytes_, n))
         bytes_, n = bytes_ + r["size"], n + r["n"]
+    if n != count:
+        raise ValueError("the ranges don't hold every row")
     offsets = F.broadcast(docs.sparkSession.createDataFrame(before, "range int, bytes_before long, rows_before long"))
     within = Window.partitionBy("range").orderBy("key", "tie", "text_crc32", "size")
     placed = ranges_of(rows, splitters).withColumn("n", F.row_number().over(within)).withColumn("s", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

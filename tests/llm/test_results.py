@@ -261,6 +261,13 @@ def test_shards(spark, law):
     assert sizes.max() - sizes.min() <= 2 * out["size"].max() if law == "bytes" else counts.max() - counts.min() <= 1
 
 
+def test_shards_when_ranges_are_only_halved(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "sample_keys", lambda *args, **kw: np.empty(0, dtype=np.int64))
+    data = [(i, str(i) * (1 + 2000 * (i == 7))) for i in range(3000)]
+    out = sharding.shard(spark.createDataFrame(data, "doc_id long, text string"), law="rows", ranges=1024).toPandas()
+    assert sorted(out.doc_id) == list(range(3000)) and all(sorted(g.slot) == list(range(375)) for _, g in out.groupby("shard"))
+
+
 def test_quality_on_held_out_labels(spark):
     """On documents of which half have labels: nearly all good ones of the other half stay, most of the bad ones go."""
     folder = "/root/testdata/sf0.01"
