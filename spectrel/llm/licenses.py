@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Every rule is a regex over the lower-cased text with a priority and a keyword that must occur; an Aho-Corasick automaton finds the
-keywords of all rules in one pass, and only rules whose keyword occurs run. Detections are taken in the order of their rules'
+Every rule is a regex over the lower-cased text with a priority and keywords, one of which every match contains (they are taken from
+the regex); an Aho-Corasick automaton finds the keywords of all rules in one pass, and only rules of which a keyword occurs run. Detections are taken in the order of their rules'
 priority, then the longer first, then by place; one that overlaps none taken before is taken, one contained in a taken one is
 suppressed, and one that overlaps a taken one in part is suppressed if it has a lower priority.
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants, _parser
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from spectrel.llm.common import LOWER, alnum_words, per_text, read
 #: Base phrases and labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: One license a line: SPDX id | keyword | name | address | a sentence of its own with its keyword. Blanks stand for any white space.
+#: One license a line: SPDX id | a word for the reader | name | address | a sentence of its own after such words. Blanks stand for any white space.
 LICENSES = r"""
 gpl-1.0 | general public | gnu general public license,? (?:version |v\.? ?)1(?:\.0)?\b | gnu\.org/licenses/(?:old-licenses/)?gpl-1 |
 gpl-2.0 | general public | gnu general public license,? (?:\(gpl\),? )?(?:version |v\.? ?)2(?:\.0)?\b | gnu\.org/licenses/(?:old-licenses/)?gpl-2 | free software foundation ; either version 2 of the license,? or
@@ -144,28 +145,51 @@ BASE_SCORE = 0.5
 class Rule:
     name: str
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
     kind: int
 
 
+def needles(pattern: str) -> tuple[str, ...]:
+    """Strings of which every match of the pattern contains one: the set whose shortest is longest; none if the pattern has no such set."""
+
+    def of(tree) -> tuple[str, ...]:
+        sets, run = [], ""
+        for op, arg in [*tree, (None, None)]:
+            if op is _constants.LITERAL:
+                run += chr(arg)
+                continue
+            sets.append((run,) if run else ())
+            run = ""
+            if op is _constants.SUBPATTERN:
+                sets.append(of(arg[-1]))
+            elif op is _constants.BRANCH:
+                each = [of(x) for x in arg[1]]
+                sets.append(tuple(dict.fromkeys(w for x in each for w in x)) if all(each) else ())
+            elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and arg[0]:
+                sets.append(of(arg[2]))
+        return max(sets, key=lambda x: min(map(len, x), default=0))
+
+    return of(_parser.parse(pattern))
+
+
 def rules() -> list[Rule]:
     """The rules in the order of their priority: by kind, then as the licenses are listed (special ones before general ones)."""
     out = []
     # blanks outside of brackets stand for white space
     space = lambda p: re.sub(r"(?<!\[-) (\??)(?![^\[]*\])", lambda m: r"\s*" if m[1] else r"\s+", p.strip())
     for line in LICENSES.strip().splitlines():
-        spdx, keyword, name, address, sentence = _fields(line)
-        # white space may break a keyword, so it is the longest word
-        add = lambda kind, word, pattern: out.append(Rule(f"{spdx}/{kind}", spdx, max(word.split(), key=len), re.compile(pattern), kind))  # noqa: B023, E731
-        add(TAG, spdx, rf"(?:spdx[-\s]licen[sc]e[-\s]identifier|licen[sc]e)\s*[:=]\s*[\"'(]*{re.escape(spdx)}(?:-only|-or-later|\+)?(?![\w.-]*\w)")
+        spdx, _, name, address, sentence = _fields(line)
+        # keywords come from the part of the pattern that is the rule's own
+        add = lambda kind, part, pattern: out.append(Rule(f"{spdx}/{kind}", spdx, needles(part), re.compile(pattern), kind))  # noqa: B023, E731
+        add(TAG, re.escape(spdx), rf"(?:spdx[-\s]licen[sc]e[-\s]identifier|licen[sc]e)\s*[:=]\s*[\"'(]*{re.escape(spdx)}(?:-only|-or-later|\+)?(?![\w.-]*\w)")
         if sentence:
-            word, _, pattern = sentence.partition(" ; ")
-            add(SENTENCE, word.strip(), space(pattern))
+            pattern = space(sentence.partition(" ; ")[2])
+            add(SENTENCE, pattern, pattern)
         if address:
-            add(ADDRESS, "/" if address[0] == "(" else re.split("[/(]", address)[0].replace("\\", ""), rf"(?:https?://)?(?:www\.)?(?:{space(address)})[\w./-]*")
-        add(NOTICE, keyword, rf"(?:licen[sc]ed|released|distributed|available|published|covered|provided)\s+(?:under|by|with)\s+(?:the\s+|an?\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?(?:{space(name)})")
-        add(NAME, keyword, rf"(?<!\w)(?:{space(name)})")
+            add(ADDRESS, space(address), rf"(?:https?://)?(?:www\.)?(?:{space(address)})[\w./-]*")
+        add(NOTICE, space(name), rf"(?:licen[sc]ed|released|distributed|available|published|covered|provided)\s+(?:under|by|with)\s+(?:the\s+|an?\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?(?:{space(name)})")
+        add(NAME, space(name), rf"(?<!\w)(?:{space(name)})")
     return sorted(out, key=lambda r: r.kind)
 
 
@@ -188,8 +212,11 @@ class Scanner:
         self.rules = ordered if ordered is not None else rules()
         self.automaton = ahocorasick.Automaton()
         by: dict[str, list[int]] = {}
+        if not all(r.keywords for r in self.rules):
+            raise ValueError("a rule has no keyword")
         for i, r in enumerate(self.rules):
-            by.setdefault(r.keyword, []).append(i)
+            for word in r.keywords:
+                by.setdefault(word, []).append(i)
         for word, which in by.items():
             self.automaton.add_word(word, which)
         self.automaton.make_automaton()

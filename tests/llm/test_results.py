@@ -223,6 +223,43 @@ def test_license_rules(small):
         assert sorted(scan.base_places(words)) == brute
 
 
+def sample_of(tree, rng):
+    """A text that a parsed pattern matches, with random alternatives; assertions are left to the caller."""
+    from re import _constants as c
+
+    out = ""
+    for op, arg in tree:
+        if op is c.LITERAL:
+            out += chr(arg)
+        elif op is c.SUBPATTERN:
+            out += sample_of(arg[-1], rng)
+        elif op is c.BRANCH:
+            out += sample_of(rng.choice(arg[1]), rng)
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            out += "".join(sample_of(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif op is c.IN:
+            kind, value = rng.choice(arg)
+            out += chr(value) if kind is c.LITERAL else chr(value[0]) if kind is c.RANGE else {c.CATEGORY_SPACE: " ", c.CATEGORY_WORD: "q", c.CATEGORY_DIGIT: "7"}[value]
+        elif op is c.ANY:
+            out += "q"
+    return out
+
+
+def test_every_alternative_has_a_keyword():
+    from re import _parser
+
+    rng, scan = random.Random(4), licenses.Scanner()
+    for r in scan.rules:
+        made = [t for t in (sample_of(_parser.parse(r.pattern.pattern), rng) for _ in range(60)) if r.pattern.search(t)]
+        assert made and all(any(k in t for k in r.keywords) for t in made), r.name
+    found = lambda t: [scan.rules[i].label for i, _, _ in scan.detect(t)]
+    assert found("creative commons attribution-noncommercial 4.0") == ["cc-by-nc-4.0"]
+    assert found("under creative commons attribution-sharealike 3.0") == ["cc-by-sa-3.0"]
+    assert found("x11 license distribution modification variant") == ["x11"]
+    assert found("unauthorized copying of this file, via any medium, is strictly prohibited") == ["proprietary"]
+    assert found("openfontlicense.org") == ["ofl-1.1"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 30), st.integers(1, 9)), max_size=12))
 def test_suppression(spans):
