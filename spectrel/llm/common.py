@@ -95,11 +95,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Shelf:
-    """Tables in the shared folder that cut lineage; drop() deletes one that nothing reads any more."""
+    """Tables in the shared folder that cut lineage; drop() deletes one that nothing reads any more, keep() all but the named. What a
+    result still reads stays until its user deletes the folder."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.top = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: dict[str, DataFrame] = {}
 
     def put(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """df, written as Parquet and read again."""
@@ -109,11 +111,18 @@ class Shelf:
         (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shelf_path = path
+        self.tables[path] = out
         return out
 
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._shelf_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables.pop(df._shelf_path, None)
+
+    def keep(self, *needed: DataFrame) -> None:
+        for df in list(self.tables.values()):
+            if not any(df is n for n in needed):
+                self.drop(df)
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> pa.Array:
