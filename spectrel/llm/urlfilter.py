@@ -8,6 +8,7 @@ against the links, and a host whose distrust exceeds its trust by a threshold is
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,12 @@ class UrlRule:
 
 
 RULES = (UrlRule("com", "/", True), UrlRule("example.com", "/en/", False), UrlRule("www.example.com", "/en/", True), UrlRule("net", "/es/", False), UrlRule("net", "/fr/", False))
-#: Share of a host's rank that comes by links; rounds of propagation; and how far distrust must exceed trust, as a share of what a host
-#: has whose pages are all blocked.
-DAMPING, ROUNDS, LIMIT = 0.85, 10, 0.5
+#: Share of a host's rank that comes by links; and how far distrust must exceed trust, as a share of what a host has whose pages are all blocked.
+DAMPING, LIMIT = 0.85, 0.5
+#: Propagation goes on until no host gets more than this in a round. A seed is at most 1 - DAMPING, so a path of 70 links is followed to its end.
+TOLERANCE = 1e-6
+#: Rounds of the SQL, which can't stop by itself: what is left after them is below TOLERANCE on a path.
+SQL_ROUNDS = 75
 #: Hosts of links with an authority, of any scheme or none.
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -58,22 +62,33 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
     return out
 
 
-def propagate(seed: DataFrame, edges: DataFrame, shelf: Shelf, damping: float, rounds: int) -> DataFrame:
-    """(host, rank): (1 - damping) * seed + damping * sum of rank * weight over the edges that lead to the host, after some rounds.
-
-    seed: host, seed. edges: src, dst, weight (the weights that leave a host add up to 1)."""
-    own = shelf.put(seed.where("seed > 0").select("host", (F.col("seed") * (1 - damping)).alias("rank")))
-    rank = own
-    for _ in range(rounds):
-        flow = edges.join(rank, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("weight") * damping).alias("rank"))
-        now = shelf.put(own.unionByName(flow.select(F.col("dst").alias("host"), "rank")).groupBy("host").agg(F.sum("rank").alias("rank")))
-        change = now.join(rank.withColumnRenamed("rank", "was"), "host", "left").agg(F.max(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))))).first()[0]
-        if rank is not own:
-            shelf.drop(rank)
-        rank = now
-        if not change:  # nothing flows any more
+def propagate(seed: DataFrame, edges: DataFrame, shelf: Shelf, damping: float, tolerance: float) -> DataFrame:
+    """(host, rank): (1 - damping) * seed + damping * sum of rank * weight over the edges that lead to the host.
+
+    seed: host, seed. edges: src, dst, weight (the weights that leave a host add up to 1). A round passes on what arrived in the round before,
+    and the rank is the sum of what arrived in all rounds; they end when no host gets more than the tolerance. Seeds aren't normalised, so that a
+    host's rank doesn't depend on how many others there are, and what reaches a host without edges is not passed on."""
+    arrived = [shelf.put(seed.where("seed > 0").select("host", (F.col("seed") * (1 - damping)).alias("rank")))]
+    while True:
+        flow = edges.join(arrived[-1], F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("weight") * damping).alias("rank"))
+        now = shelf.put(flow.select(F.col("dst").alias("host"), "rank"))
+        most = now.agg(F.max("rank")).first()[0]
+        arrived.append(now)
+        if not most or most <= tolerance:
             break
-    return rank
+        if len(arrived) == 16:  # the tables before become one
+            one = shelf.put(sum_of(arrived[:-1]))
+            for old in arrived[:-1]:
+                shelf.drop(old)
+            arrived = [one, now]
+    out = shelf.put(sum_of(arrived))
+    for old in arrived:
+        shelf.drop(old)
+    return out
+
+
+def sum_of(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("host").agg(F.sum("rank").alias("rank"))
 
 
 def link_edges(pages: DataFrame, host: Column, html: str) -> DataFrame:
@@ -82,7 +97,7 @@ def link_edges(pages: DataFrame, host: Column, html: str) -> DataFrame:
     return pages.select(host.alias("src"), F.explode(found).alias("dst")).where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, limit: float = LIMIT, keep: list[str] | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", html: str = "html", damping: float = DAMPING, tolerance: float = TOLERANCE, limit: float = LIMIT, keep: list[str] | None = None) -> DataFrame:
     """pages (or the columns keep), host, path, rule, verdict (allow or block) and by (rule or graph).
 
     A url that is null or has no :// has empty host and path and no rule; its verdict is the graph's for a host without links: allow. A
@@ -105,11 +120,12 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str =
     arriving = edges.groupBy("dst").agg(F.sum("n").alias("total"))
     forth = shelf.put(edges.join(leaving, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight")))
     back = shelf.put(edges.join(arriving, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("total")).alias("weight")))
-    trust = propagate(seeds.select("host", F.col("good").alias("seed")), forth, shelf, damping, rounds)
-    distrust = propagate(seeds.select("host", F.col("bad").alias("seed")), back, shelf, damping, rounds)
+    trust = propagate(seeds.select("host", F.col("good").alias("seed")), forth, shelf, damping, tolerance)
+    distrust = propagate(seeds.select("host", F.col("bad").alias("seed")), back, shelf, damping, tolerance)
     gap = F.round(F.col("bad_rank") - F.coalesce(F.col("rank"), F.lit(0.0)), 9)
     blocked = distrust.select("host", F.col("rank").alias("bad_rank")).join(trust, "host", "left").where(gap > limit * (1 - damping))
     blocked = shelf.put(blocked.select(F.col("host").alias("bad_host")))
+    shelf.keep(blocked)
     out = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(row), host.alias("host"), path.alias("path"), rule.alias("rule"))
     out = out.join(blocked, (F.col("host") == F.col("bad_host")) & F.col("rule").isNull(), "left")
     verdict = F.when(F.col("rule").isin(allowed), "allow").when(F.col("rule").isNotNull() | F.col("bad_host").isNotNull(), "block").otherwise("allow")
@@ -117,6 +133,7 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str =
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge_urls() over all pages with the fixed rules; edge cases as defined there."""
     return judge_urls(read(spark, sf_dir, "pages"), keep=["page_id"]).drop("by")
 
 
@@ -139,9 +156,10 @@ def op2_sql() -> str:
     ]
     for name, seed, edges in (("t", "good", "forth"), ("d", "bad", "back")):
         parts.append(f"{name}0 AS MATERIALIZED (SELECT host, {seed} * (1 - {DAMPING}::DOUBLE) AS rank FROM s WHERE {seed} > 0)")
-        for i in range(ROUNDS):
-            flow = f"SELECT dst AS host, rank * weight * {DAMPING}::DOUBLE AS rank FROM {edges} JOIN {name}{i} ON src = host"
-            parts.append(f"{name}{i + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (SELECT host, rank FROM {name}0 UNION ALL {flow}) GROUP BY host)")
-    parts.append(f"b AS (SELECT d.host FROM d{ROUNDS} d LEFT JOIN t{ROUNDS} t ON d.host = t.host WHERE round(d.rank - coalesce(t.rank, 0), 9) > {LIMIT * (1 - DAMPING)})")
+        for i in range(SQL_ROUNDS):
+            parts.append(f"{name}{i + 1} AS MATERIALIZED (SELECT dst AS host, sum(rank * weight * {DAMPING}::DOUBLE) AS rank FROM {edges} JOIN {name}{i} ON src = host GROUP BY dst)")
+        every = " UNION ALL ".join(f"SELECT * FROM {name}{i}" for i in range(SQL_ROUNDS + 1))
+        parts.append(f"{name} AS (SELECT host, sum(rank) AS rank FROM ({every}) GROUP BY host)")
+    parts.append(f"b AS (SELECT d.host FROM d LEFT JOIN t ON d.host = t.host WHERE round(d.rank - coalesce(t.rank, 0), 9) > {LIMIT * (1 - DAMPING)})")
     verdict = f"CASE WHEN rule IN {allowed} THEN 'allow' WHEN rule IS NOT NULL OR host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END"
     return "WITH " + ",\n".join(parts) + f"\nSELECT page_id, host, path, rule, {verdict} AS verdict FROM r"
