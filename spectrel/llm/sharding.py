@@ -4,7 +4,8 @@ Rows are ordered by a key: the hash of the text (so that equal texts stand toget
 which a row's chance grows with its size gives the key's quantiles as splitters of many ranges. The ranges' bytes are then counted
 exactly; a range that is overfull is subdivided by a denser sample of its own, down to single keys. Within a range rows are numbered
 and their sizes summed up; with the exact sums of the ranges before, every row has its place in the whole order, and the shards
-are cut from it to equal bytes (or numbers of rows).
+are cut from it to equal bytes (or numbers of rows). The order depends on the rows alone, not on how they are read; rows of one key that
+overfill a range are copies of one row, any of which may stand for any, and are numbered in parts.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def shard(docs: DataFrame, shards: int = 8, law: str = "bytes", ranges: int | No
         (F.octet_length(t) + 1).cast("long").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
         F.xxhash64(t).alias("a"),
-        F.xxhash64(F.col(f"`{doc_id}`"), F.monotonically_increasing_id()).alias("tie"),
+        F.xxhash64(F.col(f"`{doc_id}`"), t, *[F.col(f"`{c}`") for c in kept]).alias("tie"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("any"),
     )
     # the upper 36 bits of the text's hash and 28 of the row's: a group of equal texts can be split between its rows
     key = F.expr("(a & ~268435455L) | (tie & 268435455L)")
@@ -86,37 +88,43 @@ def shard(docs: DataFrame, shards: int = 8, law: str = "bytes", ranges: int | No
         full = [r for r in sums if r["lo"] < r["hi"] and (r["size"] > 3 * total / ranges or r["n"] > 3 * count / ranges)]
         if not full:
             break
-        inside = F.lit(False)
-        for r in full:
-            inside = inside | F.col("key").between(r["lo"], r["hi"])
         weight = sum(max(r["size"], r["n"] * total // count) for r in full)
-        more = sample_keys(rows.withColumn("size", F.greatest("size", F.lit(total // count))), weight, SAMPLES * ranges, inside, seed=turn)
+        inside = F.col("range").isin([r["range"] for r in full])
+        more = sample_keys(ranges_of(rows, splitters).withColumn("size", F.greatest("size", F.lit(total // count))), weight, SAMPLES * ranges, inside, seed=turn)
         for r in full:
             own = more[(more > r["lo"]) & (more <= r["hi"])]
             share = 2 * max(1, r["size"] * ranges // max(1, total), r["n"] * ranges // count)
             splitters = np.union1d(splitters, quantiles(own, share) if len(own) else np.array([(r["lo"] + r["hi"]) // 2 + 1]))
         turn += 1
-    sums = sorted(sums, key=lambda r: r["range"]) if count else []
+    # what overfills a range of one key is dealt out in parts
+    heavy = {r["range"]: -(-r["n"] * ranges // (3 * count)) for r in sums if r["n"] > 3 * count / ranges} if count else {}
+    numbered = ranges_of(rows, splitters).withColumn("sub", F.lit(0))
+    if heavy:
+        times = F.create_map(*[F.lit(v) for kv in heavy.items() for v in kv])[F.col("range")]
+        numbered = numbered.withColumn("sub", F.coalesce(F.pmod(F.col("any"), times).cast("int"), F.lit(0)))
+        sums = numbered.groupBy("range", "sub").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     before, bytes_, n = [], 0, 0
-    for r in sums:
-        before.append((r["range"], bytes_, n))
+    for r in sorted(sums, key=lambda r: (r["range"], r["sub"] if heavy else 0)) if count else []:
+        before.append((r["range"], r["sub"] if heavy else 0, bytes_, n))
         bytes_, n = bytes_ + r["size"], n + r["n"]
     if n != count:
         raise ValueError("the ranges don't hold every row")
-    offsets = F.broadcast(docs.sparkSession.createDataFrame(before, "range int, bytes_before long, rows_before long"))
-    within = Window.partitionBy("range").orderBy("key", "tie", "text_crc32", "size")
-    placed = ranges_of(rows, splitters).withColumn("n", F.row_number().over(within)).withColumn("s", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    placed = placed.join(offsets, "range")
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(before, "range int, sub int, bytes_before long, rows_before long"))
+    within = Window.partitionBy("range", "sub").orderBy("key", "tie", "text_crc32", "size")
+    placed = numbered.withColumn("n", F.row_number().over(within)).withColumn("s", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = placed.join(offsets, ["range", "sub"])
     place = F.col("rows_before") + F.col("n") - 1
     if law == "bytes":  # in whole numbers
         cut = F.expr(f"((2 * (bytes_before + s - size) + size) * {shards}) div {2 * max(1, total)}L")
     else:
         cut = F.expr(f"((rows_before + n - 1) * {shards}) div {max(1, count)}L")
     placed = shelf.put(placed.select(inner, "size", "text_crc32", place.alias("place"), F.least(cut, F.lit(shards - 1)).cast("int").alias("shard")))
+    shelf.keep(placed)
     starts = placed.groupBy("shard").agg(F.min("place").alias("start"))  # a row a shard
     out = placed.join(F.broadcast(starts), "shard")
     return out.select(f"{inner}.*", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("place") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard() of all documents into 8 shards of equal bytes; edge cases as defined there."""
     return shard(read(spark, sf_dir, "documents"), keep=["doc_id"])
