@@ -2,8 +2,10 @@
 
 On a bounded sample a graph of nearest neighbours is built and cut into balanced parts so that few edges are cut. A small neural
 network learns, for a vector, in which parts its neighbours lie. Every row goes to its most probable part; a query is routed to its
-several most probable parts, whose rows are ranked again by exact distance. Parts are dealt out as chunks of bounded size, so that
-neither a large part nor a vector that many rows share meets in one task.
+most probable parts, as many as it takes to reach a share of the probability that is calibrated on rows held out of the fit: few where
+the data have clusters, most where they have none. The parts' rows are ranked again by exact distance. Parts are dealt out as chunks
+of bounded size; no row is copied, a query goes to the chunks of its parts, and a task holds one chunk while the queries pass by, so that
+neither a large part nor a vector that many rows share nor the number of queries bears on a task's memory.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,18 +24,19 @@ from spectrel.llm.common import Shelf, read
 
 @dataclass(frozen=True)
 class AnnRule:
-    """sample: most rows that the partition is learned on (those with the smallest hash of their id). parts: number of parts. neighbours:
-    of a sampled vector in the graph. probes: parts that a query is routed to. hidden, epochs: of the classifier. chunk: rows of a part that
-    are searched together; queries: of a chunk, too. seed: of the fit."""
+    """sample: most rows that the partition is learned on (those with the smallest hash of their id and vector); an eighth of them is held
+    out for calibration. part_rows: rows of a part, as wanted. parts: fewest and most parts. neighbours: of a sampled vector in the graph.
+    recall: share of held-out rows' neighbours that routing has to reach. hidden, epochs: of the classifier. chunk: rows of a part that are
+    searched together. seed: of the fit."""
 
     sample: int = 8192
-    parts: int = 32
+    part_rows: int = 100_000
+    parts: tuple[int, int] = (32, 256)
     neighbours: int = 10
-    probes: int = 26
+    recall: float = 0.93
     hidden: int = 128
     epochs: int = 12
     chunk: int = 8192
-    queries: int = 2048
     seed: int = 42
 
 
@@ -82,26 +86,36 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.
 
 
 class Router:
-    """A network with one hidden layer that gives the log odds of each part."""
+    """A network with one hidden layer that gives the log odds of each part; mass: the share of the probability that a query's parts reach."""
 
-    def __init__(self, w1, b1, w2, b2):
-        self.w1, self.b1, self.w2, self.b2 = w1, b1, w2, b2
+    def __init__(self, w1, b1, w2, b2, mass: float = 1.0):
+        self.w1, self.b1, self.w2, self.b2, self.mass = w1, b1, w2, b2, mass
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of each row, the most probable first, and the probability of those before each."""
+        z = self(x)
+        order = np.argsort(-z, axis=1, kind="stable")
+        p = np.exp(np.take_along_axis(z, order, axis=1) - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        return order, np.cumsum(p, axis=1) - p
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, rule: AnnRule) -> Router:
-    """Learned on the rows of x: targets are the shares of the parts among a row and its neighbours."""
+def fit(x: np.ndarray, rows: int, rule: AnnRule) -> Router:
+    """Learned on the rows of x, a sample of a table of so many rows: targets are the shares of the parts among a row and its neighbours."""
     rng = np.random.default_rng(rule.seed)
-    parts = max(1, min(rule.parts, len(x) // 8))
+    parts = max(1, min(max(rule.parts[0], -(-rows // rule.part_rows)), rule.parts[1], len(x) // 16))
     dim = x.shape[1] if x.ndim == 2 else 0
-    if len(x) < 16 or parts == 1:
+    if parts == 1:
         return Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
+    every, held = x, x[: len(x) // 8]
+    x = x[len(held) :]
     graph = neighbour_graph(x, rule.neighbours)
     part = balanced_parts(x, graph, parts, rng)
     goal = np.zeros((len(x), parts))
@@ -128,48 +142,68 @@ def fit(x: np.ndarray, rule: AnnRule) -> Router:
                 first[j] = 0.9 * first[j] + 0.1 * g
                 second[j] = 0.999 * second[j] + 0.001 * g * g
                 w[j] -= 0.003 * (first[j] / (1 - 0.9**turn)) / (np.sqrt(second[j] / (1 - 0.999**turn)) + 1e-8)
-    return Router(*w)
+    router = Router(*w)
+    router.mass = calibrate(router, every, held, rule)
+    return router
+
+
+def calibrate(router: Router, x: np.ndarray, held: np.ndarray, rule: AnnRule) -> float:
+    """The share of the probability that reaches the parts of so many of the held-out rows' neighbours (held: the first rows of x)."""
+    sq = (x * x).sum(1)
+    order, before = router.ranked(held)
+    place = np.argsort(order, axis=1)
+    own = router(x).argmax(1)
+    k = min(rule.neighbours, len(x) - 1)
+    needed = []
+    for at in range(0, len(held), 512):
+        d = sq[None] - 2 * (held[at : at + 512] @ x.T)
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        rank = np.take_along_axis(place[at : at + 512], own[near], axis=1)
+        needed.append(np.take_along_axis(before[at : at + 512], rank, axis=1))
+    return float(np.quantile(np.concatenate(needed), rule.recall, method="higher")) + 1e-9
 
 
 def vectors_of(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that take part, their vectors as float64): neither null nor zero, no null or non-finite component, of dimension dim if it is given."""
-    lists = column.to_pylist()
-    rows = [i for i, v in enumerate(lists) if v is not None and len(v) and (dim is None or len(v) == dim) and None not in v]
-    if not rows:
-        return np.empty(0, dtype=np.int64), np.empty((0, dim or 0))
+    """(rows that take part, their vectors): neither null nor zero, no null or non-finite component, of dimension dim, or of the one most
+    have (the smaller of two)."""
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     if dim is None:
-        dim = max(set(n := [len(lists[i]) for i in rows]), key=n.count)
-        rows = [i for i in rows if len(lists[i]) == dim]
-    x = np.array([lists[i] for i in rows], dtype=np.float64)
+        dim = int(np.bincount(length[length > 0]).argmax()) if (length > 0).any() else 0
+    rows = np.flatnonzero((length == dim) & (length > 0))
+    flat = column.take(pa.array(rows)).flatten()
+    x = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).reshape(len(rows), dim)
     ok = np.isfinite(x).all(1) & (x != 0).any(1)
-    return np.array(rows)[ok], x[ok]
+    return rows[ok], x[ok]
 
 
 def fit_sample(table: DataFrame, vector: str, vec_id: str, rule: AnnRule) -> tuple[Router, int]:
     """The router and the dimension of vectors, from at most rule.sample rows; the dimension most of these have."""
     v = F.col(f"`{vector}`")
-    usable = table.where(v.isNotNull() & (F.size(v) > 0)).select(v.alias("v"), F.xxhash64(F.col(f"`{vec_id}`"), v).alias("h"))
-    got = usable.orderBy("h").limit(rule.sample).toArrow()
-    rows, x = vectors_of(got.column("v").combine_chunks() if got.num_rows else pa.array([], type=pa.list_(pa.float64())))
-    return fit(unit(x), rule), x.shape[1]
-
-
-def search_cell(items: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k nearest items of each query: its row, the item's vec_id and distance; ties go to the smaller vec_id, a query's own row is left out."""
-    out: list[tuple[int, int, int, float]] = []
-    if items.num_rows and queries.num_rows:
-        as_matrix = lambda t: np.frombuffer(b"".join(t.column("v").to_pylist()), dtype=np.float64).reshape(t.num_rows, -1)
-        x, q = as_matrix(items), as_matrix(queries)
-        ids, rows = items.column("id").to_numpy(), items.column("row").to_numpy()
-        for v, qid, qrow in zip(q, queries.column("id").to_pylist(), queries.column("row").to_pylist(), strict=True):
-            d = ((x - v) ** 2).sum(1)
-            d[rows == qrow] = np.inf
-            top = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-            top = top[np.isfinite(d[top])]
-            top = top[np.lexsort((ids[top], d[top]))][:k]
-            out += [(qid, qrow, i, float(s)) for i, s in zip(ids[top].tolist(), np.sqrt(d[top]), strict=True)]
-    cols = list(zip(*out, strict=True)) or [[], [], [], []]
-    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "qrow": pa.array(cols[1], pa.int64()), "vec_id": pa.array(cols[2], pa.int64()), "score": pa.array(cols[3], pa.float64())})
+    usable = table.where(v.isNotNull() & (F.size(v) > 0)).select(v.cast("array<double>").alias("v"), F.xxhash64(F.col(f"`{vec_id}`"), v).alias("h"))
+    rows, got = usable.count(), usable.orderBy("h").limit(rule.sample).toArrow()
+    _, x = vectors_of(got.column("v").combine_chunks() if got.num_rows else pa.array([], type=pa.list_(pa.float64())))
+    return fit(unit(x), rows, rule), x.shape[1]
+
+
+def nearest_of(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, qrows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, distance) of the k nearest rows of x to each row of q, ties to the smaller id, a query's own row left out.
+
+    Products of matrices find the candidates, with a margin for their rounding; distances are computed from the differences."""
+    sq, own = (x * x).sum(1), (q * q).sum(1)
+    d = sq[None] - 2 * (q @ x.T) + own[:, None]
+    at = np.searchsorted(rows, qrows)
+    there = (at < len(rows)) & (rows[np.minimum(at, len(rows) - 1)] == qrows)
+    d[np.flatnonzero(there), at[there]] = np.inf
+    kth = min(k, len(x)) - 1
+    most = np.partition(d, kth, axis=1)[:, kth] + 1e-11 * (own + sq.max())
+    one, two = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+    exact = np.sqrt(((x[two] - q[one]) ** 2).sum(1))
+    order = np.lexsort((ids[two], exact, one))
+    one, two, exact = one[order], two[order], exact[order]
+    first = np.searchsorted(one, np.arange(len(q)))
+    best = np.arange(len(one)) - first[one] < k
+    return one[best], two[best], exact[best]
 
 
 def nearest(table: DataFrame, is_query, k: int = 10, rule: AnnRule = AnnRule(), vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
@@ -181,36 +215,61 @@ def nearest(table: DataFrame, is_query, k: int = 10, rule: AnnRule = AnnRule(),
     """
     spark, shelf = table.sparkSession, Shelf(table.sparkSession, "ann")
     router, dim = fit_sample(table, vector, vec_id, rule)
-    held = spark.sparkContext.broadcast(router)
-    probes = rule.probes
+    held = spark.sparkContext.broadcast(router)  # of a fixed size
+    # components as they are stored: 4 bytes where the table has floats
+    kind = "<f4" if dict(table.dtypes)[vector] == "array<float>" else "<f8"
 
     def route(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 rows, x = vectors_of(b.column("v"), dim)
-                z = held.value(unit(x)) if len(x) else np.empty((0, 1))
-                order = np.argsort(-z, axis=1, kind="stable")
-                asks = np.array(b.column("ask").to_pylist(), dtype=bool)[rows] if len(rows) else []
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(order[:, 0].astype(np.int32)), pa.array([o[:probes].tolist() if a else None for o, a in zip(order, asks, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "part", "asked"])
+                order, before = held.value.ranked(unit(x)) if len(x) else (np.empty((0, 1), dtype=np.int64), np.empty((0, 1)))
+                asks = b.column("ask").to_numpy(zero_copy_only=False)[rows].astype(bool)
+                probes = (before < held.value.mass).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), pa.array(order[:, 0].astype(np.int32)), pa.array([o[:n].tolist() if a else None for o, n, a in zip(order, probes, asks, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "part", "asked"])
 
     slim = table.where(F.col(f"`{vec_id}`").isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("asked", T.ArrayType(T.IntegerType()))])
     rows = shelf.put(slim.mapInArrow(route, schema).withColumn("row", F.monotonically_increasing_id()))
-    asked = F.col("asked").isNotNull()
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"), F.count("asked").alias("q")).collect()  # a row a part
-    blocks = max(1, -(-sum(r.q for r in counts) // rule.queries))
+    counts = rows.groupBy("part").agg(F.count("*").alias("n")).collect()  # a row a part
     chunks = F.create_map(*[F.lit(v) for r in counts for v in (r.part, max(1, -(-r.n // rule.chunk)))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    number = lambda n: F.pmod(F.xxhash64("id", "row"), n).cast("int")
-    items = rows.select("id", "row", "v", "part", number(chunks[F.col("part")]).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = rows.where(asked).select("id", "row", "v", number(F.lit(blocks)).alias("block"), F.explode("asked").alias("part"))
+    items = rows.select("part", F.pmod(F.xxhash64("id", "row"), chunks[F.col("part")]).cast("int").alias("chunk"), F.lit(0).alias("asks"), "id", "row", "v")
+    queries = rows.where("asked is not null").select("id", "row", "v", F.explode("asked").alias("part"))
     # a part that no row went to has no chunk
     queries = queries.where(chunks[F.col("part")].isNotNull()).select("*", F.explode(F.sequence(F.lit(0), chunks[F.col("part")] - 1)).alias("chunk"))
-    cell = ("part", "chunk", "block")
-    found = items.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInArrow(lambda a, b: search_cell(a, b, k), "query_id long, qrow long, vec_id long, score double")
+    cells = items.unionByName(queries.withColumn("asks", F.lit(1))).repartition("part", "chunk").sortWithinPartitions("part", "chunk", "asks", "row")
+    matrix = lambda column: np.frombuffer(b"".join(column.to_pylist()), dtype=kind).astype(np.float64).reshape(len(column), -1)
+
+    def search(batches):
+        cell, parts, chunk = None, [], None
+        for whole in batches:
+            ends = [whole.column(c).to_numpy() for c in ("part", "chunk", "asks")]
+            cut = np.flatnonzero(np.logical_or.reduce([e[1:] != e[:-1] for e in ends])) + 1
+            for a, b in zip([0, *cut], [*cut, whole.num_rows], strict=True):
+                if a == b:
+                    continue
+                if (here := (ends[0][a], ends[1][a])) != cell:
+                    cell, parts, chunk = here, [], None
+                run = whole.slice(int(a), int(b - a))
+                if not ends[2][a]:
+                    parts.append((matrix(run.column("v")), run.column("id").to_numpy(), run.column("row").to_numpy()))
+                    continue
+                if chunk is None and parts:
+                    chunk, parts = [np.concatenate(p) for p in zip(*parts, strict=True)], []
+                if chunk is None:
+                    continue
+                for at in range(0, run.num_rows, 256):
+                    some = run.slice(at, 256)
+                    ids, own = some.column("id").to_numpy(), some.column("row").to_numpy()
+                    q, i, d = nearest_of(*chunk, matrix(some.column("v")), own, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[q]), pa.array(chunk[1][i]), pa.array(d)], names=["query_id", "qrow", "vec_id", "score"])
+
+    found = cells.mapInArrow(search, "query_id long, qrow long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("qrow").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearest() over all embeddings; queries are the rows whose vec_id is divisible by 100. Edge cases as defined there."""
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
