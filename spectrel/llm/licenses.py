@@ -297,4 +297,5 @@ def license_scan(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """license_scan() of all documents; edge cases as defined there."""
     return license_scan(read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("detections")

@@ -317,4 +317,5 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_decode() of all documents, as digests; edge cases as defined there."""
     return digests(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"])
