@@ -1,18 +1,20 @@
 """SimHash near-duplicate groups by anchor-point covering.
 
-A fingerprint's bits are cut into blocks of at most 23. The anchors of a block are the words of the perfect binary Golay code,
-whose covering radius is 3: no word is further than 3 from an anchor. If two fingerprints differ in at most t bits, they do in at
-most t_b bits of some block (pigeonhole; the blocks' t_b and their number add up to t + 1), and the word halfway between them
-lies within 3 of an anchor, so both lie within 3 + ceil(t_b / 2) of it. Every distinct fingerprint is therefore replicated to all
-anchors within covering radius plus half the threshold, and compared with those at the same anchor only. Anchors with many
-fingerprints are dealt out as cells of two slices each. What an anchor (or cell) gives are stars, one row for each fingerprint
-that has a partner, whatever the size of its group; components() joins them.
+A fingerprint's bits are cut into pieces of at most 23. The anchors of a piece are the words of the perfect binary Golay code, whose
+covering radius is 3: no word is further than 3 from an anchor. A block is one piece or two; its anchors are the pairs of its pieces'
+anchors, 2^24 for two. If two fingerprints differ in at most t bits, they do in at most t_b bits of some block (which is verified for
+every way to spread t bits over the pieces), and of a word halfway between them each piece lies within 3 of an anchor. Both
+fingerprints are therefore within 3 + x of that anchor in the first piece and 3 + y in the second, with x + y at most ceil(t_b / 2).
+Every distinct fingerprint is replicated to all anchors within covering radius plus half the threshold, and compared with those at the
+same anchor only. Anchors with many fingerprints are dealt out as cells of two slices each. What an anchor (or cell) gives are stars,
+one row for each fingerprint that has a partner, whatever the size of its group; components() joins them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +30,36 @@ from spectrel.llm.components import components
 CHUNK = 1 << 16
 
 
+#: (first bit, bits) of the pieces of a fingerprint.
+PIECES = ((0, 23), (23, 23), (46, 18))
+
+
 @dataclass(frozen=True)
 class SimHashRule:
-    """shingle: words in a shingle. threshold: bits in which linked fingerprints may differ. blocks: (first bit, bits, threshold of
-    the block). wide: None, or the most bits in which a second fingerprint of 192 bits may differ for a link. cell: fingerprints
-    of an anchor that are compared in one task; beyond it the anchor is dealt out as cells."""
+    """shingle: words in a shingle. threshold: bits in which linked fingerprints may differ. blocks: (pieces, threshold of the block),
+    a piece by its first bit and bits. wide: None, or the most bits in which a second fingerprint of 192 bits may differ for a link.
+    cell: fingerprints of an anchor that are compared in one task; beyond it the anchor is dealt out as cells."""
 
     shingle: int = 3
     threshold: int = 3
-    blocks: tuple[tuple[int, int, int], ...] = ((0, 23, 3),)
+    blocks: tuple = (((PIECES[0], PIECES[1]), 2), ((PIECES[0], PIECES[2]), 1), ((PIECES[1], PIECES[2]), 1))
     wide: int | None = None
     cell: int = 8192
 
     def __post_init__(self):
-        whole = sum(t + 1 for _, _, t in self.blocks)
-        if not (self.threshold <= self.blocks[0][2] if len(self.blocks) == 1 else whole >= self.threshold + 1) or any(n > 23 for _, n, _ in self.blocks):
-            raise ValueError("the blocks' thresholds don't cover the threshold")
+        pieces = sorted({p for block, _ in self.blocks for p in block})
+        ends = [first + bits for first, bits in pieces]
+        if any(bits > 23 for _, bits in pieces) or any(len(block) not in (1, 2) for block, _ in self.blocks) or any(e > p[0] for e, p in zip(ends, pieces[1:], strict=False)):
+            raise ValueError("a block has one or two pieces of at most 23 bits, and pieces don't overlap")
+        for spread in product(range(self.threshold + 1), repeat=len(pieces)):
+            if sum(spread) <= self.threshold and not any(sum(spread[pieces.index(p)] for p in block) <= t for block, t in self.blocks):
+                raise ValueError("the blocks' thresholds don't cover the threshold")
 
 
 #: Near copies by fingerprints alone: five words, and a similarity of about 0.8. Fingerprints of 64 bits that agree in 0.8 of their bits
 #: differ in 12 at most, and the 256 bits of both fingerprints must put the Jaccard similarity at 0.8 (a cosine of 8/9, an angle of
-#: 0.476, 38.8 bits; 29 of the 192 bits). An estimate: near_dedup() compares the texts themselves.
-NEAR = SimHashRule(5, 12, ((0, 23, 4), (23, 23, 3), (46, 18, 3)), wide=29)
+#: 0.476, 38.8 bits; 29 of the 192 bits). An estimate for tables of moderate size: so wide a threshold puts most pairs to the test.
+NEAR = SimHashRule(5, 12, (((PIECES[0],), 4), ((PIECES[1],), 3), ((PIECES[2],), 3)), wide=29)
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
@@ -131,8 +141,32 @@ def anchors_near(word: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
     return row, (word[row] ^ e[row, col]) >> 11
 
 
+def block_anchors(fp: np.ndarray, block: tuple, extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the fingerprint, anchor) for every anchor of the block that is within covering radius + x and + y of its pieces, x + y <= extra."""
+    words = [(fp >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64) for first, bits in block]
+    if len(block) == 1:
+        return anchors_near(words[0], extra)
+    rows, anchors = [], []
+    for x in range(extra + 1):
+        row, one = anchors_near(words[0], x)
+        # anchors of the first piece that are within x and not within x - 1, so that no pair comes twice
+        if x:
+            parity, tables = golay()
+            closer = {0: 3, 1: 4}[x - 1]
+            far = np.bitwise_count((one << 11 | parity[one]) ^ words[0][row]) > closer
+            row, one = row[far], one[far]
+        at, two = anchors_near(words[1], extra - x)
+        # every anchor of the first piece with every anchor of the second, by fingerprint
+        n, first = np.bincount(at, minlength=len(fp)), np.searchsorted(at, np.arange(len(fp)))
+        times = n[row]
+        pick = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[row], times)
+        rows.append(np.repeat(row, times))
+        anchors.append(np.repeat(one, times) << 12 | two[pick])
+    return np.concatenate(rows), np.concatenate(anchors)
+
+
 def replicate(fps: DataFrame, rule: SimHashRule) -> DataFrame:
-    """(anchor, fp, wide) for every anchor that a fingerprint has to go to; anchor's upper bits name the block."""
+    """(anchor, fp, wide) for every anchor that a fingerprint has to go to; anchor's bits from the 24th on name the block."""
     wide = rule.wide is not None
     schema = T.StructType([T.StructField("anchor", T.IntegerType()), T.StructField("fp", T.LongType()), *[T.StructField("wide", T.BinaryType())] * wide])
 
@@ -141,76 +175,129 @@ def replicate(fps: DataFrame, rule: SimHashRule) -> DataFrame:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                for k, (first, bits, t) in enumerate(rule.blocks):
-                    word = (fp >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64)
-                    row, anchor = anchors_near(word, (t + 1) // 2)
-                    out = [pa.array((anchor | k << 12).astype(np.int32)), pa.array(fp[row].view(np.int64))]
+                for k, (block, t) in enumerate(rule.blocks):
+                    row, anchor = block_anchors(fp, block, (t + 1) // 2)
+                    out = [pa.array((anchor | k << 24).astype(np.int32)), pa.array(fp[row].view(np.int64))]
                     yield pa.RecordBatch.from_arrays(out + ([b.column("wide").take(pa.array(row))] if wide else []), names=schema.names)
 
     return fps.select(*schema.names[1:]).mapInArrow(run, schema)
 
 
-def stars(fp: np.ndarray, wide: np.ndarray | None, threshold: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(fp, centre) for each fingerprint that is linked with others here: the components of one cell, each as a star around its smallest.
-
-    Links are looked at in blocks of rows and kept as labels, never as pairs."""
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Makes the labels (each at most its own place) of a and b the smallest of what is connected by the links."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+        if np.array_equal(label[a], label[b]):
+            return
+
+
+def label_links(label: np.ndarray, first: np.ndarray, second: np.ndarray, fp: np.ndarray, wide: np.ndarray | None, rule: SimHashRule) -> None:
+    """Labels of the pairs first x second (places) that are linked; looked at in blocks of rows, where both are the same only its upper half."""
+    same = first is second
+    for at in range(0, len(first), 128):
+        rows, others = first[at : at + 128], second[at:] if same else second
+        r, c = np.nonzero(np.bitwise_count(fp[rows, None] ^ fp[None, others]) <= rule.threshold)
+        if same:
+            r, c = r[c > r], c[c > r]
+        a, b = rows[r], others[c]
+        if wide is not None and len(a):
+            near = np.concatenate([np.bitwise_count(wide[a[i : i + 65536]] ^ wide[b[i : i + 65536]]).sum(axis=1) <= rule.wide for i in range(0, len(a), 65536)])
+            a, b = a[near], b[near]
+        if len(a):
+            merge_labels(label, a, b)
+
+
+def star_runs(cell: np.ndarray, half: np.ndarray, fp: np.ndarray, wide: np.ndarray | None, rule: SimHashRule) -> tuple[np.ndarray, np.ndarray]:
+    """(fp, centre) for each fingerprint that is linked with others: the components of every cell, each as a star around its smallest.
+
+    cell: which rows stand together, one cell after the other. half: 0 where all pairs of a cell are meant; in a cell of two slices 1 and 2, whose
+    rows are compared with those of the other slice only. Small cells are compared all at once, shifted by one row, by two, and so on."""
     n = len(fp)
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    size = np.diff(np.r_[start, n])
     label = np.arange(n)
-
-    def find(i: np.ndarray) -> np.ndarray:
-        while True:
-            up = label[i]
-            if np.array_equal(label[up], up):
-                return up
-            label[i] = label[up]
-
-    for at in range(0, n, 128):
-        near = np.bitwise_count(fp[at : at + 128, None] ^ fp[None, :]) <= threshold
-        for r in np.flatnonzero(near.sum(axis=1) > 1):
-            js = np.flatnonzero(near[r])
-            if most is not None:
-                js = js[np.bitwise_count(wide[at + r] ^ wide[js]).sum(axis=1) <= most]
-            if len(js) > 1:
-                roots = np.unique(find(js))
-                label[roots] = roots[0]
-    root = find(np.arange(n))
+    left = np.repeat(size, size) - (np.arange(n) - np.repeat(start, size)) - 1  # rows of the cell that follow
+    small = np.repeat(size <= 64, size)
+    a = np.flatnonzero(small & (left > 0))
+    found = []
+    for shift in range(1, 64):
+        a = a[left[a] >= shift]
+        if not len(a):
+            break
+        x = a[np.bitwise_count(fp[a] ^ fp[a + shift]) <= rule.threshold]
+        x = x[(half[x] == 0) | (half[x] != half[x + shift])]
+        if wide is not None:
+            x = x[np.bitwise_count(wide[x] ^ wide[x + shift]).sum(axis=1) <= rule.wide]
+        found.append((x, x + shift))
+    if found:
+        merge_labels(label, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+    for at, k in zip(start[size > 64], size[size > 64], strict=True):
+        rows = np.arange(at, at + k)
+        own = half[at : at + k]
+        if own.any():
+            label_links(label, rows[own == 1], rows[own == 2], fp, wide, rule)
+        else:
+            label_links(label, rows, rows, fp, wide, rule)
     least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, root, fp.view(np.int64))
-    centre = least[root]
+    np.minimum.at(least, label, fp.view(np.int64))
+    centre = least[label]
     out = centre != fp.view(np.int64)
     return fp.view(np.int64)[out], centre[out]
 
 
+def whole_cells(batches, key: list[str], most: int = 1 << 16):
+    """Tables of whole cells (rows that agree in the key, sorted by it), of about `most` rows; a cell that is larger alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < most:
+            continue
+        table = pa.Table.from_batches(held)
+        at = int(np.argmax(np.logical_and.reduce([(c := table.column(k).to_numpy()) == c[-1] for k in key])))
+        if at:  # the last cell may go on in the next batch
+            yield table.slice(0, at)
+        held = table.slice(at).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def star_links(fps: DataFrame, rule: SimHashRule, shelf: Shelf) -> DataFrame:
     """(a, b): links between distinct fingerprints whose components are those of all pairs that differ in at most the threshold."""
     copies = replicate(fps, rule)
-    # how many fingerprints each anchor has: at most 4096 rows a block
-    size = shelf.put(copies.groupBy("anchor").count())
-    slices = F.ceil(F.col("count") / rule.cell).cast("int")
-    copies = copies.join(F.broadcast(size.select("anchor", slices.alias("k"))), "anchor")
+    # anchors with more fingerprints than a cell holds, and how many slices they need
+    big = shelf.put(copies.groupBy("anchor").count().where(F.col("count") > rule.cell).select("anchor", F.ceil(F.col("count") / rule.cell).cast("int").alias("k")))
+    copies = copies.join(big, "anchor", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     # the cells (i, j), i <= j, in which a fingerprint's slice takes part; one cell for all but large anchors
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    copies = copies.select("*", mine.alias("m")).select("*", other).select("anchor", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), *[c for c in ("fp", "wide") if c in copies.columns])
+    dealt_out = copies.select("*", mine.alias("m")).select("*", other)
+    half = F.when(F.col("m") == F.col("o"), 0).when(F.col("m") < F.col("o"), 1).otherwise(2)
+    cells = dealt_out.select("anchor", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), half.alias("half"), *[c for c in ("fp", "wide") if c in copies.columns])
+    cells = cells.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
-    def compare(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        wide = None
-        if rule.wide is not None:
-            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, 3)
-        a, b = stars(fp, wide, rule.threshold, rule.wide)
-        return pa.table({"a": a, "b": b})
+    def run(batches):
+        for t in whole_cells(batches, ["anchor", "i", "j"]):
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "i", "j")])
+            cell = np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+            wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, 3) if rule.wide is not None else None
+            a, b = star_runs(cell, t.column("half").to_numpy(), t.column("fp").to_numpy().view(np.uint64), wide, rule)
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-    return copies.groupBy("anchor", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return cells.mapInArrow(run, "a long, b long").distinct()
 
 
 def fingerprint_roots(slim: DataFrame, rule: SimHashRule, shelf: Shelf) -> DataFrame:
     """(fp, root) for every distinct fingerprint of slim (fp and, if the rule says so, wide); root names its component."""
-    # equal fingerprints are one; of their second fingerprints the smallest stands for all
-    wide = rule.wide is not None
-    distinct = shelf.put(slim.groupBy("fp").agg(F.min("wide").alias("wide")) if wide else slim.select("fp").distinct())
+    # equal fingerprints are one, whatever their second ones, each of which is compared with others
+    distinct = shelf.put(slim.select("fp", *["wide"] * (rule.wide is not None)).distinct())
     roots = shelf.put(components(star_links(distinct, rule, shelf), shelf))
-    return distinct.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return distinct.select("fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def simhash_components(docs: DataFrame, rule: SimHashRule = SimHashRule(), text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -230,7 +317,9 @@ def simhash_components(docs: DataFrame, rule: SimHashRule = SimHashRule(), text:
     least = shelf.put(slim.groupBy("fp").agg(F.min("id").alias("least")))
     lowest = shelf.put(roots.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id")))
     named = shelf.put(roots.join(lowest, "root").select(F.col("fp").alias("__fp"), "component_id"))
-    base = slim.select(F.col("id").alias(doc_id), F.col("fp").alias(fp)) if set(kept) <= {doc_id} else made.drop(*[wide] * bool(wide))
+    bare = set(kept) <= {doc_id}
+    shelf.keep(named, *[slim] * bare)
+    base = slim.select(F.col("id").alias(doc_id), F.col("fp").alias(fp)) if bare else made.drop(*[wide] * bool(wide))
     return base.join(named, F.col(f"`{fp}`") == F.col("__fp")).select(*[F.col(f"`{c}`") for c in kept], F.lower(F.lpad(F.hex(F.col(f"`{fp}`")), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -267,23 +356,25 @@ def signature(h: np.ndarray, places: int) -> np.ndarray:
 
 
 def signatures(source: DataFrame, rule: NearRule) -> DataFrame:
-    """id, ka, kb, node (a hash of the whole set of shingles), sketch (a byte for each MinHash) and buckets (one a band; none without words)."""
+    """id, ka, kb, node (a hash of the whole set of shingles), fp (its SimHash, each shingle counted once), sketch (a byte for each MinHash)
+    and buckets (one a band; none without words)."""
 
     def make():
         def do(texts):
-            node, sketch, buckets = [], [], []
+            node, fp, sketch, buckets = [], [], [], []
             for t in texts:
                 h = np.unique(shingle_hashes(t, rule.shingle))
                 sig = signature(h, rule.bands * rule.rows)
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                fp.append(majority(h))
                 sketch.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
                 bands = sig.reshape(rule.bands, rule.rows)
                 buckets.append(np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)] if len(h) else [], dtype=np.uint64).view(np.int64))
-            return [np.array(node, dtype=np.uint64).view(np.int64), sketch, buckets]
+            return [*(np.array(x, dtype=np.uint64).view(np.int64) for x in (node, fp)), sketch, buckets]
 
         return do
 
-    return per_text(source, "text", [("node", T.LongType()), ("sketch", T.BinaryType()), ("buckets", T.ArrayType(T.LongType()))], make, ["id", "ka", "kb"])
+    return per_text(source, "text", [("node", T.LongType()), ("fp", T.LongType()), ("sketch", T.BinaryType()), ("buckets", T.ArrayType(T.LongType()))], make, ["id", "ka", "kb"])
 
 
 def unite(node: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
@@ -339,24 +430,22 @@ def loose_links(nodes: DataFrame, rule: NearRule, shelf: Shelf) -> DataFrame:
         return pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     def run(batches):
-        held = []  # the last cell may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ends = [batch.column(c).to_numpy() for c in ("bucket", "i", "j")]
-            last = np.logical_and.reduce([e == e[-1] for e in ends])
-            at = int(np.argmax(last))
-            goes_on = not held or all(held[0].column(c)[0].as_py() == e[0] for c, e in zip(("bucket", "i", "j"), ends, strict=True))
-            if at or not goes_on:
-                yield compare(pa.Table.from_batches([*held, batch.slice(0, at)]))
-                held = []
-            held.append(batch.slice(at))
-        if held:
-            yield compare(pa.Table.from_batches(held))
+        for t in whole_cells(batches, ["bucket", "i", "j"]):
+            yield compare(t)
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def anchored_links(nodes: DataFrame, rule: NearRule, shelf: Shelf) -> DataFrame:
+    """(a, b): links whose components hold together all nodes whose fingerprints differ in at most 3 bits, by the covering."""
+    named = shelf.put(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    stars = shelf.put(star_links(named.select("fp"), SimHashRule(rule.shingle), shelf))
+    first = lambda c: named.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    far = stars.join(first("a"), "a").join(first("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    same = nodes.select("node", "fp").join(named.where("n > 1"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return far.unionByName(same.where("a != b"))
+
+
 def similar_links(texts: DataFrame, rule: NearRule, shelf: Shelf) -> DataFrame:
     """(a, b): links whose components are those of all pairs of a group with the similarity. texts: group, node, sketch, bytes, text."""
     size = shelf.put(texts.groupBy("group").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")))
@@ -387,8 +476,10 @@ def similar_links(texts: DataFrame, rule: NearRule, shelf: Shelf) -> DataFrame:
 def near_dedup(docs: DataFrame, rule: NearRule = SIMILAR, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without all but one row of each near-duplicate group: the one with the smallest doc_id (a null counts as the largest) stays.
 
-    Groups are joined by links, and a link is a pair whose sets of shingles have the rule's Jaccard similarity. Which pairs are compared
-    depends on MinHash signatures, by which nearly all pairs of that similarity meet; whether they are linked depends on the texts.
+    Groups are joined by links, and a link is a pair whose sets of shingles have the rule's Jaccard similarity. Pairs are compared if their
+    SimHash fingerprints differ in at most 3 bits, all of which meet at anchors, or if their MinHash signatures meet: at a similarity of 0.8
+    fingerprints of 64 bits differ in 10 bits, give or take 3, and a covering that reaches so far brings most pairs of a table together.
+    Whether a pair is linked depends on the texts alone.
     Texts with equal sets of shingles are one from the start (by 64 bits of hash). Where several rows of a group have the smallest
     doc_id, one of the text with the smallest hash stays, and of equal rows any one. The columns are those of docs. An empty table
     gives an empty table.
@@ -401,8 +492,9 @@ def near_dedup(docs: DataFrame, rule: NearRule = SIMILAR, text: str = "text", do
     slim = shelf.put(signatures(source, rule))
     # equal rows are one from here on, with their number
     rows = shelf.put(slim.groupBy("node", "ka", "kb").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    nodes = shelf.put(slim.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")))
-    groups = shelf.put(components(loose_links(nodes, rule, shelf), shelf).withColumnRenamed("root", "group"))
+    nodes = shelf.put(slim.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")))
+    near = loose_links(nodes, rule, shelf).unionByName(anchored_links(nodes, rule, shelf))
+    groups = shelf.put(components(near, shelf).withColumnRenamed("root", "group"))
     # one row of each node that has company gives the text
     reps = rows.groupBy("node").agg(F.min(F.struct("ka", "kb", "n")).alias("r")).join(groups, "node").join(nodes.select("node", "sketch"), "node")
     reps = shelf.put(reps.select("group", "node", "sketch", "r.*"))
@@ -417,6 +509,7 @@ def near_dedup(docs: DataFrame, rule: NearRule = SIMILAR, text: str = "text", do
     rooted = shelf.put(rooted.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "ka", "kb").alias("row"), "n"))
     first = shelf.put(rooted.groupBy("root").agg(F.min("row").alias("first")))
     judged = shelf.put(rooted.join(first, "root").select("row.ka", "row.kb", (F.col("row") == F.col("first")).alias("stays"), "n"))
+    shelf.keep(judged)
     named = [F.col("ka").alias(ka), F.col("kb").alias(kb)]
     on = [F.col(keys[0]) == F.col(ka), F.col(keys[1]) == F.col(kb)]
     out = keyed.join(judged.where("not stays or n > 1").select(*named), on, "left_anti").select(*[f"`{c}`" for c in docs.columns])
@@ -427,4 +520,5 @@ def near_dedup(docs: DataFrame, rule: NearRule = SIMILAR, text: str = "text", do
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_components() of all documents by three-word shingles and 3 bits; edge cases as defined there."""
     return simhash_components(read(spark, sf_dir, "documents"), SimHashRule(), keep=["doc_id"])
