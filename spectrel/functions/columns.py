@@ -34,13 +34,13 @@ def decibels(v: Column, eps: float = 1e-30) -> Column:
     return 10 * F.log10(F.greatest(v, F.lit(eps)))
 
 
-def uniform(seed: int, *ids: Column, turn: int = 0) -> Column:
+def uniform(seed: int | Column, *ids: Column, turn: int = 0) -> Column:
     """A number in (0, 1) that depends on the seed and the ids only, not on partitions: 32 bits of an MD5 sum."""
-    text = F.md5(F.concat_ws(":", F.lit(str(seed)), *[i.cast("string") for i in ids]).cast("binary"))
+    text = F.md5(F.concat_ws(":", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *[i.cast("string") for i in ids]).cast("binary"))
     return (F.conv(F.substring(text, 1 + 8 * turn, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def gaussian(seed: int, *ids: Column) -> Column:
+def gaussian(seed: int | Column, *ids: Column) -> Column:
     """A standard normal number by Box and Muller from two uniforms."""
     return F.sqrt(-2 * F.log(uniform(seed, *ids))) * F.cos(2 * F.pi() * uniform(seed, *ids, turn=1))
 

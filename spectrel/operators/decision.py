@@ -51,38 +51,53 @@ def even(start: float, stop: float, count: int) -> list[float]:
     return [start + (stop - start) * i / (count - 1) for i in range(count)]
 
 
-def choose_threshold(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row (threshold, balanced_accuracy): the candidate with the best balanced accuracy, then nearest to 0.5, then smallest. Candidates are
-    0.5, 181 values from 0.05 to 0.95 and all scores. Equal scores are counted first; then running sums in order of the score
+def sums_below(rows: DataFrame, keys: Sequence[str], t: str, values: Sequence[str]) -> DataFrame:
+    """rows with v_below for each of the values: its sum over the rows of the same keys with a smaller t. t is unique by the keys and mostly
+    from 0 to 1: rows are summed up in 4,096 buckets of t first, so that no task sorts all of them."""
+    bucket = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(t))) * 4096)
+    dealt = rows.withColumn("b_", bucket)
+    before = Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy(*keys, "b_").agg(*[F.sum(v).alias(f"{v}_b") for v in values])
+    offsets = whole.select(*keys, "b_", *[F.coalesce(F.sum(f"{v}_b").over(before), F.lit(0)).alias(f"{v}_o") for v in values])  # 4,097 rows a key
+    within = Window.partitionBy(*keys, "b_").orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumns({f"{v}_i": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).join(offsets, [*keys, "b_"])
+    return dealt.select(*rows.columns, *[(F.col(f"{v}_i") + F.col(f"{v}_o")).alias(f"{v}_below") for v in values])
+
+
+def choose_thresholds(scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
+    """(keys, threshold, balanced_accuracy): the candidate with the best balanced accuracy, then nearest to 0.5, then smallest. Candidates are
+    0.5, 181 values from 0.05 to 0.95 and all scores of the keys. Equal scores are counted first; then running sums in order of the score
     replace the product of scores and candidates."""
-    spark = scores.sparkSession
-    own = scores.groupBy(F.col(score).alias("t")).agg(F.count_if(F.col(label) == TARGET).alias("p"), F.count_if(F.col(label) != TARGET).alias("n"))
-    grid = spark.createDataFrame([(round(v, 9), 0, 0) for v in [0.5, *even(0.05, 0.95, 181)]], "t double, p long, n long")
-    values = own.unionByName(grid).groupBy("t").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    down, whole = Window.orderBy(F.col("t").desc()), Window.partitionBy()
-    hit, alarm = F.sum("p").over(down), F.sum("n").over(down)
-    p, n = F.sum("p").over(whole), F.sum("n").over(whole)
-    parts = F.coalesce(F.try_divide(hit, p), F.lit(0.0)) + F.coalesce(F.try_divide(n - alarm, n), F.lit(0.0))
-    ba = F.round(parts / (F.when(p > 0, 1).otherwise(0) + F.when(n > 0, 1).otherwise(0)), 12)
-    return values.select("t", ba.alias("balanced_accuracy")).orderBy(F.col("balanced_accuracy").desc(), F.round(F.abs(F.col("t") - 0.5), 9), "t").limit(1).select(F.col("t").alias("threshold"), "balanced_accuracy")
+    keys = list(keys)
+    own = scores.groupBy(*keys, F.col(score).alias("t")).agg(F.count_if(F.col(label) == TARGET).alias("p"), F.count_if(F.col(label) != TARGET).alias("n"))
+    total = own.groupBy(*keys).agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
+    grid = F.explode(F.array(*[F.lit(round(v, 9)) for v in [0.5, *even(0.05, 0.95, 181)]])).alias("t")
+    zero = F.lit(0).cast("long")
+    values = own.unionByName(total.select(*keys, grid, zero.alias("p"), zero.alias("n"))).groupBy(*keys, "t").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    rows = sums_below(values, keys, "t", ["p", "n"]).join(F.broadcast(total), keys) if keys else sums_below(values, keys, "t", ["p", "n"]).crossJoin(F.broadcast(total))
+    parts = F.coalesce(F.try_divide(F.col("p_all") - F.col("p_below"), F.col("p_all")), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("n_below"), F.col("n_all")), F.lit(0.0))
+    ba = F.round(parts / (F.when(F.col("p_all") > 0, 1).otherwise(0) + F.when(F.col("n_all") > 0, 1).otherwise(0)), 12)
+    best = F.min(F.struct((-ba).alias("b"), F.round(F.abs(F.col("t") - 0.5), 9).alias("off"), "t")).alias("best")
+    return rows.groupBy(*keys).agg(best).select(*keys, F.col("best.t").alias("threshold"), (-F.col("best.b")).alias("balanced_accuracy"))
+
+
+def choose_threshold(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """One row (threshold, balanced_accuracy), as choose_thresholds() without keys."""
+    return choose_thresholds(scores, [], score, label)
 
 
 def choose_rejection(predictions: DataFrame, label: str = "label", cost: float = 0.25, most: float = 0.30) -> DataFrame:
     """One row (rejection_margin, risk): the candidate with the smallest risk, the smallest of equals. A margin below it rejects; a candidate that
     rejects more than `most` is out. Risk: by true class the mean of (wrong and kept) + cost * rejected, then the mean over classes."""
-    spark = predictions.sparkSession
     wrong = (F.col("prediction") != F.col(label)).cast("long")
     own = predictions.groupBy(F.col("margin").alias("t"), F.col(label).alias("c")).agg(F.count("*").alias("n"), F.sum(wrong).alias("w"))
-    classes = predictions.select(F.col(label).alias("c")).distinct()
-    grid = own.select("t").unionByName(spark.createDataFrame([(round(v, 9),) for v in even(0.0, 0.5, 101)], "t double")).distinct()
-    cells = grid.crossJoin(F.broadcast(classes)).join(own, ["t", "c"], "left").select("t", "c", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w", F.lit(0)).alias("w"))
-    before = Window.partitionBy("c").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("c")
-    lost = F.coalesce(F.sum("n").over(before), F.lit(0))
-    kept_wrong = F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    total = F.sum("n").over(whole)
-    risks = cells.select("t", lost.alias("lost"), total.alias("total"), ((kept_wrong + cost * lost) / total).alias("risk"))
-    out = risks.groupBy("t").agg(F.round(F.avg("risk"), 12).alias("risk"), (F.sum("lost") / F.sum("total")).alias("rate"))
+    total = own.groupBy("c").agg(F.sum("n").alias("n_all"), F.sum("w").alias("w_all"))  # a row a class
+    fixed = predictions.sparkSession.createDataFrame([(round(v, 9),) for v in even(0.0, 0.5, 101)], "t double")
+    grid = own.select("t").unionByName(fixed).distinct()
+    cells = grid.crossJoin(F.broadcast(total)).join(own, ["t", "c"], "left").select("t", "c", "n_all", "w_all", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w", F.lit(0)).alias("w"))
+    rows = sums_below(cells, ["c"], "t", ["n", "w"])
+    risk = (F.col("w_all") - F.col("w_below") + cost * F.col("n_below")) / F.col("n_all")
+    out = rows.groupBy("t").agg(F.round(F.avg(risk), 12).alias("risk"), (F.sum("n_below") / F.sum("n_all")).alias("rate"))
     return out.where(F.col("rate") <= most).orderBy("risk", "t").limit(1).select(F.col("t").alias("rejection_margin"), "risk")
 
 
@@ -125,8 +140,16 @@ def fold_dispersion(predictions: DataFrame, label: str = "label", prediction: st
 
 def select_band_count(comparison: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """One row: of those within the tolerance of the best mean, the one with the smallest dispersion, then the fewest bands."""
-    best = F.max("mean").over(Window.partitionBy())
-    return comparison.withColumn("best_", best).where(F.round(F.col("best_") - F.col("mean"), 12) <= tolerance).orderBy("dispersion", "band_count").limit(1).drop("best_")
+    best = comparison.agg(F.max("mean").alias("best_"))
+    return comparison.crossJoin(F.broadcast(best)).where(F.round(F.col("best_") - F.col("mean"), 12) <= tolerance).orderBy("dispersion", "band_count").limit(1).drop("best_")
+
+
+def select_configuration(comparison: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """One row: of the configurations within the tolerance of the best mean, the one with the smallest dispersion, then the simplest. comparison: configuration,
+    simplicity, mean, dispersion."""
+    best = comparison.agg(F.max("mean").alias("best_"))
+    near = comparison.crossJoin(F.broadcast(best)).where(F.round(F.col("best_") - F.col("mean"), 12) <= tolerance)
+    return near.orderBy("dispersion", "simplicity").limit(1).drop("best_")
 
 
 def stage_reliability(folds: DataFrame, overall: DataFrame, dummy: DataFrame, n_splits: int) -> DataFrame:
@@ -182,9 +205,13 @@ def exact_rate(decided: DataFrame, expected: Mapping[str, str]) -> DataFrame:
     return decided.agg(F.avg(same.cast("double")).alias("exact_rate"))
 
 
-def p_value(observed: float, permuted: Sequence[float]) -> float:
-    return (sum(v >= observed for v in permuted) + 1) / (len(permuted) + 1)
+def p_values(permuted: DataFrame, observed: DataFrame, value: str = "balanced_accuracy") -> DataFrame:
+    """One row (observed, permutations, mean, p_value): the share of permutations that reach the observed value, itself counted among them."""
+    rows = permuted.crossJoin(F.broadcast(observed.select("observed")))
+    hit = F.count_if(F.col(value) >= F.col("observed"))
+    return rows.groupBy("observed").agg(F.count("*").alias("permutations"), F.avg(value).alias("mean"), ((hit + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
 def is_close(a: float, b: float) -> bool:
-    return math.isclose(a, b, rel_tol=1e-9)
+    """Whether two rates agree, as far as numbers written in a manifest do."""
+    return math.isclose(a, b, rel_tol=1e-5, abs_tol=1e-8)

@@ -1,10 +1,17 @@
-"""Group-safe learning: folds, linear classifiers on Spark ML, out-of-fold and nested scores, permutation."""
+"""Group-safe learning: folds, linear classifiers, out-of-fold and nested scores, permutation.
+
+The models of a cross-validation, of its repetitions and of its permutations are fitted together: a group carries, for each model, the class
+that it trains it with (or none), and every Newton step is one pass over the rows that sums the gradients and second derivatives of all
+models, in matrix products by batch. How many jobs run depends on the number of steps (some ten), not on that of the models.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -12,8 +19,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectrel.functions.columns import require_columns
+from spectrel.functions.tables import stored
 from spectrel.operators import decision as de
-from spectrel.operators.robust import assert_none, group_scores, inconsistent
+from spectrel.operators.robust import assert_none, inconsistent
 
 
 @dataclass(frozen=True)
@@ -36,8 +45,21 @@ def filter_stage(rows: DataFrame, spec: StageSpec) -> DataFrame:
     return out
 
 
-def hash_order(seed: int, group: str = "group_id"):
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group)).cast("binary"))
+def hash_order(seed, group: str = "group_id"):
+    """The MD5 sum of seed (a value or a column) and group."""
+    s = seed if not isinstance(seed, int | str) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", s.cast("string"), F.col(group)).cast("binary"))
+
+
+def hash_rank(rows: DataFrame, order, name: str, keys: Sequence[str] = (), tie: str = "group_id") -> DataFrame:
+    """rows with their number from 1 in the order of a column of hexadecimal hashes, by the keys. The hash's first digits cut the rows into 4,096
+    buckets of about equal size, numbered on their own; the buckets' sizes give what comes before each. No task sorts all rows."""
+    dealt = rows.withColumn("h_", order).withColumn("b_", F.substring("h_", 1, 3))
+    size = dealt.groupBy(*keys, "b_").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = size.withColumn("before_", before).drop("count")  # 4,096 rows a key
+    within = F.row_number().over(Window.partitionBy(*keys, "b_").orderBy("h_", tie))
+    return dealt.withColumn("n_", within).join(offsets, [*keys, "b_"]).withColumn(name, F.col("before_") + F.col("n_")).drop("h_", "b_", "n_", "before_")
 
 
 def group_table(rows: DataFrame, label: str, group: str = "group_id") -> DataFrame:
@@ -48,9 +70,8 @@ def group_table(rows: DataFrame, label: str, group: str = "group_id") -> DataFra
 
 def group_folds(rows: DataFrame, label: str, splits: int, seed: int = 42, group: str = "group_id", stratify: bool = True) -> DataFrame:
     """(group, label, fold): groups in the order of a hash dealt out in turn, by label if stratified. Reproducible in SQL."""
-    keys = [label] if stratify else []
-    w = Window.partitionBy(*keys).orderBy(hash_order(seed, group), group)
-    return group_table(rows, label, group).withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(splits)).cast("int"))
+    ranked = hash_rank(group_table(rows, label, group), hash_order(seed, group), "r_", [label] if stratify else [], group)
+    return ranked.select(group, label, F.pmod(F.col("r_") - 1, F.lit(splits)).cast("int").alias("fold"))
 
 
 def choose_splits(rows: DataFrame, label: str, preferred: int = 5, group: str = "group_id") -> tuple[int, bool]:
@@ -65,8 +86,8 @@ def choose_splits(rows: DataFrame, label: str, preferred: int = 5, group: str =
 
 def train_test_groups(rows: DataFrame, label: str, test_share: float, seed: int = 42, group: str = "group_id") -> DataFrame:
     """(group, label, test): of every label the first groups in the order of a hash, so that both sides have all classes."""
-    w = Window.partitionBy(label)
-    ranked = group_table(rows, label, group).withColumn("r_", F.row_number().over(w.orderBy(hash_order(seed, group), group))).withColumn("n_", F.count("*").over(w))
+    groups = group_table(rows, label, group)
+    ranked = hash_rank(groups, hash_order(seed, group), "r_", [label], group).join(groups.groupBy(label).agg(F.count("*").alias("n_")), label)
     return ranked.select(group, label, (F.col("r_") <= F.ceil(F.col("n_") * test_share)).alias("test"))
 
 
@@ -75,16 +96,15 @@ def assert_no_leak(train: DataFrame, test: DataFrame, group: str = "group_id") -
 
 
 def permuted_labels(groups: DataFrame, label: str, seed: int, group: str = "group_id") -> DataFrame:
-    """groups with their labels dealt anew: the i-th group by id gets the label of the i-th by hash."""
-    whole = Window.partitionBy()
-    left = groups.select(group, F.row_number().over(whole.orderBy(group)).alias("i"))
-    right = groups.select(label, F.row_number().over(whole.orderBy(hash_order(seed, group), group)).alias("i"))
+    """groups with their labels dealt anew: the i-th group by one hash gets the label of the i-th by another."""
+    left = hash_rank(groups.select(group), hash_order(f"{seed}:from", group), "i", tie=group)
+    right = hash_rank(groups.select(group, label), hash_order(seed, group), "i", tie=group).select(label, "i")
     return left.join(right, "i").drop("i")
 
 
 @dataclass
 class LinearModel:
-    """A fitted classifier: rows with its features in, score columns out."""
+    """A classifier fitted by Spark ML: rows with its features in, score columns out."""
 
     stages: PipelineModel
     classes: list[str]
@@ -103,7 +123,7 @@ def standardized(rows: DataFrame, columns: Sequence[str], centre: dict, scale: d
 
 
 def fit_linear(rows: DataFrame, columns: Sequence[str], label: str, max_iter: int = 1000, tol: float = 1e-8) -> LinearModel:
-    """Logistic regression on population z-scores, L2 with C = 1, classes weighted to balance."""
+    """Logistic regression on population z-scores, L2 with C = 1, classes weighted to balance, by Spark ML: for a single large fit."""
     stats = rows.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns], F.count("*").alias("n_")).first()
     centre, scale = {c: stats[c]["m"] for c in columns}, {c: stats[c]["s"] if stats[c]["s"] > 1e-12 else 1.0 for c in columns}
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row a class
@@ -118,53 +138,351 @@ def fit_linear(rows: DataFrame, columns: Sequence[str], label: str, max_iter: in
     return LinearModel(PipelineModel([assembler, lr.fit(assembler.transform(x))]), names, centre, scale, list(columns))
 
 
-def fold_pairs(rows: DataFrame, folds: DataFrame, splits: int, group: str = "group_id") -> Iterator[tuple[int, DataFrame, DataFrame]]:
-    dealt = rows.join(F.broadcast(folds.select(group, "fold")), group)  # a row a group
-    for f in range(splits):
-        yield f, dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f)
+@dataclass(frozen=True)
+class ModelSpec:
+    """The classes of a model, and the places of its features among all (None: all)."""
 
+    classes: tuple[str, ...]
+    features: tuple[int, ...] | None = None
 
-def out_of_fold(rows: DataFrame, columns: Sequence[str], label: str, splits: int, seed: int = 42) -> DataFrame:
-    """(group_id, label, fold, parts_used, score__...) of every group by the model of the other folds; a class that a fold lacks scores 0."""
-    folds, out = group_folds(rows, label, splits, seed), None
-    for f, train, test in fold_pairs(rows, folds, splits):
-        model = fit_linear(train, columns, label)
-        scored = model.score(test)
-        cols = [f"score__{c}" for c in model.classes]
-        one = group_scores(scored, cols, label).withColumn("fold", F.lit(f))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out.fillna(0.0, [c for c in out.columns if c.startswith("score__")])
-
-
-def nested_binary(rows: DataFrame, columns: Sequence[str], label: str, outer: int = 5, inner: int = 4, seed: int = 42) -> DataFrame:
-    """(group_id, label, fold, score, threshold, prediction): the threshold of an outer fold comes from inner out-of-fold scores of its training groups only."""
-    out = None
-    for f, train, test in fold_pairs(rows, group_folds(rows, label, outer, seed), outer):
-        train = train.drop("fold")
-        scores = out_of_fold(train, columns, label, inner, seed + 1 + f).withColumnRenamed(f"score__{de.TARGET}", "score")
-        t = de.choose_threshold(scores.withColumn("score", F.round("score", 9)), "score", label).first()["threshold"]
-        own = group_scores(fit_linear(train, columns, label).score(test), [f"score__{de.TARGET}"], label).withColumnRenamed(f"score__{de.TARGET}", "score")
-        one = de.decide_binary(own, t, 0.0).select("group_id", label, F.lit(f).alias("fold"), "score", F.lit(t).alias("threshold"), "prediction")
-        out = one if out is None else out.unionByName(one)
-    return out
 
+@dataclass(frozen=True)
+class Fits:
+    """Models fitted together. coef: by model (1 or classes, features) for features as they are, intercept: (1 or classes); seen: which classes a
+    model has trained with. Of two classes, the one row is for the second."""
 
-def permutation_scores(rows: DataFrame, columns: Sequence[str], label: str, seeds: Sequence[int], splits: int = 5) -> DataFrame:
-    """(seed, balanced_accuracy) of out-of-fold decisions at 0.5 with labels dealt anew."""
-    out, groups = None, group_table(rows, label)
-    for s in seeds:
-        dealt = rows.drop(label).join(F.broadcast(permuted_labels(groups, label, s)), "group_id")
-        scores = out_of_fold(dealt, columns, label, splits, s).withColumnRenamed(f"score__{de.TARGET}", "score")
-        one = de.report(de.decide_binary(scores, 0.5, 0.0), label, "prediction").select(F.lit(s).alias("seed"), "balanced_accuracy")
-        out = one if out is None else out.unionByName(one)
+    columns: list[str]
+    specs: list[ModelSpec]
+    coef: list[np.ndarray]
+    intercept: list[np.ndarray]
+    seen: list[np.ndarray]
+
+    def probabilities(self, x: np.ndarray, model: int) -> np.ndarray:
+        return _probabilities(x @ self.coef[model].T + self.intercept[model], self.seen[model])
+
+    def as_dict(self, model: int = 0) -> dict:
+        """Plain values, for a bundle."""
+        use = self.specs[model].features or range(len(self.columns))
+        return {"columns": [self.columns[i] for i in use], "classes": list(self.specs[model].classes), "coef": self.coef[model][:, list(use)].tolist(), "intercept": self.intercept[model].tolist()}
+
+
+def _probabilities(z: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    if z.shape[-1] == 1:
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return np.concatenate([1 - p, p], axis=-1)
+    z = np.where(seen, z, -np.inf)
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+
+
+def _summed(dealt: DataFrame, width: int, models: int, lengths: Sequence[int], sums) -> np.ndarray:
+    """The sums over all rows of sums(x, y), an array (models, values) for a batch, of which a model has lengths[m] values: added up by task, then by model."""
+    values = max(lengths)
+
+    def run(batches):
+        total = np.zeros((models, values))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                total += sums(_matrix(b, "x_", width), _matrix(b, "y_", models))
+        yield pa.RecordBatch.from_pydict({"m": np.arange(models, dtype=np.int32), "v": pa.array([total[m, : lengths[m]].tobytes() for m in range(models)], pa.binary())})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for m, v in zip(b.column("m").to_pylist(), b.column("v").to_pylist(), strict=True):
+                one = np.frombuffer(v)
+                total[m] = total[m] + one if m in total else one
+        yield pa.RecordBatch.from_pydict({"m": pa.array(list(total), pa.int32()), "v": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+
+    got = dealt.select("x_", "y_").mapInArrow(run, "m int, v binary").repartition("m").mapInArrow(add, "m int, v binary").toArrow()
+    out = np.zeros((models, values))
+    for m, v in zip(got.column("m").to_pylist(), got.column("v").to_pylist(), strict=True):
+        out[m, : lengths[m]] = np.frombuffer(v)
     return out
 
 
-def evaluate(rows: DataFrame, columns: Sequence[str], label: str, splitter: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The report of a model trained on the groups that splitter doesn't mark as test, on those that it does."""
-    sides = rows.join(F.broadcast(splitter(rows).select("group_id", "test")), "group_id")
-    train, test = sides.where("not test"), sides.where("test")
-    assert_no_leak(train, test)
-    model = fit_linear(train, columns, label)
-    cols = [f"score__{c}" for c in model.classes]
-    return de.report(de.top_predictions(group_scores(model.score(test), cols, label), cols), label, "prediction")
+def _curves(z1: np.ndarray, c: np.ndarray, w: np.ndarray, beta: np.ndarray, seen: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, gradient, second derivatives) of weighted rows; beta: (1 or classes, features and intercept)."""
+    rows, k = len(beta), len(seen)
+    prob = _probabilities(z1 @ beta.T, seen)
+    loss = -(w * np.log(np.maximum(prob[np.arange(len(c)), c], 1e-300))).sum()
+    target = np.eye(k)[c]
+    if rows == 1:
+        prob, target = prob[:, 1:], target[:, 1:]
+    h = np.empty((rows, beta.shape[1], rows, beta.shape[1]))
+    for u in range(rows):
+        for v in range(u, rows):
+            curve = w * (prob[:, u] * (1 - prob[:, u]) if u == v else -prob[:, u] * prob[:, v])
+            h[u, :, v, :] = z1.T @ (z1 * curve[:, None])
+            h[v, :, u, :] = h[u, :, v, :].T
+    return loss, ((prob - target) * w[:, None]).T @ z1, h
+
+
+def fit_together(dealt: DataFrame, columns: Sequence[str], specs: Sequence[ModelSpec], steps: int = 50, tol: float = 1e-9) -> Fits:
+    """Logistic regressions (two classes) or softmax regressions on the z-scores of a model's own rows, L2 with C = 1 and no penalty of the intercept,
+    classes weighted to balance, by damped Newton steps.
+
+    dealt: x_ (features) and y_ (by model the number of the row's class, -1 where it doesn't train the model)."""
+    p, models = len(columns), len(specs)
+    kinds = [len(s.classes) for s in specs]
+    most = max(kinds)
+    use = [np.array(s.features if s.features is not None else range(p), dtype=int) for s in specs]
+    first = _summed(dealt, p, models, [most + p] * models, lambda x, y: np.concatenate([np.stack([(y == c).sum(0) for c in range(most)], axis=1), (y >= 0).T.astype(float) @ x], axis=1))
+    n = first[:, :most].sum(1)
+    if ((first[:, :most] > 0).sum(1) < 2).any():
+        raise ValueError("a model has fewer than two classes to train on")
+    centre = first[:, most:] / n[:, None]
+    spread = _summed(dealt, p, models, [p] * models, lambda x, y: np.stack([((x[y[:, m] >= 0] - centre[m]) ** 2).sum(0) for m in range(models)]))
+    scale = np.sqrt(spread / n[:, None])
+    scale[scale <= 1e-12] = 1.0
+    seen = [first[m, : kinds[m]] > 0 for m in range(models)]
+    weight = [np.where(seen[m], n[m] / (seen[m].sum() * np.maximum(first[m, : kinds[m]], 1)), 0.0) for m in range(models)]
+    shape = [(1 if kinds[m] == 2 else kinds[m], len(use[m]) + 1) for m in range(models)]
+    size = [r * c for r, c in shape]
+    lengths = [1 + d + d * d for d in size]
+    # parameters of classes that a model has seen
+    free = [np.repeat(np.ones(1, dtype=bool) if shape[m][0] == 1 else seen[m], shape[m][1]) for m in range(models)]
+    penalty = [np.tile(np.r_[np.ones(shape[m][1] - 1), 1e-9], shape[m][0]) for m in range(models)]
+
+    def sums(beta: list[np.ndarray], todo: list[int]):
+        def of(x, y):
+            out = np.zeros((models, max(lengths)))
+            for m in todo:
+                i = np.flatnonzero(y[:, m] >= 0)
+                if len(i):
+                    c, d = y[i, m], size[m]
+                    z1 = np.c_[(x[np.ix_(i, use[m])] - centre[m][use[m]]) / scale[m][use[m]], np.ones(len(i))]
+                    loss, g, h = _curves(z1, c, weight[m][c], beta[m].reshape(shape[m]), seen[m])
+                    out[m, 0], out[m, 1 : 1 + d], out[m, 1 + d : 1 + d + d * d] = loss, g.reshape(-1), h.reshape(-1)
+            return out
+
+        return of
+
+    best, step, loss = [np.zeros(d) for d in size], [np.zeros(d) for d in size], np.full(models, np.inf)
+    todo = list(range(models))
+    for _ in range(steps):
+        if not todo:
+            break
+        tried = [b + s for b, s in zip(best, step, strict=True)]
+        got, going = _summed(dealt, p, models, lengths, sums(tried, todo)), []
+        for m in todo:
+            d, pull = size[m], penalty[m]
+            now = got[m, 0] + 0.5 * (pull * tried[m] * tried[m]).sum()
+            if now > loss[m] + 1e-9 * abs(loss[m]):
+                step[m] = step[m] / 2
+            else:
+                best[m], loss[m] = tried[m], now
+                g = (got[m, 1 : 1 + d] + pull * best[m])[free[m]]
+                h = (got[m, 1 + d : 1 + d + d * d].reshape(d, d) + np.diag(pull))[np.ix_(free[m], free[m])]
+                step[m] = np.zeros(d)
+                step[m][free[m]] = -np.linalg.solve(h, g)
+            if np.abs(step[m]).max() >= tol * (1 + np.abs(best[m]).max()):
+                going.append(m)
+        todo = going
+    coef, intercept = [], []
+    for m in range(models):
+        b = best[m].reshape(shape[m])
+        own = b[:, :-1] / scale[m][use[m]]
+        whole = np.zeros((len(b), p))
+        whole[:, use[m]] = own
+        coef.append(whole)
+        intercept.append(b[:, -1] - own @ centre[m][use[m]])
+    return Fits(list(columns), list(specs), coef, intercept, seen)
+
+
+def class_names(rows: DataFrame, label: str) -> list[str]:
+    return sorted(r[0] for r in rows.select(label).distinct().collect())  # a row a class
+
+
+def deal(rows: DataFrame, columns: Sequence[str], groups: DataFrame) -> DataFrame:
+    """The rows' features as arrays with what their group is used for (groups: group_id, y_, tests_), stored: group_id, part, x_, y_, tests_."""
+    require_columns(rows, ["group_id", "part", *columns])
+    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x_")
+    return stored(rows.select("group_id", "part", x).join(groups.select("group_id", "y_", "tests_"), "group_id"))
+
+
+def scored_runs(dealt: DataFrame, fits: Fits) -> DataFrame:
+    """(run, group_id, label, fold, class, score, parts_used): the group scores (mean of its parts' medians) of every run that tests the group. tests_
+    names runs, models and folds, and the label of the run."""
+    p = len(fits.columns)
+    each = dealt.select("group_id", "part", "x_", F.explode("tests_").alias("t")).select("group_id", "part", "x_", "t.run", "t.model", "t.fold", "t.label")
+    keys = ["run", "group_id", "fold", "label"]
+
+    def run(batches):
+        for b in batches:
+            x, model = _matrix(b, "x_", p), b.column("model").to_numpy()
+            for m in np.unique(model):
+                at = np.flatnonzero(model == m)
+                prob, names = fits.probabilities(x[at], int(m)), fits.specs[m].classes
+                i = pa.array(np.repeat(at, len(names)))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(i) for c in [*keys, "part"]], pa.array(list(names) * len(at)), pa.array(prob.reshape(-1))], names=[*keys, "part", "class", "score"])
+
+    parts = each.mapInArrow(run, "run int, group_id string, fold int, label string, part string, class string, score double").groupBy(*keys, "part", "class").agg(F.median("score").alias("score"))
+    return parts.groupBy(*keys, "class").agg(F.count("*").cast("long").alias("parts_used"), F.avg("score").alias("score"))
+
+
+def wide_scores(long: DataFrame, classes: Sequence[str], label: str, prefix: str = "score__") -> DataFrame:
+    """(run, group_id, label, fold, parts_used, score__...) of runs with the same classes."""
+    one = lambda c: F.coalesce(F.min(F.when(F.col("class") == c, F.col("score"))), F.lit(0.0)).alias(prefix + c)
+    return long.groupBy("run", "group_id", "fold", F.col("label").alias(label)).agg(F.min("parts_used").alias("parts_used"), *[one(c) for c in classes])
+
+
+def run_table(groups: DataFrame, label: str, seeds: Sequence[tuple[int, int]], splits: int, permute: bool = False) -> DataFrame:
+    """(run, group_id, label, fold): the groups' folds for several runs (run, seed), with labels dealt anew for each if permute."""
+    spark = groups.sparkSession
+    runs = spark.createDataFrame(list(seeds), "run int, seed long")
+    each = groups.select("group_id", label).crossJoin(F.broadcast(runs))
+    seed = F.col("seed")
+    if permute:
+        left = hash_rank(each.select("run", "seed", "group_id"), hash_order(F.concat(seed.cast("string"), F.lit(":from"))), "i", ["run"])
+        right = hash_rank(each, hash_order(seed), "i", ["run"]).select("run", label, "i")
+        each = left.join(right, ["run", "i"]).drop("i")
+    ranked = hash_rank(each, hash_order(seed), "r_", ["run", label])
+    return ranked.select("run", "group_id", label, F.pmod(F.col("r_") - 1, F.lit(splits)).cast("int").alias("fold"))
+
+
+def _class_number(label, classes: Sequence[str]):
+    return F.array_position(F.array(*[F.lit(c) for c in classes]), label) - 1
+
+
+def oof_long(rows: DataFrame, columns: Sequence[str], runs: DataFrame, specs: Sequence[ModelSpec], splits: int) -> DataFrame:
+    """(run, group_id, label, fold, class, score, parts_used): out-of-fold group scores of several runs, all models fitted together.
+
+    runs: run (numbers specs), group_id, label, fold. A group without a row in a run takes no part in it; no group is on both sides of a fold. A fold that
+    holds no group trains nothing."""
+    number = F.lit(None).cast("int")
+    for r, spec in enumerate(specs):
+        number = F.when(F.col("run") == r, _class_number(F.col("label"), spec.classes)).otherwise(number)
+    runs = stored(runs.select("run", "group_id", "label", "fold", number.cast("int").alias("c_")))
+    filled = {(r.run, r.fold) for r in runs.select("run", "fold").distinct().collect()}  # a row a run and fold
+    models = [(r, f) for r in range(len(specs)) for f in range(splits) if (r, f) in filled]
+    place = F.create_map(*[F.lit(v) for i, (r, f) in enumerate(models) for v in (r * splits + f, i)])
+    by_group = runs.groupBy("group_id").agg(F.collect_list(F.struct("run", "label", "c_", "fold")).alias("r_"))
+    by_group = by_group.withColumn("m_", F.map_from_entries(F.transform("r_", lambda r: F.struct(r["run"], r))))
+    own = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(f).alias("f")) for r, f in models])
+    y = F.transform(own, lambda m: F.coalesce(F.when(F.try_element_at("m_", m["r"])["fold"] != m["f"], F.try_element_at("m_", m["r"])["c_"]), F.lit(-1)))
+    tests = F.transform("r_", lambda r: F.struct(r["run"].alias("run"), place[r["run"] * splits + r["fold"]].alias("model"), r["fold"].alias("fold"), r["label"].alias("label")))
+    dealt = deal(rows, columns, by_group.select("group_id", y.alias("y_"), tests.alias("tests_")))
+    return scored_runs(dealt, fit_together(dealt, columns, [specs[r] for r, _ in models]))
+
+
+def oof_runs(rows: DataFrame, columns: Sequence[str], label: str, seeds: Sequence[tuple[int, int]], splits: int, permute: bool = False) -> DataFrame:
+    """(run, group_id, label, fold, parts_used, score__...): out-of-fold group scores for several runs (run from 0, seed) of one model. A class that a
+    fold lacks scores 0."""
+    groups = stored(group_table(rows, label))
+    classes = class_names(groups, label)
+    runs = run_table(groups, label, seeds, splits, permute).withColumnRenamed(label, "label")
+    return wide_scores(oof_long(rows, columns, runs, [ModelSpec(tuple(classes))] * len(seeds), splits), classes, label)
+
+
+def out_of_fold(rows: DataFrame, columns: Sequence[str], label: str, splits: int, seed: int = 42) -> DataFrame:
+    """(group_id, label, fold, parts_used, score__...) of every group by the model of the other folds."""
+    return oof_runs(rows, columns, label, [(0, seed)], splits).drop("run")
+
+
+def nested_binary(rows: DataFrame, columns: Sequence[str], label: str, outer: int = 5, inner: int = 4, seed: int = 42, repeats: int = 1) -> tuple[DataFrame, DataFrame]:
+    """((repeat, group_id, label, fold, score, threshold, prediction), the trace): the threshold of an outer fold comes from inner out-of-fold scores
+    of its training groups only. Trace: (repeat, fold, group_id, role), where role says what the group was used for: test, train, threshold.
+
+    repeats * outer * (inner + 1) models, fitted together."""
+    groups = stored(group_table(rows, label))
+    classes = class_names(groups, label)
+    first = repeats * outer  # models of the outer folds come first
+    outside = stored(run_table(groups, label, [(r, seed + r) for r in range(repeats)], outer))
+    folds = F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("g")
+    within = outside.select("run", "group_id", label, "fold", folds).where("fold <> g").withColumn("seed", F.lit(seed + 1000) + F.col("run") * 100 + F.col("g"))
+    within = hash_rank(within, hash_order(F.col("seed")), "r_", ["run", "g", label]).select("run", "group_id", label, "g", F.pmod(F.col("r_") - 1, F.lit(inner)).cast("int").alias("fold"))
+    number = _class_number(F.col(label), classes).cast("int")
+    # what a group does: train (model, class) and be tested (run, model)
+    model = F.col("run") * outer + F.col("g")
+    uses = outside.select("group_id", folds, "run", "fold", label).select("group_id", F.when(F.col("fold") != F.col("g"), model).alias("train"), F.when(F.col("fold") == F.col("g"), F.struct(F.col("run").alias("run"), model.cast("int").alias("model"), F.col("fold").alias("fold"), F.col(label).alias("label"))).alias("test"), number.alias("c_"))
+    inner_model = first + (F.col("run") * outer + F.col("g")) * inner + F.col("h")
+    inner_run = (repeats + F.col("run") * outer + F.col("g")).cast("int")
+    more = within.select("*", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))).alias("h"))
+    uses = uses.unionByName(more.select("group_id", F.when(F.col("fold") != F.col("h"), inner_model).alias("train"), F.when(F.col("fold") == F.col("h"), F.struct(inner_run.alias("run"), inner_model.cast("int").alias("model"), F.col("g").alias("fold"), F.col(label).alias("label"))).alias("test"), number.alias("c_")))
+    models = first + repeats * outer * inner
+    by_group = uses.groupBy("group_id").agg(F.collect_set("train").alias("t_"), F.min("c_").alias("c_"), F.collect_list("test").alias("tests_"))
+    y = F.transform(F.sequence(F.lit(0), F.lit(models - 1)), lambda m: F.when(F.array_contains("t_", m), F.col("c_")).otherwise(-1).cast("int"))
+    dealt = deal(rows, columns, by_group.select("group_id", y.alias("y_"), "tests_"))
+    long = scored_runs(dealt, fit_together(dealt, columns, [ModelSpec(tuple(classes))] * models)).where(F.col("class") == de.TARGET)
+    scores = stored(long.select("run", "group_id", "fold", F.col("label").alias(label), F.round("score", 9).alias("score")))
+    inside = scores.where(F.col("run") >= repeats).withColumn("key", F.col("run") - repeats)
+    limits = de.choose_thresholds(inside, ["key"], "score", label).select((F.floor(F.col("key") / outer)).cast("int").alias("run"), F.pmod("key", F.lit(outer)).cast("int").alias("fold"), "threshold")
+    tested = scores.where(F.col("run") < repeats).join(limits, ["run", "fold"])
+    decided = de.decide_binary(tested, F.col("threshold"), 0.0).select(F.col("run").alias("repeat"), "group_id", label, "fold", "score", "threshold", "prediction")
+    roles = outside.select(F.col("run").alias("repeat"), folds, "group_id", "fold").select("repeat", F.col("g").alias("fold"), "group_id", F.when(F.col("fold") == F.col("g"), "test").otherwise("train").alias("role"))
+    used = inside.select(F.floor(F.col("key") / outer).cast("int").alias("repeat"), F.pmod("key", F.lit(outer)).cast("int").alias("fold"), "group_id", F.lit("threshold").alias("role"))
+    return decided, roles.unionByName(used)
+
+
+def permutation_scores(rows: DataFrame, columns: Sequence[str], label: str, seeds: Sequence[int], splits: int = 5) -> DataFrame:
+    """(seed, threshold, and the report) of out-of-fold decisions at each run's own best threshold, with labels dealt anew."""
+    scores = oof_runs(rows, columns, label, list(enumerate(seeds)), splits, permute=True).withColumn("score", F.round(f"score__{de.TARGET}", 9))
+    scores = stored(scores)
+    decided = de.decide_binary(scores.join(de.choose_thresholds(scores, ["run"], "score", label).select("run", "threshold"), "run"), F.col("threshold"), 0.0)
+    report = de.report(decided, label, "prediction", ["run"]).join(decided.groupBy("run").agg(F.min("threshold").alias("threshold")), "run")
+    return report.withColumn("seed", F.element_at(F.array(*[F.lit(s) for s in seeds]), F.col("run") + 1)).drop("run")
+
+
+def evaluate(rows: DataFrame, columns: Sequence[str], label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """The report (by group) of a model trained on all groups but the test share, with the number of rows and groups on both sides."""
+    sides = train_test_groups(rows, label, test_share, seed)
+    classes = class_names(sides, label)
+    c = _class_number(F.col(label), classes).cast("int")
+    test = F.struct(F.lit(0).alias("run"), F.lit(0).alias("model"), F.lit(0).alias("fold"), F.col(label).alias("label"))
+    used = sides.select("group_id", F.array(F.when(F.col("test"), -1).otherwise(c)).alias("y_"), F.when(F.col("test"), F.array(test)).otherwise(F.array().cast("array<struct<run:int,model:int,fold:int,label:string>>")).alias("tests_"))
+    dealt = deal(rows, columns, used)
+    scores = wide_scores(scored_runs(dealt, fit_together(dealt, columns, [ModelSpec(tuple(classes))])), classes, label)
+    cols = [f"score__{c}" for c in classes]
+    on = F.size("tests_") == 0
+    sizes = dealt.agg(F.count_if(on).alias("n_train"), F.count_if(~on).alias("n_test"), F.count_distinct(F.when(on, F.col("group_id"))).alias("train_groups"), F.count_distinct(F.when(~on, F.col("group_id"))).alias("test_groups"))
+    return de.report(de.top_predictions(scores, cols), label, "prediction").crossJoin(F.broadcast(sizes))
+
+
+def cross_validation(rows: DataFrame, columns: Sequence[str], label: str, preferred: int = 20, seed: int = 42) -> DataFrame:
+    """(fold, splitter, n_splits, n_test, accuracy, balanced_accuracy, f1_macro ...): the report of every fold, and of all as fold -1."""
+    splits, stratified = choose_splits(rows, label, preferred)
+    scores = out_of_fold(rows, columns, label, splits, seed)
+    top = stored(de.top_predictions(scores, [c for c in scores.columns if c.startswith("score__")]))
+    whole = de.report(top, label, "prediction").withColumn("fold", F.lit(-1))
+    by = de.report(top, label, "prediction", ["fold"]).unionByName(whole)
+    return by.withColumns({"splitter": F.lit("stratified groups" if stratified else "groups"), "n_splits": F.lit(splits), "n_test": F.col("n_groups")})
+
+
+def fit_final(rows: DataFrame, columns: Sequence[str], label: str) -> Fits:
+    """One model of all rows."""
+    return fit_finals(rows, columns, [StageSpec("", label)])
+
+
+def fit_finals(rows: DataFrame, columns: Sequence[str], stages: Sequence[StageSpec]) -> Fits:
+    """A model of each stage, of all the rows that it is for, fitted together."""
+    specs, numbers = [], []
+    for stage in stages:
+        groups = group_table(filter_stage(rows, stage), stage.label)
+        classes = class_names(groups, stage.label)
+        specs.append(ModelSpec(tuple(classes)))
+        numbers.append(F.when(F.expr(stage.where), _class_number(F.col(stage.label), classes)).otherwise(-1).cast("int"))
+    used = rows.groupBy("group_id").agg(*[F.min(c).alias(c) for c in dict.fromkeys([*[s.label for s in stages], *[c for c in ("activity", "model") if c in rows.columns]])])
+    none = F.array().cast("array<struct<run:int,model:int,fold:int,label:string>>")
+    return fit_together(deal(rows, columns, used.select("group_id", F.array(*numbers).alias("y_"), none.alias("tests_"))), columns, specs)
+
+
+def model_scores(rows: DataFrame, model: dict, prefix: str = "score__") -> DataFrame:
+    """rows with the scores of a model given by plain values (Fits.as_dict), as column expressions."""
+    z = []
+    for coef, intercept in zip(model["coef"], model["intercept"], strict=True):
+        total = F.lit(float(intercept))
+        for c, v in zip(model["columns"], coef, strict=True):
+            total = total + float(v) * F.col(c)
+        z.append(total)
+    if len(z) == 1:
+        p = 1 / (1 + F.exp(-z[0]))
+        return rows.withColumns({prefix + model["classes"][0]: 1 - p, prefix + model["classes"][1]: p})
+    most = F.greatest(*z)
+    e = [F.exp(v - most) for v in z]
+    return rows.withColumns({prefix + c: v / sum(e[1:], e[0]) for c, v in zip(model["classes"], e, strict=True)})

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrel.functions.columns import is_finite, require_columns
+from spectrel.functions.tables import stored
 
 
 def part_medians(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("group_id", "part"), keep: Sequence[str] = ()) -> DataFrame:
@@ -36,6 +37,30 @@ def robust_scale(c: str) -> Column:
     return F.when(iqr > 1e-12, iqr).when(sd > 1e-12, sd).otherwise(F.lit(1e-12))
 
 
+def exact_medians(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], keep: Sequence[str] = (), cell: int = 4096) -> DataFrame:
+    """(keys, keep, columns): the exact median of each column by keys, for few keys with any number of rows. A pass counts the values of each key in 1,024
+    bins; the bins that hold the middle values are cut again until they hold no more than `cell` values, which are sorted."""
+    keys = list(keys)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c_"), F.col(c).cast("double").alias("v_")) for i, c in enumerate(columns)])).alias("p")
+    long = stored(rows.select(*keys, pairs).select(*keys, "p.*").where("v_ is not null"))
+    by = [*keys, "c_"]
+    size = long.groupBy(*by).agg(F.count("*").alias("m_"), F.min("v_").alias("lo_"), F.max("v_").alias("hi_"))
+    state = stored(size.select(*by, "m_", "lo_", "hi_", F.posexplode(F.array(F.floor((F.col("m_") - 1) / 2), F.floor(F.col("m_") / 2))).alias("side_", "rank_")))
+    by_side = [*by, "side_"]
+    inside = lambda: long.join(F.broadcast(state), by).where(F.col("v_").between(F.col("lo_"), F.col("hi_")))
+    while state.where((F.col("m_") > cell) & (F.col("lo_") < F.col("hi_"))).limit(1).count():
+        bin_ = F.least(F.floor(F.try_divide(F.col("v_") - F.col("lo_"), (F.col("hi_") - F.col("lo_")) / 1024)), F.lit(1023))
+        bins = inside().groupBy(*by_side, "rank_", F.coalesce(bin_, F.lit(0)).alias("bin_")).agg(F.count("*").alias("m_"), F.min("v_").alias("lo_"), F.max("v_").alias("hi_"))
+        below = F.coalesce(F.sum("m_").over(Window.partitionBy(*by_side).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = bins.withColumn("below_", below).where((F.col("below_") <= F.col("rank_")) & (F.col("rank_") < F.col("below_") + F.col("m_")))
+        state = stored(found.select(*by_side, "m_", "lo_", "hi_", (F.col("rank_") - F.col("below_")).alias("rank_")))
+    same = state.where("lo_ = hi_").select(*by_side, F.col("lo_").alias("v_"))
+    rest = inside().where("lo_ < hi_").groupBy(*by_side, "rank_").agg(F.sort_array(F.collect_list("v_")).alias("s_")).select(*by_side, F.element_at("s_", (F.col("rank_") + 1).cast("int")).alias("v_"))
+    middle = same.unionByName(rest).groupBy(*by).agg(F.avg("v_").alias("v_"))
+    out = middle.groupBy(*keys).agg(*[F.min(F.when(F.col("c_") == i, F.col("v_"))).alias(c) for i, c in enumerate(columns)])
+    return out.join(rows.groupBy(*keys).agg(*[F.min(c).alias(c) for c in keep]), keys) if keep else out
+
+
 def not_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The rows in which any of the columns is null, NaN or infinite."""
     bad = F.lit(False)
@@ -49,6 +74,12 @@ def inconsistent(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(column).alias("values")).where("values <> 1")
 
 
+def missing_parts(rows: DataFrame, parts: Sequence[str] = ("L", "H")) -> DataFrame:
+    """(group_id, missing): the parts that a group lacks."""
+    have = rows.groupBy("group_id").agg(F.collect_set("part").alias("have_"))
+    return have.select("group_id", F.explode(F.array_except(F.array(*[F.lit(p) for p in parts]), F.col("have_"))).alias("missing"))
+
+
 def assert_none(df: DataFrame, what: str) -> None:
     """An error that shows up to five rows of df, if it has any."""
     if rows := df.limit(5).collect():
