@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectrel.functions.columns import EPS, is_finite, require_columns
@@ -81,10 +81,6 @@ def clip_range(samples: DataFrame, keys: Sequence[str] = RECORD, low: float = 0.
 
 
 def records(samples: DataFrame, keys: Sequence[str] = RECORD, keep: Sequence[str] = ("label",)) -> DataFrame:
-    """One row a record with its samples in order as an array x."""
+    """One row a record with its samples in order as an array x: for short records; framing.blocks() cuts long ones."""
     x = F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"])
     return samples.groupBy(*keys).agg(*[F.min(k).alias(k) for k in keep], x.alias("x"))
-
-
-def running(keys: Sequence[str] = RECORD):
-    return Window.partitionBy(*keys).orderBy("n")

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectrel.functions.windows import weights
-from spectrel.operators.conditioning import RECORD, running
+from spectrel.operators.conditioning import RECORD
+from spectrel.operators.framing import blocks
 
 #: Other names of the kinds of filters.
-KINDS = {"low": "lowpass", "high": "highpass", "passband": "bandpass", "band": "bandpass", "stop": "bandstop", "notch": "bandstop"}
+KINDS = {"low": "lowpass", "high": "highpass", "passband": "bandpass", "band": "bandpass", "stop": "bandstop", "stopband": "bandstop", "notch": "bandstop"}
 
 
 def kind_of(name: str) -> str:
@@ -123,12 +124,35 @@ def frequency_response(spark: SparkSession, b: Sequence[float], a: Sequence[floa
     return g.select("k", "freq_hz", re.alias("re"), im.alias("im"), F.sqrt(re * re + im * im).alias("magnitude"))
 
 
-def apply_fir(samples: DataFrame, taps: Sequence[float], keys: Sequence[str] = RECORD) -> DataFrame:
-    """samples with y: the causal convolution with the taps, zero before the start. One sort of each record."""
-    w, out = running(keys), F.lit(0.0)
-    for i, v in enumerate(taps):
-        out = out + float(v) * (F.col("x") if i == 0 else F.coalesce(F.lag("x", i).over(w), F.lit(0.0)))
-    return samples.withColumn("y", out)
+#: Samples of a block that one task filters at once.
+BLOCK = 1 << 16
+
+
+def samples_of(rows: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
+    """(keys, n, columns) from blocks with start and arrays of one length."""
+    zipped = F.arrays_zip(*[F.col(c) for c in columns])
+    out = rows.select(*keys, "start", F.posexplode(zipped).alias("i", "v"))
+    return out.select(*keys, (F.col("start") + F.col("i")).alias("n"), *[F.col("v")[c].alias(c) for c in columns])
+
+
+def apply_fir(samples: DataFrame, taps: Sequence[float], keys: Sequence[str] = RECORD, block: int = BLOCK) -> DataFrame:
+    """(keys, n, x, y): the causal convolution with the taps, zero before the start. Records are cut into blocks that hold the samples before
+    them that the taps reach."""
+    h = np.asarray(taps, dtype=float)
+    reach = len(h) - 1
+    cut = blocks(samples, max(block, reach + 1), reach, keys)
+    schema = T.StructType([*[cut.schema[k] for k in keys], T.StructField("start", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                x = one.column("x").flatten().to_numpy(zero_copy_only=False)
+                skip = 0 if one.column("block")[0].as_py() == 0 else reach
+                y = np.convolve(x, h)[skip : len(x)]
+                yield pa.RecordBatch.from_arrays([*[one.column(k) for k in keys], pa.array([one.column("start")[0].as_py() + skip]), pa.array([x[skip:]], pa.list_(pa.float64())), pa.array([y], pa.list_(pa.float64()))], names=schema.names)
+
+    return samples_of(cut.mapInArrow(run, schema), keys, "x", "y")
 
 
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -140,19 +164,51 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.linalg.solve(m, b[1:] - a[1:] * b[0]) if n > 1 else np.empty(0)
 
 
+class Recursion:
+    """A filter as a state space in the transposed direct form. A run is cut into pieces of `piece` samples: what a piece makes of its samples and of
+    the state before it are matrix products, and only states go from piece to piece."""
+
+    def __init__(self, b: Sequence[float], a: Sequence[float], piece: int = 128):
+        b, a = np.atleast_1d(np.asarray(b, dtype=float)), np.atleast_1d(np.asarray(a, dtype=float))
+        n = max(len(a), len(b))
+        a, b = np.r_[a, np.zeros(n - len(a))] / a[0], np.r_[b, np.zeros(n - len(b))] / a[0]
+        self.order, self.piece, self.gain = n - 1, piece, b[0]
+        self.step = np.eye(n - 1, k=1)
+        self.step[:, :1] -= a[1:, None]
+        self.enter = b[1:] - a[1:] * b[0]
+        powers = [np.eye(n - 1)]
+        for _ in range(piece):
+            powers.append(self.step @ powers[-1])
+        self.powers = powers
+        self.leave = np.array([q[0] if n > 1 else [] for q in powers[:piece]]).reshape(piece, n - 1)
+        self.gather = np.array([powers[piece - 1 - i] @ self.enter for i in range(piece)]).reshape(piece, n - 1)
+        h = np.r_[self.gain, [self.leave[i] @ self.enter for i in range(piece - 1)]]
+        self.inside = np.array([[h[i - j] if i >= j else 0.0 for j in range(piece)] for i in range(piece)])
+
+    def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(y, the state after the last sample)."""
+        d = np.zeros(self.order) if state is None else np.asarray(state, dtype=float)
+        if not self.order or not len(x):
+            return self.gain * np.asarray(x, dtype=float), d
+        whole, rest = divmod(len(x), self.piece)
+        cut = np.r_[x, np.zeros(self.piece - rest if rest else 0)].reshape(-1, self.piece)
+        gathered, states = cut @ self.gather, np.empty((len(cut), self.order))
+        for i in range(len(cut)):
+            states[i] = d
+            if i < whole:
+                d = self.powers[-1] @ d + gathered[i]
+        if rest:
+            d = self.powers[rest] @ d + cut[-1, :rest] @ self.gather[self.piece - rest :]
+        return (cut @ self.inside.T + states @ self.leave.T).reshape(-1)[: len(x)], d
+
+    def after(self, samples: int) -> np.ndarray:
+        """What a state has become after so many samples of zero."""
+        return np.linalg.matrix_power(self.step, samples)
+
+
 def lfilter(b: Sequence[float], a: Sequence[float], x: np.ndarray, zi: np.ndarray | None = None) -> np.ndarray:
-    """The recursion, transposed direct form."""
-    b, a = np.atleast_1d(np.asarray(b, dtype=float)), np.atleast_1d(np.asarray(a, dtype=float))
-    if len(a) == 1 and zi is None:
-        return np.convolve(x, b / a[0])[: len(x)]
-    n = max(len(a), len(b))
-    a, b = np.r_[a, np.zeros(n - len(a))] / a[0], np.r_[b, np.zeros(n - len(b))] / a[0]
-    d = np.zeros(n) if zi is None else np.r_[zi, 0.0]
-    y = np.empty(len(x))
-    for i, v in enumerate(x):
-        y[i] = out = b[0] * v + d[0]
-        d[:-1] = d[1:] + b[1:] * v - a[1:] * out
-    return y
+    """The causal filter, from a state of the delays."""
+    return Recursion(b, a).run(np.asarray(x, dtype=float), zi)[0]
 
 
 def filtfilt(b: Sequence[float], a: Sequence[float], x: np.ndarray) -> np.ndarray:
@@ -161,14 +217,14 @@ def filtfilt(b: Sequence[float], a: Sequence[float], x: np.ndarray) -> np.ndarra
     pad = 3 * max(len(a), len(b))
     if len(x) <= pad:
         return lfilter(b, a, x)
-    zi = steady_state(b, a)
+    zi, run = steady_state(b, a), Recursion(b, a).run
     y = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]
-    y = lfilter(b, a, y, zi * y[0])[::-1]
-    return lfilter(b, a, y, zi * y[0])[::-1][pad:-pad]
+    y = run(y, zi * y[0])[0][::-1]
+    return run(y, zi * y[0])[0][::-1][pad:-pad]
 
 
 def apply_filter(recs: DataFrame, b: Sequence[float], a: Sequence[float] = (1.0,), zero_phase: bool = True, column: str = "x") -> DataFrame:
-    """recs (a row a record, samples as an array) with y, in Arrow batches."""
+    """recs (a row a short record, samples as an array) with y, in Arrow batches; apply_iir() is for long records."""
     b, a = [float(v) for v in np.atleast_1d(b)], [float(v) for v in np.atleast_1d(a)]
     schema = T.StructType([*recs.schema.fields, T.StructField("y", T.ArrayType(T.DoubleType()))])
 
@@ -181,3 +237,72 @@ def apply_filter(recs: DataFrame, b: Sequence[float], a: Sequence[float] = (1.0,
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.array([y.tolist()], pa.list_(pa.float64()))], names=[*one.schema.names, "y"])
 
     return recs.mapInArrow(run, schema)
+
+
+def _carried(cut: DataFrame, b: Sequence[float], a: Sequence[float], keys: Sequence[str], order: str) -> DataFrame:
+    """cut (keys, order, x, init) with y: each record's blocks filtered in the order as one run. init: the state before the first block.
+
+    Every block's own end state is found first; a record's states, a row a block, are carried through; then the blocks are filtered with them."""
+    n = max(len(b), len(a)) - 1
+    states = T.ArrayType(T.DoubleType())
+    ends = T.StructType([*[cut.schema[k] for k in keys], T.StructField(order, T.LongType()), T.StructField("size", T.LongType()), T.StructField("end", states), T.StructField("init", states)])
+    array = lambda v: pa.array([v], pa.list_(pa.float64()))
+
+    def end_states(batches):
+        f = Recursion(b, a)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                x = one.column("x").flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*[one.column(k) for k in keys], one.column(order), pa.array([len(x)]), array(f.run(x)[1]), one.column("init")], names=ends.names)
+
+    def carry(table: pa.Table) -> pa.Table:
+        table, f, out = table.sort_by(order), Recursion(b, a), []
+        d = np.array(table.column("init")[0].as_py() or [0.0] * n)
+        known: dict[int, np.ndarray] = {}
+        for size, end in zip(table.column("size").to_pylist(), table.column("end").to_pylist(), strict=True):
+            out.append(d)
+            if size not in known:
+                known[size] = f.after(size)
+            d = known[size] @ d + np.array(end)
+        return pa.table({**{k: table.column(k) for k in keys}, order: table.column(order), "before": pa.array([v.tolist() for v in out], pa.list_(pa.float64()))})
+
+    before = cut.mapInArrow(end_states, ends).groupBy(*keys).applyInArrow(carry, T.StructType([*[cut.schema[k] for k in keys], T.StructField(order, T.LongType()), T.StructField("before", states)]))
+    both = cut.join(before, [*keys, order])
+    schema = T.StructType([*[f for f in both.schema.fields if f.name not in ("before", "init")], T.StructField("y", states)])
+
+    def filtered(batches):
+        f = Recursion(b, a)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                y = f.run(one.column("x").flatten().to_numpy(zero_copy_only=False), np.array(one.column("before")[0].as_py()))[0]
+                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in schema.names[:-1]], array(y)], names=schema.names)
+
+    return both.mapInArrow(filtered, schema)
+
+
+def apply_iir(samples: DataFrame, b: Sequence[float], a: Sequence[float] = (1.0,), zero_phase: bool = True, keys: Sequence[str] = RECORD, block: int = BLOCK) -> DataFrame:
+    """(keys, n, y) of records of any length, cut into blocks between which only the state of the delays is carried. zero_phase: forward and backward over
+    the record extended oddly by three times the longer side; records that are no longer than that go forward only."""
+    b, a = [float(v) for v in np.atleast_1d(b)], [float(v) for v in np.atleast_1d(a)]
+    pad = 3 * max(len(a), len(b))
+    cut = blocks(samples, max(block, pad + 2), 0, keys)
+    alone = (F.col("blocks") == 1) & (F.size("x") <= pad) if zero_phase else F.lit(True)
+    size = F.size("x")
+    first, last = F.col("block") == 0, F.col("block") == F.col("blocks") - 1
+    none = F.array().cast("array<double>")
+    odd = lambda at, x: F.transform(x, lambda v: 2 * at - v)
+    head = F.when(first & ~alone, odd(F.col("x")[0], F.reverse(F.slice("x", 2, pad)))).otherwise(none)
+    tail = F.when(last & ~alone, odd(F.element_at("x", -1), F.reverse(F.slice("x", size - pad, F.lit(pad))))).otherwise(none)
+    zi = steady_state(np.array(b), np.array(a)).tolist()
+    rest = F.array(*[F.lit(v) for v in zi]) if zi else none
+    ready = cut.select(*keys, "block", "blocks", "start", alone.alias("alone"), F.size(head).alias("head"), F.size(tail).alias("tail"), F.concat(head, "x", tail).alias("x"))
+    forward = _carried(ready.withColumn("init", F.when(~F.col("alone"), F.transform(rest, lambda z: z * F.col("x")[0]))), b, a, keys, "block")
+    if zero_phase:
+        turned = forward.select(*keys, "block", "blocks", "start", "alone", "head", "tail", (F.col("blocks") - 1 - F.col("block")).alias("turn"), F.reverse("y").alias("x"), F.col("y").alias("once"))
+        turned = turned.withColumn("init", F.when(~F.col("alone"), F.transform(rest, lambda z: z * F.col("x")[0])))
+        back = _carried(turned, b, a, keys, "turn")
+        forward = back.withColumn("y", F.when(F.col("alone"), F.col("once")).otherwise(F.reverse("y")))
+    own = F.slice("y", F.col("head") + 1, F.size("y") - F.col("head") - F.col("tail"))
+    return samples_of(forward.select(*keys, "start", own.alias("y")), keys, "y")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectrel.operators.conditioning import RECORD
@@ -75,6 +75,47 @@ def representative(samples: DataFrame, size: int, candidates: int = 20, keys: Se
     return per.join(middle, list(keys)).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.idx", "b.rms")
 
 
+def sampled_windows(samples: DataFrame, size: int, hop: int, n_windows: int, keys: Sequence[str] = RECORD, keep: Sequence[str] = ("label",)) -> DataFrame:
+    """One row a window of `size` samples: keys, keep, number, idx, start, stop, win; of every record's frames n_windows evenly spread ones, all if there
+    are no more. Which frames are chosen follows from the record's length, so a sample goes to chosen frames only."""
+    length = samples.groupBy(*keys).agg(F.count("*").alias("length_"), *[F.min(k).alias(k) for k in keep])
+    c = frame_count(F.col("length_"), size, hop)
+    step = (c - 1) / F.lit(max(1, n_windows - 1))
+    last = n_windows - 1
+
+    def number(i):
+        """The place of frame i among the chosen ones, null if it isn't."""
+        near = F.ceil(i / step)
+        at = F.coalesce(*[F.when((j >= 0) & (j < last) & (F.floor(j * step) == i), j) for j in (near - 1, near, near + 1)])
+        many = F.when(i == c - 1, F.lit(last)).otherwise(at) if n_windows > 1 else F.when(i == 0, F.lit(0))
+        return F.when(c <= n_windows, i).otherwise(many).cast("long")
+
+    first = F.greatest(F.lit(0), F.ceil((F.col("n") - size + 1) / F.lit(hop)))
+    end = F.least(F.floor(F.col("n") / F.lit(hop)), c - 1)
+    frames = F.when(first <= end, F.sequence(first.cast("long"), F.greatest(first, end).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    plain = [k for k in samples.columns if k not in keep]
+    placed = samples.select(*plain).join(length, list(keys)).select(*plain, *keep, "length_", F.explode(frames).alias("idx")).withColumn("number", number(F.col("idx"))).where("number is not null")
+    win = F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("win")
+    out = placed.groupBy(*keys, "number", "idx").agg(*[F.min(k).alias(k) for k in keep], win)
+    return out.select(*keys, *keep, "number", "idx", (F.col("idx") * hop).alias("start"), (F.col("idx") * hop + size).alias("stop"), "win")
+
+
+def blocks(samples: DataFrame, size: int, before: int = 0, keys: Sequence[str] = RECORD) -> DataFrame:
+    """Records cut into blocks: keys, block, blocks, start (of the array's samples), x (array). A block has `size` samples, the last one of a record up to
+    twice as many, and the `before` samples before it. So a long record is never held by one task."""
+    length = samples.groupBy(*keys).agg(F.count("*").alias("length_"))
+    n = F.greatest(F.lit(1), F.floor(F.col("length_") / F.lit(size))).cast("long")
+    own = F.least(F.floor(F.col("n") / F.lit(size)), F.col("blocks") - 1)
+    reach = F.least(F.floor((F.col("n") + before) / F.lit(size)), F.col("blocks") - 1)
+    placed = samples.select(*keys, "n", "x").join(length.select(*keys, n.alias("blocks")), list(keys)).select(*keys, "n", "x", "blocks", F.explode(F.sequence(own.cast("long"), reach.cast("long"))).alias("block"))
+    rows = placed.groupBy(*keys, "block", "blocks").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("s"))
+    return rows.select(*keys, "block", "blocks", F.col("s")[0]["n"].alias("start"), F.transform("s", lambda v: v["x"]).alias("x"))
+
+
 def chunks(frames: DataFrame, parts: int, keys: Sequence[str] = RECORD) -> DataFrame:
-    """frames with chunk: which of `parts` consecutive slices of its record a frame is in."""
-    return frames.withColumn("chunk", F.ntile(parts).over(Window.partitionBy(*keys).orderBy("idx")) - 1)
+    """frames (idx from 0 without gaps) with chunk: which of `parts` consecutive slices of its record a frame is in, the first ones longer by one."""
+    count = frames.groupBy(*keys).agg(F.count("*").alias("c_"))
+    short, more = F.floor(F.col("c_") / F.lit(parts)), F.col("c_") % parts
+    i, cut = F.col("idx"), more * (short + 1)
+    chunk = F.when(i < cut, F.floor(i / (short + 1))).otherwise(more + F.floor(F.try_divide(i - cut, short)))
+    return frames.join(count, list(keys)).withColumn("chunk", chunk.cast("int")).drop("c_")

@@ -1,7 +1,7 @@
 """Spectra of framed windows, relationally: windows in long form (keys, n, x) joined with a table of weighted sines of fixed size and summed
 by frequency. The sums are combined map-side, so a row for each window and frequency is what is shuffled.
 
-For long windows (from some hundred samples on) kernels.py has the same results by FFT in Arrow batches.
+A window of N samples makes N * N / 2 products here; kernels.py has the same results by FFT in Arrow batches, and is what queries use.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spectrel.functions.columns import decibels, finite_or, ratio
 from spectrel.functions.windows import weight, weights
+from spectrel.operators.robust import exact_medians
 
 WINDOW = ("group_id", "part", "window_id")
 
@@ -137,11 +138,13 @@ def equal_bands(fs: float, count: int) -> list[tuple[float, float]]:
 
 def band_powers(spectrum: DataFrame, bands: Sequence[tuple[float, float]], keys: Sequence[str] = WINDOW) -> DataFrame:
     """(keys, band from 1, power): the integral of the straight line between neighbouring frequencies over each band, so that
-    adjacent bands leave no gap. Bands are few and fixed: each piece is cut against all of them in one expression."""
+    adjacent bands leave no gap. Negative frequencies are mirrored, and both sides' powers added. Bands are few and fixed: each piece is cut against
+    all of them in one expression."""
     if any(b <= a for a, b in bands):
         raise ValueError("a band's upper edge is above its lower one")
-    v, w = finite_or(F.col("psd")), by_frequency(keys)
-    seg = spectrum.select(*keys, F.col("freq_hz").alias("f"), v.alias("v"), F.lead("freq_hz").over(w).alias("g"), F.lead(v).over(w).alias("u")).where("g IS NOT NULL")
+    sides = spectrum.select(*keys, (F.col("freq_hz") < 0).alias("side_"), F.abs("freq_hz").alias("freq_hz"), finite_or(F.col("psd")).alias("v"))
+    w = by_frequency([*keys, "side_"])
+    seg = sides.select(*keys, F.col("freq_hz").alias("f"), "v", F.lead("freq_hz").over(w).alias("g"), F.lead("v").over(w).alias("u")).where("g IS NOT NULL")
     slope = (F.col("u") - F.col("v")) / (F.col("g") - F.col("f"))
     parts = []
     for a, b in bands:
@@ -160,8 +163,8 @@ def diagnostics(spectrum: DataFrame, keys: Sequence[str] = WINDOW) -> DataFrame:
 
 
 def median_spectrum(spectrum: DataFrame, keys: Sequence[str] = ("part",)) -> DataFrame:
-    """(keys, k, freq_hz, psd): the median over the windows at every frequency."""
-    return spectrum.groupBy(*keys, "k").agg(F.min("freq_hz").alias("freq_hz"), F.median("psd").alias("psd"))
+    """(keys, k, freq_hz, psd): the exact median over the windows at every frequency, for any number of windows."""
+    return exact_medians(spectrum, [*keys, "k"], ["psd"], keep=["freq_hz"])
 
 
 def peak(spectrum: DataFrame, value: str, keys: Sequence[str] = WINDOW, digits: int = 12) -> DataFrame:
@@ -183,6 +186,37 @@ def unit_area(spectrum: DataFrame, keys: Sequence[str] = WINDOW) -> DataFrame:
     return spectrum.join(psd_power(spectrum, keys), list(keys)).withColumn("shape", ratio(F.col("psd"), F.col("power"))).drop("power")
 
 
+def interior(spectrum: DataFrame, fs: float) -> DataFrame:
+    """spectrum without the frequency 0 and those from half the rate on."""
+    return spectrum.where((F.col("freq_hz") > 0) & (F.col("freq_hz") < fs / 2))
+
+
+def search_range(spectrum: DataFrame, fs: float, low: float = 0.02, high: float = 0.92) -> DataFrame:
+    """spectrum at frequencies between two shares of half the rate, both excluded."""
+    return spectrum.where((F.col("freq_hz") > low * (fs / 2)) & (F.col("freq_hz") < high * (fs / 2)))
+
+
+def band_around(spectrum: DataFrame, fs: float, width: float, keys: Sequence[str] = WINDOW, least: float = 1.0, most: float = 0.95, otherwise: float = 0.10) -> DataFrame:
+    """(keys, peak_hz, low_hz, high_hz): a band about the largest density of the search range, kept within `least` Hz and a share of half the rate. A
+    spectrum without any frequency in the range has its peak at the share `otherwise` of the rate."""
+    top = peak(search_range(spectrum, fs), "psd", keys)
+    at = F.coalesce("peak_hz", F.lit(otherwise * fs))
+    out = spectrum.select(*keys).distinct().join(top, list(keys), "left").select(*keys, at.alias("peak_hz"))
+    return out.select(*keys, "peak_hz", F.greatest(F.lit(least), F.col("peak_hz") - width / 2).alias("low_hz"), F.least(F.lit(most * fs / 2), F.col("peak_hz") + width / 2).alias("high_hz"))
+
+
+def most_different_band(powers: DataFrame, kind: str, one: str, other: str, keys: Sequence[str] = (), digits: int = 12) -> DataFrame:
+    """(keys, band, difference): the first band whose share of all bands' power differs most between two kinds (values of the column `kind`).
+    powers: keys, kind, band, power."""
+    keys = list(keys)
+    total = powers.groupBy(*keys, kind).agg(F.sum("power").alias("total_"))
+    share = powers.join(total, [*keys, kind]).withColumn("share_", ratio(F.col("power"), F.col("total_")))
+    side = lambda v: F.sum(F.when(F.col(kind) == v, F.col("share_")))
+    bands = share.groupBy(*keys, "band").agg((side(one) - side(other)).alias("d_"))
+    best = F.min(F.struct((-F.round(F.abs("d_"), digits)).alias("v"), "band", F.col("d_").alias("difference"))).alias("b")
+    return bands.groupBy(*keys).agg(best).select(*keys, "b.band", "b.difference")
+
+
 def closed_band_power(spectrum: DataFrame, low: float, high: float, keys: Sequence[str] = WINDOW) -> DataFrame:
     """(keys, power): trapezoids over the frequencies from low to high, edges as they are."""
     return psd_power(spectrum.where(F.col("freq_hz").between(low, high)), keys)

@@ -67,18 +67,25 @@ def add_tone(samples: DataFrame, fs: float, hz: float, sir_db: float, keys: Sequ
 
 
 def add_impulses(samples: DataFrame, fraction: float, amplitude_rms: float, seed: int, keys: Sequence[str] = RECORD) -> DataFrame:
-    """samples with max(1, round(fraction * length)) impulses of both signs in each record, at the places whose hash is smallest."""
+    """samples with max(1, round(fraction * length)) impulses of both signs in each record, at the places whose hash is smallest. Hashes are even: samples
+    are numbered in 4,096 buckets of the hash, and only in the bucket in which the number is reached."""
     from pyspark.sql import Window
 
     if not 0 < fraction <= 1 or amplitude_rms <= 0:
         raise ValueError("fraction is above 0 and at most 1, the amplitude positive")
     ids = [F.col(k) for k in keys]
-    out = samples.join(_rms(samples, keys), list(keys)).withColumn("u_", uniform(seed, *ids, F.col("n")))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("u_", "n"))
+    stats = _rms(samples, keys).withColumn("wanted_", F.greatest(F.lit(1), F.rint(F.col("count_") * fraction)).cast("long"))
+    out = samples.withColumn("u_", uniform(seed, *ids, F.col("n"))).withColumn("b_", F.floor(F.col("u_") * 4096))
+    before = F.coalesce(F.sum("size_").over(Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = out.groupBy(*keys, "b_").agg(F.count("*").alias("size_")).withColumn("before_", before)
+    out = out.join(stats, list(keys)).join(size, [*keys, "b_"])
     sign = F.when(uniform(seed, *ids, F.col("n"), turn=1) < 0.5, -1.0).otherwise(1.0)
-    hit = F.col("rank_") <= F.greatest(F.lit(1), F.rint(F.col("count_") * fraction))
-    out = out.withColumn("rank_", rank)
-    return out.withColumn("x", F.when(hit, F.col("x") + sign * amplitude_rms * F.col("rms_")).otherwise(F.col("x"))).drop("rms_", "count_", "u_", "rank_")
+    struck = lambda df: df.withColumn("x", F.col("x") + sign * amplitude_rms * F.col("rms_"))
+    whole, none = F.col("before_") + F.col("size_") <= F.col("wanted_"), F.col("before_") >= F.col("wanted_")
+    cut = out.where(~whole & ~none).withColumn("rank_", F.row_number().over(Window.partitionBy(*keys, "b_").orderBy("u_", "n")) + F.col("before_"))
+    columns = samples.columns
+    parts = [struck(out.where(whole)), out.where(none), struck(cut.where("rank_ <= wanted_")), cut.where("rank_ > wanted_")]
+    return parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns)).unionByName(parts[3].select(*columns))
 
 
 def cap_per_group(rows: DataFrame, most: int | None, seed: int, group: str = "group_id", row: str = "window_id") -> DataFrame:
