@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectrel.functions.columns import gaussian
+from spectrel.functions.tables import shared_folder, stored
+from spectrel.operators import bundle as bu
 from spectrel.operators import conditioning as co
 from spectrel.operators import decision as de
-from spectrel.operators import features as feat
 from spectrel.operators import filters as fi
 from spectrel.operators import framing as fr
 from spectrel.operators import kernels, robust
 from spectrel.operators import learning as le
+from spectrel.operators import recordings as re
 from spectrel.operators import synth as sy
+from spectrel.operators.features import FeatureConfig, fold_bands
 from spectrel.plans.decision_queries import ACTIVITY, GROUP_CTES, GUARD, REJECTION, REP, SCORE_COLUMNS, THRESHOLD, METRICS, report_sql
-from spectrel.plans.fixtures import EMB_SQL, FS, SHIP_SQL, emb_arrays, emb_windows, ship_series
+from spectrel.plans.fixtures import EMB_SQL, FS, SHIP_SQL, contents, emb_arrays, emb_windows, manifest, planted
 from spectrel.plans.registry import query
 from spectrel.plans.series_queries import PRE, STARTS, frames_sql, hex_uniform, normal_sql
-from spectrel.plans.spectral_queries import FEATURE_CTES, features4, rounded
+from spectrel.plans.spectral_queries import FEATURE_CTES, FEATURES4, features4, rounded
+from spectrel.sources import readers as rd
+from spectrel.sources import sinks as sk
 
 Condition = Callable[[DataFrame], DataFrame]
 WINDOW_KEYS = ("group_id", "part", "label", "window_id", "condition")
@@ -48,9 +55,10 @@ def decided(features: DataFrame, threshold: float, rejection: float, weights=ACT
     return de.decide_binary(groups, threshold, rejection)
 
 
-def audit(windows: DataFrame, conditions: Mapping[str, Condition], fs: float, threshold: float, rejection: float) -> DataFrame:
-    """(condition, the report, false alarms, detection, coverage)."""
-    rows = decided(features_of(sweep(windows, conditions), fs, 4, 32, 16), threshold, rejection)
+def audit(windows: DataFrame, fs: float, threshold: float, rejection: float) -> DataFrame:
+    """(condition, the report, false alarms, detection, coverage) of windows with their condition, as samples or as arrays."""
+    features = features_of(windows, fs, 4, 32, 16) if "n" in windows.columns else kernels.feature_table(windows, fs, 4, 32, "hann", "win", 16)
+    rows = stored(decided(features, threshold, rejection))  # a row a group and condition
     report = de.report(rows, prediction="visible", keys=["condition"])
     return report.join(de.detection(rows, keys=["condition"]), "condition")
 
@@ -64,10 +72,6 @@ def restored(change: Condition) -> Condition:
     return run
 
 
-def noise(snr_db: float, seed: int = 11) -> Condition:
-    return restored(lambda w: sy.add_noise(w, snr_db, seed))
-
-
 def bits(n: int) -> Condition:
     return lambda w: co.quantize(w, n).withColumn("x", F.col("xq")).drop("xq")
 
@@ -76,29 +80,6 @@ def only_part(part: str) -> Condition:
     return lambda w: w.where(F.col("part") == part)
 
 
-def calibrate(features: DataFrame, columns: Sequence[str], label: str, splits: int = 5) -> DataFrame:
-    """One row: threshold and rejection margin from out-of-fold scores, and the report with them."""
-    scores = le.out_of_fold(features, columns, label, splits).withColumn("score", F.round(f"score__{de.TARGET}", 9)).drop(f"score__{de.TARGET}")
-    scores = scores.cache()  # a row a group
-    t = de.choose_threshold(scores, "score", label).first()["threshold"]
-    r = de.choose_rejection(de.decide_binary(scores, t, 0.0).withColumn("margin", F.round("margin", 9)), label).first()
-    margin = r["rejection_margin"] if r else 0.0
-    out = de.decide_binary(scores, t, margin)
-    return de.report(out, label).crossJoin(de.detection(out, label)).withColumns({"threshold": F.lit(t), "rejection_margin": F.lit(margin)})
-
-
-def configuration_sweep(windows: DataFrame, fs: float, configs: Sequence[tuple[str, int]], label: str, splits: int = 5) -> DataFrame:
-    """(window, band_count, mean, dispersion) of out-of-fold balanced accuracies; select_band_count() picks one."""
-    out = None
-    for name, bands in configs:
-        rows = kernels.feature_table(windows, fs, bands, 32, name, "win", 16).cache()
-        scores = le.out_of_fold(rows, feat.feature_columns(bands)[3:], label, splits)
-        top = de.top_predictions(scores, [c for c in scores.columns if c.startswith("score__")])
-        one = de.fold_dispersion(top, label).withColumns({"window": F.lit(name), "band_count": F.lit(bands)})
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 #: Features of windows under conditions: emb with the condition in the group's and the window's name, then the same steps.
 def conditions_sql(emb: str) -> str:
     ctes = FEATURE_CTES.replace("WITH " + EMB_SQL, "WITH " + EMB_SQL.replace("emb AS MATERIALIZED", "emb0 AS MATERIALIZED") + ", emb AS MATERIALIZED (" + emb + ")")
@@ -115,17 +96,66 @@ def audit_sql(emb: str) -> str:
 
 
 def audited(spark, d, conditions):
-    out = rounded(audit(emb_windows(spark, d), conditions, FS, THRESHOLD, REJECTION), 9, *METRICS, "detection_rate", "coverage")
+    """conditions: functions of the windows, or windows with their condition."""
+    out = audit(sweep(emb_windows(spark, d), conditions) if isinstance(conditions, dict) else conditions, FS, THRESHOLD, REJECTION)
+    out = rounded(out, 9, *METRICS, "detection_rate", "coverage")
     return out.select("condition", *METRICS, "n_groups", "false_alarm_count", "detection_rate", "coverage")
 
 
-LEVELS = (-5, 0, 5, 10, 20)
-NOISE_ID = "concat('11:', group_id, ':', part, ':', CAST(window_id * 64 + n AS VARCHAR))"
+LEVELS, REPEATS = (-5, 0, 5, 10, 20), 5
+
+
+def noise_grid(windows: DataFrame, levels: Sequence[int], repeats: int, seed: int = 11) -> DataFrame:
+    """windows (long form) once for each noise level and repetition, with noise of the part's RMS and of the repetition's seed; condition: level/repetition."""
+    spark = windows.sparkSession
+    grid = spark.createDataFrame([(v, r) for v in levels for r in range(repeats)], "snr int, rep int")
+    rms = windows.groupBy("group_id", "part").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    rows = windows.join(rms, ["group_id", "part"]).crossJoin(F.broadcast(grid))
+    g = gaussian(F.col("rep") + seed, F.col("group_id"), F.col("part"), F.col("window_id") * 64 + F.col("n"))
+    x = F.col("x") + F.col("rms") * F.pow(F.lit(10.0), -F.col("snr") / 20) * g
+    return rows.withColumn("x", x).withColumn("condition", F.concat_ws("/", "snr", "rep")).drop("rms", "snr", "rep")
+
+
+NOISE_ID = "concat(CAST(11 + rep AS VARCHAR), ':', group_id, ':', part, ':', CAST(window_id * 64 + n AS VARCHAR))"
+NOISE_SQL = audit_sql(f"SELECT concat(group_id, '|', CAST(snr AS VARCHAR), '/', CAST(rep AS VARCHAR)) AS group_id, part, label, window_id * 1000 + (snr + 5) * 10 + rep AS window_id, n, x + r * power(10, -snr / 20.0::DOUBLE) * {normal_sql(NOISE_ID)} AS x FROM (SELECT *, sqrt(avg(x * x) OVER (PARTITION BY group_id, part)) AS r FROM emb0), (SELECT unnest([-5, 0, 5, 10, 20]) AS snr), (SELECT unnest(range(5)) AS rep)")
 
 
-@query("j05_noise_sensitivity", audit_sql(f"SELECT concat(group_id, '|', CAST(snr AS VARCHAR)) AS group_id, part, label, window_id * 100 + snr AS window_id, n, x + r * power(10, -snr / 20.0::DOUBLE) * g AS x FROM (SELECT *, sqrt(avg(x * x) OVER (PARTITION BY group_id, part)) AS r, {normal_sql(NOISE_ID)} AS g FROM emb0), (SELECT unnest([-5, 0, 5, 10, 20]) AS snr)"))
+@query("j05_noise_sensitivity", NOISE_SQL)
 def j05(spark, d):
-    return audited(spark, d, {str(v): noise(v) for v in LEVELS})
+    """Five levels, five repetitions each."""
+    return audited(spark, d, noise_grid(emb_windows(spark, d), LEVELS, REPEATS))
+
+
+SUMMARY = ("balanced_accuracy", "detection_rate", "coverage")
+
+
+@query("j05_noise_summary", "WITH w AS (" + NOISE_SQL + ") SELECT CAST(split_part(condition, '/', 1) AS INTEGER) AS snr, " + ", ".join(f"round({f}({m}), 6) AS {m}_{n}" for m in SUMMARY for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + " FROM w GROUP BY ALL")
+def j05s(spark, d):
+    """By level the mean, least and largest figures of the repetitions."""
+    rows = j05(spark, d).withColumn("snr", F.split("condition", "/")[0].cast("int"))
+    return rows.groupBy("snr").agg(*[F.round(f(m), 6).alias(f"{m}_{n}") for m in SUMMARY for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
+
+
+def window_slice(windows: DataFrame, start: int, stop: int) -> DataFrame:
+    """Of windows with their place idx those from start to before stop."""
+    return windows.where((F.col("idx") >= start) & (F.col("idx") < stop))
+
+
+@query("j03_chunks", audit_sql("SELECT concat(group_id, '|', CAST(c AS VARCHAR)) AS group_id, part, label, window_id * 10 + c AS window_id, n, x FROM emb0 JOIN (SELECT window_id, ntile(4) OVER (PARTITION BY group_id, part ORDER BY window_id) - 1 AS c FROM (SELECT DISTINCT window_id, group_id, part FROM emb0)) USING (window_id)"))
+def j03c(spark, d):
+    """Four consecutive slices of every part's windows, each decided alone."""
+    place = F.row_number().over(Window.partitionBy("group_id", "part").orderBy("window_id")) - 1  # a part's windows, a few hundred
+    w = emb_arrays(spark, d).withColumn("idx", place)
+    rows = fr.chunks(w, 4).withColumn("condition", F.col("chunk").cast("string"))
+    return audited(spark, d, rows.drop("idx", "chunk"))
+
+
+@query("h10_views", "WITH " + EMB_SQL + ", i AS (SELECT window_id, row_number() OVER (PARTITION BY group_id, part ORDER BY window_id) - 1 AS idx FROM (SELECT DISTINCT window_id, group_id, part FROM emb)) SELECT group_id, part, count(DISTINCT window_id) AS windows, round(sqrt(avg(x * x)), 9) AS rms FROM emb JOIN i USING (window_id) WHERE part = 'L' AND idx >= 1 AND idx < 4 GROUP BY group_id, part")
+def h10(spark, d):
+    """A view of one part and a range of its windows."""
+    place = F.row_number().over(Window.partitionBy("group_id", "part").orderBy("window_id")) - 1
+    w = window_slice(only_part("L")(emb_arrays(spark, d)).withColumn("idx", place), 1, 4).select("group_id", "part", "window_id", F.explode("win").alias("x"))
+    return w.groupBy("group_id", "part").agg(F.count_distinct("window_id").alias("windows"), F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 9).alias("rms"))
 
 
 @query("j03_bits", audit_sql("SELECT concat(group_id, '|', CAST(b AS VARCHAR)) AS group_id, part, label, window_id * 100 + b AS window_id, n, (round_even(CAST((greatest(-1, least(1, x / s)) + 1) / 2 * (2 ** b - 1) AS DOUBLE), 0) / (2 ** b - 1) * 2 - 1) * s AS x FROM (SELECT *, max(abs(x)) OVER (PARTITION BY group_id, part) AS s FROM emb0), (SELECT unnest([4, 6, 8, 12]) AS b)"))
@@ -161,9 +191,8 @@ def j07(spark, d):
 @query("j09_out_of_domain")
 def j09(spark, d):
     """The synthetic controls against the domain guard of the windows' features: all are to be rejected."""
-    feats = features4(spark, d)
-    params, limit = robust.calibrate_domain(robust.group_vectors(feats, GUARD), GUARD)
-    w = sy.controls(spark, 6400).withColumn("window_id", F.floor(F.col("n") / 64)).withColumn("n", F.pmod("n", F.lit(64))).withColumn("label", F.lit("control")).withColumn("condition", F.lit(""))
+    params, limit = robust.calibrate_domain(stored(robust.group_vectors(features4(spark, d), GUARD)), GUARD)
+    w = sy.controls(spark).withColumn("window_id", F.floor(F.col("n") / 64)).withColumn("n", F.pmod("n", F.lit(64))).withColumn("label", F.lit("control")).withColumn("condition", F.lit(""))
     found = robust.group_vectors(features_of(w, FS, 4, 32, 16), GUARD)
     return robust.check_domain(found, params, limit, GUARD)
 
@@ -178,38 +207,150 @@ def j08(spark, d):
     return out.select("group_id", "score", "visible")
 
 
+#: The configuration of the suppliers' recordings.
+CONFIG = FeatureConfig(64, 32, 7, 4, 32, "hann", FS)
+#: Windows of the recordings in place of embeddings, with 64 samples; from there on the features' SQL is the same.
+FRAMES_SQL = f"""{SHIP_SQL}, {PRE}, {frames_sql(64, 32)}, {STARTS}, nmb AS (SELECT group_id, part, CAST(idx AS BIGINT) AS idx, row_number() OVER (PARTITION BY group_id, part ORDER BY idx) - 1 AS number FROM chosen),
+emb AS MATERIALIZED (SELECT pre.group_id, pre.part, pre.label, concat(pre.group_id, '_', lower(pre.part), ':', CAST(number AS VARCHAR)) AS window_id, pre.n - nmb.idx * 32 AS n, x FROM nmb JOIN pre ON nmb.group_id = pre.group_id AND nmb.part = pre.part AND pre.n >= nmb.idx * 32 AND pre.n < nmb.idx * 32 + 64)"""
+FILE_CTES = FEATURE_CTES.replace("WITH " + EMB_SQL, "WITH " + FRAMES_SQL)
+PARTITION_SQL = "CASE WHEN (k // 10) % 10 < 6 THEN 'dev' WHEN (k // 10) % 10 < 9 THEN 'eval' ELSE 'holdout' END"
+FILE_ROWS = FILE_CTES + f", o AS (SELECT *, CAST(substr(group_id, 3) AS BIGINT) AS k FROM ft) SELECT window_id, group_id, part, {PARTITION_SQL} AS partition, {', '.join(f'round({c}, 6) AS {c}' for c in FEATURES4)} FROM o"
+
+
+def recorded(spark, d):
+    """(manifest, contents as arrays) of the suppliers' recordings."""
+    return manifest(spark, d), contents(spark, d).select("path", rd.numbers(F.col("text")).alias("x"))
+
+
+@query("g13_file_features", FILE_ROWS)
+def g13(spark, d):
+    """From files as text to features: the reader, the rate check, conditioning, evenly spread windows, the kernel."""
+    out = re.file_features(*recorded(spark, d), CONFIG)
+    return rounded(out.select("window_id", "group_id", "part", "partition", *FEATURES4), 6, *FEATURES4)
+
+
+@query("j01_feature_build", f"SELECT * FROM ({FILE_ROWS}) WHERE partition <> 'holdout'")
+def j01(spark, d):
+    """A build at a folder of its own, broken off after the development files and resumed: locked configuration, files once each, checks at the end."""
+    files, text = recorded(spark, d)
+    at = f"{shared_folder(spark)}/build-{uuid.uuid4().hex}"
+    re.build_features(files.where("partition = 'dev'"), text, at, CONFIG)
+    out = re.build_features(files, text, at, CONFIG)
+    return rounded(out.select("window_id", "group_id", "part", "partition", *FEATURES4), 6, *FEATURES4)
+
+
+def planted_features(spark, d, config=None, change=lambda s: s):
+    """Features (20 bands) of the recordings with tones, with the manifest's facts."""
+    facts = manifest(spark, d).select("group_id", "part", *re.FACTS)
+    return re.window_features(change(planted(spark, d)), config or FeatureConfig(64, 32, 7, 20, 32, "hann", FS)).join(facts, ["group_id", "part"])
+
+
+_calibrated: dict = {}
+
+
+def calibrated(spark, d):
+    """(bundle, report, comparison) of the recordings with tones: calibrated, the policy applied, saved and loaded again. Once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _calibrated:
+        rows = planted_features(spark, d).where("partition <> 'holdout'")
+        bundle, report, comparison = bu.calibrate(rows)
+        path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+        bu.save_bundle(spark, bu.with_policy(bundle, report), path)
+        _calibrated[key] = (bu.load_bundle(spark, path), report, comparison)
+    return _calibrated[key]
+
+
 @query("j02_calibration")
 def j02(spark, d):
-    return calibrate(features4(spark, d).coalesce(2).cache(), ["crest_factor", "peak", "rel_band_power_1"], "label", 3)
+    """A row a stage: out-of-fold figures of development, the baseline's, thresholds, and the figures of reserved evaluation."""
+    return calibrated(spark, d)[1]
 
 
-@query("j01_feature_build", f"WITH {SHIP_SQL}, {PRE}, {frames_sql(32, 16)}, {STARTS} SELECT group_id, part, CAST(idx AS BIGINT) AS idx, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS peak, round(max(abs(x)) / sqrt(avg(x * x)), 6) AS crest_factor FROM chosen JOIN pre USING (group_id, part) WHERE n >= idx * 16 AND n < idx * 16 + 32 GROUP BY group_id, part, idx")
-def j01(spark, d):
-    """From raw records to the feature table: conditioned, framed, evenly sampled, then the Arrow kernel; the time features are what SQL restates."""
-    recs = co.records(co.preprocess(ship_series(spark, d)))
-    frames = fr.deterministic_starts(fr.frame_arrays(recs, 32, 16), 7)
-    out = kernels.feature_table(frames, FS, 4, 16, "hann", "win", 8)
-    return rounded(out.select("group_id", "part", "idx", "rms", "peak", "crest_factor"), 6, "rms", "peak", "crest_factor")
+@query("j02_band_comparison")
+def j02b(spark, d):
+    """4, 10 and 20 bands over four stages, five folds each: 60 models, fitted together."""
+    return calibrated(spark, d)[2]
+
+
+@query("j15_policy")
+def j15(spark, d):
+    """The conservative policy on a loaded bundle: which stages may decide."""
+    b = calibrated(spark, d)[0]
+    rows = [(k, v["reserved_passed"], v["enabled"]) for k, v in b["stage_reliability"].items()]
+    return spark.createDataFrame(rows, "stage string, reserved_passed boolean, enabled boolean")
+
+
+@query("j15_holdout_decisions")
+def j15h(spark, d):
+    """The held-out package, whose windows carry no label, decided with the loaded bundle; what was expected is joined afterwards."""
+    rows = planted_features(spark, d).where("partition = 'holdout'")
+    bundle = calibrated(spark, d)[0]
+    features = fold_bands(rows, 20, bundle["band_count"]) if bundle["band_count"] != 20 else rows
+    at = f"{shared_folder(spark)}/package-{uuid.uuid4().hex}"
+    hidden = features.select("group_id", "part", "window_id", *bundle["feature_columns"])
+    sk.write_package(hidden, f"{at}/windows", rows.select("group_id", "activity", "model", "mode").distinct(), f"{at}/catalogue")
+    out = bu.decide(bundle, spark.read.parquet(f"{at}/windows"))
+    expected = spark.read.parquet(f"{at}/catalogue").select("group_id", *[F.col(c).alias(f"expected_{c}") for c in ("activity", "model", "mode")])
+    return out.join(expected, "group_id").select("group_id", "state", "model", "mode", "last_level", "stopped_reason", "expected_activity", "expected_model", "expected_mode")
+
+
+@query("j12_result_tables")
+def j12r(spark, d):
+    """By level the baseline's, development's and reserved balanced accuracy, and coverage and accuracy of the held-out decisions."""
+    stages = calibrated(spark, d)[1].select("stage", "dummy", F.col("dev_balanced_accuracy").alias("development"), F.col("balanced_accuracy").alias("evaluation"))
+    held = stored(j15h(spark, d))
+    rows = None
+    for stage, got, expected, where in (("activity", "state", "expected_activity", "true"), ("model", "model", "expected_model", "expected_activity = 'target'"), ("mode", "mode", "expected_mode", "expected_activity = 'target'")):
+        seen = held.where(where).withColumn("got", F.nullif(F.col(got), F.lit(de.INCONCLUSIVE)))
+        right = F.avg(F.when(F.col("got").isNotNull(), (F.col("got") == F.col(expected)).cast("double")))
+        one = seen.agg(F.lit(stage).alias("stage"), F.avg(F.col("got").isNotNull().cast("double")).alias("coverage"), right.alias("accuracy"))
+        rows = one if rows is None else rows.unionByName(one)
+    return stages.join(rows, "stage", "full")
+
+
+#: The configurations of the sweep: name, window size and window, the simplest first.
+SWEEP = (("n64_hann", 64, "hann"), ("n32_hann", 32, "hann"), ("n96_hann", 96, "hann"), ("n128_hann", 128, "hann"), ("n64_hamming", 64, "hamming"), ("n64_blackman", 64, "blackman"))
 
 
 @query("j04_configurations")
 def j04(spark, d):
-    sweep_ = configuration_sweep(emb_arrays(spark, d), FS, [("hann", 4), ("hamming", 10)], "label", 2)
-    return de.select_band_count(rounded(sweep_, 6, "mean", "dispersion"))
+    """Six configurations, 4, 10 and 20 bands, four stages, five folds: 360 models. By configuration its best number of bands, and which one is chosen."""
+    out = None
+    for i, (name, size, window) in enumerate(SWEEP):
+        dev = stored(planted_features(spark, d, FeatureConfig(size, size // 2, 100, 20, 32, window, FS)).where("partition = 'dev'"))
+        decided_, _, _, _ = bu.compare_bands(dev, 20)
+        one = de.select_band_count(bu.comparison_of(decided_, len(le.STAGES))).select(F.lit(name).alias("configuration"), F.lit(i).alias("simplicity"), "band_count", "mean", "dispersion")
+        out = one if out is None else out.unionByName(one)
+    out = stored(out)
+    best = de.select_configuration(out).select(F.col("configuration").alias("best"))
+    return out.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("configuration") == F.col("best")).drop("best", "simplicity")
 
 
 @query("j13_rehearsal")
 def j13(spark, d):
-    """Boolean checks of a rehearsal: a copy of the input decides alike, labels change nothing, one part alone is inconclusive, controls are rejected."""
-    w = emb_windows(spark, d)
-    a = decided(features_of(sweep(w, {"": lambda x: x}), FS, 4, 32, 16), THRESHOLD, REJECTION).select("group_id", "score", "visible")
-    b = decided(features_of(sweep(w.withColumn("label", F.lit("other")), {"": lambda x: x}), FS, 4, 32, 16), THRESHOLD, REJECTION).select("group_id", F.col("score").alias("s2"), F.col("visible").alias("v2"))
-    same = a.join(b, "group_id", "full").agg(F.coalesce(F.bool_and((F.abs(F.col("score") - F.col("s2")) < 1e-12) & (F.col("visible") == F.col("v2"))), F.lit(True)).alias("ok"))
-    single = decided(features_of(sweep(w, {"": only_part("L")}), FS, 4, 32, 16), THRESHOLD, REJECTION).agg(F.bool_and(F.col("parts_used") == 1).alias("ok"))
-    outside = j09(spark, d).agg(F.bool_and(~F.col("in_domain")).alias("ok"))
-    checks = (("copy_and_labels", same), ("single_part_is_seen", single), ("controls_rejected", outside))
+    """The rehearsal's five checks: background and activity are decided, one part alone isn't, a copy is decided alike, transients stop a decision."""
+    bundle = calibrated(spark, d)[0]
+    bands = bundle["band_count"]
+
+    def decisions(change=lambda s: s, where="partition = 'eval'"):
+        rows = planted_features(spark, d, change=change).where(where)
+        return bu.decide(bundle, fold_bands(rows, 20, bands) if bands != 20 else rows)
+
+    facts = manifest(spark, d).select("group_id", "activity").distinct()
+    plain = stored(decisions().join(facts, "group_id"))
+    again = stored(decisions()).select("group_id", F.col("state").alias("s2"), F.col("score").alias("c2"))
+    single = decisions(where="partition = 'eval' and part = 'L'")
+    struck = decisions(lambda s: sy.add_impulses(s, 0.02, 12.0, 5)).join(facts, "group_id").where("activity = 'background'")
+    share = lambda ok: F.avg(ok.cast("double"))
+    checks = {
+        "background_resolved": plain.where("activity = 'background'").agg((share(F.col("state") == "background") > 0.5).alias("ok")),
+        "activity_resolved": plain.where("activity = 'target'").agg((share(F.col("state") == "target") > 0.5).alias("ok")),
+        "single_part_inconclusive": single.agg(F.bool_and((F.col("state") == de.INCONCLUSIVE) & (F.col("stopped_reason") == "parts")).alias("ok")),
+        "copy_alike": plain.join(again, "group_id").agg(F.bool_and((F.col("state") == F.col("s2")) & (F.col("score") == F.col("c2"))).alias("ok")),
+        "transients_inconclusive": struck.agg(F.bool_and(F.col("state") == de.INCONCLUSIVE).alias("ok")),
+    }
     out = None
-    for name, df in checks:
-        one = df.select(F.lit(name).alias("check"), "ok")
+    for name, df in checks.items():
+        one = df.select(F.lit(name).alias("check"), F.coalesce("ok", F.lit(False)).alias("ok"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spectrel.functions.tables import stored
 from spectrel.operators import decision as de
 from spectrel.operators import robust
 from spectrel.plans.registry import query
@@ -34,8 +35,8 @@ gp AS (SELECT group_id, part, min(label) AS label, {', '.join(f'median({k}) AS {
 gs AS MATERIALIZED (SELECT group_id, min(label) AS label, {TRUE_MODEL} AS truth, CAST(substr(group_id, length(group_id), 1) AS INTEGER) % 5 AS fold, CAST(count(DISTINCT part) AS BIGINT) AS parts_used, {', '.join(f'round(avg({k}), 9) AS {k}' for k in SCORE_COLUMNS)} FROM gp GROUP BY group_id)"""
 
 
-def group_scores(spark, d):
-    x = features4(spark, d)
+def group_scores(spark, d, features=None):
+    x = features4(spark, d) if features is None else features
     x = de.linear_scores(x, ACTIVITY).withColumnRenamed("score__target", "s_act")
     x = de.linear_scores(x, MODEL, "s_")
     x = de.linear_scores(x, MODE, "s_")
@@ -97,8 +98,8 @@ def e07(spark, d):
 DOMAIN = PM + f", sc AS (SELECT {SCALES} FROM gv WHERE label = 'target'), ds AS (SELECT gv.group_id, gv.label, sqrt(({' + '.join(f'power(({c} - m_{c}) / s_{c}, 2)' for c in GUARD)}) / {len(GUARD)}) AS distance FROM gv, sc), th AS (SELECT greatest(max(distance) * 1.05, 1e-12) AS threshold, count(*) AS n, max(distance) AS top FROM ds WHERE label = 'target')"
 
 
-def guard_parts(spark, d):
-    feats = features4(spark, d)
+def guard_parts(spark, d, features=None):
+    feats = stored(features4(spark, d)) if features is None else features
     vectors = robust.group_vectors(feats, GUARD)
     params, limit = robust.calibrate_domain(robust.group_vectors(feats.where("label = 'target'"), GUARD), GUARD)
     return vectors, params, limit
@@ -127,7 +128,7 @@ def i23(spark, d):
 
 @query("i23_quality_check", QUALITY + " SELECT group_id, coalesce(string_agg(part, ',' ORDER BY part) FILTER (WHERE c > u), '') AS parts_over, count(*) FILTER (WHERE c > u) = 0 AS accepted FROM pc, lim GROUP BY group_id")
 def i23c(spark, d):
-    feats = features4(spark, d)
+    feats = stored(features4(spark, d))
     out = robust.check_quality(feats, robust.calibrate_quality(feats.where("label = 'target'")))
     return out.select("group_id", F.array_join("parts_over", ",").alias("parts_over"), "accepted")
 
@@ -231,10 +232,10 @@ def i20(spark, d):
 
 
 def hierarchy_groups(spark, d):
-    feats = features4(spark, d)
-    g = group_scores(spark, d).withColumnRenamed("s_act", "score")
+    feats = stored(features4(spark, d))
+    g = group_scores(spark, d, feats).withColumnRenamed("s_act", "score")
     parts = feats.groupBy("group_id").agg(F.array_sort(F.collect_set("part")).alias("parts"))
-    vectors, params, limit = guard_parts(spark, d)
+    vectors, params, limit = guard_parts(spark, d, feats)
     domain = robust.check_domain(vectors, params, limit, GUARD).select("group_id", (F.round("distance", 9) <= F.round("threshold", 9)).alias("in_domain"))
     quality = robust.check_quality(feats, robust.calibrate_quality(feats.where("label = 'target'"))).select("group_id", F.col("accepted").alias("quality_ok"))
     g = de.top_predictions(g, ["s_a", "s_b", "s_c"], "s_").withColumnRenamed("prediction", "model_top").withColumnRenamed("margin", "model_gap")
@@ -285,12 +286,13 @@ J14 = ("rms", "mean_power", "peak", "crest_factor", "psd_total_power", "spectral
 
 @query("j14_feature_summary", FEATURE_CTES + " SELECT part, " + ", ".join(f"round(median({c}){' / 1e6' if c.endswith('hz') else ''}, 9) AS {c.removesuffix('_hz') + '_mhz' if c.endswith('hz') else c}" for c in J14) + " FROM ft GROUP BY part")
 def j14(spark, d):
-    return features4(spark, d).groupBy("part").agg(*[F.round(F.median(c) / (1e6 if c.endswith("hz") else 1.0), 9).alias(c.removesuffix("_hz") + "_mhz" if c.endswith("hz") else c) for c in J14])
+    m = robust.exact_medians(features4(spark, d), ["part"], J14)
+    return m.select("part", *[F.round(F.col(c) / (1e6 if c.endswith("hz") else 1.0), 9).alias(c.removesuffix("_hz") + "_mhz" if c.endswith("hz") else c) for c in J14])
 
 
 @query("j10_quality_by_label", QUALITY + ", q AS (SELECT group_id, min(label) AS label, count(*) FILTER (WHERE c > u) = 0 AS ok FROM pc, lim GROUP BY group_id) SELECT label, count(*) AS groups, CAST(sum(CAST(ok AS INTEGER)) AS BIGINT) AS accepted FROM q GROUP BY label")
 def j10(spark, d):
-    feats = features4(spark, d)
+    feats = stored(features4(spark, d))
     ok = robust.check_quality(feats, robust.calibrate_quality(feats.where("label = 'target'")))
     labels = feats.groupBy("group_id").agg(F.min("label").alias("label"))
     return ok.join(labels, "group_id").groupBy("label").agg(F.count("*").alias("groups"), F.count_if("accepted").alias("accepted"))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectrel.operators.conditioning import preprocess
+from spectrel.sources.names import CLASSES
 
 #: Rate and size of the windows from embeddings.
 FS, SIZE = 64.0, 64
@@ -56,5 +62,39 @@ def emb_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb_arrays(spark, sf_dir).selectExpr("group_id", "part", "label", "window_id", "posexplode(win) as (n, x)").selectExpr("group_id", "part", "label", "window_id", "cast(n as bigint) as n", "x")
 
 
+#: Manifest of the suppliers' series: a class by the supplier's last digit, a partition by the digit before it. Rates of 64 Hz.
+MANIFEST = """
+select distinct concat('s_', cast(l_suppkey as string)) as group_id, case when l_linenumber % 2 = 0 then 'L' else 'H' end as part,
+       concat('raw/', cast(l_suppkey as string), case when l_linenumber % 2 = 0 then 'L' else 'H' end, '.csv') as relative_path,
+       l_suppkey % 10 as class_, cast(l_suppkey div 10 as int) as segment, 64.0d as sample_rate_hz,
+       case when (l_suppkey div 10) % 10 < 6 then 'dev' when (l_suppkey div 10) % 10 < 9 then 'eval' else 'holdout' end as partition
+from {lineitem}"""
+#: Frequencies of the tones that the models' signals carry.
+TONES = {"none": 0.0, "bebop": 5.0, "ar": 11.0, "phantom": 17.0}
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a file of the suppliers' series, with its class."""
+    kinds = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(CLASSES)], "class_ long, code string, activity string, model string, mode string")
+    return _view(spark, sf_dir, "lineitem", MANIFEST).join(F.broadcast(kinds), "class_").drop("class_")
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): each series as a line of numbers."""
+    s = ship_series(spark, sf_dir)
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"].cast("string")), ",")
+    path = F.concat(F.lit("raw/"), F.substring("group_id", 3, 20), "part", F.lit(".csv"))
+    return s.groupBy("group_id", "part").agg(line.alias("text")).select(path.alias("path"), "text")
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(group_id, part, label, n, x): the suppliers' conditioned series, those of targets with a tone by which their models can be told."""
+    kinds = manifest(spark, sf_dir).select("group_id", "part", "activity", "model").distinct()
+    hz = F.create_map(*[F.lit(v) for kv in TONES.items() for v in kv])[F.col("model")]
+    s = preprocess(ship_series(spark, sf_dir)).drop("label").join(kinds, ["group_id", "part"])
+    tone = F.when(F.col("model") == "none", 0.0).otherwise(0.8 * F.sin(2 * math.pi * hz * (F.col("n") / FS)))
+    return s.select("group_id", "part", F.col("activity").alias("label"), "n", (F.col("x") + tone).alias("x"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

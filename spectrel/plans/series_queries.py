@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spectrel.functions.columns import gaussian
 from spectrel.operators import conditioning as co
 from spectrel.operators import framing as fr
+from spectrel.operators import kernels
 from spectrel.operators import spectral as sp
 from spectrel.operators import synth as sy
 from spectrel.plans.fixtures import EMB_SQL, SHIP_SQL, USER_SQL, emb_windows, series_user, ship_series
@@ -79,14 +80,9 @@ def b04(spark, d):
 
 @query("b05_sampled_frames", f"WITH {SHIP_SQL}, {frames_sql(32, 16)}, {STARTS} SELECT concat(group_id, '_', lower(part), ':', CAST(row_number() OVER (PARTITION BY {G} ORDER BY idx) - 1 AS VARCHAR)) AS window_id, CAST(idx * 16 AS BIGINT) AS start, round(m, 8) AS mean FROM (SELECT {G}, idx, avg(x) AS m FROM chosen JOIN ser USING (group_id, part) WHERE n >= idx * 16 AND n < idx * 16 + 32 GROUP BY {G}, idx)")
 def b05(spark, d):
-    from pyspark.sql import Window
-
-    recs = co.records(ship_series(spark, d))
-    frames = fr.frame_arrays(recs, 32, 16)
-    chosen = fr.deterministic_starts(frames, 7)
-    number = F.row_number().over(Window.partitionBy("group_id", "part").orderBy("idx")) - 1
+    chosen = fr.sampled_windows(ship_series(spark, d), 32, 16, 7)
     mean = F.aggregate("win", F.lit(0.0), lambda a, v: a + v) / 32
-    return chosen.select(F.concat("group_id", F.lit("_"), F.lower("part"), F.lit(":"), number.cast("string")).alias("window_id"), "start", F.round(mean, 8).alias("mean"))
+    return chosen.select(F.concat("group_id", F.lit("_"), F.lower("part"), F.lit(":"), F.col("number").cast("string")).alias("window_id"), "start", F.round(mean, 8).alias("mean"))
 
 
 @query("b06_representative", f"""WITH {SHIP_SQL}, r AS (SELECT {G}, n // 32 AS idx, sqrt(avg(x * x)) AS rms, count(*) AS c FROM ser WHERE n < 640 GROUP BY {G}, n // 32 HAVING count(*) = 32),
@@ -174,24 +170,94 @@ def h06(spark, d):
     return sy.cap_per_group(rows, 10, 42)
 
 
-@query("h07_controls", f"""WITH l AS (SELECT n, n / 40e6::DOUBLE AS t, n / 40e6::DOUBLE AS tt FROM range(4000) r(n)), k AS (
+@query("h07_controls", f"""WITH l AS (SELECT n, n / 40e6::DOUBLE AS t, n / 40e6::DOUBLE AS tt FROM range(40000) r(n)), k AS (
 SELECT 'noise' AS group_id, n, {normal_sql("concat('42:noise:', CAST(n AS VARCHAR))")} AS x FROM l UNION ALL SELECT 'tone_1mhz', n, sin(2 * pi() * 1e6 * t) FROM l UNION ALL SELECT 'tone_10_5mhz', n, sin(2 * pi() * 10.5e6 * t) FROM l
 UNION ALL SELECT 'two_tones', n, sin(2 * pi() * 4e6 * t) + 0.7 * sin(2 * pi() * 12e6 * t) FROM l UNION ALL SELECT 'am', n, (1 + 0.6 * sin(2 * pi() * 200e3 * t)) * sin(2 * pi() * 8e6 * t) FROM l
-UNION ALL SELECT 'chirp', n, sin(2 * pi() * (4e6 * t + 0.5 * ((16e6 - 4e6) / (4000 / 40e6)) * t * t)) FROM l),
+UNION ALL SELECT 'chirp', n, sin(2 * pi() * (4e6 * t + 0.5 * ((16e6 - 4e6) / (40000 / 40e6)) * t * t)) FROM l),
 p AS (SELECT group_id, 'L' AS part, x FROM k UNION ALL SELECT group_id, 'H', 0.98 * x + 0.02 * {normal_sql("concat('43:', group_id, ':', CAST(n AS VARCHAR))")} FROM k)
 SELECT group_id, part, count(*) AS n, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS peak FROM p GROUP BY group_id, part""")
 def h07(spark, d):
     x = F.col("x")
-    return sy.controls(spark, 4000).groupBy("group_id", "part").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(x * x)), 6).alias("rms"), F.round(F.max(F.abs(x)), 6).alias("peak"))
+    return sy.controls(spark).groupBy("group_id", "part").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(x * x)), 6).alias("rms"), F.round(F.max(F.abs(x)), 6).alias("peak"))
+
+
+#: The sweeps' windows: a row for each value and sample.
+SWEEP_N = 200
+
+
+def mag_sql(key: str) -> str:
+    """Hann spectra of windows w (key, fs, n, x) of 200 samples, their largest frequency and its contrast."""
+    hann = "(0.5::DOUBLE - 0.5 * cos(2 * pi() * n / 200))"
+    return f"""ms AS (SELECT {key}, fs, k, sum(x * {hann} * cos(2 * pi() * ((k * n) % 200) / 200)) AS re, sum(x * {hann} * sin(2 * pi() * ((k * n) % 200) / 200)) AS im FROM w CROSS JOIN (SELECT unnest(range(101)) AS k) GROUP BY {key}, fs, k),
+mg AS MATERIALIZED (SELECT {key}, fs, k, (CASE WHEN k IN (0, 100) THEN 1 ELSE 2 END) * sqrt(re * re + im * im) / 100 AS m FROM ms),
+pk AS (SELECT {key}, fs, k, m, median(m) OVER (PARTITION BY {key}) AS fl, row_number() OVER (PARTITION BY {key} ORDER BY round(m, 9) DESC, k) AS r FROM mg)"""
+
 
+def swept(rows, key: str, expected):
+    """(key, expected_hz, peak_hz, error_hz, contrast_db, aliased) of windows in long form: key, fs, n, x."""
+    mag = sp.fft_magnitude(rows, float(SWEEP_N), SWEEP_N, window="hann", keys=(key, "fs"))
+    top = sp.peak(mag, "magnitude", (key, "fs"), 9).withColumn("peak_hz", F.col("peak_hz") * F.col("fs") / SWEEP_N)
+    floor = mag.groupBy(key, "fs").agg(F.median("magnitude").alias("floor"))
+    contrast = 20 * F.log10((F.col("peak") + 1e-12) / (F.col("floor") + 1e-12))
+    return top.join(floor, [key, "fs"]).select(key, expected.alias("expected_hz"), "peak_hz", F.round(F.abs(F.col("peak_hz") - expected), 6).alias("error_hz"), contrast.alias("contrast_db"))
 
-@query("h08_rate_sweep", "WITH f AS (SELECT unnest([500.0, 800.0, 1200.0, 2000.0, 4000.0])::DOUBLE AS fs) SELECT fs, round(abs(((700 + fs / 2) % fs) - fs / 2), 6) AS expected_hz, k * fs / 200 AS peak_hz FROM (SELECT fs, k, row_number() OVER (PARTITION BY fs ORDER BY round(m, 9) DESC, k) AS r FROM (SELECT fs, k, sqrt(power(sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 200)) * cos(2 * pi() * ((k * n) % 200) / 200)), 2) + power(sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 200)) * sin(2 * pi() * ((k * n) % 200) / 200)), 2)) AS m FROM (SELECT fs, n, sin(2 * pi() * 700 * (n / fs)) AS x FROM f, range(200) t(n)) CROSS JOIN (SELECT unnest(range(101)) AS k) GROUP BY fs, k)) WHERE r = 1")
+
+RATES = (700, 800, 1000, 2000, 4000)
+
+
+@query("h08_rate_sweep", "WITH w AS (SELECT fs AS v, fs, n, sin(2 * pi() * 450 * (n / fs)) AS x FROM (SELECT unnest([700.0, 800.0, 1000.0, 2000.0, 4000.0])::DOUBLE AS fs), range(200) t(n)), " + mag_sql("v") + ", e AS (SELECT v AS fs, round(abs(((450 + v / 2) % v) - v / 2), 6) AS expected_hz, k * fs / 200 AS peak_hz FROM pk WHERE r = 1) SELECT fs, expected_hz, peak_hz, round(abs(peak_hz - expected_hz), 6) AS error_hz, 450 > fs / 2 AS aliased FROM e")
 def h08(spark, d):
-    rates = spark.createDataFrame([(float(v),) for v in (500, 800, 1200, 2000, 4000)], "fs double")
-    w = rates.crossJoin(spark.range(200).withColumnRenamed("id", "n")).select("fs", "n", sy.tone(F.col("n") / F.col("fs"), 700.0).alias("x"))
-    mag = sp.fft_magnitude(w, 200.0, 200, window="hann", keys=("fs",)).withColumn("freq_hz", F.col("k").cast("double"))
-    top = sp.peak(mag, "magnitude", ("fs",), 9)
-    return top.select("fs", F.round(sp.alias_frequency(F.lit(700.0), F.col("fs")), 6).alias("expected_hz"), (F.col("peak_hz") * F.col("fs") / 200).alias("peak_hz"))
+    """A tone of 450 Hz at five rates: where it appears, and whether it is an alias."""
+    rates = spark.createDataFrame([(float(v), float(v)) for v in RATES], "v double, fs double")
+    w = rates.crossJoin(spark.range(SWEEP_N).withColumnRenamed("id", "n")).select("v", "fs", "n", sy.tone(F.col("n") / F.col("fs"), 450.0).alias("x"))
+    out = swept(w, "v", F.round(sp.alias_frequency(F.lit(450.0), F.col("fs")), 6))
+    return out.select(F.col("v").alias("fs"), "expected_hz", "peak_hz", "error_hz", (F.lit(450.0) > F.col("v") / 2).alias("aliased"))
+
+
+SWEEP_NOISE = normal_sql("concat('3:', CAST(snr AS VARCHAR), ':', CAST(n AS VARCHAR))")
+
+
+@query("h08_snr_sweep", f"WITH s AS (SELECT snr, n, sin(2 * pi() * 450 * (n / 2000.0::DOUBLE)) AS t FROM (SELECT unnest([-5, 0, 5, 10, 20, 40]) AS snr), range(200) r(n)), w AS (SELECT snr, 2000.0::DOUBLE AS fs, n, t + sqrt(avg(t * t) OVER (PARTITION BY snr)) * power(10, -snr / 20.0::DOUBLE) * {SWEEP_NOISE} AS x FROM s), {mag_sql('snr')} SELECT snr, k * fs / 200 AS peak_hz, round(abs(k * fs / 200 - 450), 6) AS error_hz, round(20 * log10((m + 1e-12) / (fl + 1e-12)), 6) AS contrast_db FROM pk WHERE r = 1")
+def h08n(spark, d):
+    """The same tone in noise of six levels: how well its peak is found."""
+    levels = spark.createDataFrame([(v,) for v in (-5, 0, 5, 10, 20, 40)], "snr int")
+    w = levels.crossJoin(spark.range(SWEEP_N).withColumnRenamed("id", "n")).select("snr", "n", sy.tone(F.col("n") / 2000.0, 450.0).alias("t"))
+    power = w.groupBy("snr").agg(F.sqrt(F.avg(F.col("t") * F.col("t"))).alias("rms"))
+    w = w.join(power, "snr").select("snr", F.lit(2000.0).alias("fs"), "n", (F.col("t") + F.col("rms") * F.pow(F.lit(10.0), -F.col("snr") / 20) * gaussian(3, F.col("snr"), F.col("n"))).alias("x"))
+    return rounded(swept(w, "snr", F.lit(450.0)).drop("expected_hz"), 6, "contrast_db")
+
+
+@query("h08_bit_sweep", f"WITH s AS (SELECT bits, n, sin(2 * pi() * 450 * (n / 2000.0::DOUBLE)) AS t FROM (SELECT unnest([2, 3, 4, 6, 8, 12]) AS bits), range(200) r(n)), w AS (SELECT bits, 2000.0::DOUBLE AS fs, n, t, (round_even(CAST((greatest(-1, least(1, t / s)) + 1) / 2 * (2 ** bits - 1) AS DOUBLE), 0) / (2 ** bits - 1) * 2 - 1) * s AS x FROM (SELECT *, max(abs(t)) OVER (PARTITION BY bits) AS s FROM s)), e AS (SELECT bits, avg((t - x) * (t - x)) AS mse FROM w GROUP BY bits), {mag_sql('bits')} SELECT CAST(bits AS INTEGER) AS bits, k * fs / 200 AS peak_hz, round(abs(k * fs / 200 - 450), 6) AS error_hz, round(mse, 10) AS mse FROM pk JOIN e USING (bits) WHERE r = 1")
+def h08b(spark, d):
+    """The same tone on few levels: its peak and the error of quantising."""
+    base = sy.time_axis(spark, SWEEP_N, 2000.0).select("n", sy.tone(F.col("t"), 450.0).alias("x"))
+    w = None
+    for bits in (2, 3, 4, 6, 8, 12):
+        one = co.quantize(base, bits, keys=()).select(F.lit(bits).alias("bits"), F.lit(2000.0).alias("fs"), "n", F.col("x").alias("t"), F.col("xq").alias("x"))
+        w = one if w is None else w.unionByName(one)
+    e = w.groupBy("bits").agg(F.round(F.avg((F.col("t") - F.col("x")) * (F.col("t") - F.col("x"))), 10).alias("mse"))
+    return swept(w.drop("t"), "bits", F.lit(450.0)).drop("expected_hz", "contrast_db").join(e, "bits")
+
+
+MIX_NOISE = normal_sql("'3:' || CAST(n AS VARCHAR)")
+WELCH_MIX = """sgm AS (SELECT g, n - 128 * g AS m, x FROM y JOIN (SELECT unnest(range(14)) AS g) ON n >= 128 * g AND n < 128 * g + 256), dtm AS (SELECT g, m, (x - avg(x) OVER (PARTITION BY g)) * (0.5::DOUBLE - 0.5 * cos(2 * pi() * m / 256)) AS x FROM sgm),
+ftm AS (SELECT g, k, power(sum(x * cos(2 * pi() * ((k * m) % 256) / 256)), 2) + power(sum(x * sin(2 * pi() * ((k * m) % 256) / 256)), 2) AS p FROM dtm CROSS JOIN (SELECT unnest(range(129)) AS k) GROUP BY g, k), pwm AS (SELECT k, avg(p) * (CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END) AS p FROM ftm GROUP BY k)"""
+
+
+@query("h09_recovery", f"""WITH s AS (SELECT n, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) AS a, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) + 0.4 * sin(2 * pi() * 420 * n / 2000.0::DOUBLE) AS t FROM range(2000) t(n)), y AS (SELECT n, t + sqrt(avg(t * t) OVER ()) * power(10, -10 / 20.0::DOUBLE) * {MIX_NOISE} AS x FROM s), {WELCH_MIX},
+f AS (SELECT k, power(sum(a * (0.5::DOUBLE - 0.5 * cos(2 * pi() * n / 2000)) * cos(2 * pi() * ((k * n) % 2000) / 2000)), 2) + power(sum(a * (0.5::DOUBLE - 0.5 * cos(2 * pi() * n / 2000)) * sin(2 * pi() * ((k * n) % 2000) / 2000)), 2) AS p FROM s CROSS JOIN (SELECT unnest(range(1001)) AS k) GROUP BY k),
+r AS (SELECT 'fft_tone' AS "case", arg_max(k, round(p, 6)) * 1.0::DOUBLE AS estimated_hz FROM f UNION ALL SELECT 'welch_noisy_mix', arg_max(k, round(p, 6)) * 7.8125::DOUBLE FROM pwm) SELECT "case", 180.0::DOUBLE AS expected_hz, estimated_hz, abs(estimated_hz - 180) AS error_hz FROM r""")
+def h09r(spark, d):
+    """A known tone by FFT, and a noisy sum of two by Welch: the frequencies found."""
+    t = sy.time_axis(spark, 2000, 2000.0)
+    tone = t.select("n", sy.tone(F.col("t"), 180.0).alias("x"))
+    mix = t.select("n", sy.tones(F.col("t"), [(180, 1.0, 0.0), (420, 0.4, 0.0)]).alias("x"))
+    power = mix.agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    mix = mix.crossJoin(F.broadcast(power)).select("n", (F.col("x") + F.col("rms") * 10 ** (-10 / 20) * gaussian(3, F.col("n"))).alias("x"))
+    array = lambda df, name: df.groupBy(F.lit(name).alias("case")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("win"))
+    a = sp.peak(kernels.fft_table(array(tone, "fft_tone"), 2000.0, window="hann", keep=("case",)), "magnitude", ("case",), 6)
+    b = sp.peak(kernels.welch_table(array(mix, "welch_noisy_mix"), 2000.0, 256, 128, "hann", ("case",)), "psd", ("case",), 9)
+    return a.unionByName(b).select("case", F.lit(180.0).alias("expected_hz"), F.col("peak_hz").alias("estimated_hz"), F.abs(F.col("peak_hz") - 180).alias("error_hz"))
 
 
 @query("h09_noisy_tone", f"WITH s AS (SELECT n, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) AS x FROM range(2000) t(n)), y AS (SELECT n, x + sqrt(avg(x * x) OVER ()) * power(10, -5 / 20.0::DOUBLE) * {normal_sql(chr(39) + '3:' + chr(39) + ' || CAST(n AS VARCHAR)')} AS x FROM s) SELECT round(avg(x * x), 6) AS power, round(max(abs(x)), 6) AS peak, count(*) AS samples FROM y")
@@ -201,5 +267,3 @@ def h09(spark, d):
     y = s.crossJoin(F.broadcast(power)).select("n", (F.col("x") + F.col("rms") * 10 ** (-5 / 20) * gaussian(3, F.col("n"))).alias("x"))
     x = F.col("x")
     return y.agg(F.round(F.avg(x * x), 6).alias("power"), F.round(F.max(F.abs(x)), 6).alias("peak"), F.count("*").alias("samples"))
-
-

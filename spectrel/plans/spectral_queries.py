@@ -82,8 +82,7 @@ def g02(spark, d):
 
 @query("g03_fft_magnitude", with_sql(EMB_SQL, MAG_SQL) + " SELECT window_id, CAST(k AS BIGINT) AS k, freq_hz, round(magnitude, 9) AS magnitude FROM mag")
 def g03(spark, d):
-    out = sp.fft_magnitude(emb_windows(spark, d), FS, SIZE, window="hann", keys=("window_id",))
-    return rounded(out, 9, "magnitude")
+    return rounded(kernels.fft_table(emb_arrays(spark, d), FS, window="hann"), 9, "magnitude")
 
 
 @query("g03_fft_detrended", with_sql(EMB_SQL) + f""", f AS (SELECT window_id, avg(x) AS mx, avg(n) AS mn, covar_pop(n, x) / var_pop(n) AS b FROM emb GROUP BY window_id),
@@ -91,19 +90,54 @@ r AS (SELECT window_id, n, x - mx - b * (n - mn) AS y FROM emb JOIN f USING (win
 t AS (SELECT window_id, k, sum(y * cos(2 * pi() * ((k * n) % 128) / 128)) AS re, sum(y * sin(2 * pi() * ((k * n) % 128) / 128)) AS im FROM r CROSS JOIN (SELECT unnest(range(65)) AS k) GROUP BY window_id, k)
 SELECT window_id, CAST(k AS BIGINT) AS k, k * 0.5::DOUBLE AS freq_hz, round((CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END) * sqrt(re * re + im * im) / 64, 9) AS magnitude FROM t""")
 def g03b(spark, d):
-    return rounded(sp.fft_magnitude(emb_windows(spark, d), FS, SIZE, n_fft=128, detrend=True, keys=("window_id",)), 9, "magnitude")
+    return rounded(kernels.fft_table(emb_arrays(spark, d), FS, n_fft=128, detrend=True), 9, "magnitude")
 
 
 @query("g04_periodogram", with_sql(EMB_SQL) + """, r AS (SELECT window_id, n, x - avg(x) OVER (PARTITION BY window_id) AS y FROM emb),
 t AS (SELECT window_id, k, sum(y * cos(2 * pi() * ((k * n) % 64) / 64)) AS re, sum(y * sin(2 * pi() * ((k * n) % 64) / 64)) AS im FROM r CROSS JOIN (SELECT unnest(range(33)) AS k) GROUP BY window_id, k)
 SELECT window_id, CAST(k AS BIGINT) AS k, k * 1.0::DOUBLE AS freq_hz, round((CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) * (re * re + im * im) / (64.0::DOUBLE * 64), 9) AS psd FROM t""")
 def g04(spark, d):
-    return rounded(sp.periodogram(emb_windows(spark, d), FS, SIZE, keys=("window_id",)), 9, "psd")
+    return rounded(kernels.periodogram_table(emb_arrays(spark, d), FS), 9, "psd")
 
 
 @query("g05_welch_psd", with_sql(EMB_SQL, WELCH_SQL) + " SELECT window_id, CAST(k AS BIGINT) AS k, freq_hz, round(psd, 9) AS psd FROM psd")
 def g05(spark, d):
-    return rounded(sp.welch(emb_windows(spark, d), FS, SIZE, 32, 16, "hann", ("window_id",)), 9, "psd")
+    return rounded(welch_emb(spark, d), 9, "psd")
+
+
+#: Complex windows: the samples of an embedding in pairs, 32 to a window.
+PAIRS_SQL = "prs AS (SELECT window_id, part, label, n // 2 AS m, max(CASE WHEN n % 2 = 0 THEN x END) AS a, max(CASE WHEN n % 2 = 1 THEN x END) AS b FROM emb GROUP BY ALL)"
+WELCH2_SQL = """sg AS (SELECT window_id, s.j AS seg, m - 8 * s.j AS m, a, b FROM prs JOIN (SELECT unnest(range(3)) AS j) s ON m >= 8 * s.j AND m < 8 * s.j + 16),
+dt AS (SELECT window_id, seg, m, (a - avg(a) OVER w) * h AS a, (b - avg(b) OVER w) * h AS b FROM (SELECT *, 0.5::DOUBLE - 0.5 * cos(2 * pi() * m / 16) AS h FROM sg) WINDOW w AS (PARTITION BY window_id, seg)),
+ft2 AS (SELECT window_id, seg, f, sum(a * cos(2 * pi() * f * m / 16) + b * sin(2 * pi() * f * m / 16)) AS re, sum(b * cos(2 * pi() * f * m / 16) - a * sin(2 * pi() * f * m / 16)) AS im FROM dt CROSS JOIN (SELECT unnest(range(-8, 8)) AS f) GROUP BY window_id, seg, f),
+psd2 AS MATERIALIZED (SELECT window_id, f + 8 AS k, f * 2.0::DOUBLE AS freq_hz, avg((re * re + im * im) / (32 * 6.0::DOUBLE)) AS psd FROM ft2 GROUP BY window_id, f)"""
+
+
+def pairs(spark, d):
+    even = lambda first: F.filter("win", lambda v, i: i % 2 == first)
+    return emb_arrays(spark, d).select("window_id", even(0).alias("re"), even(1).alias("im"))
+
+
+@query("g03_fft_two_sided", with_sql(EMB_SQL, PAIRS_SQL) + """, t AS (SELECT window_id, f, sum(h * (a * cos(2 * pi() * f * m / 32) + b * sin(2 * pi() * f * m / 32))) AS re, sum(h * (b * cos(2 * pi() * f * m / 32) - a * sin(2 * pi() * f * m / 32))) AS im FROM (SELECT *, 0.5::DOUBLE - 0.5 * cos(2 * pi() * m / 32) AS h FROM prs) CROSS JOIN (SELECT unnest(range(-16, 16)) AS f) GROUP BY window_id, f)
+SELECT window_id, CAST(f + 16 AS BIGINT) AS k, f * 1.0::DOUBLE AS freq_hz, round(sqrt(re * re + im * im) / 16, 9) AS magnitude FROM t""")
+def g03c(spark, d):
+    """Complex samples: frequencies of both signs, nothing doubled."""
+    return rounded(kernels.fft_table(pairs(spark, d), 32.0, window="hann", column="re", imaginary="im"), 9, "magnitude")
+
+
+@query("g05_welch_two_sided", with_sql(EMB_SQL, PAIRS_SQL, WELCH2_SQL) + " SELECT window_id, CAST(k AS BIGINT) AS k, freq_hz, round(psd, 9) AS psd FROM psd2")
+def g05c(spark, d):
+    return rounded(kernels.welch_table(pairs(spark, d), 32.0, 16, 8, "hann", column="re", imaginary="im"), 9, "psd")
+
+
+@query("g08_band_power_two_sided", with_sql(EMB_SQL, PAIRS_SQL, WELCH2_SQL) + """, sd AS (SELECT window_id, freq_hz < 0 AS neg, abs(freq_hz) AS f, psd AS v, lead(abs(freq_hz)) OVER w AS g, lead(psd) OVER w AS u FROM psd2 WINDOW w AS (PARTITION BY window_id, freq_hz < 0 ORDER BY abs(freq_hz))),
+bd AS (SELECT i + 1 AS band, i * 4.0::DOUBLE AS a, (i + 1) * 4.0::DOUBLE AS b FROM (SELECT unnest(range(4)) AS i)),
+ct AS (SELECT window_id, band, v, u, f, g, greatest(f, a) AS lo, least(g, b) AS hi FROM sd JOIN bd ON g IS NOT NULL AND f < b AND g > a)
+SELECT window_id, CAST(band AS BIGINT) AS band, round(sum((2 * v + (u - v) / (g - f) * (lo + hi - 2 * f)) / 2 * (hi - lo)), 9) AS power FROM ct GROUP BY window_id, band""")
+def g08c(spark, d):
+    """Bands of a two-sided spectrum: the mirrored negative side is added."""
+    psd = kernels.welch_table(pairs(spark, d), 32.0, 16, 8, "hann", column="re", imaginary="im")
+    return rounded(sp.band_powers(psd, sp.equal_bands(32.0, 4), ("window_id",)), 9, "power")
 
 
 def bt_sql(compat: bool) -> str:
@@ -116,16 +150,16 @@ SELECT window_id, CAST(k AS BIGINT) AS k, k * 1.0::DOUBLE AS freq_hz, round(grea
 
 @query("g06_blackman_tukey", bt_sql(False))
 def g06(spark, d):
-    return sp.blackman_tukey(emb_windows(spark, d), FS, SIZE, keys=("window_id",)).withColumn("psd", F.round("psd", 9) + 0)
+    return kernels.blackman_tukey_table(emb_arrays(spark, d), FS).withColumn("psd", F.round("psd", 9) + 0)
 
 
 @query("g06_blackman_tukey_compat", bt_sql(True))
 def g06c(spark, d):
-    return sp.blackman_tukey(emb_windows(spark, d), FS, SIZE, compat=True, keys=("window_id",)).withColumn("psd", F.round("psd", 9) + 0)
+    return kernels.blackman_tukey_table(emb_arrays(spark, d), FS, compat=True).withColumn("psd", F.round("psd", 9) + 0)
 
 
 def welch_emb(spark, d, keys=("window_id",)):
-    return sp.welch(emb_windows(spark, d), FS, SIZE, 32, 16, "hann", keys)
+    return kernels.welch_table(emb_arrays(spark, d), FS, 32, 16, "hann", keys)
 
 
 @query("g07_psd_power", with_sql(EMB_SQL, WELCH_SQL, PIECES_SQL) + " SELECT window_id, round(sum((v + u) / 2 * (g - f)), 9) AS power FROM pieces WHERE g IS NOT NULL GROUP BY window_id")
@@ -158,6 +192,7 @@ SPECTRAL = ("dominant_fft_hz", "dominant_psd_hz", "psd_max", "psd_total_power",
 
 @query("g11_spectral_features", FEATURE_CTES + f" SELECT window_id, {', '.join(f'round({c}, 6) AS {c}' for c in SPECTRAL)} FROM ft")
 def g11s(spark, d):
+    """Relationally, as the SQL."""
     out = feat.feature_table(emb_windows(spark, d), FS, SIZE, 4, 32, "hann", ("window_id",), 16)
     return rounded(out.select("window_id", *SPECTRAL), 6, *SPECTRAL)
 
@@ -181,7 +216,7 @@ def g22(spark, d):
 
 @query("g23_peak_estimate", with_sql(EMB_SQL, MAG_SQL) + ", p AS (SELECT window_id, median(magnitude) AS fl, max(magnitude) AS top FROM mag GROUP BY window_id), q AS (SELECT window_id, freq_hz FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY round(magnitude, 12) DESC, k) AS r FROM mag) WHERE r = 1) SELECT window_id, freq_hz AS peak_hz, round(20 * log10((top + 1e-12) / (fl + 1e-12)), 6) AS contrast_db, abs(freq_hz - 10) AS error_hz FROM p JOIN q USING (window_id)")
 def g23(spark, d):
-    mag = sp.fft_magnitude(emb_windows(spark, d), FS, SIZE, window="hann", keys=("window_id",))
+    mag = kernels.fft_table(emb_arrays(spark, d), FS, window="hann")
     return rounded(sp.peak_estimate(mag, 10.0, ("window_id",)), 6, "contrast_db")
 
 
@@ -202,7 +237,28 @@ def g25n(spark, d):
 
 @query("e10_median_spectrum", with_sql(EMB_SQL, WELCH_SQL) + " SELECT part, CAST(k AS BIGINT) AS k, min(freq_hz) AS freq_hz, round(median(psd), 9) AS psd FROM psd GROUP BY part, k")
 def e10(spark, d):
-    return rounded(sp.median_spectrum(welch_emb(spark, d, ("part", "window_id"))), 9, "psd")
+    return rounded(sp.median_spectrum(welch_emb(spark, d, ("part", "window_id"))), 9, "psd").select("part", "k", "freq_hz", "psd")
+
+
+@query("c03_search_band", with_sql(EMB_SQL, WELCH_SQL) + """, r AS (SELECT window_id, freq_hz, row_number() OVER (PARTITION BY window_id ORDER BY round(psd, 12) DESC, k) AS r FROM psd WHERE freq_hz > 0.02 * 32 AND freq_hz < 0.92 * 32)
+SELECT window_id, freq_hz AS peak_hz, greatest(1.0::DOUBLE, freq_hz - 2) AS low_hz, least(0.95 * 32::DOUBLE, freq_hz + 2) AS high_hz FROM r WHERE r = 1""")
+def c03(spark, d):
+    """The band about the largest density of the search range."""
+    return sp.band_around(welch_emb(spark, d), FS, 4.0, ("window_id",))
+
+
+@query("c03_interior_power", with_sql(EMB_SQL, WELCH_SQL) + " SELECT window_id, count(*) AS bins, round(sum(psd), 9) AS total FROM psd WHERE k BETWEEN 1 AND 15 GROUP BY window_id")
+def c03i(spark, d):
+    return sp.interior(welch_emb(spark, d), FS).groupBy("window_id").agg(F.count("*").alias("bins"), F.round(F.sum("psd"), 9).alias("total"))
+
+
+@query("g24_band_choice", with_sql(EMB_SQL, WELCH_SQL, PIECES_SQL, bands_sql(10)) + """, b AS (SELECT part, label, band, sum(power) AS power FROM bp GROUP BY ALL), s AS (SELECT part, band, sum(CASE label WHEN 'target' THEN q ELSE -q END) AS d FROM (SELECT *, power / sum(power) OVER (PARTITION BY part, label) AS q FROM b) GROUP BY part, band)
+SELECT part, CAST(band AS BIGINT) AS band, round(d, 9) AS difference FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY round(abs(d), 12) DESC, band) AS r FROM s) WHERE r = 1""")
+def g24c(spark, d):
+    """By part the band in which the shares of the two labels' power differ most."""
+    keys = ("part", "label", "window_id")
+    powers = sp.band_powers(welch_emb(spark, d, keys), sp.equal_bands(FS, 10), keys).groupBy("part", "label", "band").agg(F.sum("power").alias("power"))
+    return rounded(sp.most_different_band(powers, "label", "target", "background", ("part",)), 9, "difference")
 
 
 @query("e11_argmax", with_sql(EMB_SQL) + " SELECT window_id, CAST(min(n) FILTER (WHERE r = 1) AS BIGINT) AS at FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY x DESC, n) AS r FROM emb) GROUP BY window_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectrel.functions.columns import finite_or, mapped
+from spectrel.functions.tables import shared_folder, stored
 from spectrel.operators import conditioning as co
 from spectrel.operators import decision as de
 from spectrel.operators import filters as fi
@@ -17,6 +20,7 @@ from spectrel.plans.registry import query
 from spectrel.plans.spectral_queries import FEATURE_CTES, features4, rounded
 from spectrel.sources import names as na
 from spectrel.sources import readers as rd
+from spectrel.sources import sinks as sk
 from spectrel.streaming import replay
 
 G = "group_id, part"
@@ -34,11 +38,36 @@ def g16(spark, d):
     return rounded(fi.apply_fir(ship_series(spark, d), TAPS), 4, "y").select("group_id", "part", "n", "y")
 
 
-@query("g16_iir_filter")
+IIR = fi.design_iir("lowpass", 64.0, 8.0, 4)
+
+
+def recursion_sql(name: str, source: str, b, a, first) -> str:
+    """A recursive table: the transposed direct form over source (group_id, part, m from 0, x), from the state first * x0."""
+    n = len(a) - 1
+    v = lambda x: repr(float(x)) + "::DOUBLE"
+    y = lambda x, d: f"({v(b[0])} * {x} + {d[0]})"
+    after = lambda x, d: ", ".join(f"{(d[i + 1] + ' + ') if i + 1 < n else ''}{v(b[i + 1])} * {x} - {v(a[i + 1])} * {y(x, d)} AS d{i}" for i in range(n))
+    start, on = [f"{v(z)} * x" for z in first], [f"r.d{i}" for i in range(n)]
+    return f"{name} AS (SELECT group_id, part, m, {y('x', start)} AS y, {after('x', start)} FROM {source} WHERE m = 0 UNION ALL SELECT e.group_id, e.part, e.m, {y('e.x', on)} AS y, {after('e.x', on)} FROM {name} r JOIN {source} e ON e.group_id = r.group_id AND e.part = r.part AND e.m = r.m + 1)"
+
+
+ZI = fi.steady_state(*[fi.np.asarray(v, dtype=float) for v in IIR])
+IIR_SQL = f"""WITH RECURSIVE {SHIP_SQL}, sr AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {G}) AS len, first_value(x) OVER (PARTITION BY {G} ORDER BY n) AS x0, first_value(x) OVER (PARTITION BY {G} ORDER BY n DESC) AS x1 FROM ser),
+ext AS MATERIALIZED (SELECT {G}, n + 15 AS m, x FROM sr UNION ALL SELECT {G}, 15 - n, 2 * x0 - x FROM sr WHERE n BETWEEN 1 AND 15 UNION ALL SELECT {G}, 15 + 2 * (len - 1) - n, 2 * x1 - x FROM sr WHERE n BETWEEN len - 16 AND len - 2),
+{recursion_sql('fw', 'ext', *IIR, ZI)}, rv AS MATERIALIZED (SELECT fw.group_id, fw.part, t.top - fw.m AS m, y AS x FROM fw JOIN (SELECT {G}, max(m) AS top FROM ext GROUP BY {G}) t ON fw.group_id = t.group_id AND fw.part = t.part), {recursion_sql('bw', 'rv', *IIR, ZI)}"""
+
+
+@query("g16_iir_filter", IIR_SQL + f" SELECT bw.group_id, bw.part, len + 14 - m AS n, round(y, 4) + 0 AS y FROM bw JOIN (SELECT {G}, max(len) AS len FROM sr GROUP BY {G}) l ON bw.group_id = l.group_id AND bw.part = l.part WHERE m BETWEEN 15 AND len + 14")
 def g16i(spark, d):
-    b, a = fi.design_iir("lowpass", 64.0, 8.0, 4)
-    out = fi.apply_filter(co.records(ship_series(spark, d)), b, a)
-    return out.select("group_id", "part", F.posexplode("y").alias("n", "y"))
+    """Forward and backward, in blocks of 96 samples between which states are carried."""
+    out = fi.apply_iir(ship_series(spark, d), *IIR, block=96)
+    return out.select("group_id", "part", "n", (F.round("y", 4) + 0).alias("y"))
+
+
+@query("g16_iir_causal", f"WITH RECURSIVE {SHIP_SQL}, ext AS MATERIALIZED (SELECT {G}, n AS m, x FROM ser), {recursion_sql('fw', 'ext', *IIR, [0.0] * 4)} SELECT {G}, m AS n, round(y, 4) + 0 AS y FROM fw")
+def g16c(spark, d):
+    out = fi.apply_iir(ship_series(spark, d), *IIR, zero_phase=False, block=64)
+    return out.select("group_id", "part", "n", (F.round("y", 4) + 0).alias("y"))
 
 
 @query("g17_freq_response", f"WITH {FIR_SQL}, r AS (SELECT k, sum(v * cos(pi() * k * i / 512)) AS re, -sum(v * sin(pi() * k * i / 512)) AS im FROM taps CROSS JOIN range(512) t(k) GROUP BY k) SELECT CAST(k AS BIGINT) AS k, k * 0.0625::DOUBLE AS freq_hz, round(re, 9) + 0 AS re, round(im, 9) + 0 AS im, round(sqrt(re * re + im * im), 9) AS magnitude FROM r")
@@ -53,11 +82,20 @@ def g19(spark, d):
     return out.select("k", *[(F.round(c, 9) + 0).alias(c) for c in ("re", "im")])
 
 
-@query("g18_zeros_poles")
+#: The poles in closed form: the analog prototype's, moved to the band, by the bilinear transform; zeros at 1 and -1.
+POLES_SQL = """WITH e AS (SELECT 4 * tan(pi() * 9.259765625e6::DOUBLE / 40e6) AS w1, 4 * tan(pi() * 10.759765625e6::DOUBLE / 40e6) AS w2),
+p AS (SELECT cos(pi() * (2 * k + 3) / 8) * (w2 - w1) / 2 AS a, sin(pi() * (2 * k + 3) / 8) * (w2 - w1) / 2 AS b, w1 * w2 AS q FROM e, range(1, 5) t(k)),
+s AS (SELECT a, b, a * a - b * b - q AS u, 2 * a * b AS v FROM p), r AS (SELECT a, b, sqrt((sqrt(u * u + v * v) + u) / 2) AS x, CASE WHEN v < 0 THEN -1 ELSE 1 END * sqrt((sqrt(u * u + v * v) - u) / 2) AS y FROM s),
+z AS (SELECT a + f * x AS a, b + f * y AS b FROM r, (SELECT unnest([1, -1]) AS f)), o AS (SELECT 'pole' AS kind, (16 - a * a - b * b) / ((4 - a) * (4 - a) + b * b) AS re, 8 * b / ((4 - a) * (4 - a) + b * b) AS im FROM z UNION ALL SELECT 'zero', unnest([1, 1, 1, 1, -1, -1, -1, -1]), 0)
+SELECT kind, round(re, CASE kind WHEN 'pole' THEN 5 ELSE 2 END) + 0 AS re, round(im, CASE kind WHEN 'pole' THEN 5 ELSE 2 END) + 0 AS im, bool_and(re * re + im * im < 1) FILTER (WHERE kind = 'pole') OVER () AS stable FROM o"""
+
+
+@query("g18_zeros_poles", POLES_SQL)
 def g18(spark, d):
+    """Of a bandpass; its zeros are fourfold, which roots of a polynomial show to two decimals."""
     b, a = fi.design_iir("bandpass", 40e6, [9.259765625e6, 10.759765625e6], 4)
     z, p = fi.zeros_and_poles(b, a)
-    rows = [("zero", float(v.real), float(v.imag), fi.is_stable(a)) for v in z] + [("pole", float(v.real), float(v.imag), fi.is_stable(a)) for v in p]
+    rows = [(kind, round(float(v.real), k) + 0.0, round(float(v.imag), k) + 0.0, fi.is_stable(a)) for kind, roots, k in (("zero", z, 2), ("pole", p, 5)) for v in roots]
     return spark.createDataFrame(rows, "kind string, re double, im double, stable boolean")
 
 
@@ -145,9 +183,14 @@ def a14(spark, d):
     return na.selection(spark).drop("max_segment")
 
 
-@query("a12_manifest_partitions", f"WITH {CATALOGUE_SQL} SELECT partition, count(*) AS files, count(DISTINCT group_id) AS groups FROM sel WHERE partition IN ('dev', 'eval') GROUP BY partition")
+@query("a12_manifest_partitions", f"WITH {CATALOGUE_SQL} SELECT partition, count(*) AS files, count(DISTINCT group_id) AS groups, CAST(sum(segment) AS BIGINT) AS segments FROM sel WHERE partition IN ('dev', 'eval') GROUP BY partition")
 def a12(spark, d):
-    return rd.partition_files(na.selection(spark), ["dev", "eval"]).groupBy("partition").agg(F.count("*").alias("files"), F.count_distinct("group_id").alias("groups"))
+    """A manifest, written as JSON and read again, by partition."""
+    files = na.selection(spark).select("*", F.lit(40e6).alias("sample_rate_hz"), F.concat("group_id", "part").alias("relative_path"), F.sha2("group_id", 256).alias("sha256"))
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    sk.write_json(files.groupBy(F.lit("local_subset_ready").alias("status")).agg(F.collect_list(F.struct(*files.columns)).alias("files")), path)
+    got = rd.partition_files(rd.read_manifest(spark, path), ["dev", "eval"])
+    return got.groupBy("partition").agg(F.count("*").alias("files"), F.count_distinct("group_id").alias("groups"), F.sum("segment").alias("segments"))
 
 
 @query("a13_missing_files", f"WITH {CATALOGUE_SQL} SELECT group_id, part FROM sel WHERE segment % 4 = 3 OR part = 'H' AND segment = 2")
@@ -216,7 +259,7 @@ def d03(spark, d):
     return p.where("low > 0 and high > 0")
 
 
-@query("d04_permuted_labels", GROUP_CTES + ", a AS (SELECT group_id, row_number() OVER (ORDER BY group_id) AS i FROM gs), b AS (SELECT label, row_number() OVER (ORDER BY md5('7:' || group_id), group_id) AS i FROM gs) SELECT group_id, label FROM a JOIN b USING (i)")
+@query("d04_permuted_labels", GROUP_CTES + ", a AS (SELECT group_id, row_number() OVER (ORDER BY md5('7:from:' || group_id), group_id) AS i FROM gs), b AS (SELECT label, row_number() OVER (ORDER BY md5('7:' || group_id), group_id) AS i FROM gs) SELECT group_id, label FROM a JOIN b USING (i)")
 def d04(spark, d):
     return le.permuted_labels(group_scores(spark, d).select("group_id", "label"), "label", 7)
 
@@ -234,17 +277,17 @@ def i05(spark, d):
     return le.train_test_groups(features4(spark, d), "label", 0.25)
 
 
-@query("d05_leak_check", FOLDS_SQL + " SELECT f.fold, count(*) AS leaks FROM fo f JOIN fo g ON f.group_id = g.group_id AND f.fold <> g.fold GROUP BY f.fold")
+@query("d05_leak_check", FOLDS_SQL + ", v AS (SELECT group_id, CASE WHEN md5('9:' || group_id) < '4' THEN 0 ELSE fold END AS other FROM fo) SELECT f.group_id FROM fo f WHERE f.fold = 1 AND EXISTS (SELECT 1 FROM v WHERE v.group_id = f.group_id AND v.other <> 1)")
 def d05(spark, d):
-    f = le.group_folds(features4(spark, d), "label", 5)
-    g = f.select(F.col("group_id").alias("g"), F.col("fold").alias("h"))
-    return f.join(g, (F.col("group_id") == F.col("g")) & (F.col("fold") != F.col("h"))).groupBy("fold").agg(F.count("*").alias("leaks"))
+    """Groups of the test fold that a faulty split (some groups dealt anew) has in its training side, too."""
+    f = stored(le.group_folds(features4(spark, d), "label", 5))
+    faulty = f.withColumn("other", F.when(le.hash_order(9) < "4", 0).otherwise(F.col("fold")))
+    return f.where("fold = 1").select("group_id").join(faulty.where("other <> 1").select("group_id"), "group_id", "left_semi")
 
 
 @query("d06_missing_parts", f"WITH {USER_SQL}, p AS (SELECT group_id, count(DISTINCT part) AS c, min(part) AS p FROM ser WHERE n >= 30 GROUP BY group_id) SELECT group_id, CASE p WHEN 'L' THEN 'H' ELSE 'L' END AS missing FROM p WHERE c = 1")
 def d06(spark, d):
-    p = series_user(spark, d).where("n >= 30").groupBy("group_id").agg(F.collect_set("part").alias("parts"))
-    return p.select("group_id", F.explode(F.array_except(F.array(F.lit("L"), F.lit("H")), F.col("parts"))).alias("missing"))
+    return robust.missing_parts(series_user(spark, d).where("n >= 30"))
 
 
 @query("d07_parameter_join", FEATURE_CTES + ", p AS (SELECT median(crest_factor) AS m, stddev_pop(crest_factor) AS s FROM ft) SELECT window_id, round((crest_factor - m) / s, 6) + 0 AS z FROM ft, p")
@@ -256,9 +299,9 @@ def d07(spark, d):
 
 @query("d08_manifest_join", f"WITH {CATALOGUE_SQL} SELECT s.group_id, s.part, c.group_id IS NOT NULL AS present FROM sel s LEFT JOIN (SELECT DISTINCT group_id FROM sel WHERE segment <= 3) c ON s.group_id = c.group_id")
 def d08(spark, d):
-    s = na.selection(spark)
-    c = s.where("segment <= 3").select(F.col("group_id").alias("g")).distinct()
-    return s.join(c, F.col("group_id") == F.col("g"), "left").select("group_id", "part", F.col("g").isNotNull().alias("present"))
+    s = na.selection(spark).withColumn("relative_path", F.concat("group_id", "part")).withColumn("size_bytes", F.lit(1).cast("long"))
+    lost = rd.missing_files(s, s.where("segment <= 3").select(F.col("relative_path").alias("path"), "size_bytes")).select("group_id", "part", F.lit(False).alias("present"))
+    return s.select("group_id", "part").join(lost, ["group_id", "part"], "left").select("group_id", "part", F.coalesce("present", F.lit(True)).alias("present"))
 
 
 @query("d09_condition_grid", "SELECT CAST(snr AS INTEGER) AS snr, CAST(rep AS INTEGER) AS rep, r_name AS region FROM (SELECT unnest([-5, 0, 5, 10, 20]) AS snr), (SELECT unnest(range(5)) AS rep), region")
@@ -269,7 +312,9 @@ def d09(spark, d):
 
 @query("e04_extremes", FEATURE_CTES + " SELECT label, round(median(crest_factor), 6) AS centre, round(max(crest_factor), 6) AS most FROM ft GROUP BY label")
 def e04(spark, d):
-    return features4(spark, d).groupBy("label").agg(F.round(F.median("crest_factor"), 6).alias("centre"), F.round(F.max("crest_factor"), 6).alias("most"))
+    f = stored(features4(spark, d))
+    most = f.groupBy("label").agg(F.round(F.max("crest_factor"), 6).alias("most"))
+    return rounded(robust.exact_medians(f, ["label"], ["crest_factor"]).withColumnRenamed("crest_factor", "centre"), 6, "centre").join(most, "label")
 
 
 @query("e08_crosstab", "SELECT coalesce(l_returnflag, 'All') AS flag, count(*) FILTER (WHERE l_linestatus = 'F') AS f, count(*) FILTER (WHERE l_linestatus = 'O') AS o, count(*) AS total FROM lineitem GROUP BY ROLLUP (l_returnflag)")
@@ -360,22 +405,50 @@ FEATURE_SET = ["peak", "crest_factor", "spectral_centroid_hz", "rel_band_power_1
 
 @query("i07_oof_scores")
 def i07(spark, d):
-    return le.out_of_fold(features4(spark, d).cache(), FEATURE_SET, "label", 5)
+    return le.out_of_fold(features4(spark, d), FEATURE_SET, "label", 5)
 
 
 @query("i13_nested")
 def i13(spark, d):
-    return le.nested_binary(features4(spark, d).cache(), FEATURE_SET, "label", 3, 2)
+    """Five repetitions of five outer and four inner folds."""
+    return le.nested_binary(features4(spark, d), FEATURE_SET, "label", 5, 4, 42, 5)[0]
+
+
+@query("i13_group_separation", "SELECT CAST(r AS INTEGER) AS repeat, CAST(f AS INTEGER) AS fold, true AS separate FROM range(5) a(r), range(5) b(f)")
+def i13s(spark, d):
+    """From the trace of group ids: no test group of a fold was used to train it or to find its threshold."""
+    _, trace = le.nested_binary(features4(spark, d), FEATURE_SET, "label", 5, 4, 42, 5)
+    roles = trace.groupBy("repeat", "fold", "group_id").agg(F.collect_set("role").alias("roles"))
+    mixed = F.array_contains("roles", "test") & (F.size("roles") > 1)
+    return roles.groupBy("repeat", "fold").agg((F.count_if(mixed) == 0).alias("separate"))
 
 
 @query("i06_holdout_report")
 def i06(spark, d):
-    return le.evaluate(features4(spark, d).cache(), FEATURE_SET, "label", lambda r: le.train_test_groups(r, "label", 0.25))
+    return le.evaluate(features4(spark, d), FEATURE_SET, "label", 0.25)
+
+
+@query("i06_cross_validation")
+def i06c(spark, d):
+    """Fold sizes and metrics by fold and on the whole (fold -1)."""
+    return le.cross_validation(features4(spark, d), FEATURE_SET, "label", 5)
 
 
 @query("i27_permutation")
 def i27(spark, d):
-    return le.permutation_scores(features4(spark, d).cache(), FEATURE_SET, "label", [1, 2], 3)
+    """100 permutations with five folds, 500 models fitted together."""
+    return le.permutation_scores(features4(spark, d), FEATURE_SET, "label", range(100), 5)
+
+
+@query("i27_p_value")
+def i27p(spark, d):
+    """How often permuted labels do as well as the true ones."""
+    rows = stored(features4(spark, d))
+    own = le.out_of_fold(rows, FEATURE_SET, "label", 5).withColumn("score", F.round("score__target", 9))
+    own = stored(own.crossJoin(F.broadcast(de.choose_threshold(own, "score").select("threshold"))))
+    observed = de.report(de.decide_binary(own, F.col("threshold"), 0.0), "label", "prediction").select(F.round("balanced_accuracy", 12).alias("observed"))
+    permuted = le.permutation_scores(rows, FEATURE_SET, "label", range(100), 5)
+    return de.p_values(permuted.withColumn("balanced_accuracy", F.round("balanced_accuracy", 12)), observed)
 
 
 @query("j12_partition_table", f"WITH {CATALOGUE_SQL} SELECT partition, activity, count(DISTINCT group_id) AS groups, count(*) AS files FROM sel GROUP BY partition, activity")
