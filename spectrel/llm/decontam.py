@@ -18,8 +18,9 @@ from spectrel.llm.common import LOWER_AZ, UPPER_AZ, WORD_PATTERN, Shelf, WordHas
 
 WINDOW = 13
 GRAM = 7
-#: Bits of the Bloom filter (1 MB); a fixed size whatever the benchmark's. What it lets through needlessly costs time only.
-BLOOM_BITS = 1 << 23
+#: Bits of the Bloom filter for each gram of the benchmark, and the fewest and most bits (1 and 32 MB, which is what is broadcast).
+#: From some 16 million grams on it lets more through needlessly; that costs time only.
+BLOOM_PER_GRAM, BLOOM_LEAST, BLOOM_MOST = 16, 1 << 23, 1 << 28
 
 
 def winnow(h: np.ndarray, w: int) -> np.ndarray:
@@ -42,10 +43,18 @@ def candidates(words: list[bytes], hashes: np.ndarray, shorts: list[int]) -> lis
     return out
 
 
-def bloom_places(h: np.ndarray) -> np.ndarray:
-    """Four places for each hash."""
-    bits = np.uint64(BLOOM_BITS - 1)
-    return np.stack([(h >> np.uint64(i * 11)) & bits for i in range(4)], axis=-1)
+class Bloom:
+    """A Bloom filter of hashes, four places for each."""
+
+    def __init__(self, bits: int):
+        self.bits, self.field = bits, np.zeros(bits // 64, dtype=np.uint64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), dtype=bool)
+        for i in range(4):
+            at = (h >> np.uint64(i * 11)) & np.uint64(self.bits - 1)
+            out &= self.field[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+        return out
 
 
 HIT = T.StructType([T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("before", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("after", T.StringType())])
@@ -89,14 +98,15 @@ def item_grams(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return made.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.explode(f"`{name}`").alias("g")).select("item", "g.*")
 
 
-def bloom_of(grams: DataFrame) -> bytes:
-    """The Bloom filter of h: set places come to the driver, at most BLOOM_BITS / 64 words of 64 bits."""
-    places = [F.shiftrightunsigned("h", i * 11).bitwiseAND(F.lit(BLOOM_BITS - 1)) for i in range(4)]
+def bloom_of(grams: DataFrame) -> Bloom:
+    """The Bloom filter of h, sized by the number of grams; its words of 64 bits with set places come to the driver."""
+    wanted = BLOOM_PER_GRAM * grams.count()
+    out = Bloom(min(BLOOM_MOST, max(BLOOM_LEAST, 1 << wanted.bit_length())))
+    places = [F.shiftrightunsigned("h", i * 11).bitwiseAND(F.lit(out.bits - 1)) for i in range(4)]
     at = grams.select(F.explode(F.array(*places)).alias("p")).select(F.expr("p >> 6").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    field = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
-    for w, b in at.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        field[w] = np.int64(b).view(np.uint64)
-    return field.tobytes()
+    got = at.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out.field[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -117,7 +127,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 
     def make():
         known = WordHashes()
-        field = np.unpackbits(np.frombuffer(bloom.value, dtype=np.uint8), bitorder="little").astype(bool)
 
         def do(texts):
             counts, rows = [], []
@@ -125,7 +134,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
                 w = alnum_words(t)
                 found = []
                 for h, at, n in candidates(w, known.of(w), shorts):
-                    let = field[bloom_places(h)].all(axis=-1)
+                    let = bloom.value.has(h)
                     found.append((h[let], at[let], n))
                 counts.append(len(w))
                 rows.append(_hits(w, found[:1]) + _hits(w, found[1:], True))
@@ -147,6 +156,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     cover = spans.groupBy("r").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s"))
     cover = cover.select("r", F.aggregate("s", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["b"]).alias("end")))["n"].alias("n_hit"))
     both = shelf.put(ids.join(cover, "r"))
+    shelf.keep(pos, both)
     out = pos.drop(name).join(both, F.col(f"`{row}`") == F.col("r"), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
     found = F.coalesce(F.col("items"), F.array().cast("array<string>"))
@@ -173,6 +183,7 @@ def _common(a: str, b: str, from_end: bool):
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decontaminate() of all documents by all benchmark items, items as a digest; edge cases as defined there."""
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
