@@ -14,7 +14,7 @@ from spectrel.operators import decision as de
 from spectrel.operators import filters as fi
 from spectrel.operators import learning as le
 from spectrel.operators import robust
-from spectrel.plans.decision_queries import BIN, GROUP_CTES, SCORE_COLUMNS, binary, group_scores, top
+from spectrel.plans.decision_queries import ACTIVITY, BIN, GROUP_CTES, REJECTION, SCORE_COLUMNS, THRESHOLD, binary, group_scores, top
 from spectrel.plans.fixtures import SHIP_SQL, USER_SQL, series_user, ship_series, table
 from spectrel.plans.registry import query
 from spectrel.plans.spectral_queries import FEATURE_CTES, features4, rounded
@@ -385,14 +385,23 @@ def k08(spark, d):
 REPLAY_SQL = GROUP_CTES.split(",\ngp AS")[0] + ", ix AS (SELECT f.group_id, f.part, row_number() OVER (PARTITION BY f.group_id, f.part ORDER BY f.window_id) - 1 AS idx, " + SCORE_COLUMNS["s_act"] + " AS s FROM ft f), ln AS (SELECT group_id, part, least(count(*), 200) AS n FROM ix GROUP BY group_id, part), st AS (SELECT group_id, part, unnest(range(1, n // 2 + 1)) * 2 AS stop FROM ln), pm AS (SELECT st.group_id, st.part, stop, median(s) AS s FROM st JOIN ix ON st.group_id = ix.group_id AND st.part = ix.part AND idx < stop GROUP BY ALL)"
 
 
+def placed_scores(spark, d):
+    """Scores of windows with their place in the part, a few hundred a part."""
+    x = de.linear_scores(features4(spark, d), ACTIVITY).withColumnRenamed("score__target", "score")
+    w = Window.partitionBy("group_id", "part").orderBy("window_id")
+    return x.select("group_id", "part", "score", (F.row_number().over(w) - 1).cast("long").alias("idx"))
+
+
 @query("l_replay_prefix", REPLAY_SQL + " SELECT group_id, CAST(stop AS BIGINT) AS stop, round(avg(s), 6) AS score, count(*) AS parts_used FROM pm GROUP BY group_id, stop")
 def l_replay(spark, d):
-    from spectrel.plans.decision_queries import ACTIVITY
+    return rounded(replay.progressive_scores(placed_scores(spark, d), step=2), 6, "score")
 
-    x = de.linear_scores(features4(spark, d), ACTIVITY).withColumnRenamed("score__target", "score")
-    w = Window.partitionBy("group_id", "part").orderBy("window_id")
-    x = x.select("group_id", "part", "score", (F.row_number().over(w) - 1).cast("long").alias("idx"))
-    return rounded(replay.progressive_scores(x, step=2), 6, "score")
+
+@query("l_evolution", REPLAY_SQL + f""", e AS (SELECT group_id, stop, avg(s) AS score, count(*) AS parts_used FROM pm GROUP BY group_id, stop), v AS (SELECT *, CASE WHEN abs(score - {THRESHOLD}) < {REJECTION} THEN 'inconclusive' WHEN score >= {THRESHOLD} THEN 'target' ELSE 'background' END AS visible FROM e)
+SELECT group_id, CAST(stop AS BIGINT) AS stop, round(score, 6) AS score, parts_used, {THRESHOLD}::DOUBLE AS threshold, visible, coalesce(lag(visible) OVER (PARTITION BY group_id ORDER BY stop) <> visible, false) AS changed FROM v""")
+def l_evolution(spark, d):
+    """How the decision goes as windows come in."""
+    return rounded(replay.evolution(placed_scores(spark, d), THRESHOLD, REJECTION, step=2), 6, "score")
 
 
 @query("l_event_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value_sum FROM events GROUP BY 1, 2")

@@ -47,9 +47,50 @@ def complex_pairs(rows: DataFrame, columns: tuple[str, str] = ("c0", "c1")) -> D
     return rows.withColumn("z", F.struct(F.col(columns[0]).alias("re"), F.col(columns[1]).alias("im")))
 
 
+#: NumPy's types for the element types of level-5 MAT files, and the classes of numeric arrays.
+MAT_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
+MAT_MATRIX, MAT_COMPRESSED, MAT_NUMERIC = 14, 15, range(6, 16)
+
+
+def _mat_elements(data: bytes, order: str):
+    """(type, bytes) of the elements one after the other; short ones carry their bytes in the tag, and all but compressed ones are padded to 8."""
+    at = 0
+    while at + 8 <= len(data):
+        kind, size = (int(v) for v in np.frombuffer(data, dtype=order + "u4", count=2, offset=at))
+        if kind >> 16:
+            yield kind & 0xFFFF, data[at + 4 : at + 4 + (kind >> 16)]
+            at += 8
+        else:
+            yield kind, data[at + 8 : at + 8 + size]
+            at += 8 + size + (0 if kind == MAT_COMPRESSED else -size % 8)
+
+
+def mat_arrays(content: bytes) -> dict[str, np.ndarray]:
+    """The numeric arrays of a level-5 MAT file by name, but for names with two underscores in front."""
+    import zlib
+
+    order = "<" if content[126:128] == b"IM" else ">"
+    out = {}
+    for kind, data in _mat_elements(content[128:], order):
+        if kind == MAT_COMPRESSED:
+            kind, data = next(_mat_elements(zlib.decompress(data), order))
+        if kind != MAT_MATRIX:
+            continue
+        parts = list(_mat_elements(data, order))
+        flags = np.frombuffer(parts[0][1], dtype=order + "u4")[0]
+        if int(flags) & 0xFF not in MAT_NUMERIC or len(parts) < 4:
+            continue
+        shape, name = np.frombuffer(parts[1][1], dtype=order + "i4"), parts[2][1].decode("latin-1")
+        values = [np.frombuffer(v, dtype=order + MAT_TYPES[k]) for k, v in parts[3:5] if k in MAT_TYPES]
+        a = values[0] + 1j * values[1] if int(flags) >> 11 & 1 and len(values) > 1 else values[0]
+        if not name.startswith("__"):
+            out[name] = a.reshape(tuple(shape), order="F")
+    return out
+
+
 def decode_arrays(files: DataFrame, variable: str | None = None) -> DataFrame:
-    """(path, name, shape, x) of NumPy files (.npy, .npz) read as binaryFile: the named array of a package, else every array that is numeric. Rows in
-    order, flattened; complex arrays have im, too."""
+    """(path, name, shape, x, im) of NumPy files (.npy, .npz) and level-5 MAT files read as binaryFile: the named array of a package, else every array that is
+    numeric. Rows in order, flattened; complex arrays have im, too."""
     schema = "path string, name string, shape array<long>, x array<double>, im array<double>"
 
     def run(batches):
@@ -58,8 +99,11 @@ def decode_arrays(files: DataFrame, variable: str | None = None) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                got = np.load(io.BytesIO(content), allow_pickle=False)
-                arrays = {k: got[k] for k in got.files} if hasattr(got, "files") else {"": got}
+                if content[:10] == b"MATLAB 5.0":
+                    arrays = mat_arrays(content)
+                else:
+                    got = np.load(io.BytesIO(content), allow_pickle=False)
+                    arrays = {k: got[k] for k in got.files} if hasattr(got, "files") else {"": got}
                 for name, a in arrays.items():
                     if (variable is None or name == variable) and a.dtype.kind in "iufcb":
                         z = a.reshape(-1)
@@ -71,6 +115,17 @@ def decode_arrays(files: DataFrame, variable: str | None = None) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def iq_signals(arrays: DataFrame) -> DataFrame:
+    """arrays (shape, x, im) where two-dimensional real ones with a side of two are one complex signal: x and im are its real and imaginary parts."""
+    two = (F.size("shape") == 2) & F.col("im").isNull()
+    columns, rows = two & (F.col("shape")[1] == 2), two & (F.col("shape")[0] == 2)
+    half = (F.size("x") / 2).cast("int")
+    even = lambda first: F.filter("x", lambda v, i: i % 2 == first)
+    real = F.when(columns, even(0)).when(rows, F.slice("x", F.lit(1), half)).otherwise(F.col("x"))
+    imaginary = F.when(columns, even(1)).when(rows, F.slice("x", half + 1, half)).otherwise(F.col("im"))
+    return arrays.withColumns({"x": real, "im": imaginary})
+
+
 def read_arrays(spark: SparkSession, paths: str | list[str], variable: str | None = None) -> DataFrame:
     return decode_arrays(spark.read.format("binaryFile").load(paths), variable)
 

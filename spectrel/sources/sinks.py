@@ -63,3 +63,24 @@ def run_facts() -> dict[str, str]:
     except OSError:
         commit = ""
     return {"at": datetime.now(UTC).isoformat(), "python": platform.python_version(), "pyspark": pyspark.__version__, "commit": commit}
+
+
+def environment() -> dict[str, dict[str, str | bool]]:
+    """Of every library that the engine needs its version, and whether it is there."""
+    from importlib import metadata
+
+    out: dict[str, dict[str, str | bool]] = {}
+    for name in ("pyspark", "pyarrow", "pandas", "numpy"):
+        try:
+            out[name] = {"version": metadata.version(name), "there": True}
+        except metadata.PackageNotFoundError:
+            out[name] = {"version": "", "there": False}
+    return out
+
+
+def write_run_manifest(spark: SparkSession, path: str, run_id: str, status: str, counts: Mapping, artifacts: Iterable[str]) -> dict:
+    """The run's manifest as one row of JSON: what, when, with what, and size and SHA-256 of every file of its artifacts."""
+    files = [r.asDict() for top in artifacts for r in registry(spark, top).orderBy("path").collect()]  # a row a file
+    out = {"schema_version": "1.0", "run_id": run_id, "status": status, "counts": dict(counts), "facts": run_facts(), "environment": environment(), "artifacts": files}
+    spark.createDataFrame([(json.dumps(out, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return out

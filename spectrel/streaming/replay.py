@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spectrel.operators.decision import decide_binary
+
 
 def prefixes(windows: DataFrame, step: int = 10, most: int = 200, index: str = "idx") -> DataFrame:
     """windows with stop: one copy for each prefix of step, 2 * step, ... windows that a window belongs to, as long as its part has that many.
@@ -26,6 +28,13 @@ def progressive_scores(scored: DataFrame, score: str = "score", step: int = 10,
     return parts.groupBy("group_id", "stop").agg(F.avg(score).alias(score), F.count("*").alias("parts_used"))
 
 
+def evolution(scored: DataFrame, threshold: float, rejection: float, score: str = "score", step: int = 10, most: int = 200) -> DataFrame:
+    """(group_id, stop, score, parts_used, threshold, visible, changed): the decision over each prefix, and whether it differs from the one before."""
+    out = decide_binary(progressive_scores(scored, score, step, most), threshold, rejection, score).withColumn("threshold", F.lit(threshold))
+    before = F.lag("visible").over(Window.partitionBy("group_id").orderBy("stop"))  # a row a step of a group
+    return out.withColumn("changed", F.coalesce(before != F.col("visible"), F.lit(False))).select("group_id", "stop", score, "parts_used", "threshold", "visible", "changed")
+
+
 def running_medians(scored: DataFrame, score: str = "score", most: int = 200) -> DataFrame:
     """A stream of (group_id, part, seen, median) from a stream of scored windows: the state of a part is the list of its scores so far, `most` at
     the most. Scores come from windows normalised with parameters fixed before, as a stream can't know a whole record's."""

@@ -186,6 +186,138 @@ def test_out_of_fold_scores(spark, small):
     assert len(out) == x.select("group_id").distinct().count() and out.group_id.is_unique and out[["score__target", "score__background"]].sum(axis=1).between(0.5, 1.5).all()
 
 
+def newton_table(rows, columns, label):
+    x = rows[columns].to_numpy()
+    y = (rows[label] == "target").to_numpy().astype(int)
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    return x, y, w
+
+
+def test_fitted_together_as_alone(spark, small):
+    """Out-of-fold scores of all folds against a Newton solution of each, and softmax against Spark ML."""
+    rows = kernels.feature_table(emb_arrays(spark, small), FS, 4, 32, "hann", "win", 16)
+    columns = ["crest_factor", "peak", "spectral_centroid_hz"]
+    got = le.out_of_fold(rows, columns, "label", 3).toPandas().set_index("group_id")
+    table = rows.toPandas()
+    fold = {r.group_id: r.fold for r in le.group_folds(rows, "label", 3).collect()}
+    table["fold"] = table.group_id.map(fold)
+    for f in range(3):
+        train, test = table[table.fold != f], table[table.fold == f]
+        x, y, w = newton_table(train, columns, "label")
+        centre, scale = x.mean(0), x.std(0)
+        a = np.c_[np.ones(len(x)), (x - centre) / scale]
+        beta = np.zeros(a.shape[1])
+        ridge = np.r_[0, np.ones(len(columns))]
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-a @ beta))
+            beta -= np.linalg.solve(a.T @ (a * (w * p * (1 - p))[:, None]) + np.diag(ridge), a.T @ (w * (p - y)) + ridge * beta)
+        test = test.assign(s=1 / (1 + np.exp(-np.c_[np.ones(len(test)), (test[columns].to_numpy() - centre) / scale] @ beta)))
+        want = test.groupby(["group_id", "part"]).s.median().groupby("group_id").mean()
+        assert np.allclose(got.loc[want.index, "score__target"], want, atol=1e-8)
+    three = rows.withColumn("cls", F.concat(F.lit("k"), F.pmod(F.substring("group_id", 3, 1).cast("int"), F.lit(3)).cast("string")))
+    a = le.model_scores(three, le.fit_final(three, columns, "cls").as_dict()).select("window_id", "score__k0", "score__k1").orderBy("window_id").toPandas()
+    b = le.fit_linear(three, columns, "cls", tol=1e-10).score(three).select("window_id", "score__k0", "score__k1").orderBy("window_id").toPandas()
+    assert np.allclose(a[["score__k0", "score__k1"]], b[["score__k0", "score__k1"]], atol=1e-5)
+
+
+def test_nested_and_permuted(spark, small):
+    rows = kernels.feature_table(emb_arrays(spark, small), FS, 4, 32, "hann", "win", 16)
+    decided, trace = le.nested_binary(rows, ["crest_factor", "peak"], "label", 3, 2, 42, 2)
+    out, trace = decided.toPandas(), trace.toPandas()
+    groups = rows.select("group_id").distinct().count()
+    assert len(out) == 2 * groups and out.groupby(["repeat", "fold"]).threshold.nunique().eq(1).all()
+    for _, one in trace.groupby(["repeat", "fold"]):
+        role = {k: set(v.group_id) for k, v in one.groupby("role")}
+        assert not role["test"] & (role["train"] | role["threshold"]) and role["train"] == role["threshold"] and len(role["test"] | role["train"]) == groups
+    p = le.permutation_scores(rows, ["crest_factor", "peak"], "label", range(6), 3)
+    assert p.count() == 6 and p.select("balanced_accuracy").distinct().count() > 1
+    observed = spark.createDataFrame([(0.9,)], "observed double")
+    found = de.p_values(p, observed).first()
+    assert found.permutations == 6 and found.p_value == pytest.approx(1 / 7)
+    cv = le.cross_validation(rows, ["crest_factor", "peak"], "label", 5).toPandas()
+    assert sorted(cv.fold) == [-1, 0, 1, 2, 3, 4] and cv[cv.fold >= 0].n_test.sum() == groups
+    with pytest.raises(ValueError, match="two classes"):
+        le.fit_final(rows.where("label = 'target'"), ["peak"], "label")
+
+
+def test_relational_and_fft_spectra_agree(spark, small):
+    w, a, k = emb_windows(spark, small), emb_arrays(spark, small), ("window_id",)
+    pairs = [
+        (sp.fft_magnitude(w, FS, SIZE, window="hann", keys=k), kernels.fft_table(a, FS, window="hann"), "magnitude"),
+        (sp.fft_magnitude(w, FS, SIZE, n_fft=128, detrend=True, keys=k), kernels.fft_table(a, FS, n_fft=128, detrend=True), "magnitude"),
+        (sp.fft_magnitude(w, FS, SIZE, n_fft=32, window="hamming", keys=k), kernels.fft_table(a, FS, n_fft=32, window="hamming"), "magnitude"),
+        (sp.periodogram(w, FS, SIZE, keys=k), kernels.periodogram_table(a, FS), "psd"),
+        (sp.welch(w, FS, SIZE, 32, 20, "blackman", k), kernels.welch_table(a, FS, 32, 20, "blackman"), "psd"),
+        (sp.blackman_tukey(w, FS, SIZE, keys=k), kernels.blackman_tukey_table(a, FS), "psd"),
+        (sp.blackman_tukey(w, FS, SIZE, compat=True, keys=k), kernels.blackman_tukey_table(a, FS, compat=True), "psd"),
+    ]
+    for rel, fft, value in pairs:
+        x, y = (t.orderBy("window_id", "k").toPandas() for t in (rel, fft))
+        assert len(x) == len(y) and np.allclose(x[value], y[value], rtol=0, atol=1e-9) and np.allclose(x.freq_hz, y.freq_hz)
+
+
+def test_two_sided_spectrum_of_a_rotation():
+    x = np.exp(2j * np.pi * -5 * np.arange(64) / 64)[None]
+    freqs, magnitude = kernels.fft_batch(x, 64.0)
+    assert freqs[0] == -32 and freqs[magnitude[0].argmax()] == -5 and magnitude.max() == pytest.approx(1)
+    freqs, psd = kernels.welch_batch(x + 0.0, 64.0, 32, 16)
+    assert freqs[psd[0].argmax()] in (-6.0, -4.0) and (np.diff(freqs) > 0).all()
+
+
+@pytest.mark.parametrize("length,block", [(500, 64), (130, 64), (64, 64), (10, 64), (3, 64), (1, 64)])
+def test_filters_in_blocks(spark, length, block):
+    rng = np.random.default_rng(length)
+    x = {(g, p): rng.standard_normal(length) for g in ("a", "b") for p in "LH"}
+    s = spark.createDataFrame([(g, p, i, float(v)) for (g, p), xs in x.items() for i, v in enumerate(xs)], "group_id string, part string, n long, x double").repartition(5)
+    b, a = fi.design_iir("bandpass", 100.0, [10.0, 20.0], 3)
+    taps = fi.design_fir("low", 100.0, 10.0, 21)
+
+    def plain(b, a, x):
+        d, out = np.zeros(len(a)), []
+        for v in x:
+            y = b[0] * v + d[0]
+            d[:-1] = d[1:] + b[1:] * v - a[1:] * y
+            out.append(y)
+        return np.array(out)
+
+    for name, df, of in (("fir", fi.apply_fir(s, taps, block=block), lambda v: np.convolve(v, taps)[: len(v)]), ("causal", fi.apply_iir(s, b, a, False, block=block), lambda v: plain(b, a, v)), ("both", fi.apply_iir(s, b, a, block=block), lambda v: fi.filtfilt(b, a, v))):
+        got = df.orderBy("group_id", "part", "n").toPandas()
+        assert len(got) == 4 * length
+        for (g, p), v in x.items():
+            assert np.allclose(got[(got.group_id == g) & (got.part == p)].y, of(v), atol=1e-8), name
+
+
+def test_filter_names():
+    for name, kind in (("stopband", "bandstop"), ("notch", "bandstop"), ("passband", "bandpass"), ("low", "lowpass"), ("highpass", "highpass")):
+        assert fi.kind_of(name) == kind
+
+
+@pytest.mark.parametrize("cell", [2, 5, 4096])
+def test_exact_medians(spark, cell):
+    rng = np.random.default_rng(3)
+    values = [(k, float(v), float(w)) for k, n in (("a", 1), ("b", 2), ("c", 501), ("d", 1000)) for v, w in zip(rng.standard_normal(n).round(1), rng.integers(0, 3, n), strict=True)]
+    df = spark.createDataFrame(values, "k string, v double, w double").repartition(4)
+    got = {r.k: (r.v, r.w) for r in robust.exact_medians(df, ["k"], ["v", "w"], cell=cell).collect()}
+    assert got == {k: tuple(np.median([[v, w] for q, v, w in values if q == k], axis=0)) for k in "abcd"}
+
+
+def test_sampled_windows_are_those_of_all_frames(spark):
+    for length in (10, 32, 100, 333, 340):
+        s = spark.range(length).select(F.lit("g").alias("group_id"), F.lit("L").alias("part"), F.lit("t").alias("label"), F.col("id").alias("n"), F.col("id").cast("double").alias("x"))
+        frames = fr.deterministic_starts(fr.frame_table(s, 16, 4), 9)
+        want = sorted((r.idx, r.start) for r in frames.collect())
+        got = fr.sampled_windows(s, 16, 4, 9).orderBy("number").collect()
+        assert [(r.idx, r.start) for r in got] == want and [r.number for r in got] == list(range(len(want))) and all(r.win == list(range(r.start, r.stop)) for r in got)
+
+
+def test_impulses_and_ranks(spark):
+    s = spark.range(3000).select(F.concat(F.lit("g"), (F.col("id") % 2).cast("string")).alias("group_id"), F.lit("L").alias("part"), F.floor(F.col("id") / 2).alias("n"), F.lit(1.0).alias("x"))
+    hit = sy.add_impulses(s, 0.01, 5.0, 3).where("x <> 1").groupBy("group_id").count().collect()
+    assert [r["count"] for r in hit] == [15, 15]
+    ranked = le.hash_rank(s.select("group_id", F.concat("group_id", F.lit(":"), F.col("n").cast("string")).alias("id")), le.hash_order(1, "id"), "r", ["group_id"], "id").toPandas()
+    assert all(sorted(g.r) == list(range(1, 1501)) for _, g in ranked.groupby("group_id"))
+
+
 def test_guards(spark):
     rows = spark.createDataFrame([(f"g{i}", p, 1.0 + 0.1 * i, 2.0 * i) for i in range(6) for p in "LH"], "group_id string, part string, crest_factor double, f double")
     vectors = robust.group_vectors(rows, ["crest_factor", "f"])

@@ -114,3 +114,50 @@ def test_stream_of_event_windows(spark, small, tmp_path):
     q.stop()
     want = {tuple(r)[:3] for r in replay.event_windows(events).collect()}
     assert {tuple(r)[:3] for r in spark.table("ev").collect()} == want
+
+
+def mat_file(arrays, compress):
+    """A level-5 MAT file of real and complex arrays."""
+    import struct
+    import zlib
+
+    def element(kind, data):
+        return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    kinds = {"f8": (6, 9), "f4": (7, 7), "i2": (10, 3), "u1": (9, 2)}
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
+    for name, a in arrays.items():
+        cls, kind = kinds[a.real.dtype.str[1:]]
+        body = element(6, struct.pack("<II", cls | (0x800 if np.iscomplexobj(a) else 0), 0)) + element(5, struct.pack(f"<{a.ndim}i", *a.shape)) + element(1, name.encode())
+        for part in [a.real, a.imag] if np.iscomplexobj(a) else [a]:
+            body += element(kind, np.asfortranarray(part).tobytes(order="F"))
+        whole = element(14, body)
+        out += struct.pack("<II", 15, len(z := zlib.compress(whole))) + z if compress else whole
+    return out
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_mat_files(spark, tmp_path, compress):
+    rng = np.random.default_rng(2)
+    arrays = {"signal": rng.standard_normal((5, 7)), "short": np.arange(6, dtype="i2").reshape(2, 3), "z": rng.standard_normal((4, 1)) + 1j * rng.standard_normal((4, 1)), "single": rng.standard_normal((3, 3)).astype("f4"), "__hidden": np.zeros((9, 9))}
+    (tmp_path / "x.mat").write_bytes(mat_file(arrays, compress))
+    got = {r["name"]: r for r in rd.read_arrays(spark, str(tmp_path / "x.mat")).collect()}
+    assert set(got) == {"signal", "short", "z", "single"}
+    for name, r in got.items():
+        assert list(r["shape"]) == list(arrays[name].shape) and np.allclose(r.x, arrays[name].real.reshape(-1)) and (r.im is None or np.allclose(r.im, arrays[name].imag.reshape(-1)))
+    only = rd.input_parts(rd.read_arrays(spark, str(tmp_path / "x.mat")).where("size(x) > 16"), 10.0).collect()
+    assert [(r.part, len(r.x)) for r in only] == [("ONLY", 35)]
+
+
+def test_iq_signals(spark, tmp_path):
+    a = np.arange(12.0)
+    np.savez(tmp_path / "iq.npz", columns=a.reshape(6, 2), rows=a.reshape(2, 6), plain=a.reshape(3, 4))
+    got = {r["name"]: (r.x, r.im) for r in rd.iq_signals(rd.read_arrays(spark, str(tmp_path / "iq.npz"))).collect()}
+    assert got["columns"] == (list(a[::2]), list(a[1::2])) and got["rows"] == (list(a[:6]), list(a[6:])) and got["plain"] == (list(a), None)
+
+
+def test_run_manifest(spark, tmp_path):
+    sinks.write_json(spark.range(3), str(tmp_path / "t"))
+    got = sinks.write_run_manifest(spark, str(tmp_path / "m"), "r1", "done", {"windows": 3}, [str(tmp_path / "t")])
+    back = json.loads(spark.read.text(str(tmp_path / "m")).first()[0])
+    assert back == json.loads(json.dumps(got)) and back["counts"] == {"windows": 3} and all(len(a["sha256"]) == 64 for a in back["artifacts"]) and back["environment"]["pyspark"]["there"]
