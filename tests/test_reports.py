@@ -15,24 +15,24 @@ FOLDER = "/root/testdata/sf0.01"
 
 def test_builds_resume_and_are_locked(spark, small, tmp_path):
     files, text = au.recorded(spark, small)
-    files = files.where("segment = 0").cache()
+    config = au.FeatureConfig(64, 32, 3, 4, 32, "hann", au.FS)
     out = str(tmp_path / "run")
     some = files.where("group_id < 's_5'")
-    n = re.build_features(some, text, out, au.CONFIG, batch=3).count()
-    assert n == some.count() * au.CONFIG.windows_per_part
-    whole = re.build_features(files, text, out, au.CONFIG)
-    assert whole.count() == files.where("partition in ('dev', 'eval')").count() * au.CONFIG.windows_per_part
+    n = re.build_features(some, text, out, config, batch=3).count()
+    assert n == some.count() * config.windows_per_part
+    whole = re.build_features(files, text, out, config)
+    assert whole.count() == files.where("partition in ('dev', 'eval')").count() * config.windows_per_part
     assert whole.groupBy("window_id").count().where("count > 1").count() == 0
     with pytest.raises(ValueError, match="another configuration"):
         re.build_features(files, text, out, au.FeatureConfig(64, 32, 5, 4, 32, "hann", au.FS))
     with pytest.raises(ValueError, match="held-out"):
-        re.build_features(files, text, out, au.CONFIG, ["holdout"])
+        re.build_features(files, text, out, config, ["holdout"])
     with pytest.raises(ValueError, match="rates"):
-        re.file_features(files.withColumn("sample_rate_hz", F.lit(65.0)), text, au.CONFIG)
+        re.file_features(files.withColumn("sample_rate_hz", F.lit(65.0)), text, config)
     with pytest.raises(Exception, match="no contents"):
-        re.file_features(files, text.limit(1), au.CONFIG).collect()
+        re.file_features(files, text.limit(1), config).collect()
     with pytest.raises(ValueError, match="both parts"):
-        re.build_features(files.where("part = 'L'"), text, str(tmp_path / "half"), au.CONFIG)
+        re.build_features(files.where("part = 'L'"), text, str(tmp_path / "half"), config)
 
 
 @pytest.fixture(scope="module")
