@@ -44,6 +44,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written and read again. Edge cases are as the stages define them; an empty table gives an empty one."""
     shelf, docs = Shelf(spark, "pipeline"), read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = shelf.put(stage(spark, docs, sf_dir))
