@@ -87,7 +87,7 @@ def test_defined_values(spark, docs, items):
     x = scan[10, rows()[13][1]]
     assert x.base_labels == "apache,cc-by" and x.n_base == 2 and (x.first_word, x.last_word) == (0, 5) and "apache-2.0" in x.labels
     score = {(r.doc_id, r.text): r for r in lm.backoff_scores(docs).collect()}
-    assert score[2, ""].score == 0 and score[2, ""].mean_score is None and score[4, rows()[3][1]].n_words == 60_000
+    assert score[2, ""].total == 0 and score[2, ""].score is None and score[4, rows()[3][1]].n_words == 60_000
     weight = {(r.doc_id, r.text): r for r in quality.resample(docs, labels(spark)).collect()}
     assert weight[1, None].log_weight == 0 and weight[2, ""].log_weight == 0
 
@@ -126,3 +126,12 @@ def test_urls(spark):
     out = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(t).collect())
     assert out == [(1, "", "", None, "allow")] * 2 + [(2, "", "", None, "allow"), (3, "a.com", "/x", "com/", "allow"), (4, "www.example.com", "/en/1", "www.example.com/en/", "allow"), (5, "m.example.com", "/en/", "example.com/en/", "block"), (6, "x.net", "/es/", "net/es/", "block"), (7, "com", "", None, "allow")]
     assert urlfilter.judge_urls(t.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", [n for n in OPERATORS if n not in ("simhash_near", "sharding_rows")])
+def test_a_text_of_ten_megabytes(spark, items, name):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    long = " ".join(rng.choices(words, k=1_500_000))
+    out = OPERATORS[name](spark, spark.createDataFrame([(1, long), (2, "short"), (3, long + " more")], "doc_id long, text string"), items).collect()
+    assert len(long) > 10_000_000 and sorted(r.doc_id for r in out) == [1, 2, 3]
