@@ -36,14 +36,16 @@ def space_words(text: bytes | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """XXH64 of words, kept up to a number of entries."""
+    """XXH64 of words, kept up to a number of entries; long words aren't kept."""
 
     def __init__(self, seed: int = 42, most: int = 400_000):
         super().__init__()
         self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word, self.seed)
+        h = xxhash.xxh64_intdigest(word, self.seed)
+        if len(word) <= 200:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

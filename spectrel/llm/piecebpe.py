@@ -27,6 +27,8 @@ LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 UNIT = re.compile(f"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}]+)|{MARK}+")
 #: Entries in a worker's tables of units already encoded, of id strings' bytes (cheap to make again), and of pairs of pieces.
 KNOWN, SURFACES, PAIRS = 400_000, 100_000, 300_000
+#: Letters of the longest unit, and of the longest id string, that are kept.
+KEPT = 300
 
 
 class Known(dict):
@@ -37,7 +39,9 @@ class Known(dict):
         self.make = make
 
     def __missing__(self, unit: str) -> str:
-        self[unit] = out = ",".join(map(str, self.make(unit)))
+        out = ",".join(map(str, self.make(unit)))
+        if len(unit) <= KEPT:
+            self[unit] = out
         return out
 
 
@@ -74,7 +78,9 @@ class Surfaces(dict):
         self.coder = coder
 
     def __missing__(self, joined: str) -> bytes:
-        self[joined] = out = b"".join(map(self.coder.surface.__getitem__, joined.split(",")))
+        out = b"".join(map(self.coder.surface.__getitem__, joined.split(",")))
+        if len(joined) <= KEPT:
+            self[joined] = out
         return out
 
 
