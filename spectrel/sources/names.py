@@ -59,11 +59,10 @@ def parsed(path: Column) -> dict[str, Column]:
 def inferred_label(path: Column) -> Column:
     """From the code if the name is of the pattern, else from terms in the file's or folder's name; background terms win."""
     name, folder = F.lower(file_name(path)), F.lower(folder_name(path))
-    has = lambda terms, *where: F.coalesce(*[F.lit(False)]) if not terms else _any(terms, where)
     code = parsed(path)["code"]
     out = F.when(code == "00000", "background").when(code.isNotNull(), "target")
-    out = out.when(has(BACKGROUND_TERMS, name, folder), "background")
-    return out.when(name.contains("drone") | has(MODEL_TERMS, name, folder), "target").otherwise("unknown")
+    out = out.when(_any(BACKGROUND_TERMS, (name, folder)), "background")
+    return out.when(name.contains("drone") | _any(MODEL_TERMS, (name, folder)), "target").otherwise("unknown")
 
 
 def _any(terms: tuple[str, ...], where: tuple[Column, ...]) -> Column:
