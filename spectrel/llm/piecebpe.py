@@ -25,21 +25,20 @@ MARK = "▁"
 #: Latin letters; and units: space marks, then Latin letters only or other characters only.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 UNIT = re.compile(f"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}]+)|{MARK}+")
-#: Entries in a worker's tables of units already encoded, of id strings' bytes (cheap to make again), and of pairs of pieces.
-KNOWN, SURFACES, PAIRS = 400_000, 100_000, 300_000
-#: Letters of the longest unit, and of the longest id string, that are kept.
-KEPT = 300
+#: Entries in a worker's tables of units already encoded and of pairs of pieces; and letters of the longest unit that is kept.
+KNOWN, PAIRS, KEPT = 300_000, 300_000, 300
 
 
 class Known(dict):
-    """Decimal ids, joined by commas, of units already encoded."""
+    """Of units already encoded their decimal ids, joined by commas, and the bytes that these ids stand for."""
 
-    def __init__(self, make):
+    def __init__(self, coder):
         super().__init__()
-        self.make = make
+        self.coder = coder
 
-    def __missing__(self, unit: str) -> str:
-        out = ",".join(map(str, self.make(unit)))
+    def __missing__(self, unit: str) -> tuple[str, bytes]:
+        joined = ",".join(map(str, self.coder.unit_ids(unit)))
+        out = joined, self.coder.bytes_of(joined)
         if len(unit) <= KEPT:
             self[unit] = out
         return out
@@ -70,20 +69,6 @@ def wire(data: bytes):
             at += n
 
 
-class Surfaces(dict):
-    """The bytes that strings of joined ids stand for."""
-
-    def __init__(self, coder):
-        super().__init__()
-        self.coder = coder
-
-    def __missing__(self, joined: str) -> bytes:
-        out = b"".join(map(self.coder.surface.__getitem__, joined.split(",")))
-        if len(joined) <= KEPT:
-            self[joined] = out
-        return out
-
-
 class PieceBpe:
     """Encoder and decoder for a SentencePiece model of type BPE with the identity normalizer and byte fallback."""
 
@@ -113,8 +98,7 @@ class PieceBpe:
         for p, i in self.good.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.known = Known(self.unit_ids)
-        self.surfaces = Surfaces(self)
+        self.known = Known(self)
         self.surface = {str(i): bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)}
         self.surface[str(self.unk)] = " ⁇ ".encode()
 
@@ -161,17 +145,17 @@ class PieceBpe:
             out.append(i)
         if covered == n:
             return out
-        good, pieces = self.good, [None] * n
-
-        def starting(at: int) -> list[tuple[int, int]]:
-            """(length, id) of the pieces that start at a place, the longest last; (1, -1) for a character that is no piece."""
-            pieces[at] = out = [(e - at, good[p]) for e in range(at + 1, min(n, at + self.longest) + 1) if (p := unit[at:e]) in good] or [(1, -1)]
-            return out
-
+        # (length, id) of the pieces that start at each place, the longest last; (1, -1) for a character that is no piece
+        pieces: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for end, (length, i) in self.automaton.iter(unit):
+            pieces[end + 1 - length].append((length, i))
+        for x in pieces:
+            if not x:
+                x.append((1, -1))
         failed = 0  # a bit for each place that no further encoding starts from
         done: list[tuple[int, int]] = []
         at, last = 0, -1
-        options = starting(0)
+        options = pieces[0]
         k = len(options)
         while at < n:
             while k:
@@ -181,7 +165,7 @@ class PieceBpe:
                     done.append((k, at))
                     last, at = i, at + length
                     if at < n:
-                        options = pieces[at] or starting(at)
+                        options = pieces[at]
                         k = len(options)
                     break
             else:
@@ -200,12 +184,25 @@ class PieceBpe:
     def marked(self, text: str) -> str:
         return (MARK * bool(self.prefix) + text).replace(" ", MARK) if text else ""
 
-    def encode_units(self, text: str) -> list[str]:
-        """For each unit of the text its decimal ids, joined by commas."""
+    def units(self, text: str) -> list[tuple[str, bytes]]:
         if len(self.known) > KNOWN:
             self.known.clear()
         return list(map(self.known.__getitem__, UNIT.findall(self.marked(text))))
 
+    def bytes_of(self, joined: str) -> bytes:
+        """What decimal ids joined by commas stand for."""
+        return b"".join(map(self.surface.__getitem__, joined.split(",")))
+
+    def coded(self, text: str) -> tuple[str, str]:
+        """(decimal ids joined by commas, the text of these ids)."""
+        found = self.units(text)
+        joined = ",".join([j for j, _ in found])
+        return joined, self.plain(joined, b"".join([b for _, b in found]))
+
+    def encode_units(self, text: str) -> list[str]:
+        """For each unit of the text its decimal ids, joined by commas."""
+        return [j for j, _ in self.units(text)]
+
     def encode_joined(self, text: str) -> str:
         """Decimal ids joined by commas."""
         return ",".join(self.encode_units(text))
@@ -215,16 +212,18 @@ class PieceBpe:
 
     def decode_units(self, parts: list[str]) -> str:
         """The text of ids, given as decimal ids joined by commas, in any number of parts."""
-        if not parts:
+        joined = ",".join(parts)
+        return self.plain(joined, self.bytes_of(joined)) if parts else ""
+
+    def plain(self, joined: str, raw: bytes) -> str:
+        """The text of ids from their bytes."""
+        if not joined:
             return ""
-        if len(self.surfaces) > SURFACES:
-            self.surfaces.clear()
-        raw = b"".join(map(self.surfaces.__getitem__, parts))
         try:
             text = raw.decode()
         except UnicodeDecodeError:  # bytes that are no characters
-            return self.decode(map(int, ",".join(parts).split(",")))
-        return text[1:] if self.prefix and text[:1] == " " and self.opens_with_mark(parts[0]) else text
+            return self.decode(map(int, joined.split(",")))
+        return text[1:] if self.prefix and text[:1] == " " and self.opens_with_mark(joined) else text
 
     def opens_with_mark(self, joined: str) -> bool:
         first = int(joined.split(",", 1)[0])
@@ -292,9 +291,9 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str
         c = coder(path)
 
         def do(texts):
-            parts = [c.encode_units(t.decode("utf-8", "replace") if t else "") for t in texts]
-            got = [",".join(p) for p in parts]
-            return [[g.count(",") + 1 if g else 0 for g in got], got, [c.decode_units(p) for p in parts], *([[np.fromstring(g, dtype=np.int32, sep=",") for g in got]] if ids else [])]
+            both = [c.coded(t.decode("utf-8", "replace") if t else "") for t in texts]
+            got = [g for g, _ in both]
+            return [[g.count(",") + 1 if g else 0 for g in got], got, [d for _, d in both], *([[np.fromstring(g, dtype=np.int32, sep=",") for g in got]] if ids else [])]
 
         return do
 
@@ -311,9 +310,8 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
         def do(texts):
             cols: list[list] = [[], [], []]
             for t in texts:
-                parts = c.encode_units(t.decode("utf-8", "replace") if t else "")
-                joined = ",".join(parts)
-                for col, v in zip(cols, (joined.count(",") + 1 if joined else 0, sha(joined), sha(c.decode_units(parts))), strict=True):
+                joined, decoded = c.coded(t.decode("utf-8", "replace") if t else "")
+                for col, v in zip(cols, (joined.count(",") + 1 if joined else 0, sha(joined), sha(decoded)), strict=True):
                     col.append(v)
             return cols
 
