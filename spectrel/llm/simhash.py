@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectrel.llm.common import Shelf, free_name, mix, per_text, read, space_words
+from spectrel.llm.common import Shelf, free_name, mix, per_text, read, space_words, steps, text_bytes
 from spectrel.llm.components import components
 
 #: Shingles whose bits are counted together.
@@ -377,12 +377,15 @@ def signatures(source: DataFrame, rule: NearRule) -> DataFrame:
     return per_text(source, "text", [("node", T.LongType()), ("fp", T.LongType()), ("sketch", T.BinaryType()), ("buckets", T.ArrayType(T.LongType()))], make, ["id", "ka", "kb"])
 
 
-def unite(node: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
+def unite(node: np.ndarray, linked, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(node, centre) for each node that is linked with others: every pair is tested, but for those that are connected before.
 
-    linked(r, js): which of the rows js the row r is linked with."""
+    linked(r, js): which of the rows js the row r is linked with. first: the rows from there on are connected from the start, and named only where
+    one before them is linked with them."""
     label = np.arange(len(node))
-    for r in range(len(node) - 1):
+    if first is not None:
+        label[first:] = first
+    for r in range(min(len(node) - 1, len(node) if first is None else first)):
         js = r + 1 + np.flatnonzero(label[r + 1 :] != label[r])
         if len(js):
             js = js[linked(r, js)]
@@ -392,7 +395,7 @@ def unite(node: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
     least = np.full(len(node), np.iinfo(np.int64).max)
     np.minimum.at(least, label, node)
     centre = least[label]
-    out = centre != node
+    out = (centre != node) & (np.isin(label, label[:first]) if first is not None else True)
     return node[out], centre[out]
 
 
@@ -446,31 +449,76 @@ def anchored_links(nodes: DataFrame, rule: NearRule, shelf: Shelf) -> DataFrame:
     return far.unionByName(same.where("a != b"))
 
 
+def shingle_set(text: bytes | None, rule: NearRule) -> np.ndarray:
+    return np.unique(shingle_hashes(text, rule.shingle))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def told_first(texts: DataFrame, rule: NearRule) -> DataFrame:
+    """(node, first, soft): the first node of a text's group, and whether the text has the similarity with it."""
+    first = texts.groupBy("group").agg(F.min("node").alias("first")).select("first")
+    chosen = texts.join(first, F.col("node") == F.col("first")).select("group", "first", F.col("text").alias("other"))
+
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+        for b in (b for whole in batches for b in steps(whole, "text")):
+            soft = []
+            for node, at, text, other in zip(b.column("node").to_pylist(), b.column("first").to_pylist(), *(text_bytes(b.column(c)) for c in ("text", "other")), strict=True):
+                text, other = text.as_py(), other.as_py() if at not in known else None
+                if at not in known:
+                    if len(known) > 16:
+                        known.clear()
+                    known[at] = shingle_set(other, rule)
+                soft.append(node == at or jaccard(known[at], shingle_set(text, rule)) >= rule.similarity)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("first"), pa.array(soft, pa.bool_())], names=["node", "first", "soft"])
+
+    return texts.select("group", "node", "text").join(chosen, "group").select("node", "first", "text", "other").mapInArrow(run, "node long, first long, soft boolean")
+
+
 def similar_links(texts: DataFrame, rule: NearRule, shelf: Shelf) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of a group with the similarity. texts: group, node, sketch, bytes, text."""
-    size = shelf.put(texts.groupBy("group").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")))
-    k = F.greatest(F.ceil(F.col("count") / rule.cell), F.ceil(F.col("bytes") / rule.cell_bytes)).cast("int")
-    cells = dealt(texts.drop("bytes"), "group", size.select("group", k.alias("k")).where("k > 1"))
+    """(a, b): links whose components are those of all pairs of a group with the similarity. texts: group, node, sketch, bytes, text.
+
+    Every text is compared with its group's first: a group of copies of one text, however many, is done with that. The texts that aren't linked with the
+    first (hard) are compared with each other and with those that are (soft), in cells of two slices."""
+    flags = shelf.put(told_first(texts, rule))
+    rest = texts.join(flags.select("node", "soft"), "node")
+    sums = [f(F.when(F.col("soft") == v, x)).alias(n) for v, w in ((False, "hard"), (True, "easy")) for n, f, x in ((w, F.count, F.lit(1)), (f"{w}_bytes", F.sum, F.col("bytes")))]
+    slices = lambda n: F.greatest(F.ceil(F.col(n) / rule.cell), F.ceil(F.col(f"{n}_bytes") / rule.cell_bytes)).cast("int")
+    size = shelf.put(rest.groupBy("group").agg(*sums).where("hard > 0").select("group", slices("hard").alias("kh"), slices("easy").alias("ke")))
+    rest = rest.join(size, "group").select("group", "node", "soft", "sketch", "text", "kh", "ke")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("soft"), F.col("ke")).otherwise(F.col("kh"))).cast("int")
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(upto("kh"), lambda o: cell(0, F.least("m", o), F.greatest("m", o)))
+    across = F.transform(upto("ke"), lambda o: cell(1, F.col("m"), o))
+    cells = F.when(F.col("soft"), F.transform(upto("kh"), lambda o: cell(1, o, F.col("m")))).otherwise(F.concat(among, across))
+    dealt_out = rest.withColumn("m", mine).select("group", "node", "soft", "sketch", "text", F.explode(cells).alias("c")).select("group", "node", "soft", "sketch", "text", "c.*")
 
     def compare(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
+        table = table.sort_by("soft")  # the hard ones first
+        node, first = table.column("node").to_numpy(), int((~table.column("soft").to_numpy()).sum())
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-        sets = [np.unique(shingle_hashes(t, rule.shingle)) for t in table.column("text").cast(pa.binary()).to_pylist()]
+        sets = [shingle_set(t, rule) for t in table.column("text").cast(pa.binary()).to_pylist()]
         n = np.array([len(s) for s in sets])
 
         def linked(r: int, js: np.ndarray) -> np.ndarray:
             out = ((sketch[js] == sketch[r]).mean(axis=1) >= rule.loose) & (np.minimum(n[js], n[r]) / np.maximum(n[js], n[r]) >= rule.similarity)
             for x in np.flatnonzero(out):
-                other = sets[js[x]]
-                at = np.minimum(np.searchsorted(sets[r], other), n[r] - 1)
-                both = int((sets[r][at] == other).sum())
-                out[x] = both / (n[r] + len(other) - both) >= rule.similarity
+                out[x] = jaccard(sets[r], sets[js[x]]) >= rule.similarity
             return out
 
-        a, b = unite(node, linked)
+        a, b = unite(node, linked, first)
         return pa.table({"a": a, "b": b})
 
-    return cells.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    found = dealt_out.groupBy("group", "kind", "i", "j").applyInArrow(compare, "a long, b long")
+    return flags.where("soft and node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(found.distinct())
 
 
 def near_dedup(docs: DataFrame, rule: NearRule = SIMILAR, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
