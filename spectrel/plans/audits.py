@@ -21,12 +21,13 @@ from spectrel.operators import recordings as re
 from spectrel.operators import synth as sy
 from spectrel.operators.features import FeatureConfig, fold_bands
 from spectrel.plans.decision_queries import ACTIVITY, GROUP_CTES, GUARD, REJECTION, REP, SCORE_COLUMNS, THRESHOLD, METRICS, report_sql
-from spectrel.plans.fixtures import EMB_SQL, FS, SHIP_SQL, contents, emb_arrays, emb_windows, manifest, planted
+from spectrel.plans.fixtures import EMB_SQL, FS, SHIP_SQL, contents, emb_arrays, emb_windows, manifest, one_line_samples, planted, ship_series
 from spectrel.plans.registry import query
 from spectrel.plans.series_queries import PRE, STARTS, frames_sql, hex_uniform, normal_sql
 from spectrel.plans.spectral_queries import FEATURE_CTES, FEATURES4, features4, rounded
 from spectrel.sources import readers as rd
 from spectrel.sources import sinks as sk
+from spectrel.sources.batches import BatchTable
 
 Condition = Callable[[DataFrame], DataFrame]
 WINDOW_KEYS = ("group_id", "part", "label", "window_id", "condition")
@@ -229,13 +230,31 @@ def g13(spark, d):
     return rounded(out.select("window_id", "group_id", "part", "partition", *FEATURES4), 6, *FEATURES4)
 
 
+@query("g13_one_line_features", FILE_ROWS)
+def g13_files(spark, d):
+    """The same from files of one line on disk: read by byte ranges, a row a sample, so that no task holds a file."""
+    at = f"{shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    sk.write_one_line(ship_series(spark, d), at)
+    s = one_line_samples(spark, at).select(F.concat(F.lit("raw/"), F.substring("group_id", 3, 20), "part", F.lit(".csv")).alias("path"), "n", "x")
+    out = re.file_features(manifest(spark, d), s, CONFIG)
+    return rounded(out.select("window_id", "group_id", "part", "partition", *FEATURES4), 6, *FEATURES4)
+
+
 @query("j01_feature_build", f"SELECT * FROM ({FILE_ROWS}) WHERE partition <> 'holdout'")
 def j01(spark, d):
-    """A build at a folder of its own, broken off after the development files and resumed: locked configuration, files once each, checks at the end."""
+    """A build at a folder of its own that broke off: a batch is recorded, one is done twice, one was written and not recorded; then the whole build."""
     files, text = recorded(spark, d)
-    at = f"{shared_folder(spark)}/build-{uuid.uuid4().hex}"
-    re.build_features(files.where("partition = 'dev'"), text, at, CONFIG)
-    out = re.build_features(files, text, at, CONFIG)
+    at, batches = f"{shared_folder(spark)}/build-{uuid.uuid4().hex}", 4
+    log = BatchTable(spark, at, batches)
+    wanted = files.where("partition <> 'holdout'")
+    for b, last in ((0, False), (0, False), (2, True)):
+        some = wanted.where(re.batch_of(F.col("relative_path"), batches) == b)
+        own = text.where(re.batch_of(F.col("path"), batches) == b)
+        if last:
+            log.write(b, {"features": re.file_features(some, own, CONFIG).limit(3)})
+        else:
+            re.build_batch(log, b, some, own, CONFIG)
+    out = re.build_features(files, text, at, CONFIG, batches=batches)
     return rounded(out.select("window_id", "group_id", "part", "partition", *FEATURES4), 6, *FEATURES4)
 
 

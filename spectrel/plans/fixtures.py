@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrel.operators.conditioning import preprocess
+from spectrel.sources import longtext
 from spectrel.sources.names import CLASSES
 
 #: Rate and size of the windows from embeddings.
@@ -87,6 +88,13 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("group_id", "part").agg(line.alias("text")).select(path.alias("path"), "text")
 
 
+def one_line_samples(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    """(path, group_id, part, n, x) of the records that write_one_line() wrote to a folder; path is relative to it."""
+    s = longtext.text_samples(spark, folder, strict=strict, root=folder, recursiveFileLookup=True)
+    key = lambda name: F.regexp_extract("path", f"(?:^|/){name}=([^/]*)/", 1).alias(name)
+    return s.select("path", key("group_id"), key("part"), "n", "x")
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(group_id, part, label, n, x): the suppliers' conditioned series, those of targets with a tone by which their models can be told."""
     kinds = manifest(spark, sf_dir).select("group_id", "part", "activity", "model").distinct()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spectrel.functions.columns import finite_or, mapped
+from spectrel.functions.columns import finite_or, is_finite, mapped
 from spectrel.functions.tables import shared_folder, stored
 from spectrel.operators import conditioning as co
 from spectrel.operators import decision as de
@@ -15,7 +15,7 @@ from spectrel.operators import filters as fi
 from spectrel.operators import learning as le
 from spectrel.operators import robust
 from spectrel.plans.decision_queries import ACTIVITY, BIN, GROUP_CTES, REJECTION, SCORE_COLUMNS, THRESHOLD, binary, group_scores, top
-from spectrel.plans.fixtures import SHIP_SQL, USER_SQL, series_user, ship_series, table
+from spectrel.plans.fixtures import SHIP_SQL, USER_SQL, one_line_samples, series_user, ship_series, table
 from spectrel.plans.registry import query
 from spectrel.plans.spectral_queries import FEATURE_CTES, features4, rounded
 from spectrel.sources import names as na
@@ -148,10 +148,31 @@ def lines(spark, d, end: str):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(text.alias("v"))
 
 
-@query("a07_text_numbers", f"WITH {LINES_SQL}, x AS (SELECT k, CAST(unnest(string_split(v, ', ')) AS DOUBLE) AS x FROM ln) SELECT k, count(*) AS samples, sum(x) AS total FROM x GROUP BY k")
+@query("a07_text_numbers", f"WITH {LINES_SQL}, x AS (SELECT k, CAST(unnest(string_split(v, ', ')) AS DOUBLE) AS x FROM ln) SELECT k, count(*) + CASE WHEN k % 3 = 1 THEN 4 ELSE 0 END AS samples, sum(x) + CASE WHEN k % 3 = 1 THEN 7 ELSE 0 END AS total FROM x GROUP BY k")
 def a07(spark, d):
-    text = lines(spark, d, "").select("k", F.concat(F.lit("value_a, value_b\n"), F.array_join("v", ", ")).alias("v"))
-    return text.select("k", rd.numbers(F.col("v")).alias("x")).select("k", F.size("x").cast("long").alias("samples"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total"))
+    """Texts with a header row, with a first row of nan and inf, and without either."""
+    first = F.when(F.col("k") % 3 == 0, "value_a, value_b\n").when(F.col("k") % 3 == 1, "nan, inf\n7;-Infinity ").otherwise("")
+    text = lines(spark, d, "").select("k", F.concat(first, F.array_join("v", ", ")).alias("v"))
+    x = text.select("k", rd.numbers(F.col("v")).alias("x"))
+    return x.select("k", F.size("x").cast("long").alias("samples"), F.aggregate("x", F.lit(0.0), lambda a, v: a + F.when(is_finite(v), v).otherwise(0.0)).alias("total"))
+
+
+@query("a07_one_line_files", f"WITH {SHIP_SQL} SELECT group_id, part, n, x FROM ser")
+def a07_files(spark, d):
+    """Series written as files of one line and read again by byte ranges, cut at commas; numbered by the counts of the ranges."""
+    at = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    sk.write_one_line(ship_series(spark, d), at)
+    return one_line_samples(spark, at).select("group_id", "part", "n", "x")
+
+
+@query("a08_one_line_files", f"WITH {SHIP_SQL} SELECT group_id, part, count(*) AS samples, CAST(sum(CAST(floor(x / 10) AS BIGINT)) AS BIGINT) AS total, CAST(sum(n * CAST(floor(x / 10) AS BIGINT)) AS BIGINT) AS moment FROM ser GROUP BY group_id, part")
+def a08_files(spark, d):
+    """Strict integers with six zero decimals from files of one line: count, sum and first moment by record."""
+    at = f"{shared_folder(spark)}/strict-{uuid.uuid4().hex}"
+    whole = F.concat(F.floor(F.col("x") / 10).cast("long").cast("string"), F.lit(".000000"))
+    sk.write_one_line(ship_series(spark, d), at, text=whole)
+    s = one_line_samples(spark, at, strict=True).withColumn("x", F.col("x").cast("long"))
+    return s.groupBy("group_id", "part").agg(F.count("*").alias("samples"), F.sum("x").alias("total"), F.sum(F.col("n") * F.col("x")).alias("moment"))
 
 
 @query("a08_strict_integers", f"WITH {LINES_SQL}, x AS (SELECT k, CAST(unnest(string_split(v, ', ')) AS INTEGER) AS x FROM ln) SELECT k, count(*) AS samples, CAST(sum(x) AS BIGINT) AS total FROM x GROUP BY k")

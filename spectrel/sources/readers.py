@@ -21,11 +21,19 @@ MANIFEST_SCHEMA = T.StructType([T.StructField("status", T.StringType()), T.Struc
 LABEL_KEYS = ("label", "etiqueta", "activity", "actividad", "model", "modelo", "mode", "modo", "code", "codigo", "expected")
 
 
+def as_number(token: Column) -> Column:
+    """The number that a text stands for (also nan and inf), null if it is none; hexadecimal numbers and suffixes of types are none."""
+    return F.when(~token.rlike(r"^[-+]?0[xX]|[0-9.][dDfF]$"), token.try_cast("double"))
+
+
 def numbers(text: Column) -> Column:
-    """The numbers of a text, separated by commas, semicolons or white space; one header row is passed over. An error where a value is no number."""
-    body = F.regexp_replace(text, r"^[^\n]*[A-DF-Za-df-z_][^\n]*\n", "")
-    parts = F.filter(F.split(F.trim(body), r"[,;\s]+"), lambda v: v != "")
-    return F.transform(parts, lambda v: F.coalesce(v.try_cast("double"), F.raise_error(F.concat(F.lit("no number: "), v)).cast("double")))
+    """The numbers of a text, separated by commas, semicolons or white space; a first row that isn't the only one is passed over as a header if it holds
+    something that is no number. An error where another value is no number. For texts that fit in a row; longtext reads longer ones."""
+    tokens = lambda t: F.filter(F.split(F.trim(t), r"[,;\s]+"), lambda v: v != "")
+    first = F.substring_index(text, "\n", 1)
+    header = F.contains(text, F.lit("\n")) & F.exists(tokens(first), lambda v: as_number(v).isNull())
+    body = F.when(header, F.substring(text, F.length(first) + 2, F.length(text))).otherwise(text)
+    return F.transform(tokens(body), lambda v: F.coalesce(as_number(v), F.raise_error(F.concat(F.lit("no number: "), v)).cast("double")))
 
 
 def strict_integers(text: Column) -> Column:

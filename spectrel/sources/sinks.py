@@ -8,7 +8,7 @@ import subprocess
 from collections.abc import Iterable, Mapping
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrel.sources.readers import LABEL_KEYS
@@ -29,6 +29,14 @@ def write_package(windows: DataFrame, path: str, catalogue: DataFrame, catalogue
     catalogue.write.mode("overwrite").parquet(catalogue_path)
 
 
+def write_one_line(samples: DataFrame, path: str, keys: Iterable[str] = ("group_id", "part"), text: Column | None = None) -> None:
+    """Each record (keys, n, x) as a file of one line, numbers separated by commas, in a folder named by the keys. text: how a number is written. A
+    record is written in order by one task."""
+    keys = list(keys)
+    values = samples.select(*keys, "n", (F.col("x").cast("string") if text is None else text).alias("value"))
+    values.repartition(*keys).sortWithinPartitions(*keys, "n").select(*keys, "value").write.partitionBy(*keys).option("lineSep", ",").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
