@@ -61,8 +61,10 @@ def line_dedup(docs: DataFrame, least: int = 20, documents: int = 3, text: str =
     often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("none"))
     often = shelf.put(often.where((F.col("n") >= documents) & ((F.col("lo") < F.col("hi")) | F.col("none"))).drop("n"))
     held = shelf.put(lines.join(often, "h"))
-    shared = held.groupBy("h").agg(F.count_distinct("id").alias("known"), F.max("none").alias("none"), F.max("hi").alias("hi"))
-    shared = shelf.put(shared.where(F.col("known") + F.col("none").cast("int") >= documents).select("h", "hi"))
+    # by line and document first, so that a line of very many documents is dealt out
+    pairs = held.groupBy("h", "id").agg(F.max("hi").alias("hi"))
+    shared = pairs.groupBy("h").agg(F.count("*").alias("documents"), F.max("hi").alias("hi"))
+    shared = shelf.put(shared.where(F.col("documents") >= documents).select("h", "hi"))
     lost = held.select("h", "id", "th", "pos").join(shared, "h").where(F.col("hi").isNotNull() & ~F.col("id").eqNullSafe(F.col("hi")))
     # repeated rows have the same positions; a document's are bounded by its lines
     lost = shelf.put(lost.groupBy("id", "th").agg(F.collect_set("pos").alias("lost")))
