@@ -25,6 +25,7 @@ from spectrel.plans.fixtures import EMB_SQL, FS, SHIP_SQL, contents, emb_arrays,
 from spectrel.plans.registry import query
 from spectrel.plans.series_queries import PRE, STARTS, frames_sql, hex_uniform, normal_sql
 from spectrel.plans.spectral_queries import FEATURE_CTES, FEATURES4, features4, rounded
+from spectrel.sources import archives as ar
 from spectrel.sources import readers as rd
 from spectrel.sources import sinks as sk
 from spectrel.sources.batches import BatchTable
@@ -240,6 +241,32 @@ def g13_files(spark, d):
     return rounded(out.select("window_id", "group_id", "part", "partition", *FEATURES4), 6, *FEATURES4)
 
 
+def zipped(spark, d) -> str:
+    """A folder with the recordings as members of ZIP files, one for each last digit of the supplier."""
+    at = f"{shared_folder(spark)}/zips-{uuid.uuid4().hex}"
+    text = contents(spark, d)
+    archive = F.concat(F.lit("s"), F.regexp_extract("path", r"(\d)[LH]\.csv$", 1))
+    sk.write_zips(text.select(archive.alias("archive"), F.col("path").alias("member"), F.col("text").alias("content")), at)
+    return at
+
+
+@query("a16_zip_members", f"WITH {SHIP_SQL}, k AS (SELECT *, substr(group_id, 3) AS s FROM ser) SELECT 's' || right(s, 1) || '.zip' AS archive, 'raw/' || s || part || '.csv' AS member, count(*) AS samples, round(sum(x), 3) AS total, round(sum(n * x), 1) AS moment FROM k GROUP BY s, part")
+def a16(spark, d):
+    """The members of archives as samples, streamed out of them; nothing is unpacked."""
+    s = ar.zip_samples(spark, zipped(spark, d))
+    out = s.groupBy(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member").agg(F.count("*").alias("samples"), F.sum("x").alias("total"), F.sum(F.col("n") * F.col("x")).alias("moment"))
+    return rounded(rounded(out, 3, "total"), 1, "moment")
+
+
+@query("j15_zip_rebuild", f"SELECT * FROM ({FILE_ROWS}) WHERE partition <> 'holdout'")
+def j15_zip(spark, d):
+    """Features built anew from the archives."""
+    at = f"{shared_folder(spark)}/rebuild-{uuid.uuid4().hex}"
+    s = ar.zip_samples(spark, zipped(spark, d)).select(F.col("member").alias("path"), "n", "x")
+    out = re.build_features(manifest(spark, d), s, at, CONFIG, batches=1)
+    return rounded(out.select("window_id", "group_id", "part", "partition", *FEATURES4), 6, *FEATURES4)
+
+
 @query("j01_feature_build", f"SELECT * FROM ({FILE_ROWS}) WHERE partition <> 'holdout'")
 def j01(spark, d):
     """A build at a folder of its own that broke off: a batch is recorded, one is done twice, one was written and not recorded; then the whole build."""

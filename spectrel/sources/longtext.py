@@ -43,11 +43,19 @@ def parse(cells: pa.Array, separator: bytes, strict: bool) -> tuple[np.ndarray,
             except pa.ArrowInvalid:
                 pass
     whole = separator.join(cells.cast(pa.binary()).to_pylist())
-    if separator == b"\n":
-        whole += b"\n"
+    return parse_bytes(whole + b"\n" if separator == b"\n" else whole, strict)
+
+
+def parse_bytes(whole: bytes, strict: bool = False) -> tuple[np.ndarray, int | None, list[tuple[int, str]]]:
+    """As parse(), of a piece of text that doesn't cut through a number."""
     end = whole.find(b"\n")
     tokens = [t for t in BETWEEN.split(whole) if t]
     head = None if end < 0 else sum(1 for t in BETWEEN.split(whole[:end]) if t)
+    if not strict:
+        try:
+            return pc.cast(pa.array(tokens, pa.binary()).cast(pa.string()), pa.float64()).to_numpy(zero_copy_only=False), head, []
+        except pa.ArrowInvalid:
+            pass
     x, bad = np.zeros(len(tokens)), []
     for i, t in enumerate(tokens):
         v = number(t) if not strict or STRICT.fullmatch(t) else None

@@ -11,6 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectrel.functions.tables import stored
 from spectrel.sources.readers import LABEL_KEYS
 
 
@@ -37,6 +38,46 @@ def write_one_line(samples: DataFrame, path: str, keys: Iterable[str] = ("group_
     values.repartition(*keys).sortWithinPartitions(*keys, "n").select(*keys, "value").write.partitionBy(*keys).option("lineSep", ",").text(path)
 
 
+def write_zips(members: DataFrame, path: str) -> DataFrame:
+    """(archive, members, size_bytes) of the archives written: members (archive, member, content as text or bytes) as ZIP files at path/archive.zip, each by one task, in
+    the order of names. path: one that Arrow's file systems reach. An archive appears by its renaming, so that a task that is done again leaves one whole file. Not
+    lazy: the archives are there when this returns."""
+
+    def run(batches):
+        import uuid
+        import zipfile
+
+        import pyarrow as pa
+
+        from spectrel.sources.archives import located
+
+        fs, top = located(path)
+        fs.create_dir(top, recursive=True)
+        at, out, draft, n = None, None, "", 0
+
+        def close():
+            z.close()
+            out.close()
+            fs.move(draft, f"{top}/{at}.zip")
+            return pa.RecordBatch.from_pylist([{"archive": at, "members": n, "size_bytes": fs.get_file_info(f"{top}/{at}.zip").size}])
+
+        for b in batches:
+            for archive, member, content in zip(*(b.column(c).to_pylist() for c in ("archive", "member", "content")), strict=True):
+                if archive != at:
+                    if at is not None:
+                        yield close()
+                    at, n, draft = archive, 0, f"{top}/.{archive}-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(draft)
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                z.writestr(member, content)
+                n += 1
+        if at is not None:
+            yield close()
+
+    rows = members.select("archive", "member", F.col("content").cast("binary").alias("content")).repartition("archive").sortWithinPartitions("archive", "member")
+    return stored(rows.mapInArrow(run, "archive string, members long, size_bytes long"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
