@@ -135,6 +135,18 @@ def samples_of(rows: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame
     return out.select(*keys, (F.col("start") + F.col("i")).alias("n"), *[F.col("v")[c].alias(c) for c in columns])
 
 
+#: From so many taps on, a block is convolved by FFT.
+LONG_FIR = 128
+
+
+def convolved(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The convolution's first len(x) values; what the block's halo makes wrong at its start is dropped by the caller."""
+    if len(h) < LONG_FIR:
+        return np.convolve(x, h)
+    n = 1 << int(len(x) + len(h) - 2).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(h, n), n)[: len(x)]
+
+
 def apply_fir(samples: DataFrame, taps: Sequence[float], keys: Sequence[str] = RECORD, block: int = BLOCK) -> DataFrame:
     """(keys, n, x, y): the causal convolution with the taps, zero before the start. Records are cut into blocks that hold the samples before
     them that the taps reach."""
@@ -149,7 +161,7 @@ def apply_fir(samples: DataFrame, taps: Sequence[float], keys: Sequence[str] = R
                 one = batch.slice(i, 1)
                 x = one.column("x").flatten().to_numpy(zero_copy_only=False)
                 skip = 0 if one.column("block")[0].as_py() == 0 else reach
-                y = np.convolve(x, h)[skip : len(x)]
+                y = convolved(x, h)[skip : len(x)]
                 yield pa.RecordBatch.from_arrays([*[one.column(k) for k in keys], pa.array([one.column("start")[0].as_py() + skip]), pa.array([x[skip:]], pa.list_(pa.float64())), pa.array([y], pa.list_(pa.float64()))], names=schema.names)
 
     return samples_of(cut.mapInArrow(run, schema), keys, "x", "y")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("spectral_queries", "series_queries", "decision_queries", "table_queries", "audits")
+MODULES = ("spectral_queries", "record_queries", "series_queries", "decision_queries", "table_queries", "audits")
 
 
 def load() -> None:
