@@ -21,7 +21,7 @@ from spectrel.plans.spectral_queries import FEATURE_CTES, features4, rounded
 from spectrel.sources import names as na
 from spectrel.sources import readers as rd
 from spectrel.sources import sinks as sk
-from spectrel.streaming import replay
+from spectrel.streaming import live, replay
 
 G = "group_id, part"
 TAPS = [float(v) for v in fi.design_fir("lowpass", 64.0, 8.0, 9)]
@@ -425,6 +425,26 @@ def l_evolution(spark, d):
     return rounded(replay.evolution(placed_scores(spark, d), THRESHOLD, REJECTION, step=2), 6, "score")
 
 
+LIVE_THRESHOLD, LIVE_REJECTION = 1.0, 0.001
+LIVE_SQL = f"""WITH {SHIP_SQL}, sc AS (SELECT {G}, n, (x - avg(x) OVER (PARTITION BY {G})) / 20000 AS x FROM ser),
+fr AS (SELECT {G}, i, sqrt(avg(x * x)) AS score FROM sc JOIN (SELECT unnest(range(400)) AS i) f ON n BETWEEN 8 * i AND 8 * i + 15 GROUP BY {G}, i HAVING count(*) = 16),
+st AS (SELECT {G}, s.stop, median(score) AS m FROM fr JOIN (SELECT unnest(range(4, 44, 4)) AS stop) s ON i < s.stop GROUP BY {G}, s.stop HAVING count(*) = s.stop),
+gr AS (SELECT group_id, stop, avg(m) AS score, count(*) AS parts_used FROM st GROUP BY group_id, stop),
+vi AS (SELECT *, CASE WHEN abs(score - {LIVE_THRESHOLD}) < {LIVE_REJECTION} THEN 'inconclusive' WHEN score >= {LIVE_THRESHOLD} THEN 'target' ELSE 'background' END AS visible FROM gr)
+SELECT group_id, stop, round(score, 6) AS score, parts_used, {LIVE_THRESHOLD}::DOUBLE AS threshold, visible, coalesce(lag(visible) OVER (PARTITION BY group_id ORDER BY stop) <> visible, false) AS changed FROM vi"""
+
+
+@query("l_live_evolution", LIVE_SQL)
+def l_live(spark, d):
+    """The suppliers' series as samples that arrive in three micro-batches: framed, scored by their RMS and decided by a stream with state; the last row of each step."""
+    s = co.preprocess(ship_series(spark, d), "none").select("group_id", "part", "n", (F.col("x") / 20000).alias("x"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n")).alias("ts"))
+    at = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    s.withColumn("turn", F.least(F.floor(F.col("n") / 100), F.lit(2)).cast("int")).repartition("turn").write.partitionBy("turn").parquet(f"{at}/samples")
+    files = spark.readStream.schema(s.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{at}/samples")
+    stream = live.live_decisions(live.live_scores(files, 16, 8, live.frame_rms, 4, 40, "1 day"), LIVE_THRESHOLD, LIVE_REJECTION)
+    return rounded(live.last_rows(live.run_to_table(stream, f"{at}/rows", f"{at}/checkpoint")), 6, "score")
+
+
 @query("l_event_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value_sum FROM events GROUP BY 1, 2")
 def l_events(spark, d):
     return rounded(replay.event_windows(table(spark, d, "events")), 4, "value_sum")
