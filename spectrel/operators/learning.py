@@ -2,12 +2,13 @@
 
 The models of a cross-validation, of its repetitions and of its permutations are fitted together: a group carries, for each model, the class
 that it trains it with (or none), and every Newton step is one pass over the rows that sums the gradients and second derivatives of all
-models, in matrix products by batch. How many jobs run depends on the number of steps (some ten), not on that of the models.
+models, in matrix products by batch. How many jobs run depends on the number of steps (some ten), not on that of the models. Rows are stored once, in
+blocks of one part, and what a group is used for once a block, so that many models cost a few bytes a block and not a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrel.functions.columns import require_columns
-from spectrel.functions.tables import stored
+from spectrel.functions.tables import stored, written
 from spectrel.operators import decision as de
 from spectrel.operators.robust import assert_none, inconsistent
 
+#: Rows of a block of features.
+BLOCK_ROWS = 4096
+
 
 @dataclass(frozen=True)
 class StageSpec:
@@ -176,19 +180,29 @@ def _probabilities(z: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 
 def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of blocks with some thousand rows each."""
+    ends = np.cumsum(batch.column("n_").to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_ROWS, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _summed(dealt: DataFrame, width: int, models: int, lengths: Sequence[int], sums) -> np.ndarray:
-    """The sums over all rows of sums(x, y), an array (models, values) for a batch, of which a model has lengths[m] values: added up by task, then by model."""
+    """The sums over all rows of sums(x, y), an array (models, values) for some blocks, of which a model has lengths[m] values: added up by task, then by model.
+    y, the rows' classes by model, is spread from the blocks' for a few thousand rows at a time."""
     values = max(lengths)
 
     def run(batches):
         total = np.zeros((models, values))
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
-                total += sums(_matrix(b, "x_", width), _matrix(b, "y_", models))
+            for b in _pieces(whole):
+                total += sums(_matrix(b, "x_", width), np.repeat(_matrix(b, "y_", models), b.column("n_").to_numpy(), axis=0))
         yield pa.RecordBatch.from_pydict({"m": np.arange(models, dtype=np.int32), "v": pa.array([total[m, : lengths[m]].tobytes() for m in range(models)], pa.binary())})
 
     def add(batches):
@@ -199,7 +213,7 @@ def _summed(dealt: DataFrame, width: int, models: int, lengths: Sequence[int], s
                 total[m] = total[m] + one if m in total else one
         yield pa.RecordBatch.from_pydict({"m": pa.array(list(total), pa.int32()), "v": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
-    got = dealt.select("x_", "y_").mapInArrow(run, "m int, v binary").repartition("m").mapInArrow(add, "m int, v binary").toArrow()
+    got = dealt.select("n_", "x_", "y_").mapInArrow(run, "m int, v binary").repartition("m").mapInArrow(add, "m int, v binary").toArrow()
     out = np.zeros((models, values))
     for m, v in zip(got.column("m").to_pylist(), got.column("v").to_pylist(), strict=True):
         out[m, : lengths[m]] = np.frombuffer(v)
@@ -227,7 +241,7 @@ def fit_together(dealt: DataFrame, columns: Sequence[str], specs: Sequence[Model
     """Logistic regressions (two classes) or softmax regressions on the z-scores of a model's own rows, L2 with C = 1 and no penalty of the intercept,
     classes weighted to balance, by damped Newton steps.
 
-    dealt: x_ (features) and y_ (by model the number of the row's class, -1 where it doesn't train the model)."""
+    dealt: blocks of deal(); y_ has by model the number of the class of the block's rows, -1 where they don't train the model."""
     p, models = len(columns), len(specs)
     kinds = [len(s.classes) for s in specs]
     most = max(kinds)
@@ -300,30 +314,52 @@ def class_names(rows: DataFrame, label: str) -> list[str]:
 
 
 def deal(rows: DataFrame, columns: Sequence[str], groups: DataFrame) -> DataFrame:
-    """The rows' features as arrays with what their group is used for (groups: group_id, y_, tests_), stored: group_id, part, x_, y_, tests_."""
+    """The rows' features in blocks of some thousand rows of one part, with what their group is used for (groups: group_id, y_, tests_), stored:
+    group_id, part, blocks_ (of the part), n_ (rows), x_ (n_ * columns numbers), y_, tests_.
+
+    What a group is used for is held once a block, not once a row. A group's rows are dealt to as many blocks as they fill, so that a group of very many rows
+    is nobody's alone."""
     require_columns(rows, ["group_id", "part", *columns])
-    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x_")
-    return stored(rows.select("group_id", "part", x).join(groups.select("group_id", "y_", "tests_"), "group_id"))
+    size = rows.groupBy("group_id", "part").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks_"))
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    every = F.xxhash64(*[F.col(f.name) for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
+    slim = rows.select("group_id", "part", x.alias("x_"), every.alias("h_")).join(size, ["group_id", "part"])
+    packed = slim.groupBy("group_id", "part", "blocks_", F.pmod(F.col("h_"), F.col("blocks_")).alias("b_")).agg(F.count("*").cast("int").alias("n_"), F.flatten(F.collect_list("x_")).alias("x_"))
+    uses = groups.select("group_id", F.col("y_").cast("array<tinyint>").alias("y_"), "tests_")
+    return written(packed.drop("b_").join(uses, "group_id"), "blocks")
 
 
 def scored_runs(dealt: DataFrame, fits: Fits) -> DataFrame:
     """(run, group_id, label, fold, class, score, parts_used): the group scores (mean of its parts' medians) of every run that tests the group. tests_
-    names runs, models and folds, and the label of the run."""
+    names runs, models and folds, and the label of the run.
+
+    A part in one block has its medians there. Only for parts of more blocks the rows' scores are shuffled."""
     p = len(fits.columns)
-    each = dealt.select("group_id", "part", "x_", F.explode("tests_").alias("t")).select("group_id", "part", "x_", "t.run", "t.model", "t.fold", "t.label")
     keys = ["run", "group_id", "fold", "label"]
 
-    def run(batches):
-        for b in batches:
-            x, model = _matrix(b, "x_", p), b.column("model").to_numpy()
-            for m in np.unique(model):
-                at = np.flatnonzero(model == m)
-                prob, names = fits.probabilities(x[at], int(m)), fits.specs[m].classes
-                i = pa.array(np.repeat(at, len(names)))
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(i) for c in [*keys, "part"]], pa.array(list(names) * len(at)), pa.array(prob.reshape(-1))], names=[*keys, "part", "class", "score"])
-
-    parts = each.mapInArrow(run, "run int, group_id string, fold int, label string, part string, class string, score double").groupBy(*keys, "part", "class").agg(F.median("score").alias("score"))
-    return parts.groupBy(*keys, "class").agg(F.count("*").cast("long").alias("parts_used"), F.avg("score").alias("score"))
+    def of(medians: bool):
+        def run(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    one = b.slice(i, 1)
+                    x, tests = _matrix(one, "x_", p), one.column("tests_")[0].as_py()
+                    cols: dict[str, list] = {c: [] for c in ("run", "fold", "label", "class", "score")}
+                    for t in tests:
+                        prob, names = fits.probabilities(x, t["model"]), fits.specs[t["model"]].classes
+                        prob = np.median(prob, axis=0, keepdims=True) if medians else prob
+                        many = prob.size
+                        for c, v in (("run", [t["run"]] * many), ("fold", [t["fold"]] * many), ("label", [t["label"]] * many), ("class", list(names) * len(prob)), ("score", prob.reshape(-1))):
+                            cols[c].extend(v)
+                    n = len(cols["run"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols["run"], pa.int32()), one.column("group_id").take(pa.array(np.zeros(n, dtype=int))), pa.array(cols["fold"], pa.int32()), pa.array(cols["label"], pa.string()), one.column("part").take(pa.array(np.zeros(n, dtype=int))), pa.array(cols["class"], pa.string()), pa.array(cols["score"], pa.float64())], names=[*keys, "part", "class", "score"])
+
+        return run
+
+    schema = "run int, group_id string, fold int, label string, part string, class string, score double"
+    tested = dealt.where(F.size("tests_") > 0).select("group_id", "part", "blocks_", "x_", "tests_")
+    parts = tested.where("blocks_ = 1").mapInArrow(of(True), schema)
+    long = tested.where("blocks_ > 1").mapInArrow(of(False), schema).groupBy(*keys, "part", "class").agg(F.median("score").alias("score"))
+    return parts.unionByName(long).groupBy(*keys, "class").agg(F.count("*").cast("long").alias("parts_used"), F.avg("score").alias("score"))
 
 
 def wide_scores(long: DataFrame, classes: Sequence[str], label: str, prefix: str = "score__") -> DataFrame:
@@ -440,7 +476,8 @@ def evaluate(rows: DataFrame, columns: Sequence[str], label: str, test_share: fl
     scores = wide_scores(scored_runs(dealt, fit_together(dealt, columns, [ModelSpec(tuple(classes))])), classes, label)
     cols = [f"score__{c}" for c in classes]
     on = F.size("tests_") == 0
-    sizes = dealt.agg(F.count_if(on).alias("n_train"), F.count_if(~on).alias("n_test"), F.count_distinct(F.when(on, F.col("group_id"))).alias("train_groups"), F.count_distinct(F.when(~on, F.col("group_id"))).alias("test_groups"))
+    rows_of = lambda on: F.sum(F.when(on, F.col("n_")).otherwise(0))
+    sizes = dealt.agg(rows_of(on).alias("n_train"), rows_of(~on).alias("n_test"), F.count_distinct(F.when(on, F.col("group_id"))).alias("train_groups"), F.count_distinct(F.when(~on, F.col("group_id"))).alias("test_groups"))
     return de.report(de.top_predictions(scores, cols), label, "prediction").crossJoin(F.broadcast(sizes))
 
 

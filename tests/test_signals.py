@@ -16,6 +16,7 @@ from spectrel.operators import filters as fi
 from spectrel.operators import framing as fr
 from spectrel.operators import kernels, robust
 from spectrel.operators import learning as le
+from spectrel.plans.spectral_queries import features4 as features_of
 from spectrel.operators import spectral as sp
 from spectrel.operators import synth as sy
 from spectrel.plans.fixtures import FS, SIZE, emb_arrays, emb_windows, series_user
@@ -334,3 +335,17 @@ def test_config():
     for bad in ({"band_count": 7}, {"nperseg": 2048}, {"window": "rect"}, {"hop_size": 0}):
         with pytest.raises(ValueError):
             feat.FeatureConfig(**bad).validate()
+
+
+@pytest.mark.parametrize("rows", [7, 4096])
+def test_blocks_of_rows(spark, small, monkeypatch, rows):
+    """However rows are packed, scores are the same; a group's uses are held once a block."""
+    x = features_of(spark, small)
+    want = le.out_of_fold(x, ["crest_factor", "peak"], "label", 3).toPandas().sort_values("group_id")
+    monkeypatch.setattr(le, "BLOCK_ROWS", rows)
+    got = le.out_of_fold(x, ["crest_factor", "peak"], "label", 3).toPandas().sort_values("group_id")
+    assert list(got.group_id) == list(want.group_id) and np.allclose(got.score__target, want.score__target, atol=1e-9) and (got.parts_used.to_numpy() == want.parts_used.to_numpy()).all()
+    groups = x.groupBy("group_id").agg(F.array(F.lit(0), F.lit(-1)).alias("y_"), F.array().cast("array<struct<run:int,model:int,fold:int,label:string>>").alias("tests_"))
+    blocks = le.deal(x, ["crest_factor", "peak"], groups)
+    assert blocks.agg(F.sum("n_")).first()[0] == x.count() and blocks.where("size(x_) <> 2 * n_ or size(y_) <> 2").count() == 0
+    assert blocks.groupBy("group_id", "part").agg((F.count("*") > F.max("blocks_")).alias("more")).where("more").count() == 0
