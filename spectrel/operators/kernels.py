@@ -111,6 +111,25 @@ def array_matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
+def spectrum_arrays(windows: DataFrame, value: str, of, keep: Sequence[str], column: str = "win") -> DataFrame:
+    """(keep, value): the same with a window's values as an array."""
+    schema = T.StructType([*[windows.schema[c] for c in keep], T.StructField(value, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                _, v = of(array_matrix(b, column))
+                lists = pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), np.ascontiguousarray(v).reshape(-1))
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists], names=schema.names)
+
+    return windows.select(*keep, column).mapInArrow(run, schema)
+
+
+def welch_arrays(windows: DataFrame, fs: float, nperseg: int = 256, noverlap: int | None = None, window: str = "hann", keep: Sequence[str] = ("window_id",), column: str = "win") -> DataFrame:
+    return spectrum_arrays(windows, "psd", lambda x: welch_batch(x, fs, nperseg, noverlap, window), keep, column)
+
+
 def fft_table(windows: DataFrame, fs: float, n_fft: int | None = None, window: str = "boxcar", detrend: bool = False, keep: Sequence[str] = ("window_id",), column: str = "win", imaginary: str | None = None) -> DataFrame:
     return spectrum_table(windows, "magnitude", lambda x: fft_batch(x, fs, n_fft, window, "linear" if detrend else "none"), keep, column, imaginary)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spectrel.functions.columns import decibels, finite_or, ratio
 from spectrel.functions.windows import weight, weights
-from spectrel.operators.robust import exact_medians
+from spectrel.operators.vectors import vector_medians
 
 WINDOW = ("group_id", "part", "window_id")
 
@@ -162,9 +162,11 @@ def diagnostics(spectrum: DataFrame, keys: Sequence[str] = WINDOW) -> DataFrame:
     return out.withColumn("contrast_db", F.greatest(F.col("peak_db") - F.col("floor_db"), F.lit(0.0)))
 
 
-def median_spectrum(spectrum: DataFrame, keys: Sequence[str] = ("part",)) -> DataFrame:
-    """(keys, k, freq_hz, psd): the exact median over the windows at every frequency, for any number of windows."""
-    return exact_medians(spectrum, [*keys, "k"], ["psd"], keep=["freq_hz"])
+def median_spectrum(spectra: DataFrame, width: int, step_hz: float, keys: Sequence[str] = ("part",), column: str = "psd") -> DataFrame:
+    """(keys, k, freq_hz, psd): the exact median over the windows at every frequency, for any number of windows; spectra: a row a window, its densities as an
+    array of `width` numbers, `step_hz` apart."""
+    middle = vector_medians(spectra, keys, column, width).select(*keys, F.posexplode(column).alias("k", "psd"))
+    return middle.select(*keys, F.col("k").cast("long").alias("k"), (F.col("k") * step_hz).alias("freq_hz"), "psd")
 
 
 def peak(spectrum: DataFrame, value: str, keys: Sequence[str] = WINDOW, digits: int = 12) -> DataFrame:

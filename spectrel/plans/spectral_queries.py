@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectrel.functions import windows as W
+from spectrel.functions.tables import written
 from spectrel.operators import features as feat
 from spectrel.operators import kernels, robust
 from spectrel.operators import spectral as sp
@@ -237,7 +238,8 @@ def g25n(spark, d):
 
 @query("e10_median_spectrum", with_sql(EMB_SQL, WELCH_SQL) + " SELECT part, CAST(k AS BIGINT) AS k, min(freq_hz) AS freq_hz, round(median(psd), 9) AS psd FROM psd GROUP BY part, k")
 def e10(spark, d):
-    return rounded(sp.median_spectrum(welch_emb(spark, d, ("part", "window_id"))), 9, "psd").select("part", "k", "freq_hz", "psd")
+    spectra = written(kernels.welch_arrays(emb_arrays(spark, d), FS, 32, 16, "hann", ("part", "window_id")), "spectra")
+    return rounded(sp.median_spectrum(spectra, 17, FS / 32), 9, "psd")
 
 
 @query("c03_search_band", with_sql(EMB_SQL, WELCH_SQL) + """, r AS (SELECT window_id, freq_hz, row_number() OVER (PARTITION BY window_id ORDER BY round(psd, 12) DESC, k) AS r FROM psd WHERE freq_hz > 0.02 * 32 AND freq_hz < 0.92 * 32)

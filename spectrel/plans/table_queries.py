@@ -13,7 +13,7 @@ from spectrel.operators import conditioning as co
 from spectrel.operators import decision as de
 from spectrel.operators import filters as fi
 from spectrel.operators import learning as le
-from spectrel.operators import robust
+from spectrel.operators import ranks, robust
 from spectrel.plans.decision_queries import ACTIVITY, BIN, GROUP_CTES, REJECTION, SCORE_COLUMNS, THRESHOLD, binary, group_scores, top
 from spectrel.plans.fixtures import SHIP_SQL, USER_SQL, one_line_samples, series_user, ship_series, table
 from spectrel.plans.registry import query
@@ -358,8 +358,16 @@ def e13(spark, d):
 
 @query("k01_sorted_rank", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY user_id, ts, event_id) AS INTEGER) AS place FROM events")
 def k01(spark, d):
-    w = Window.partitionBy("event_type").orderBy("user_id", "ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.row_number().over(w).alias("place"))
+    """Numbers by range partitions and what comes before them: no task holds an event type."""
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id", "ts")
+    return ranks.global_rank(e, ["user_id", "ts", "event_id"], ["event_type"], name="place").select("event_id", F.col("place").cast("int").alias("place"))
+
+
+@query("k01_global_rank", "SELECT event_id, rank() OVER (ORDER BY user_id % 7, floor(value / 10)) AS place FROM events")
+def k01_global(spark, d):
+    """One order of all events, with many ties, some of which are longer than a range."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 7).alias("u"), F.floor(F.col("value") / 10).alias("v"))
+    return ranks.global_rank(e, ["u", "v"], name="place").select("event_id", "place")
 
 
 @query("k02_best_row", "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
