@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spectrel.functions import udtfs
 from spectrel.functions.columns import gaussian
 from spectrel.operators import conditioning as co
 from spectrel.operators import framing as fr
@@ -267,3 +268,19 @@ def h09(spark, d):
     y = s.crossJoin(F.broadcast(power)).select("n", (F.col("x") + F.col("rms") * 10 ** (-5 / 20) * gaussian(3, F.col("n"))).alias("x"))
     x = F.col("x")
     return y.agg(F.round(F.avg(x * x), 6).alias("power"), F.round(F.max(F.abs(x)), 6).alias("peak"), F.count("*").alias("samples"))
+
+
+@query("m_frames_in_sql", f"WITH {SHIP_SQL} SELECT group_id, part, CAST(i AS BIGINT) AS idx, n, n - 8 * i AS m, x FROM ser JOIN (SELECT unnest(range(2000)) AS i) f ON n BETWEEN 8 * i AND 8 * i + 15 JOIN (SELECT group_id AS g, part AS p, count(*) AS size FROM ser GROUP BY ALL) l ON group_id = g AND part = p AND 8 * i + 16 <= size")
+def m_frames(spark, d):
+    """Frames by a table function in SQL, over parts in the order of their samples."""
+    udtfs.register(spark)
+    s = ship_series(spark, d).select("group_id", "part", "n", "x")
+    return spark.sql("SELECT * FROM frames(TABLE(SELECT * FROM {samples}) PARTITION BY (group_id, part) ORDER BY (n), 16, 8)", samples=s)
+
+
+@query("m_perturbation_in_sql", f"WITH {SHIP_SQL}, t AS (SELECT *, 0.8 * max(abs(x)) OVER (PARTITION BY group_id, part) AS top FROM ser) SELECT group_id, part, n, round(least(greatest(x, -top), top), 6) AS x FROM t")
+def m_perturbation(spark, d):
+    """A user's function, registered by name: samples clipped at a share of their part's largest."""
+    udtfs.register(spark, {"clipped": lambda x, share: x.clip(-abs(x).max() * share, abs(x).max() * share)})
+    s = ship_series(spark, d).select("group_id", "part", "n", "x")
+    return rounded(spark.sql("SELECT * FROM clipped(TABLE(SELECT * FROM {samples}) PARTITION BY (group_id, part) ORDER BY (n), 0.8)", samples=s), 6, "x")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import platform
+import re
 import subprocess
 from collections.abc import Iterable, Mapping
 from datetime import UTC, datetime
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrel.functions.tables import stored
+from spectrel.sources.digests import file_digests
 from spectrel.sources.readers import LABEL_KEYS
 
 
@@ -97,10 +99,9 @@ def load_parameters(spark: SparkSession, path: str, required: Iterable[str] = ()
     return got
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
+def registry(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, size_bytes, sha256) of every file under a path, each read by one task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return file_digests(spark, path)
 
 
 def run_facts() -> dict[str, str]:
@@ -114,22 +115,53 @@ def run_facts() -> dict[str, str]:
     return {"at": datetime.now(UTC).isoformat(), "python": platform.python_version(), "pyspark": pyspark.__version__, "commit": commit}
 
 
-def environment() -> dict[str, dict[str, str | bool]]:
-    """Of every library that the engine needs its version, and whether it is there."""
+#: The least versions of the libraries that the engine needs.
+LEAST_VERSIONS = {"pyspark": "4.1", "pyarrow": "15.0", "pandas": "2.2", "numpy": "1.26"}
+
+
+def at_least(version: str, least: str) -> bool:
+    """Whether a version isn't before another, by their leading numbers."""
+    number = lambda v: [int(x) for x in re.findall(r"\d+", v.split("+")[0])[:3]]
+    return number(version) >= number(least)
+
+
+def environment(required: Mapping[str, str] = LEAST_VERSIONS) -> dict[str, dict[str, str | bool]]:
+    """Of every library its version, the least one that is needed, whether it is there, and whether it is new enough."""
     from importlib import metadata
 
     out: dict[str, dict[str, str | bool]] = {}
-    for name in ("pyspark", "pyarrow", "pandas", "numpy"):
+    for name, least in required.items():
         try:
-            out[name] = {"version": metadata.version(name), "there": True}
+            version = metadata.version(name)
+            out[name] = {"version": version, "least": least, "there": True, "ready": at_least(version, least)}
         except metadata.PackageNotFoundError:
-            out[name] = {"version": "", "there": False}
+            out[name] = {"version": "", "least": least, "there": False, "ready": False}
     return out
 
 
+def check_environment(required: Mapping[str, str] = LEAST_VERSIONS, python: str = "3.10") -> dict:
+    """environment() and Python's version; an error that names what is missing or too old."""
+    found = environment(required)
+    bad = [f"{k} {v['version'] or 'missing'} (needs {v['least']})" for k, v in found.items() if not v["ready"]]
+    bad += [f"Python {platform.python_version()} (needs {python})"] * (not at_least(platform.python_version(), python))
+    if bad:
+        raise OSError(f"the environment isn't ready: {', '.join(bad)}")
+    return found
+
+
 def write_run_manifest(spark: SparkSession, path: str, run_id: str, status: str, counts: Mapping, artifacts: Iterable[str]) -> dict:
-    """The run's manifest as one row of JSON: what, when, with what, and size and SHA-256 of every file of its artifacts."""
-    files = [r.asDict() for top in artifacts for r in registry(spark, top).orderBy("path").collect()]  # a row a file
-    out = {"schema_version": "1.0", "run_id": run_id, "status": status, "counts": dict(counts), "facts": run_facts(), "environment": environment(), "artifacts": files}
+    """The run's manifest as one row of JSON: what, when, with what; and beside it (path-artifacts) size and SHA-256 of every file of its artifacts as a table, whose number
+    of files, bytes and digest (the sum of the files' hashes) the manifest holds."""
+    files = None
+    for top in artifacts:
+        one = registry(spark, top)
+        files = one if files is None else files.unionByName(one)
+    total = {"files": 0, "size_bytes": 0, "digest": "0"}
+    if files is not None:
+        files.write.mode("overwrite").json(f"{path.rstrip('/')}-artifacts")
+        kept = spark.read.schema("path string, size_bytes long, sha256 string").json(f"{path.rstrip('/')}-artifacts")
+        r = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum(F.xxhash64("path", "sha256").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("d")).first()
+        total = {"files": r["n"], "size_bytes": r["b"], "digest": r["d"]}
+    out = {"schema_version": "1.1", "run_id": run_id, "status": status, "counts": dict(counts), "facts": run_facts(), "environment": environment(), "artifacts": total}
     spark.createDataFrame([(json.dumps(out, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return out

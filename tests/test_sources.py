@@ -1,11 +1,13 @@
 """Readers, sinks and streams on files of a temporary folder."""
 
+import hashlib
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spectrel.sources import digests
 from spectrel.sources import names as na
 from spectrel.sources import readers as rd
 from spectrel.sources import sinks
@@ -160,4 +162,26 @@ def test_run_manifest(spark, tmp_path):
     sinks.write_json(spark.range(3), str(tmp_path / "t"))
     got = sinks.write_run_manifest(spark, str(tmp_path / "m"), "r1", "done", {"windows": 3}, [str(tmp_path / "t")])
     back = json.loads(spark.read.text(str(tmp_path / "m")).first()[0])
-    assert back == json.loads(json.dumps(got)) and back["counts"] == {"windows": 3} and all(len(a["sha256"]) == 64 for a in back["artifacts"]) and back["environment"]["pyspark"]["there"]
+    assert back == json.loads(json.dumps(got)) and back["counts"] == {"windows": 3} and back["environment"]["pyspark"]["ready"]
+    files = spark.read.json(str(tmp_path / "m-artifacts")).collect()
+    assert back["artifacts"]["files"] == len(files) > 0 and back["artifacts"]["size_bytes"] == sum(f.size_bytes for f in files)
+    assert all(hashlib.sha256(open(f.path.removeprefix("file:"), "rb").read()).hexdigest() == f.sha256 for f in files)
+
+
+def test_environment():
+    assert sinks.check_environment()["numpy"]["there"] and sinks.at_least("4.10.1", "4.9") and not sinks.at_least("4.0.9", "4.1")
+    with pytest.raises(OSError, match="numpy .*needs 99.*nothing_there missing"):
+        sinks.check_environment({"numpy": "99", "nothing_there": "1"})
+
+
+def test_digests_of_large_files(spark, tmp_path):
+    """Files beyond the limit are streamed; a sparse file of 3 GB goes beyond what a row can hold."""
+    (tmp_path / "a").write_bytes(b"x" * 100)
+    (tmp_path / "b").write_bytes(b"y" * 5000)
+    with open(tmp_path / "c", "wb") as f:
+        f.truncate(3 << 30)
+    got = {r.path.rsplit("/", 1)[1]: (r.size_bytes, r.sha256) for r in digests.file_digests(spark, str(tmp_path), 1000).collect()}
+    zero = hashlib.sha256()
+    for _ in range(3 << 10):
+        zero.update(bytes(1 << 20))
+    assert got == {"a": (100, hashlib.sha256(b"x" * 100).hexdigest()), "b": (5000, hashlib.sha256(b"y" * 5000).hexdigest()), "c": (3 << 30, zero.hexdigest())}
