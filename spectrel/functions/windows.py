@@ -49,7 +49,7 @@ def window_table(spark: SparkSession, names: list[str], size: int) -> DataFrame:
     return out
 
 
-def window_metrics(table: DataFrame, size: int, fs: float) -> DataFrame:
-    """Coherent gain, and the equivalent noise bandwidth in bins and in Hz, by name."""
-    out = table.groupBy("name").agg((F.sum("w") / size).alias("coherent_gain"), (size * F.sum(F.col("w") * F.col("w")) / F.pow(F.sum("w"), F.lit(2.0))).alias("enbw_bins"))
+def window_metrics(table: DataFrame, size: int | Column, fs: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Coherent gain, and the equivalent noise bandwidth in bins and in Hz, by name (and keys, of which size may be one)."""
+    out = table.groupBy(*keys, "name").agg((F.sum("w") / size).alias("coherent_gain"), (size * F.sum(F.col("w") * F.col("w")) / F.pow(F.sum("w"), F.lit(2.0))).alias("enbw_bins"))
     return out.withColumn("enbw_hz", F.col("enbw_bins") * (fs / size))

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +125,39 @@ def frequency_response(spark: SparkSession, b: Sequence[float], a: Sequence[floa
     return g.select("k", "freq_hz", re.alias("re"), im.alias("im"), F.sqrt(re * re + im * im).alias("magnitude"))
 
 
+def designed(rows: DataFrame, keys: Sequence[str], of) -> DataFrame:
+    """(keys, i, b, a): the coefficients of a filter for each of rows, from of(row), which gives (b, a); the shorter side is filled with zeros. Equal rows but for their keys are designed
+    once a task."""
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+
+    def run(frames):
+        known: dict[tuple, list[tuple[int, float, float]]] = {}
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                what = tuple(v for c, v in zip(frame.columns, row, strict=True) if c not in keys)
+                if what not in known:
+                    b, a = (np.atleast_1d(np.asarray(v, dtype=float)) for v in of(row))
+                    n = max(len(b), len(a))
+                    known[what] = list(zip(range(n), np.r_[b, np.zeros(n - len(b))].tolist(), np.r_[a, np.zeros(n - len(a))].tolist(), strict=True))
+                out += [(*[getattr(row, k) for k in keys], *c) for c in known[what]]
+            yield pd.DataFrame(out, columns=[*keys, "i", "b", "a"])
+
+    return rows.mapInPandas(run, f"{own}, i int, b double, a double")
+
+
+def responses(filters: DataFrame, keys: Sequence[str], fs: float, points: int) -> DataFrame:
+    """(keys, k, freq_hz, re, im, magnitude) of many filters (keys, i, b, a), at `points` frequencies from 0 up to half the rate."""
+    keys = list(keys)
+    w = F.col("k") * (math.pi / points) * F.col("i")
+    each = filters.select(*keys, "i", "b", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("k"))
+    total = lambda c, f: F.sum(F.col(c) * f(w))
+    g = each.groupBy(*keys, "k").agg(total("b", F.cos).alias("br"), (-total("b", F.sin)).alias("bi"), total("a", F.cos).alias("ar"), (-total("a", F.sin)).alias("ai"))
+    d = F.col("ar") * F.col("ar") + F.col("ai") * F.col("ai")
+    re, im = (F.col("br") * F.col("ar") + F.col("bi") * F.col("ai")) / d, (F.col("bi") * F.col("ar") - F.col("br") * F.col("ai")) / d
+    return g.select(*keys, "k", (F.col("k") * (fs / 2 / points)).alias("freq_hz"), re.alias("re"), im.alias("im"), F.sqrt(re * re + im * im).alias("magnitude"))
+
+
 #: Samples of a block that one task filters at once.
 BLOCK = 1 << 16
 

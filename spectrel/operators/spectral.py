@@ -128,6 +128,13 @@ def psd_power(spectrum: DataFrame, keys: Sequence[str] = WINDOW) -> DataFrame:
     return spectrum.withColumn("piece", piece).groupBy(*keys).agg(F.greatest(F.coalesce(F.sum("piece"), F.lit(0.0)), F.lit(0.0)).alias("power"))
 
 
+def band_table(rates: DataFrame, count: int, rate: str = "fs") -> DataFrame:
+    """rates with band (from 1), low_hz and high_hz: bands of one width from 0 to half of each row's rate."""
+    i = F.col("band") - 1
+    width = lambda n: n * (F.col(rate) / 2) / count
+    return rates.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(count).cast("long"))).alias("band")).withColumns({"low_hz": width(i), "high_hz": width(i + 1)})
+
+
 def equal_bands(fs: float, count: int) -> list[tuple[float, float]]:
     """Bands of equal width from 0 to half the rate."""
     if fs <= 0 or count < 1:

@@ -100,9 +100,14 @@ def cap_per_group(rows: DataFrame, most: int | None, seed: int, group: str = "gr
 
 def controls(spark: SparkSession, samples: int = 40_000, fs: float = 40e6, seed: int = 42) -> DataFrame:
     """(group_id, part, n, x): the six synthetic controls; part H is 0.98 of part L and a little noise."""
-    t = time_axis(spark, samples, fs)
-    c = F.col("t")
-    kinds = {"noise": gaussian(seed, F.lit("noise"), F.col("n")), "tone_1mhz": tone(c, 1e6), "tone_10_5mhz": tone(c, 10.5e6), "two_tones": tones(c, [(4e6, 1.0, 0.0), (12e6, 0.7, 0.0)]), "am": amplitude_modulated(c, 8e6, 200e3, 0.6), "chirp": chirp(c, 4e6, 16e6, samples / fs)}
-    low = t.select("n", F.explode(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), v)])).alias("group_id", "x"))
-    high = low.withColumn("x", 0.98 * F.col("x") + 0.02 * gaussian(seed + 1, F.col("group_id"), F.col("n")))
-    return low.withColumn("part", F.lit("L")).unionByName(high.withColumn("part", F.lit("H"))).select("group_id", "part", "n", "x")
+    axis = time_axis(spark, samples, fs).withColumn("span", F.lit(samples / fs))
+    return controls_over(axis, (), seed)
+
+
+def controls_over(axis: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """(keys, group_id, part, n, x): the controls over the time axes (keys, n, t, span) of any number of recordings."""
+    t, c, keys = axis, F.col("t"), list(keys)
+    kinds = {"noise": gaussian(seed, F.lit("noise"), *[F.col(k) for k in keys], F.col("n")), "tone_1mhz": tone(c, 1e6), "tone_10_5mhz": tone(c, 10.5e6), "two_tones": tones(c, [(4e6, 1.0, 0.0), (12e6, 0.7, 0.0)]), "am": amplitude_modulated(c, 8e6, 200e3, 0.6), "chirp": chirp(c, 4e6, 16e6, F.col("span"))}
+    low = t.select(*keys, "n", F.explode(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), v)])).alias("group_id", "x"))
+    high = low.withColumn("x", 0.98 * F.col("x") + 0.02 * gaussian(seed + 1, *[F.col(k) for k in keys], F.col("group_id"), F.col("n")))
+    return low.withColumn("part", F.lit("L")).unionByName(high.withColumn("part", F.lit("H"))).select(*keys, "group_id", "part", "n", "x")

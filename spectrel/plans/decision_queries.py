@@ -205,12 +205,12 @@ def i17(spark, d):
 
 
 #: The reference's published comparison of band counts.
-COMPARISON = ((4, 0.5556, 0.1251), (10, 0.6000, 0.1122), (20, 0.6042, 0.0839))
-
-
-@query("i18_band_selection", "WITH c AS (SELECT * FROM (VALUES (4, 0.5556::DOUBLE, 0.1251::DOUBLE), (10, 0.6, 0.1122), (20, 0.6042, 0.0839)) v(band_count, mean, dispersion)) SELECT CAST(band_count AS INTEGER) AS band_count, mean, dispersion FROM c WHERE round((SELECT max(mean) FROM c) - mean, 12) <= 0.02 ORDER BY dispersion, band_count LIMIT 1")
+@query("i18_band_selection", "WITH c AS (SELECT [4, 10, 20][1 + CAST(l_linenumber % 3 AS INTEGER)] AS band_count, round(avg(l_discount) * 10, 4) AS mean, round(stddev_pop(l_tax), 4) AS dispersion FROM lineitem GROUP BY 1) SELECT CAST(band_count AS INTEGER) AS band_count, mean, dispersion FROM c WHERE round((SELECT max(mean) FROM c) - mean, 12) <= 0.02 ORDER BY dispersion, band_count LIMIT 1")
 def i18(spark, d):
-    return de.select_band_count(spark.createDataFrame(COMPARISON, "band_count int, mean double, dispersion double"))
+    """The rule over a comparison made of the lines' discounts and taxes; j02_band_comparison has that of fitted models."""
+    count = F.array(F.lit(4), F.lit(10), F.lit(20))[(F.col("l_linenumber") % 3).cast("int")]
+    c = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(count.alias("band_count")).agg(F.round(F.avg("l_discount") * 10, 4).cast("double").alias("mean"), F.round(F.stddev_pop("l_tax"), 4).alias("dispersion"))
+    return de.select_band_count(c)
 
 
 @query("i19_stage_reliability", report_sql(TOP, "top", "truth", "prediction", "fold") + ", b AS (SELECT 1 / 3.0::DOUBLE AS base), o AS (SELECT avg(r) AS ba FROM (SELECT truth, avg(CAST(prediction = truth AS INTEGER)) AS r FROM top GROUP BY truth)) SELECT 'model' AS stage, count(*) FILTER (WHERE round(balanced_accuracy, 12) > round(base, 12)) AS improved_folds, (min(round(o.ba, 12)) > min(round(base, 12))) AND count(*) FILTER (WHERE round(balanced_accuracy, 12) > round(base, 12)) >= 4 AS enabled FROM rep, b, o")
@@ -221,13 +221,13 @@ def i19(spark, d):
     return de.stage_reliability(stage(de.report(p, "truth", "prediction", ["fold"])), stage(de.report(p, "truth", "prediction")), dummy, 5)
 
 
-#: Stages as a calibration reports them (stage, enabled in development, balanced accuracy, baseline, groups, false alarms, detection).
-STAGES = (("activity", True, 1.0, 0.5, 12, 0.0, 1.0), ("model", True, 0.1667, 0.3333, 9, None, None), ("mode_bebop", False, 0.0, 0.25, 4, None, None), ("mode_ar", True, 0.5, 0.25, 4, None, None))
-
-
-@query("i20_policy", "SELECT stage, passed AS reserved_passed, dev AND passed AS enabled FROM (SELECT *, CASE WHEN stage = 'activity' THEN n >= 6 AND ba > base AND fa <= 0.10 AND det >= 0.90 ELSE n >= 8 AND ba > base END AS passed FROM (VALUES ('activity', true, 1.0, 0.5, 12, 0.0, 1.0), ('model', true, 0.1667, 0.3333, 9, NULL, NULL), ('mode_bebop', false, 0.0, 0.25, 4, NULL, NULL), ('mode_ar', true, 0.5, 0.25, 4, NULL, NULL)) v(stage, dev, ba, base, n, fa, det))")
+@query("i20_policy", "SELECT stage, passed AS reserved_passed, dev AND passed AS enabled FROM (SELECT *, CASE WHEN stage = 'activity' THEN n >= 6 AND ba > base AND fa <= 0.10 AND det >= 0.90 ELSE n >= 8 AND ba > base END AS passed FROM (SELECT ['activity', 'model', 'mode_bebop', 'mode_ar'][1 + CAST(l_linenumber % 4 AS INTEGER)] AS stage, min(l_linenumber) % 2 = 0 OR min(l_linenumber) = 3 AS dev, round(avg(l_discount) * 10, 4) AS ba, round(avg(l_tax) * 12.6, 4) AS base, count(DISTINCT l_suppkey) AS n, round(avg(l_tax), 4) AS fa, round(1 - avg(l_discount), 4) AS det FROM lineitem GROUP BY 1))")
 def i20(spark, d):
-    s = spark.createDataFrame(STAGES, "stage string, development_enabled boolean, balanced_accuracy double, dummy double, n_groups int, false_alarm_rate double, detection_rate double")
+    """The policy over stages made of the lines; j15_policy has those of a calibration."""
+    stage = F.array(*[F.lit(s) for s in ("activity", "model", "mode_bebop", "mode_ar")])[(F.col("l_linenumber") % 4).cast("int")]
+    first = F.min("l_linenumber")
+    rate = lambda c: F.round(c, 4).cast("double")
+    s = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(stage.alias("stage")).agg(((first % 2 == 0) | (first == 3)).alias("development_enabled"), rate(F.avg("l_discount") * 10).alias("balanced_accuracy"), rate(F.avg("l_tax") * 12.6).alias("dummy"), F.count_distinct("l_suppkey").cast("int").alias("n_groups"), rate(F.avg("l_tax")).alias("false_alarm_rate"), rate(1 - F.avg("l_discount")).alias("detection_rate"))
     return de.conservative_policy(s).select("stage", "reserved_passed", "enabled")
 
 

@@ -108,11 +108,11 @@ def b09(spark, d):
     return rounded(co.clip_range(ship_series(spark, d)), 6, "low", "high")
 
 
-@query("h01_tones", "SELECT CAST(n AS BIGINT) AS n, round(sin(2 * pi() * 180 * n / 2000.0::DOUBLE) + 0.4 * sin(2 * pi() * 420 * n / 2000.0::DOUBLE + 0.3), 9) + 0 AS x, round((1 + 0.6 * sin(2 * pi() * 40 * n / 2000.0::DOUBLE)) * sin(2 * pi() * 500 * n / 2000.0::DOUBLE), 9) + 0 AS am FROM range(2000) t(n)")
+@query("h01_tones", f"WITH {SHIP_SQL} SELECT {G}, n, round(sin(2 * pi() * 5 * n / 64.0::DOUBLE) + 0.4 * sin(2 * pi() * 11 * n / 64.0::DOUBLE + 0.3), 9) + 0 AS x, round((1 + 0.6 * sin(2 * pi() * 2 * n / 64.0::DOUBLE)) * sin(2 * pi() * 17 * n / 64.0::DOUBLE), 9) + 0 AS am FROM ser")
 def h01(spark, d):
-    t = sy.time_axis(spark, 2000, 2000.0)
-    c = F.col("t")
-    return t.select("n", (F.round(sy.tones(c, [(180, 1.0, 0.0), (420, 0.4, 0.3)]), 9) + 0).alias("x"), (F.round(sy.amplitude_modulated(c, 500, 40, 0.6), 9) + 0).alias("am"))
+    """Two tones, and a modulated one, over every record's time."""
+    c = F.col("n") / 64.0
+    return pick(ship_series(spark, d).select("group_id", "part", "n", (F.round(sy.tones(c, [(5, 1.0, 0.0), (11, 0.4, 0.3)]), 9) + 0).alias("x"), (F.round(sy.amplitude_modulated(c, 17, 2, 0.6), 9) + 0).alias("am")), "x", "am")
 
 
 def hex_uniform(text: str, turn: int = 0) -> str:
@@ -123,9 +123,9 @@ def normal_sql(text: str) -> str:
     return f"(sqrt(-2 * ln({hex_uniform(text)})) * cos(2 * pi() * {hex_uniform(text, 1)}))"
 
 
-@query("h02_white_noise", f"SELECT CAST(n AS BIGINT) AS n, round({normal_sql('concat(7, chr(58), n)')}, 9) AS x FROM range(2000) t(n)")
+@query("h02_white_noise", f"WITH {SHIP_SQL} SELECT {G}, n, round({normal_sql("concat('7:', group_id, ':', part, ':', CAST(n AS VARCHAR))")}, 9) AS x FROM ser")
 def h02(spark, d):
-    return spark.range(2000).select(F.col("id").alias("n"), F.round(gaussian(7, F.col("id")), 9).alias("x"))
+    return ship_series(spark, d).select("group_id", "part", "n", F.round(gaussian(7, F.col("group_id"), F.col("part"), F.col("n")), 9).alias("x"))
 
 
 ID = "concat('11:', group_id, ':', part, ':', CAST(n AS VARCHAR))"
@@ -136,13 +136,14 @@ def h02a(spark, d):
     return pick(rounded(sy.add_noise(ship_series(spark, d), 10.0, 11), 5, "x"), "x")
 
 
-@query("h03_quantize", "WITH s AS (SELECT n, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) AS x FROM range(2000) t(n)), b AS (SELECT unnest([3, 4, 8, 12]) AS bits), m AS (SELECT max(abs(x)) AS s FROM s), q AS (SELECT bits, x, (round_even(CAST((greatest(-1, least(1, x / s)) + 1) / 2 * (2 ** bits - 1) AS DOUBLE), 0) / (2 ** bits - 1) * 2 - 1) * s AS y FROM s, b, m) SELECT CAST(bits AS INTEGER) AS bits, round(avg((x - y) * (x - y)), 10) AS mse, round(max(abs(x - y)), 9) AS worst FROM q GROUP BY bits")
+@query("h03_quantize", f"WITH {SHIP_SQL}, b AS (SELECT unnest([3, 4, 8, 12]) AS bits), m AS (SELECT {G}, x / 1000 AS x, max(abs(x / 1000)) OVER (PARTITION BY {G}) AS s FROM ser), q AS (SELECT {G}, bits, x, (round_even(CAST((greatest(-1, least(1, x / s)) + 1) / 2 * (2 ** bits - 1) AS DOUBLE), 0) / (2 ** bits - 1) * 2 - 1) * s AS y FROM m, b) SELECT {G}, CAST(bits AS INTEGER) AS bits, round(avg((x - y) * (x - y)), 8) AS mse, round(max(abs(x - y)), 8) AS worst FROM q GROUP BY {G}, bits")
 def h03(spark, d):
-    base = sy.time_axis(spark, 2000, 2000.0).select("n", sy.tone(F.col("t"), 180).alias("x"))
+    """The error of four numbers of bits over every record, in thousands."""
+    base = ship_series(spark, d).select("group_id", "part", "n", (F.col("x") / 1000).alias("x"))
     out = None
     for bits in (3, 4, 8, 12):
         e = F.col("x") - F.col("xq")
-        one = co.quantize(base, bits, keys=()).agg(F.lit(bits).alias("bits"), F.round(F.avg(e * e), 10).alias("mse"), F.round(F.max(F.abs(e)), 9).alias("worst"))
+        one = co.quantize(base, bits).groupBy("group_id", "part").agg(F.lit(bits).alias("bits"), F.round(F.avg(e * e), 8).alias("mse"), F.round(F.max(F.abs(e)), 8).alias("worst"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -171,15 +172,19 @@ def h06(spark, d):
     return sy.cap_per_group(rows, 10, 42)
 
 
-@query("h07_controls", f"""WITH l AS (SELECT n, n / 40e6::DOUBLE AS t, n / 40e6::DOUBLE AS tt FROM range(40000) r(n)), k AS (
-SELECT 'noise' AS group_id, n, {normal_sql("concat('42:noise:', CAST(n AS VARCHAR))")} AS x FROM l UNION ALL SELECT 'tone_1mhz', n, sin(2 * pi() * 1e6 * t) FROM l UNION ALL SELECT 'tone_10_5mhz', n, sin(2 * pi() * 10.5e6 * t) FROM l
-UNION ALL SELECT 'two_tones', n, sin(2 * pi() * 4e6 * t) + 0.7 * sin(2 * pi() * 12e6 * t) FROM l UNION ALL SELECT 'am', n, (1 + 0.6 * sin(2 * pi() * 200e3 * t)) * sin(2 * pi() * 8e6 * t) FROM l
-UNION ALL SELECT 'chirp', n, sin(2 * pi() * (4e6 * t + 0.5 * ((16e6 - 4e6) / (40000 / 40e6)) * t * t)) FROM l),
-p AS (SELECT group_id, 'L' AS part, x FROM k UNION ALL SELECT group_id, 'H', 0.98 * x + 0.02 * {normal_sql("concat('43:', group_id, ':', CAST(n AS VARCHAR))")} FROM k)
-SELECT group_id, part, count(*) AS n, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS peak FROM p GROUP BY group_id, part""")
+@query("h07_controls", f"""WITH {SHIP_SQL}, l AS (SELECT group_id AS g, part AS p, n, n / 40e6::DOUBLE AS t, count(*) OVER (PARTITION BY {G}) / 40e6::DOUBLE AS span FROM ser), k AS (
+SELECT g, p, 'noise' AS group_id, n, {normal_sql("concat('42:noise:', g, ':', p, ':', CAST(n AS VARCHAR))")} AS x FROM l UNION ALL SELECT g, p, 'tone_1mhz', n, sin(2 * pi() * 1e6 * t) FROM l UNION ALL SELECT g, p, 'tone_10_5mhz', n, sin(2 * pi() * 10.5e6 * t) FROM l
+UNION ALL SELECT g, p, 'two_tones', n, sin(2 * pi() * 4e6 * t) + 0.7 * sin(2 * pi() * 12e6 * t) FROM l UNION ALL SELECT g, p, 'am', n, (1 + 0.6 * sin(2 * pi() * 200e3 * t)) * sin(2 * pi() * 8e6 * t) FROM l
+UNION ALL SELECT g, p, 'chirp', n, sin(2 * pi() * (4e6 * t + 0.5 * ((16e6 - 4e6) / span) * t * t)) FROM l),
+q AS (SELECT g, p, group_id, 'L' AS part, x FROM k UNION ALL SELECT g, p, group_id, 'H', 0.98 * x + 0.02 * {normal_sql("concat('43:', g, ':', p, ':', group_id, ':', CAST(n AS VARCHAR))")} FROM k)
+SELECT g, p, group_id, part, count(*) AS n, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS peak FROM q GROUP BY g, p, group_id, part""")
 def h07(spark, d):
+    """The six controls over the time of every record."""
     x = F.col("x")
-    return sy.controls(spark).groupBy("group_id", "part").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(x * x)), 6).alias("rms"), F.round(F.max(F.abs(x)), 6).alias("peak"))
+    s = ship_series(spark, d).select(F.col("group_id").alias("g"), F.col("part").alias("p"), "n")
+    span = s.groupBy("g", "p").agg((F.count("*") / 40e6).alias("span"))
+    axis = s.join(span, ["g", "p"]).withColumn("t", F.col("n") / 40e6)
+    return sy.controls_over(axis, ["g", "p"]).groupBy("g", "p", "group_id", "part").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(x * x)), 6).alias("rms"), F.round(F.max(F.abs(x)), 6).alias("peak"))
 
 
 #: The sweeps' windows: a row for each value and sample.
@@ -194,80 +199,80 @@ mg AS MATERIALIZED (SELECT {key}, fs, k, (CASE WHEN k IN (0, 100) THEN 1 ELSE 2
 pk AS (SELECT {key}, fs, k, m, median(m) OVER (PARTITION BY {key}) AS fl, row_number() OVER (PARTITION BY {key} ORDER BY round(m, 9) DESC, k) AS r FROM mg)"""
 
 
-def swept(rows, key: str, expected):
+def sweep_places():
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SWEEP_N - 1).cast("long"))).alias("n")
+
+
+def swept(rows, key: str, expected, keep=()):
     """(key, expected_hz, peak_hz, error_hz, contrast_db, aliased) of windows in long form: key, fs, n, x."""
     mag = sp.fft_magnitude(rows, float(SWEEP_N), SWEEP_N, window="hann", keys=(key, "fs"))
     top = sp.peak(mag, "magnitude", (key, "fs"), 9).withColumn("peak_hz", F.col("peak_hz") * F.col("fs") / SWEEP_N)
     floor = mag.groupBy(key, "fs").agg(F.median("magnitude").alias("floor"))
     contrast = 20 * F.log10((F.col("peak") + 1e-12) / (F.col("floor") + 1e-12))
-    return top.join(floor, [key, "fs"]).select(key, expected.alias("expected_hz"), "peak_hz", F.round(F.abs(F.col("peak_hz") - expected), 6).alias("error_hz"), contrast.alias("contrast_db"))
-
+    return top.join(floor, [key, "fs"]).select(key, *keep, expected.alias("expected_hz"), "peak_hz", F.round(F.abs(F.col("peak_hz") - expected), 6).alias("error_hz"), contrast.alias("contrast_db"))
 
-RATES = (700, 800, 1000, 2000, 4000)
 
 
-@query("h08_rate_sweep", "WITH w AS (SELECT fs AS v, fs, n, sin(2 * pi() * 450 * (n / fs)) AS x FROM (SELECT unnest([700.0, 800.0, 1000.0, 2000.0, 4000.0])::DOUBLE AS fs), range(200) t(n)), " + mag_sql("v") + ", e AS (SELECT v AS fs, round(abs(((450 + v / 2) % v) - v / 2), 6) AS expected_hz, k * fs / 200 AS peak_hz FROM pk WHERE r = 1) SELECT fs, expected_hz, peak_hz, round(abs(peak_hz - expected_hz), 6) AS error_hz, 450 > fs / 2 AS aliased FROM e")
+@query("h08_rate_sweep", "WITH w AS (SELECT s_suppkey, 700 + 300.0::DOUBLE * (s_suppkey % 12) AS fs, n, sin(2 * pi() * 450 * (n / (700 + 300.0::DOUBLE * (s_suppkey % 12)))) AS x FROM supplier, range(200) t(n)), " + mag_sql("s_suppkey") + ", e AS (SELECT s_suppkey, fs, round(abs(((450 + fs / 2) % fs) - fs / 2), 6) AS expected_hz, k * fs / 200 AS peak_hz FROM pk WHERE r = 1) SELECT s_suppkey, fs, expected_hz, peak_hz, round(abs(peak_hz - expected_hz), 6) AS error_hz, 450 > fs / 2 AS aliased FROM e")
 def h08(spark, d):
-    """A tone of 450 Hz at five rates: where it appears, and whether it is an alias."""
-    rates = spark.createDataFrame([(float(v), float(v)) for v in RATES], "v double, fs double")
-    w = rates.crossJoin(spark.range(SWEEP_N).withColumnRenamed("id", "n")).select("v", "fs", "n", sy.tone(F.col("n") / F.col("fs"), 450.0).alias("x"))
-    out = swept(w, "v", F.round(sp.alias_frequency(F.lit(450.0), F.col("fs")), 6))
-    return out.select(F.col("v").alias("fs"), "expected_hz", "peak_hz", "error_hz", (F.lit(450.0) > F.col("v") / 2).alias("aliased"))
+    """A tone of 450 Hz at every supplier's rate: where it appears, and whether it is an alias."""
+    rates = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (700 + 300.0 * (F.col("s_suppkey") % 12)).alias("fs"))
+    w = rates.select("s_suppkey", "fs", sweep_places()).select("s_suppkey", "fs", "n", sy.tone(F.col("n") / F.col("fs"), 450.0).alias("x"))
+    out = swept(w, "s_suppkey", F.round(sp.alias_frequency(F.lit(450.0), F.col("fs")), 6), keep=("fs",))
+    return out.select("s_suppkey", "fs", "expected_hz", "peak_hz", "error_hz", (F.lit(450.0) > F.col("fs") / 2).alias("aliased"))
 
 
 SWEEP_NOISE = normal_sql("concat('3:', CAST(snr AS VARCHAR), ':', CAST(n AS VARCHAR))")
 
 
-@query("h08_snr_sweep", f"WITH s AS (SELECT snr, n, sin(2 * pi() * 450 * (n / 2000.0::DOUBLE)) AS t FROM (SELECT unnest([-5, 0, 5, 10, 20, 40]) AS snr), range(200) r(n)), w AS (SELECT snr, 2000.0::DOUBLE AS fs, n, t + sqrt(avg(t * t) OVER (PARTITION BY snr)) * power(10, -snr / 20.0::DOUBLE) * {SWEEP_NOISE} AS x FROM s), {mag_sql('snr')} SELECT snr, k * fs / 200 AS peak_hz, round(abs(k * fs / 200 - 450), 6) AS error_hz, round(20 * log10((m + 1e-12) / (fl + 1e-12)), 6) AS contrast_db FROM pk WHERE r = 1")
+@query("h08_snr_sweep", f"WITH s AS (SELECT s_suppkey AS snr, s_suppkey % 46 - 5 AS db, n, sin(2 * pi() * 450 * (n / 2000.0::DOUBLE)) AS t FROM supplier, range(200) r(n)), w AS (SELECT snr, 2000.0::DOUBLE AS fs, n, t + sqrt(avg(t * t) OVER (PARTITION BY snr)) * power(10, -db / 20.0::DOUBLE) * {SWEEP_NOISE} AS x FROM s), {mag_sql('snr')} SELECT snr AS s_suppkey, k * fs / 200 AS peak_hz, round(abs(k * fs / 200 - 450), 6) AS error_hz, round(20 * log10((m + 1e-12) / (fl + 1e-12)), 6) AS contrast_db FROM pk WHERE r = 1")
 def h08n(spark, d):
-    """The same tone in noise of six levels: how well its peak is found."""
-    levels = spark.createDataFrame([(v,) for v in (-5, 0, 5, 10, 20, 40)], "snr int")
-    w = levels.crossJoin(spark.range(SWEEP_N).withColumnRenamed("id", "n")).select("snr", "n", sy.tone(F.col("n") / 2000.0, 450.0).alias("t"))
-    power = w.groupBy("snr").agg(F.sqrt(F.avg(F.col("t") * F.col("t"))).alias("rms"))
-    w = w.join(power, "snr").select("snr", F.lit(2000.0).alias("fs"), "n", (F.col("t") + F.col("rms") * F.pow(F.lit(10.0), -F.col("snr") / 20) * gaussian(3, F.col("snr"), F.col("n"))).alias("x"))
-    return rounded(swept(w, "snr", F.lit(450.0)).drop("expected_hz"), 6, "contrast_db")
+    """The same tone in noise, at every supplier's level and seed: how well its peak is found."""
+    levels = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 46 - 5).alias("db"))
+    w = levels.select("s_suppkey", "db", sweep_places()).select("s_suppkey", "db", "n", sy.tone(F.col("n") / 2000.0, 450.0).alias("t"))
+    power = w.groupBy("s_suppkey").agg(F.sqrt(F.avg(F.col("t") * F.col("t"))).alias("rms"))
+    w = w.join(power, "s_suppkey").select("s_suppkey", F.lit(2000.0).alias("fs"), "n", (F.col("t") + F.col("rms") * F.pow(F.lit(10.0), -F.col("db") / 20) * gaussian(3, F.col("s_suppkey"), F.col("n"))).alias("x"))
+    return rounded(swept(w, "s_suppkey", F.lit(450.0)).drop("expected_hz"), 6, "contrast_db")
 
 
-@query("h08_bit_sweep", f"WITH s AS (SELECT bits, n, sin(2 * pi() * 450 * (n / 2000.0::DOUBLE)) AS t FROM (SELECT unnest([2, 3, 4, 6, 8, 12]) AS bits), range(200) r(n)), w AS (SELECT bits, 2000.0::DOUBLE AS fs, n, t, (round_even(CAST((greatest(-1, least(1, t / s)) + 1) / 2 * (2 ** bits - 1) AS DOUBLE), 0) / (2 ** bits - 1) * 2 - 1) * s AS x FROM (SELECT *, max(abs(t)) OVER (PARTITION BY bits) AS s FROM s)), e AS (SELECT bits, avg((t - x) * (t - x)) AS mse FROM w GROUP BY bits), {mag_sql('bits')} SELECT CAST(bits AS INTEGER) AS bits, k * fs / 200 AS peak_hz, round(abs(k * fs / 200 - 450), 6) AS error_hz, round(mse, 10) AS mse FROM pk JOIN e USING (bits) WHERE r = 1")
+@query("h08_bit_sweep", f"WITH s AS (SELECT s_suppkey, 2 + s_suppkey % 11 AS bits, n, sin(2 * pi() * (100 + s_suppkey % 700) * (n / 2000.0::DOUBLE)) AS t FROM supplier, range(200) r(n)), w AS (SELECT s_suppkey, bits, 2000.0::DOUBLE AS fs, n, t, (round_even(CAST((greatest(-1, least(1, t / s)) + 1) / 2 * (2 ** bits - 1) AS DOUBLE), 0) / (2 ** bits - 1) * 2 - 1) * s AS x FROM (SELECT *, max(abs(t)) OVER (PARTITION BY s_suppkey) AS s FROM s)), e AS (SELECT s_suppkey, bits, avg((t - x) * (t - x)) AS mse FROM w GROUP BY s_suppkey, bits), {mag_sql('s_suppkey')} SELECT s_suppkey, CAST(bits AS INTEGER) AS bits, k * fs / 200 AS peak_hz, round(mse, 10) AS mse FROM pk JOIN e USING (s_suppkey) WHERE r = 1")
 def h08b(spark, d):
-    """The same tone on few levels: its peak and the error of quantising."""
-    base = sy.time_axis(spark, SWEEP_N, 2000.0).select("n", sy.tone(F.col("t"), 450.0).alias("x"))
+    """Every supplier's tone on few levels: its peak and the error of quantising."""
+    base = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (2 + F.col("s_suppkey") % 11).cast("int").alias("bits"), sweep_places())
+    base = base.select("s_suppkey", "bits", "n", sy.tone(F.col("n") / 2000.0, 100 + F.col("s_suppkey") % 700).alias("x"))
     w = None
-    for bits in (2, 3, 4, 6, 8, 12):
-        one = co.quantize(base, bits, keys=()).select(F.lit(bits).alias("bits"), F.lit(2000.0).alias("fs"), "n", F.col("x").alias("t"), F.col("xq").alias("x"))
+    for bits in range(2, 13):
+        one = co.quantize(base.where(F.col("bits") == bits), bits, keys=("s_suppkey",)).select("s_suppkey", "bits", F.lit(2000.0).alias("fs"), "n", F.col("x").alias("t"), F.col("xq").alias("x"))
         w = one if w is None else w.unionByName(one)
-    e = w.groupBy("bits").agg(F.round(F.avg((F.col("t") - F.col("x")) * (F.col("t") - F.col("x"))), 10).alias("mse"))
-    return swept(w.drop("t"), "bits", F.lit(450.0)).drop("expected_hz", "contrast_db").join(e, "bits")
-
-
-MIX_NOISE = normal_sql("'3:' || CAST(n AS VARCHAR)")
-WELCH_MIX = """sgm AS (SELECT g, n - 128 * g AS m, x FROM y JOIN (SELECT unnest(range(14)) AS g) ON n >= 128 * g AND n < 128 * g + 256), dtm AS (SELECT g, m, (x - avg(x) OVER (PARTITION BY g)) * (0.5::DOUBLE - 0.5 * cos(2 * pi() * m / 256)) AS x FROM sgm),
-ftm AS (SELECT g, k, power(sum(x * cos(2 * pi() * ((k * m) % 256) / 256)), 2) + power(sum(x * sin(2 * pi() * ((k * m) % 256) / 256)), 2) AS p FROM dtm CROSS JOIN (SELECT unnest(range(129)) AS k) GROUP BY g, k), pwm AS (SELECT k, avg(p) * (CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END) AS p FROM ftm GROUP BY k)"""
+    e = w.groupBy("s_suppkey", "bits").agg(F.round(F.avg((F.col("t") - F.col("x")) * (F.col("t") - F.col("x"))), 10).alias("mse"))
+    return swept(w.drop("t", "bits"), "s_suppkey", F.lit(450.0)).select("s_suppkey", "peak_hz").join(e, "s_suppkey")
 
 
-@query("h09_recovery", f"""WITH s AS (SELECT n, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) AS a, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) + 0.4 * sin(2 * pi() * 420 * n / 2000.0::DOUBLE) AS t FROM range(2000) t(n)), y AS (SELECT n, t + sqrt(avg(t * t) OVER ()) * power(10, -10 / 20.0::DOUBLE) * {MIX_NOISE} AS x FROM s), {WELCH_MIX},
-f AS (SELECT k, power(sum(a * (0.5::DOUBLE - 0.5 * cos(2 * pi() * n / 2000)) * cos(2 * pi() * ((k * n) % 2000) / 2000)), 2) + power(sum(a * (0.5::DOUBLE - 0.5 * cos(2 * pi() * n / 2000)) * sin(2 * pi() * ((k * n) % 2000) / 2000)), 2) AS p FROM s CROSS JOIN (SELECT unnest(range(1001)) AS k) GROUP BY k),
-r AS (SELECT 'fft_tone' AS "case", arg_max(k, round(p, 6)) * 1.0::DOUBLE AS estimated_hz FROM f UNION ALL SELECT 'welch_noisy_mix', arg_max(k, round(p, 6)) * 7.8125::DOUBLE FROM pwm) SELECT "case", 180.0::DOUBLE AS expected_hz, estimated_hz, abs(estimated_hz - 180) AS error_hz FROM r""")
+@query("h09_recovery", f"""WITH s AS (SELECT s_suppkey AS v, 100 + s_suppkey % 300 AS hz, n, sin(2 * pi() * (100 + s_suppkey % 300) * n / 2000.0::DOUBLE) AS a FROM supplier, range(500) t(n)), y AS (SELECT v, n, a + 0.4 * sin(2 * pi() * 620 * n / 2000.0::DOUBLE) AS t FROM s), z AS (SELECT v, n, t + sqrt(avg(t * t) OVER (PARTITION BY v)) * power(10, -10 / 20.0::DOUBLE) * {normal_sql("concat('3:', CAST(v AS VARCHAR), ':', CAST(n AS VARCHAR))")} AS x FROM y),
+sg AS (SELECT v, g, n - 64 * g AS m, x FROM z JOIN (SELECT unnest(range(6)) AS g) ON n >= 64 * g AND n < 64 * g + 128), dt AS (SELECT v, g, m, (x - avg(x) OVER (PARTITION BY v, g)) * (0.5::DOUBLE - 0.5 * cos(2 * pi() * m / 128)) AS x FROM sg),
+fm AS (SELECT v, g, k, power(sum(x * cos(2 * pi() * ((k * m) % 128) / 128)), 2) + power(sum(x * sin(2 * pi() * ((k * m) % 128) / 128)), 2) AS p FROM dt CROSS JOIN (SELECT unnest(range(65)) AS k) GROUP BY v, g, k), pw AS (SELECT v, k, avg(p) * (CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END) AS p FROM fm GROUP BY v, k)
+SELECT v AS s_suppkey, (100 + v % 300) * 1.0::DOUBLE AS expected_hz, arg_max(k, round(p, 6)) * 15.625::DOUBLE AS estimated_hz, abs(arg_max(k, round(p, 6)) * 15.625::DOUBLE - (100 + v % 300)) AS error_hz FROM pw GROUP BY v""")
 def h09r(spark, d):
-    """A known tone by FFT, and a noisy sum of two by Welch: the frequencies found."""
-    t = sy.time_axis(spark, 2000, 2000.0)
-    tone = t.select("n", sy.tone(F.col("t"), 180.0).alias("x"))
-    mix = t.select("n", sy.tones(F.col("t"), [(180, 1.0, 0.0), (420, 0.4, 0.0)]).alias("x"))
-    power = mix.agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
-    mix = mix.crossJoin(F.broadcast(power)).select("n", (F.col("x") + F.col("rms") * 10 ** (-10 / 20) * gaussian(3, F.col("n"))).alias("x"))
-    array = lambda df, name: df.groupBy(F.lit(name).alias("case")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("win"))
-    a = sp.peak(kernels.fft_table(array(tone, "fft_tone"), 2000.0, window="hann", keep=("case",)), "magnitude", ("case",), 6)
-    b = sp.peak(kernels.welch_table(array(mix, "welch_noisy_mix"), 2000.0, 256, 128, "hann", ("case",)), "psd", ("case",), 9)
-    return a.unionByName(b).select("case", F.lit(180.0).alias("expected_hz"), F.col("peak_hz").alias("estimated_hz"), F.abs(F.col("peak_hz") - 180).alias("error_hz"))
-
-
-@query("h09_noisy_tone", f"WITH s AS (SELECT n, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) AS x FROM range(2000) t(n)), y AS (SELECT n, x + sqrt(avg(x * x) OVER ()) * power(10, -5 / 20.0::DOUBLE) * {normal_sql(chr(39) + '3:' + chr(39) + ' || CAST(n AS VARCHAR)')} AS x FROM s) SELECT round(avg(x * x), 6) AS power, round(max(abs(x)), 6) AS peak, count(*) AS samples FROM y")
+    """Every supplier's tone in a noisy sum of two, by Welch: the frequency found."""
+    hz = 100 + F.col("s_suppkey") % 300
+    t = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).alias("n"))
+    c = F.col("n") / 2000.0
+    mix = t.select("s_suppkey", "n", (sy.tone(c, hz) + sy.tone(c, 620.0, 0.4)).alias("x"))
+    power = mix.groupBy("s_suppkey").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    mix = mix.join(power, "s_suppkey").select("s_suppkey", "n", (F.col("x") + F.col("rms") * 10 ** (-10 / 20) * gaussian(3, F.col("s_suppkey"), F.col("n"))).alias("x"))
+    win = mix.groupBy("s_suppkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("win"))
+    top = sp.peak(kernels.welch_table(win, 2000.0, 128, 64, "hann", ("s_suppkey",)), "psd", ("s_suppkey",), 9)
+    return top.select("s_suppkey", hz.cast("double").alias("expected_hz"), F.col("peak_hz").alias("estimated_hz"), F.abs(F.col("peak_hz") - hz).alias("error_hz"))
+
+
+@query("h09_noisy_tone", f"WITH s AS (SELECT s_suppkey, n, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) AS x FROM supplier, range(500) t(n)), y AS (SELECT s_suppkey, n, x + sqrt(avg(x * x) OVER (PARTITION BY s_suppkey)) * power(10, -5 / 20.0::DOUBLE) * {normal_sql("concat('3:', CAST(s_suppkey AS VARCHAR), ':', CAST(n AS VARCHAR))")} AS x FROM s) SELECT s_suppkey, round(avg(x * x), 6) AS power, round(max(abs(x)), 6) AS peak, count(*) AS samples FROM y GROUP BY s_suppkey")
 def h09(spark, d):
-    s = sy.time_axis(spark, 2000, 2000.0).select("n", sy.tone(F.col("t"), 180).alias("x"))
-    power = s.agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
-    y = s.crossJoin(F.broadcast(power)).select("n", (F.col("x") + F.col("rms") * 10 ** (-5 / 20) * gaussian(3, F.col("n"))).alias("x"))
+    t = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).alias("n"))
+    s = t.select("s_suppkey", "n", sy.tone(F.col("n") / 2000.0, 180).alias("x"))
+    power = s.groupBy("s_suppkey").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    y = s.join(power, "s_suppkey").select("s_suppkey", (F.col("x") + F.col("rms") * 10 ** (-5 / 20) * gaussian(3, F.col("s_suppkey"), F.col("n"))).alias("x"))
     x = F.col("x")
-    return y.agg(F.round(F.avg(x * x), 6).alias("power"), F.round(F.max(F.abs(x)), 6).alias("peak"), F.count("*").alias("samples"))
+    return y.groupBy("s_suppkey").agg(F.round(F.avg(x * x), 6).alias("power"), F.round(F.max(F.abs(x)), 6).alias("peak"), F.count("*").alias("samples"))
 
 
 @query("m_frames_in_sql", f"WITH {SHIP_SQL} SELECT group_id, part, CAST(i AS BIGINT) AS idx, n, n - 8 * i AS m, x FROM ser JOIN (SELECT unnest(range(2000)) AS i) f ON n BETWEEN 8 * i AND 8 * i + 15 JOIN (SELECT group_id AS g, part AS p, count(*) AS size FROM ser GROUP BY ALL) l ON group_id = g AND part = p AND 8 * i + 16 <= size")

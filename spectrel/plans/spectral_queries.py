@@ -9,7 +9,7 @@ from spectrel.functions.tables import written
 from spectrel.operators import features as feat
 from spectrel.operators import kernels, robust
 from spectrel.operators import spectral as sp
-from spectrel.plans.fixtures import EMB_KEYS, EMB_SQL, FS, SIZE, emb_arrays, emb_windows
+from spectrel.plans.fixtures import EMB_KEYS, EMB_SQL, FS, SHIP_SQL, SIZE, emb_arrays, emb_windows, ship_series, table
 from spectrel.plans.registry import query
 
 KEYS = EMB_KEYS
@@ -68,16 +68,26 @@ def with_sql(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
-@query("g01_window", "SELECT name, CAST(n AS BIGINT) AS n, round(CASE name WHEN 'boxcar' THEN 1.0::DOUBLE WHEN 'hann' THEN 0.5 - 0.5 * cos(2 * pi() * n / 64) WHEN 'hamming' THEN 0.54 - 0.46 * cos(2 * pi() * n / 64) ELSE 0.42 - 0.5 * cos(2 * pi() * n / 64) + 0.08 * cos(4 * pi() * n / 64) END, 12) + 0 AS w FROM (SELECT unnest(['boxcar', 'hann', 'hamming', 'blackman']) AS name) CROSS JOIN range(64) t(n)")
+def record_windows(spark, d):
+    """(group_id, part, n, size, name, w): every record's length and, by name, the weights of a window as long."""
+    s = ship_series(spark, d).select("group_id", "part", "n")
+    size = s.groupBy("group_id", "part").agg(F.count("*").alias("size"))
+    names = ["boxcar", "hann", "hamming", "blackman"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("name"), W.weight(x, F.col("n"), F.col("size")).alias("w")) for x in names])).alias("p")
+    return s.join(size, ["group_id", "part"]).select("group_id", "part", "n", "size", pairs).select("group_id", "part", "n", "size", "p.*")
+
+
+@query("g01_window", f"WITH {SHIP_SQL}, w AS (SELECT group_id, part, n, count(*) OVER (PARTITION BY group_id, part) AS size, unnest(['boxcar', 'hann', 'hamming', 'blackman']) AS name FROM ser) SELECT group_id, part, name, n, round(CASE name WHEN 'boxcar' THEN 1.0::DOUBLE WHEN 'hann' THEN 0.5 - 0.5 * cos(2 * pi() * n / size) WHEN 'hamming' THEN 0.54 - 0.46 * cos(2 * pi() * n / size) ELSE 0.42 - 0.5 * cos(2 * pi() * n / size) + 0.08 * cos(4 * pi() * n / size) END, 9) + 0 AS w FROM w")
 def g01(spark, d):
-    return W.window_table(spark, ["rect", "hanning", "hamming", "blackman"], 64).withColumn("w", F.round("w", 12) + 0)
+    """The windows over every record, as long as the record."""
+    return record_windows(spark, d).withColumn("w", F.round("w", 9) + 0).drop("size")
 
 
-@query("g02_window_metrics", """WITH w AS (SELECT name, CASE name WHEN 'boxcar' THEN 1.0::DOUBLE WHEN 'hann' THEN 0.5 - 0.5 * cos(2 * pi() * n / 1024) WHEN 'hamming' THEN 0.54 - 0.46 * cos(2 * pi() * n / 1024) ELSE 0.42 - 0.5 * cos(2 * pi() * n / 1024) + 0.08 * cos(4 * pi() * n / 1024) END AS w
-FROM (SELECT unnest(['boxcar', 'hann', 'hamming', 'blackman']) AS name) CROSS JOIN range(1024) t(n))
-SELECT name, round(sum(w) / 1024, 9) AS coherent_gain, round(1024 * sum(w * w) / (sum(w) * sum(w)), 9) AS enbw_bins, round(1024 * sum(w * w) / (sum(w) * sum(w)) * 40e6 / 1024, 3) AS enbw_hz FROM w GROUP BY name""")
+@query("g02_window_metrics", f"""WITH {SHIP_SQL}, c AS (SELECT group_id, part, n, count(*) OVER (PARTITION BY group_id, part) AS size, unnest(['boxcar', 'hann', 'hamming', 'blackman']) AS name FROM ser), w AS (SELECT *, CASE name WHEN 'boxcar' THEN 1.0::DOUBLE WHEN 'hann' THEN 0.5 - 0.5 * cos(2 * pi() * n / size) WHEN 'hamming' THEN 0.54 - 0.46 * cos(2 * pi() * n / size) ELSE 0.42 - 0.5 * cos(2 * pi() * n / size) + 0.08 * cos(4 * pi() * n / size) END AS w FROM c WHERE size >= 4)
+SELECT group_id, part, size, name, round(sum(w) / size, 9) AS coherent_gain, round(size * sum(w * w) / (sum(w) * sum(w)), 9) AS enbw_bins, round(sum(w * w) / (sum(w) * sum(w)) * 40e6, 3) AS enbw_hz FROM w GROUP BY group_id, part, size, name""")
 def g02(spark, d):
-    out = W.window_metrics(W.window_table(spark, ["rect", "hann", "hamming", "blackman"], 1024), 1024, 40e6)
+    """Gain and noise bandwidth of the windows over every record of four samples or more."""
+    out = W.window_metrics(record_windows(spark, d).where("size >= 4"), F.col("size"), 40e6, ("group_id", "part", "size"))
     return rounded(rounded(out, 9, "coherent_gain", "enbw_bins"), 3, "enbw_hz")
 
 
@@ -178,9 +188,11 @@ def g09(spark, d):
     return rounded(sp.diagnostics(welch_emb(spark, d), ("window_id",)), 6, "floor_db", "peak_db", "contrast_db")
 
 
-@query("g10_equal_bands", "SELECT CAST(i + 1 AS BIGINT) AS band, i * 20e6::DOUBLE / 20 AS low_hz, (i + 1) * 20e6::DOUBLE / 20 AS high_hz FROM range(20) t(i)")
+@query("g10_equal_bands", "SELECT s_suppkey, CAST(i + 1 AS BIGINT) AS band, i * (s_suppkey * 1000 / 2.0::DOUBLE) / 20 AS low_hz, (i + 1) * (s_suppkey * 1000 / 2.0::DOUBLE) / 20 AS high_hz FROM supplier CROSS JOIN range(20) t(i)")
 def g10(spark, d):
-    return spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(sp.equal_bands(40e6, 20))], "band long, low_hz double, high_hz double")
+    """Twenty bands for every supplier's rate."""
+    rates = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 1000.0).alias("fs"))
+    return sp.band_table(rates, 20).select("s_suppkey", "band", "low_hz", "high_hz")
 
 
 @query("g11_time_features", with_sql(EMB_SQL, TIME_SQL) + " SELECT window_id, round(rms, 9) AS rms, round(mean_power, 9) AS mean_power, round(energy, 9) AS energy, round(peak, 9) AS peak, round(crest_factor, 9) AS crest_factor FROM tf")
@@ -210,9 +222,11 @@ def c07(spark, d):
     return rounded(folded, 9, *feat.band_columns(4))
 
 
-@query("g22_alias", "SELECT CAST(i AS BIGINT) AS i, round(abs(((i * 1e6::DOUBLE + 20e6) % 40e6) - 20e6), 6) AS alias_hz FROM range(100) t(i)")
+@query("g22_alias", "SELECT l_orderkey, l_linenumber, round(abs(((l_extendedprice * 1000 + (10e6::DOUBLE + l_suppkey) / 2) % (10e6::DOUBLE + l_suppkey)) - (10e6::DOUBLE + l_suppkey) / 2), 3) AS alias_hz FROM lineitem")
 def g22(spark, d):
-    return spark.range(100).select(F.col("id").alias("i"), F.round(sp.alias_frequency(F.col("id") * 1e6, 40e6), 6).alias("alias_hz"))
+    """Where a frequency made of a line's price appears at a rate made of its supplier."""
+    fs = F.lit(10e6) + F.col("l_suppkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(sp.alias_frequency(F.col("l_extendedprice").cast("double") * 1000, fs), 3).alias("alias_hz"))
 
 
 @query("g23_peak_estimate", with_sql(EMB_SQL, MAG_SQL) + ", p AS (SELECT window_id, median(magnitude) AS fl, max(magnitude) AS top FROM mag GROUP BY window_id), q AS (SELECT window_id, freq_hz FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY round(magnitude, 12) DESC, k) AS r FROM mag) WHERE r = 1) SELECT window_id, freq_hz AS peak_hz, round(20 * log10((top + 1e-12) / (fl + 1e-12)), 6) AS contrast_db, abs(freq_hz - 10) AS error_hz FROM p JOIN q USING (window_id)")

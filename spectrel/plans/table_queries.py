@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from spectrel.operators import filters as fi
 from spectrel.operators import learning as le
 from spectrel.operators import ranks, robust
 from spectrel.plans.decision_queries import ACTIVITY, BIN, GROUP_CTES, REJECTION, SCORE_COLUMNS, THRESHOLD, binary, group_scores, top
-from spectrel.plans.fixtures import SHIP_SQL, USER_SQL, one_line_samples, series_user, ship_series, table
+from spectrel.plans.fixtures import SHIP_SQL, USER_SQL, manifest as recordings, one_line_samples, series_user, ship_series, table
 from spectrel.plans.registry import query
 from spectrel.plans.spectral_queries import FEATURE_CTES, features4, rounded
 from spectrel.sources import names as na
@@ -28,9 +30,18 @@ TAPS = [float(v) for v in fi.design_fir("lowpass", 64.0, 8.0, 9)]
 FIR_SQL = "h AS (SELECT i, CASE WHEN i = 4 THEN 0.25::DOUBLE ELSE sin(pi() * 0.25 * (i - 4)) / (pi() * (i - 4)) END * (0.54 - 0.46 * cos(2 * pi() * i / 8)) AS v FROM range(9) t(i)), taps AS (SELECT i, v / (SELECT sum(v) FROM h) AS v FROM h)"
 
 
-@query("g14_fir_taps", f"WITH {FIR_SQL} SELECT CAST(i AS BIGINT) AS i, round(v, 12) AS tap FROM taps")
+#: A lowpass of nine taps for every supplier, at 64 Hz.
+SUPPLIER_FIR_SQL = "hs AS (SELECT s_suppkey, i, CASE WHEN i = 4 THEN 2 * c / 64 ELSE sin(pi() * 2 * c / 64 * (i - 4)) / (pi() * (i - 4)) END * (0.54 - 0.46 * cos(2 * pi() * i / 8)) AS v FROM (SELECT s_suppkey, 2.0::DOUBLE + s_suppkey % 28 AS c FROM supplier) CROSS JOIN range(9) t(i)), tps AS (SELECT s_suppkey, i, v / sum(v) OVER (PARTITION BY s_suppkey) AS v FROM hs)"
+
+
+def supplier_fir(spark, d):
+    cut = table(spark, d, "supplier").select("s_suppkey", (F.lit(2.0) + F.col("s_suppkey") % 28).alias("cut"))
+    return fi.designed(cut, ["s_suppkey"], lambda row: (fi.design_fir("lowpass", 64.0, float(row.cut), 9), [1.0]))
+
+
+@query("g14_fir_taps", f"WITH {SUPPLIER_FIR_SQL} SELECT s_suppkey, CAST(i AS INTEGER) AS i, round(v, 9) + 0 AS tap FROM tps")
 def g14(spark, d):
-    return spark.createDataFrame([(i, round(v, 12)) for i, v in enumerate(TAPS)], "i long, tap double")
+    return supplier_fir(spark, d).select("s_suppkey", "i", (F.round("b", 9) + 0).alias("tap"))
 
 
 @query("g16_fir_filter", f"WITH {SHIP_SQL}, {FIR_SQL} SELECT a.group_id, a.part, a.n, round(sum(b.x * v), 4) AS y FROM ser a JOIN taps ON true JOIN ser b ON a.group_id = b.group_id AND a.part = b.part AND b.n = a.n - taps.i GROUP BY 1, 2, 3")
@@ -70,33 +81,46 @@ def g16c(spark, d):
     return out.select("group_id", "part", "n", (F.round("y", 4) + 0).alias("y"))
 
 
-@query("g17_freq_response", f"WITH {FIR_SQL}, r AS (SELECT k, sum(v * cos(pi() * k * i / 512)) AS re, -sum(v * sin(pi() * k * i / 512)) AS im FROM taps CROSS JOIN range(512) t(k) GROUP BY k) SELECT CAST(k AS BIGINT) AS k, k * 0.0625::DOUBLE AS freq_hz, round(re, 9) + 0 AS re, round(im, 9) + 0 AS im, round(sqrt(re * re + im * im), 9) AS magnitude FROM r")
+@query("g17_freq_response", f"WITH {SUPPLIER_FIR_SQL}, r AS (SELECT s_suppkey, k, sum(v * cos(pi() * k * i / 64)) AS re, -sum(v * sin(pi() * k * i / 64)) AS im FROM tps CROSS JOIN range(64) t(k) GROUP BY s_suppkey, k) SELECT s_suppkey, CAST(k AS BIGINT) AS k, k * 0.5::DOUBLE AS freq_hz, round(re, 9) + 0 AS re, round(im, 9) + 0 AS im, round(sqrt(re * re + im * im), 9) AS magnitude FROM r")
 def g17(spark, d):
-    out = fi.frequency_response(spark, TAPS, [1.0], 64.0, 512)
+    out = fi.responses(supplier_fir(spark, d), ["s_suppkey"], 64.0, 64)
     return out.withColumns({c: F.round(c, 9) + 0 for c in ("re", "im", "magnitude")})
 
 
-@query("g19_iir_response", "WITH w AS (SELECT k, pi() * k / 64 AS w FROM range(64) t(k)), c AS (SELECT k, 0.2 + 0.3 * cos(w) + 0.1 * cos(2 * w) AS br, -0.3 * sin(w) - 0.1 * sin(2 * w) AS bi, 1 - 0.4 * cos(w) AS ar, 0.4 * sin(w) AS ai FROM w) SELECT CAST(k AS BIGINT) AS k, round((br * ar + bi * ai) / (ar * ar + ai * ai), 9) + 0 AS re, round((bi * ar - br * ai) / (ar * ar + ai * ai), 9) + 0 AS im FROM c")
+@query("g19_iir_response", "WITH w AS (SELECT s_suppkey, k, pi() * k / 64 AS w, 0.1 + 0.1 * (s_suppkey % 8) AS p FROM supplier CROSS JOIN range(64) t(k)), c AS (SELECT s_suppkey, k, 0.2 + 0.3 * cos(w) + 0.1 * cos(2 * w) AS br, -0.3 * sin(w) - 0.1 * sin(2 * w) AS bi, 1 - p * cos(w) AS ar, p * sin(w) AS ai FROM w) SELECT s_suppkey, CAST(k AS BIGINT) AS k, round((br * ar + bi * ai) / (ar * ar + ai * ai), 9) + 0 AS re, round((bi * ar - br * ai) / (ar * ar + ai * ai), 9) + 0 AS im FROM c")
 def g19(spark, d):
-    out = fi.frequency_response(spark, [0.2, 0.3, 0.1], [1.0, -0.4], 64.0, 64)
-    return out.select("k", *[(F.round(c, 9) + 0).alias(c) for c in ("re", "im")])
+    """One pole for every supplier, at a place of its own."""
+    b = F.array(F.struct(F.lit(0).alias("i"), F.lit(0.2).alias("b"), F.lit(1.0).alias("a")), F.struct(F.lit(1).alias("i"), F.lit(0.3).alias("b"), (-(F.lit(0.1) + 0.1 * (F.col("s_suppkey") % 8))).alias("a")), F.struct(F.lit(2).alias("i"), F.lit(0.1).alias("b"), F.lit(0.0).alias("a")))
+    out = fi.responses(table(spark, d, "supplier").select("s_suppkey", F.inline(b)), ["s_suppkey"], 64.0, 64)
+    return out.select("s_suppkey", "k", *[(F.round(c, 9) + 0).alias(c) for c in ("re", "im")])
 
 
 #: The poles in closed form: the analog prototype's, moved to the band, by the bilinear transform; zeros at 1 and -1.
-POLES_SQL = """WITH e AS (SELECT 4 * tan(pi() * 9.259765625e6::DOUBLE / 40e6) AS w1, 4 * tan(pi() * 10.759765625e6::DOUBLE / 40e6) AS w2),
-p AS (SELECT cos(pi() * (2 * k + 3) / 8) * (w2 - w1) / 2 AS a, sin(pi() * (2 * k + 3) / 8) * (w2 - w1) / 2 AS b, w1 * w2 AS q FROM e, range(1, 5) t(k)),
-s AS (SELECT a, b, a * a - b * b - q AS u, 2 * a * b AS v FROM p), r AS (SELECT a, b, sqrt((sqrt(u * u + v * v) + u) / 2) AS x, CASE WHEN v < 0 THEN -1 ELSE 1 END * sqrt((sqrt(u * u + v * v) - u) / 2) AS y FROM s),
-z AS (SELECT a + f * x AS a, b + f * y AS b FROM r, (SELECT unnest([1, -1]) AS f)), o AS (SELECT 'pole' AS kind, (16 - a * a - b * b) / ((4 - a) * (4 - a) + b * b) AS re, 8 * b / ((4 - a) * (4 - a) + b * b) AS im FROM z UNION ALL SELECT 'zero', unnest([1, 1, 1, 1, -1, -1, -1, -1]), 0)
-SELECT kind, round(re, CASE kind WHEN 'pole' THEN 5 ELSE 2 END) + 0 AS re, round(im, CASE kind WHEN 'pole' THEN 5 ELSE 2 END) + 0 AS im, bool_and(re * re + im * im < 1) FILTER (WHERE kind = 'pole') OVER () AS stable FROM o"""
+POLES_SQL = """WITH e AS (SELECT s_suppkey, 4 * tan(pi() * (5e6::DOUBLE + (s_suppkey % 10) * 1e6) / 40e6) AS w1, 4 * tan(pi() * (6.5e6::DOUBLE + (s_suppkey % 10) * 1e6) / 40e6) AS w2 FROM supplier),
+p AS (SELECT s_suppkey, cos(pi() * (2 * k + 3) / 8) * (w2 - w1) / 2 AS a, sin(pi() * (2 * k + 3) / 8) * (w2 - w1) / 2 AS b, w1 * w2 AS q FROM e, range(1, 5) t(k)),
+s AS (SELECT s_suppkey, a, b, a * a - b * b - q AS u, 2 * a * b AS v FROM p), r AS (SELECT s_suppkey, a, b, sqrt((sqrt(u * u + v * v) + u) / 2) AS x, CASE WHEN v < 0 THEN -1 ELSE 1 END * sqrt((sqrt(u * u + v * v) - u) / 2) AS y FROM s),
+z AS (SELECT s_suppkey, a + f * x AS a, b + f * y AS b FROM r, (SELECT unnest([1, -1]) AS f)), o AS (SELECT s_suppkey, 'pole' AS kind, (16 - a * a - b * b) / ((4 - a) * (4 - a) + b * b) AS re, 8 * b / ((4 - a) * (4 - a) + b * b) AS im FROM z UNION ALL SELECT s_suppkey, 'zero', unnest([1, 1, 1, 1, -1, -1, -1, -1]), 0 FROM supplier)
+SELECT s_suppkey, kind, round(re, CASE kind WHEN 'pole' THEN 5 ELSE 2 END) + 0 AS re, round(im, CASE kind WHEN 'pole' THEN 5 ELSE 2 END) + 0 AS im, bool_and(re * re + im * im < 1) FILTER (WHERE kind = 'pole') OVER (PARTITION BY s_suppkey) AS stable FROM o"""
 
 
 @query("g18_zeros_poles", POLES_SQL)
 def g18(spark, d):
-    """Of a bandpass; its zeros are fourfold, which roots of a polynomial show to two decimals."""
-    b, a = fi.design_iir("bandpass", 40e6, [9.259765625e6, 10.759765625e6], 4)
-    z, p = fi.zeros_and_poles(b, a)
-    rows = [(kind, round(float(v.real), k) + 0.0, round(float(v.imag), k) + 0.0, fi.is_stable(a)) for kind, roots, k in (("zero", z, 2), ("pole", p, 5)) for v in roots]
-    return spark.createDataFrame(rows, "kind string, re double, im double, stable boolean")
+    """Of a bandpass for every supplier; its zeros are fourfold, which roots of a polynomial show to two decimals."""
+    edges = table(spark, d, "supplier").select("s_suppkey", (F.lit(5e6) + (F.col("s_suppkey") % 10) * 1e6).alias("low"))
+
+    def run(frames):
+        known = {}
+        for frame in frames:
+            out = []
+            for key, low in frame.itertuples(index=False):
+                if low not in known:
+                    b, a = fi.design_iir("bandpass", 40e6, [low, low + 1.5e6], 4)
+                    z, p = fi.zeros_and_poles(b, a)
+                    known[low] = [(kind, round(float(v.real), k) + 0.0, round(float(v.imag), k) + 0.0, fi.is_stable(a)) for kind, roots, k in (("zero", z, 2), ("pole", p, 5)) for v in roots]
+                out += [(key, *r) for r in known[low]]
+            yield pd.DataFrame(out, columns=["s_suppkey", "kind", "re", "im", "stable"])
+
+    return edges.mapInPandas(run, "s_suppkey long, kind string, re double, im double, stable boolean")
 
 
 #: Paths made of suppliers and lines, and some from pages' URLs.
@@ -197,26 +221,30 @@ def a10(spark, d):
 CATALOGUE_SQL = """c AS (SELECT * FROM (VALUES ('00000', 'background', 'none', 'none', 20), ('10000', 'target', 'bebop', 'connected', 20), ('10001', 'target', 'bebop', 'hovering', 20), ('10010', 'target', 'bebop', 'flying', 20), ('10011', 'target', 'bebop', 'video', 20), ('10100', 'target', 'ar', 'connected', 20), ('10101', 'target', 'ar', 'hovering', 20), ('10110', 'target', 'ar', 'flying', 20), ('10111', 'target', 'ar', 'video', 17), ('11000', 'target', 'phantom', 'connected', 20)) v(code, activity, model, mode, top)),
 r AS (SELECT *, 'dev' AS partition, unnest(range(CASE code WHEN '00000' THEN 10 ELSE 5 END)) AS segment FROM c UNION ALL SELECT *, 'eval', unnest(CASE code WHEN '00000' THEN [15, 16, 17] ELSE [top - 1] END) FROM c UNION ALL SELECT *, 'holdout', unnest(CASE code WHEN '00000' THEN [18, 19, 20] ELSE [top] END) FROM c),
 sel AS (SELECT code, activity, model, mode, partition, CAST(segment AS INTEGER) AS segment, part, 'rec_' || code || '_' || CAST(segment AS VARCHAR) AS group_id FROM r CROSS JOIN (SELECT unnest(['L', 'H']) AS part))"""
+#: The table's recordings: a class by the supplier's last digit, a segment and a partition by the digits before it.
+RECORDINGS_SQL = "rcs AS (SELECT DISTINCT 's_' || CAST(l_suppkey AS VARCHAR) AS group_id, CASE WHEN l_linenumber % 2 = 0 THEN 'L' ELSE 'H' END AS part, k.code, k.activity, CAST(l_suppkey // 10 AS INTEGER) AS segment, CASE WHEN (l_suppkey // 10) % 10 < 6 THEN 'dev' WHEN (l_suppkey // 10) % 10 < 9 THEN 'eval' ELSE 'holdout' END AS partition FROM lineitem JOIN (SELECT row_number() OVER (ORDER BY code) - 1 AS i, code, activity FROM c) k ON l_suppkey % 10 = k.i)"
 
 
-@query("a14_catalogue", f"WITH {CATALOGUE_SQL} SELECT * FROM sel")
+@query("a14_catalogue", f"WITH {CATALOGUE_SQL}, {RECORDINGS_SQL} SELECT sel.*, coalesce(files, 0) AS files FROM sel LEFT JOIN (SELECT code, segment, part, count(*) AS files FROM rcs GROUP BY ALL) f USING (code, segment, part)")
 def a14(spark, d):
-    return na.selection(spark).drop("max_segment")
+    """The selection, and how many of the table's recordings each of its rows has."""
+    there = recordings(spark, d).groupBy("code", "segment", "part").agg(F.count("*").alias("files"))
+    return na.selection(spark).drop("max_segment").join(there, ["code", "segment", "part"], "left").withColumn("files", F.coalesce("files", F.lit(0)))
 
 
-@query("a12_manifest_partitions", f"WITH {CATALOGUE_SQL} SELECT partition, count(*) AS files, count(DISTINCT group_id) AS groups, CAST(sum(segment) AS BIGINT) AS segments FROM sel WHERE partition IN ('dev', 'eval') GROUP BY partition")
+@query("a12_manifest_partitions", f"WITH {CATALOGUE_SQL}, {RECORDINGS_SQL} SELECT partition, count(*) AS files, count(DISTINCT group_id) AS groups, CAST(sum(segment) AS BIGINT) AS segments FROM rcs WHERE partition IN ('dev', 'eval') GROUP BY partition")
 def a12(spark, d):
-    """A manifest, written as JSON and read again, by partition."""
-    files = na.selection(spark).select("*", F.lit(40e6).alias("sample_rate_hz"), F.concat("group_id", "part").alias("relative_path"), F.sha2("group_id", 256).alias("sha256"))
+    """A manifest of the table's recordings, written as JSON and read again, by partition."""
+    files = recordings(spark, d).withColumn("sha256", F.sha2("relative_path", 256))
     path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
     sk.write_json(files.groupBy(F.lit("local_subset_ready").alias("status")).agg(F.collect_list(F.struct(*files.columns)).alias("files")), path)
     got = rd.partition_files(rd.read_manifest(spark, path), ["dev", "eval"])
     return got.groupBy("partition").agg(F.count("*").alias("files"), F.count_distinct("group_id").alias("groups"), F.sum("segment").alias("segments"))
 
 
-@query("a13_missing_files", f"WITH {CATALOGUE_SQL} SELECT group_id, part FROM sel WHERE segment % 4 = 3 OR part = 'H' AND segment = 2")
+@query("a13_missing_files", f"WITH {CATALOGUE_SQL}, {RECORDINGS_SQL} SELECT group_id, part FROM rcs WHERE segment % 4 = 3 OR part = 'H' AND segment = 2")
 def a13(spark, d):
-    files = na.selection(spark).withColumn("relative_path", F.concat("group_id", "part")).withColumn("size_bytes", F.lit(10).cast("long"))
+    files = recordings(spark, d).withColumn("size_bytes", F.lit(10).cast("long"))
     there = files.where("segment % 4 <> 3").select(F.col("relative_path").alias("path"), F.when((F.col("part") == "H") & (F.col("segment") == 2), 9).otherwise(10).cast("long").alias("size_bytes"))
     return rd.missing_files(files, there).select("group_id", "part")
 
@@ -318,10 +346,12 @@ def d07(spark, d):
     return f.crossJoin(F.broadcast(p)).select("window_id", (F.round((F.col("crest_factor") - F.col("m")) / F.col("s"), 6) + 0).alias("z"))
 
 
-@query("d08_manifest_join", f"WITH {CATALOGUE_SQL} SELECT s.group_id, s.part, c.group_id IS NOT NULL AS present FROM sel s LEFT JOIN (SELECT DISTINCT group_id FROM sel WHERE segment <= 3) c ON s.group_id = c.group_id")
+@query("d08_manifest_join", f"WITH {CATALOGUE_SQL}, {RECORDINGS_SQL} SELECT s.group_id, s.part, r.code IS NOT NULL AS present FROM sel s LEFT JOIN (SELECT DISTINCT code, segment, part FROM rcs) r USING (code, segment, part)")
 def d08(spark, d):
-    s = na.selection(spark).withColumn("relative_path", F.concat("group_id", "part")).withColumn("size_bytes", F.lit(1).cast("long"))
-    lost = rd.missing_files(s, s.where("segment <= 3").select(F.col("relative_path").alias("path"), "size_bytes")).select("group_id", "part", F.lit(False).alias("present"))
+    """The files of the selection, and whether the table's recordings have them."""
+    s = na.selection(spark).withColumn("relative_path", F.concat_ws("_", "code", "segment", "part")).withColumn("size_bytes", F.lit(1).cast("long"))
+    there = recordings(spark, d).select(F.concat_ws("_", "code", "segment", "part").alias("path"), F.lit(1).cast("long").alias("size_bytes")).distinct()
+    lost = rd.missing_files(s, there).select("group_id", "part", F.lit(False).alias("present"))
     return s.select("group_id", "part").join(lost, ["group_id", "part"], "left").select("group_id", "part", F.coalesce("present", F.lit(True)).alias("present"))
 
 
@@ -472,13 +502,12 @@ def i13(spark, d):
     return le.nested_binary(features4(spark, d), FEATURE_SET, "label", 5, 4, 42, 5)[0]
 
 
-@query("i13_group_separation", "SELECT CAST(r AS INTEGER) AS repeat, CAST(f AS INTEGER) AS fold, true AS separate FROM range(5) a(r), range(5) b(f)")
+@query("i13_group_separation", FEATURE_CTES + """, gl AS (SELECT DISTINCT group_id, label FROM ft), fd AS (SELECT r, group_id, (row_number() OVER (PARTITION BY r, label ORDER BY md5(concat(42 + r, ':', group_id)), group_id) - 1) % 5 AS own FROM gl CROSS JOIN range(5) a(r))
+SELECT CAST(r AS INTEGER) AS repeat, CAST(f AS INTEGER) AS fold, group_id, CASE WHEN own = f THEN 'test' ELSE 'threshold,train' END AS roles FROM fd CROSS JOIN range(5) b(f)""")
 def i13s(spark, d):
-    """From the trace of group ids: no test group of a fold was used to train it or to find its threshold."""
+    """What every group was used for in each outer fold: to be tested, or to train and to find the threshold."""
     _, trace = le.nested_binary(features4(spark, d), FEATURE_SET, "label", 5, 4, 42, 5)
-    roles = trace.groupBy("repeat", "fold", "group_id").agg(F.collect_set("role").alias("roles"))
-    mixed = F.array_contains("roles", "test") & (F.size("roles") > 1)
-    return roles.groupBy("repeat", "fold").agg((F.count_if(mixed) == 0).alias("separate"))
+    return trace.groupBy("repeat", "fold", "group_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
 
 
 @query("i06_holdout_report")
@@ -509,6 +538,6 @@ def i27p(spark, d):
     return de.p_values(permuted.withColumn("balanced_accuracy", F.round("balanced_accuracy", 12)), observed)
 
 
-@query("j12_partition_table", f"WITH {CATALOGUE_SQL} SELECT partition, activity, count(DISTINCT group_id) AS groups, count(*) AS files FROM sel GROUP BY partition, activity")
+@query("j12_partition_table", f"WITH {CATALOGUE_SQL}, {RECORDINGS_SQL} SELECT partition, activity, count(DISTINCT group_id) AS groups, count(*) AS files FROM rcs GROUP BY partition, activity")
 def j12(spark, d):
-    return na.selection(spark).groupBy("partition", "activity").agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("files"))
+    return recordings(spark, d).groupBy("partition", "activity").agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("files"))
\ No newline at end of file
