@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -247,9 +247,49 @@ class Recursion:
             d = self.powers[rest] @ d + cut[-1, :rest] @ self.gather[self.piece - rest :]
         return (cut @ self.inside.T + states @ self.leave.T).reshape(-1)[: len(x)], d
 
-    def after(self, samples: int) -> np.ndarray:
-        """What a state has become after so many samples of zero."""
-        return np.linalg.matrix_power(self.step, samples)
+    def run_many(self, xs: Sequence[np.ndarray], states: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The same for many runs at once, each from its own state: the pieces of all of them are multiplied together."""
+        sizes = np.array([len(x) for x in xs])
+        if not self.order or not len(xs):
+            return [self.gain * x for x in xs], states
+        pieces = max(1, -(-int(sizes.max()) // self.piece))
+        cut = np.zeros((len(xs), pieces * self.piece))
+        for row, x in zip(cut, xs, strict=True):
+            row[: len(x)] = x
+        cut = cut.reshape(len(xs), pieces, self.piece)
+        gathered, held = cut @ self.gather, np.empty((len(xs), pieces + 1, self.order))
+        held[:, 0] = states
+        for i in range(pieces):
+            held[:, i + 1] = held[:, i] @ self.powers[-1].T + gathered[:, i]
+        y = (cut @ self.inside.T + held[:, :pieces] @ self.leave.T).reshape(len(xs), -1)
+        whole, rest = np.divmod(sizes, self.piece)
+        ends = held[np.arange(len(xs)), whole].copy()
+        for i in np.flatnonzero(rest):
+            ends[i] = self.powers[rest[i]] @ ends[i] + cut[i, whole[i], : rest[i]] @ self.gather[self.piece - rest[i] :]
+        return [v[:n] for v, n in zip(y, sizes, strict=True)], ends
+
+
+def in_turns(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The places of runs, those of similar lengths together, so that filled up to the longest they have about `most` samples."""
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and int(sizes[order[end]]) * (end + 1 - at) <= most:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a column of lists."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(v) if v is not None else 0 for v in column)])
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def list_column(values: Sequence[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(v) for v in values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*values, np.empty(0)])))
 
 
 def lfilter(b: Sequence[float], a: Sequence[float], x: np.ndarray, zi: np.ndarray | None = None) -> np.ndarray:
@@ -277,10 +317,7 @@ def apply_filter(recs: DataFrame, b: Sequence[float], a: Sequence[float] = (1.0,
     def run(batches):
         f = filtfilt if zero_phase else lfilter
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                y = f(b, a, np.asarray(one.column(column)[0].as_py(), dtype=float))
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([y.tolist()], pa.list_(pa.float64()))], names=[*one.schema.names, "y"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, list_column([f(b, a, x.astype(float)) for x in lists(batch.column(column))])], names=[*batch.schema.names, "y"])
 
     return recs.mapInArrow(run, schema)
 
@@ -292,25 +329,26 @@ def _carried(cut: DataFrame, b: Sequence[float], a: Sequence[float], keys: Seque
     n = max(len(b), len(a)) - 1
     states = T.ArrayType(T.DoubleType())
     ends = T.StructType([*[cut.schema[k] for k in keys], T.StructField(order, T.LongType()), T.StructField("size", T.LongType()), T.StructField("end", states), T.StructField("init", states)])
-    array = lambda v: pa.array([v], pa.list_(pa.float64()))
+
+    f = Recursion(b, a)
 
     def end_states(batches):
-        f = Recursion(b, a)
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                x = one.column("x").flatten().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*[one.column(k) for k in keys], one.column(order), pa.array([len(x)]), array(f.run(x)[1]), one.column("init")], names=ends.names)
+            xs, out = lists(batch.column("x")), np.empty((batch.num_rows, n))
+            for at in in_turns(np.array([len(x) for x in xs])):
+                out[at] = f.run_many([xs[i] for i in at], np.zeros((len(at), n)))[1]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column(order), pa.array([len(x) for x in xs], pa.int64()), list_column(list(out)), batch.column("init")], names=ends.names)
 
     def carry(table: pa.Table) -> pa.Table:
-        table, f, out = table.sort_by(order), Recursion(b, a), []
+        table, out = table.sort_by(order), []
         d = np.array(table.column("init")[0].as_py() or [0.0] * n)
         known: dict[int, np.ndarray] = {}
         for size, end in zip(table.column("size").to_pylist(), table.column("end").to_pylist(), strict=True):
             out.append(d)
-            if size not in known:
-                known[size] = f.after(size)
-            d = known[size] @ d + np.array(end)
+            if table.num_rows > 1:
+                if size not in known:  # what a state becomes after so many samples of zero
+                    known[size] = np.linalg.matrix_power(f.step, size)
+                d = known[size] @ d + np.array(end)
         return pa.table({**{k: table.column(k) for k in keys}, order: table.column(order), "before": pa.array([v.tolist() for v in out], pa.list_(pa.float64()))})
 
     before = cut.mapInArrow(end_states, ends).groupBy(*keys).applyInArrow(carry, T.StructType([*[cut.schema[k] for k in keys], T.StructField(order, T.LongType()), T.StructField("before", states)]))
@@ -318,12 +356,13 @@ def _carried(cut: DataFrame, b: Sequence[float], a: Sequence[float], keys: Seque
     schema = T.StructType([*[f for f in both.schema.fields if f.name not in ("before", "init")], T.StructField("y", states)])
 
     def filtered(batches):
-        f = Recursion(b, a)
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                y = f.run(one.column("x").flatten().to_numpy(zero_copy_only=False), np.array(one.column("before")[0].as_py()))[0]
-                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in schema.names[:-1]], array(y)], names=schema.names)
+            xs, out = lists(batch.column("x")), [np.empty(0)] * batch.num_rows
+            before = batch.column("before").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
+            for at in in_turns(np.array([len(x) for x in xs])):
+                for i, y in zip(at, f.run_many([xs[i] for i in at], before[at])[0], strict=True):
+                    out[i] = y
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in schema.names[:-1]], list_column(out)], names=schema.names)
 
     return both.mapInArrow(filtered, schema)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spectrel.functions.columns import is_finite, require_columns
 from spectrel.functions.tables import stored
+from spectrel.operators.vectors import quantiles
 
 
 def part_medians(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("group_id", "part"), keep: Sequence[str] = ()) -> DataFrame:
@@ -87,8 +88,12 @@ def assert_none(df: DataFrame, what: str) -> None:
 
 
 def calibrate_domain(vectors: DataFrame, columns: Sequence[str], safety: float = 1.05) -> tuple[DataFrame, DataFrame]:
-    """(centre and scale by feature, one row with threshold, development_groups and development_distance_max) from development groups."""
-    params = vectors.agg(*[F.struct(F.median(c).alias("centre"), robust_scale(c).alias("scale")).alias(c) for c in columns])
+    """(centre and scale by feature, one row with threshold, development_groups and development_distance_max) from development groups. Quartiles are exact and found by
+    counts; no task holds all groups."""
+    low, middle, high = quantiles(vectors, columns, (0.25, 0.5, 0.75))
+    spread = vectors.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    scale = [next((v for v in (float(h - lo), spread[c] or 0.0) if v > 1e-12), 1e-12) for c, lo, h in zip(columns, low, high, strict=True)]
+    params = vectors.sparkSession.range(1).select(*[F.struct(F.lit(float(m)).alias("centre"), F.lit(float(v)).alias("scale")).alias(c) for c, m, v in zip(columns, middle, scale, strict=True)])
     top = domain_distance(vectors, params, columns).agg(F.max("distance").alias("development_distance_max"), F.count("*").alias("development_groups"))
     return params, top.withColumn("threshold", F.greatest(F.col("development_distance_max") * safety, F.lit(1e-12)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrel.functions.columns import EPS, gaussian, uniform
+from spectrel.functions.tables import stored
 from spectrel.operators.conditioning import RECORD
 
 
@@ -67,25 +68,28 @@ def add_tone(samples: DataFrame, fs: float, hz: float, sir_db: float, keys: Sequ
 
 
 def add_impulses(samples: DataFrame, fraction: float, amplitude_rms: float, seed: int, keys: Sequence[str] = RECORD) -> DataFrame:
-    """samples with max(1, round(fraction * length)) impulses of both signs in each record, at the places whose hash is smallest. Hashes are even: samples
-    are numbered in 4,096 buckets of the hash, and only in the bucket in which the number is reached."""
+    """samples with max(1, round(fraction * length)) impulses of both signs in each record, at the places whose hash is smallest.
+
+    Hashes are even: a record's samples are counted in 4,096 buckets of the hash, and only the bucket in which the number is reached is sorted, to find the last place that is struck. A
+    record's RMS comes from the same counts, and what is joined to the samples is a row a record."""
     from pyspark.sql import Window
 
     if not 0 < fraction <= 1 or amplitude_rms <= 0:
         raise ValueError("fraction is above 0 and at most 1, the amplitude positive")
-    ids = [F.col(k) for k in keys]
-    stats = _rms(samples, keys).withColumn("wanted_", F.greatest(F.lit(1), F.rint(F.col("count_") * fraction)).cast("long"))
+    keys, ids = list(keys), [F.col(k) for k in keys]
     out = samples.withColumn("u_", uniform(seed, *ids, F.col("n"))).withColumn("b_", F.floor(F.col("u_") * 4096))
-    before = F.coalesce(F.sum("size_").over(Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    size = out.groupBy(*keys, "b_").agg(F.count("*").alias("size_")).withColumn("before_", before)
-    out = out.join(stats, list(keys)).join(size, [*keys, "b_"])
+    size = out.groupBy(*keys, "b_").agg(F.count("*").alias("size_"), F.sum(F.col("x") * F.col("x")).alias("power_"))
+    every = Window.partitionBy(*keys)  # 4,096 rows a record
+    upto = F.sum("size_").over(every.orderBy("b_").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    size = size.withColumns({"upto_": upto, "count_": F.sum("size_").over(every), "rms_": F.sqrt(F.sum("power_").over(every) / F.sum("size_").over(every))})
+    size = size.withColumn("wanted_", F.greatest(F.lit(1), F.rint(F.col("count_") * fraction)).cast("long"))
+    limit = stored(size.where((F.col("upto_") >= F.col("wanted_")) & (F.col("upto_") - F.col("size_") < F.col("wanted_"))).select(*keys, "b_", "rms_", (F.col("wanted_") - F.col("upto_") + F.col("size_")).cast("int").alias("left_")))
+    within = out.join(limit, [*keys, "b_"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("u_", "n"))).alias("s_"), F.first("left_").alias("left_"), F.first("rms_").alias("rms_"))
+    last = within.select(*keys, "rms_", F.element_at("s_", F.col("left_")).alias("last_"))
     sign = F.when(uniform(seed, *ids, F.col("n"), turn=1) < 0.5, -1.0).otherwise(1.0)
-    struck = lambda df: df.withColumn("x", F.col("x") + sign * amplitude_rms * F.col("rms_"))
-    whole, none = F.col("before_") + F.col("size_") <= F.col("wanted_"), F.col("before_") >= F.col("wanted_")
-    cut = out.where(~whole & ~none).withColumn("rank_", F.row_number().over(Window.partitionBy(*keys, "b_").orderBy("u_", "n")) + F.col("before_"))
-    columns = samples.columns
-    parts = [struck(out.where(whole)), out.where(none), struck(cut.where("rank_ <= wanted_")), cut.where("rank_ > wanted_")]
-    return parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns)).unionByName(parts[3].select(*columns))
+    struck = F.struct("u_", "n") <= F.col("last_")
+    joined = samples.withColumn("u_", uniform(seed, *ids, F.col("n"))).join(last, keys)
+    return joined.withColumn("x", F.when(struck, F.col("x") + sign * amplitude_rms * F.col("rms_")).otherwise(F.col("x"))).select(*samples.columns)
 
 
 def cap_per_group(rows: DataFrame, most: int | None, seed: int, group: str = "group_id", row: str = "window_id") -> DataFrame:

@@ -44,7 +44,9 @@ def sweep(windows: DataFrame, conditions: Mapping[str, Condition]) -> DataFrame:
 
 
 def features_of(windows: DataFrame, fs: float, bands: int, nperseg: int, noverlap: int | None = None, window: str = "hann", keys: Sequence[str] = WINDOW_KEYS) -> DataFrame:
-    """Windows in long form to arrays (one shuffle), then the Arrow kernel."""
+    """Windows in long form to arrays (one shuffle), then the Arrow kernel; those that are arrays (win) already aren't shuffled."""
+    if "win" in windows.columns:
+        return kernels.feature_table(windows.select(*keys, "win"), fs, bands, nperseg, window, "win", noverlap)
     arrays = windows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]).alias("win"))
     return kernels.feature_table(arrays, fs, bands, nperseg, window, "win", noverlap)
 
@@ -108,14 +110,16 @@ LEVELS, REPEATS = (-5, 0, 5, 10, 20), 5
 
 
 def noise_grid(windows: DataFrame, levels: Sequence[int], repeats: int, seed: int = 11) -> DataFrame:
-    """windows (long form) once for each noise level and repetition, with noise of the part's RMS and of the repetition's seed; condition: level/repetition."""
+    """windows (arrays of 64 samples) once for each noise level and repetition, with noise of the part's RMS and of the repetition's seed; condition: level/repetition. Samples stay in
+    their arrays."""
     spark = windows.sparkSession
     grid = spark.createDataFrame([(v, r) for v in levels for r in range(repeats)], "snr int, rep int")
-    rms = windows.groupBy("group_id", "part").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    power = F.aggregate("win", F.lit(0.0), lambda a, v: a + v * v)
+    rms = windows.groupBy("group_id", "part").agg(F.sqrt(F.sum(power) / F.sum(F.size("win"))).alias("rms"))
     rows = windows.join(rms, ["group_id", "part"]).crossJoin(F.broadcast(grid))
-    g = gaussian(F.col("rep") + seed, F.col("group_id"), F.col("part"), F.col("window_id") * 64 + F.col("n"))
-    x = F.col("x") + F.col("rms") * F.pow(F.lit(10.0), -F.col("snr") / 20) * g
-    return rows.withColumn("x", x).withColumn("condition", F.concat_ws("/", "snr", "rep")).drop("rms", "snr", "rep")
+    noise = lambda i: gaussian(F.col("rep") + seed, F.col("group_id"), F.col("part"), F.col("window_id") * 64 + i)
+    win = F.transform("win", lambda v, i: v + F.col("rms") * F.pow(F.lit(10.0), -F.col("snr") / 20) * noise(i))
+    return rows.withColumn("win", win).withColumn("condition", F.concat_ws("/", "snr", "rep")).drop("rms", "snr", "rep")
 
 
 NOISE_ID = "concat(CAST(11 + rep AS VARCHAR), ':', group_id, ':', part, ':', CAST(window_id * 64 + n AS VARCHAR))"
@@ -125,7 +129,7 @@ NOISE_SQL = audit_sql(f"SELECT concat(group_id, '|', CAST(snr AS VARCHAR), '/',
 @query("j05_noise_sensitivity", NOISE_SQL)
 def j05(spark, d):
     """Five levels, five repetitions each."""
-    return audited(spark, d, noise_grid(emb_windows(spark, d), LEVELS, REPEATS))
+    return audited(spark, d, noise_grid(emb_arrays(spark, d), LEVELS, REPEATS))
 
 
 SUMMARY = ("balanced_accuracy", "detection_rate", "coverage")
@@ -294,9 +298,16 @@ def planted_features(spark, d, config=None, change=lambda s: s):
 _calibrated: dict = {}
 
 
+def state_of(spark, folder: str) -> int:
+    """A number that tells whether files under a folder are still the same: of their paths, lengths and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return int(files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0] or 0)
+
+
 def calibrated(spark, d):
-    """(bundle, report, comparison) of the recordings with tones: calibrated, the policy applied, saved and loaded again. Once a session and folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """(bundle, report, comparison) of the recordings with tones: calibrated, the policy applied, saved and loaded again. Once a session for the same state of the
+    table."""
+    key = (spark.sparkContext.applicationId, d, state_of(spark, f"{d}/lineitem.parquet"))
     if key not in _calibrated:
         rows = planted_features(spark, d).where("partition <> 'holdout'")
         bundle, report, comparison = bu.calibrate(rows)
