@@ -5,8 +5,9 @@ n-gram the log of the ratio of its probabilities. An n-gram counts once for each
 the raw model: (t + a) / (r + a), where t and r are the number of target documents that have it and the number expected from the raw
 model, so that n-grams too rare to tell are neutral. A document's log ratio is that of the two models over the whole text, by n-gram. A
 few bad words in a long text hardly move it, so that passages have terms of their own: the smallest sum of log ratios over any window, for
-windows of several sizes. Every term is measured from the median of held-out good documents in steps of how far their worst ones reach, and
-the log weight is the smallest of them. Documents are drawn by Gumbel top-k: the k with the largest log weight / temperature +
+windows of several sizes. There is a pair of models of short n-grams, and one of n-grams as long as words, which tells words whose parts are common.
+Every term is measured from the median of held-out good documents in steps of how far their worst ones reach, and the log weight is the smallest
+of them. Good documents are held out in turn: each half is measured by models of the other half, so that all labels serve for both; what is applied has been fitted on all. Documents are drawn by Gumbel top-k: the k with the largest log weight / temperature +
 Gumbel noise stay, where k is the number of documents whose log weight reaches what all but a small share of held-out good
 documents reach.
 """
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,23 +26,42 @@ from pyspark.sql import types as T
 from spectrel.llm.common import Shelf, free_name, per_text, read, steps, text_bytes
 
 
+@dataclass(frozen=True)
+class Grams:
+    """A further pair of models, as the first one of QualityRule."""
+
+    gram: int = 8
+    bits: int = 22
+    smooth: float = 6.0
+    windows: tuple[int, ...] = (8, 48)
+
+
 @dataclass(frozen=True)
 class QualityRule:
     """gram: bytes in an n-gram. bits: of the hash. smooth: a. windows: sizes of passages in n-grams. labelled: most labelled rows
-    that the models are fitted and calibrated on (those with the smallest hash of their doc_id; half for each). lost: share of held-out
+    that the models are fitted and calibrated on (those with the smallest hash of their doc_id). also: further models. lost: share of held-out
     good documents that may fall below the limit. temperature: of the draw, in steps of the log weight. seed: of the noise."""
 
     gram: int = 4
     bits: int = 20
     smooth: float = 0.5
-    windows: tuple[int, ...] = (8, 48)
+    windows: tuple[int, ...] = (8, 48, 256)
     labelled: int = 20_000
     lost: float = 0.005
     temperature: float = 0.02
     seed: int = 42
+    also: tuple[Grams, ...] = (Grams(),)
 
+    @property
+    def models(self) -> tuple[QualityRule | Grams, ...]:
+        return (self, *self.also)
 
-def grams(text: bytes | None, rule: QualityRule) -> np.ndarray:
+
+#: Buckets whose counts go together.
+RANGE = 1 << 16
+
+
+def grams(text: bytes | None, rule: QualityRule | Grams) -> np.ndarray:
     """The bucket of every n-gram of the text, which has a space added on both sides."""
     if not text:
         return np.empty(0, dtype=np.int32)
@@ -54,30 +75,44 @@ def grams(text: bytes | None, rule: QualityRule) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - rule.bits)).astype(np.int32)
 
 
-def gram_counts(docs: DataFrame, text: str, rule: QualityRule) -> np.ndarray:
-    """In how many rows of docs each bucket occurs. A task adds up its rows, so what is shuffled is at most a row a bucket and task, and
-    what reaches the driver a row a bucket."""
+def gram_counts(docs: DataFrame, text: str, rule: QualityRule) -> list[np.ndarray]:
+    """For every model in how many rows of docs each bucket occurs. A task adds up its rows; what is shuffled is a packed table of counts a task, and what reaches the driver is
+    one of a fixed size."""
+    models = rule.models
+
+    def packed(total: dict[tuple[int, int], np.ndarray]):
+        for (m, r), v in total.items():
+            yield pa.RecordBatch.from_pydict({"m": pa.array([m], pa.int32()), "r": pa.array([r], pa.int32()), "v": pa.array([zstandard.compress(v.tobytes(), 1)], pa.binary())})
 
     def run(batches):
-        count = np.zeros(1 << rule.bits, dtype=np.int64)
+        counts = [np.zeros(1 << m.bits, dtype=np.int64) for m in models]
         for whole in batches:
             for b in steps(whole, "text"):
                 for t in text_bytes(b.column("text")).to_pylist():
-                    g = np.sort(grams(t, rule))
-                    if len(g):
-                        count[g[np.r_[True, g[1:] != g[:-1]]]] += 1
-        at = np.flatnonzero(count)
-        for i in range(0, len(at), 50_000):
-            part = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(count[part])], names=["bucket", "n"])
-
-    got = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << rule.bits, dtype=np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+                    for m, count in zip(models, counts, strict=True):
+                        g = np.sort(grams(t, m))
+                        if len(g):
+                            count[g[np.r_[True, g[1:] != g[:-1]]]] += 1
+        parts = {(i, at // RANGE): c[at : at + RANGE] for i, c in enumerate(counts) for at in range(0, len(c), RANGE)}
+        yield from packed({k: v for k, v in parts.items() if v.any()})
+
+    def add(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for m, r, v in zip(*(b.column(c).to_pylist() for c in ("m", "r", "v")), strict=True):
+                one = np.frombuffer(zstandard.decompress(v), dtype=np.int64)
+                total[m, r] = total[m, r] + one if (m, r) in total else one
+        yield from packed(total)
+
+    got = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "m int, r int, v binary").repartition("m", "r").mapInArrow(add, "m int, r int, v binary").toArrow()
+    out = [np.zeros(1 << m.bits, dtype=np.int64) for m in models]
+    for m, r, v in zip(*(got.column(c).to_pylist() for c in ("m", "r", "v")), strict=True):
+        one = np.frombuffer(zstandard.decompress(v), dtype=np.int64)
+        out[m][r * RANGE : r * RANGE + len(one)] = one
     return out
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, rule: QualityRule) -> np.ndarray:
+def log_ratios(target: np.ndarray, raw: np.ndarray, rule: QualityRule | Grams) -> np.ndarray:
     expected = raw * (target.sum() / max(1, raw.sum()))
     return np.log((target + rule.smooth) / (expected + rule.smooth)).astype(np.float32)
 
@@ -92,11 +127,15 @@ def terms(g: np.ndarray, ratio: np.ndarray, windows: tuple[int, ...]) -> list[fl
     return [float(c[-1] / len(g)), *(float((c[w:] - c[:-w]).min()) if w < len(g) else float(c[-1]) for w in windows)]
 
 
-def measured(docs: DataFrame, text: str, ratio, rule: QualityRule, name: str, keep: list[str]) -> DataFrame:
-    """keep's columns and terms() of every whole text; ratio is a broadcast variable of a fixed size."""
+def measured(docs: DataFrame, text: str, ratios, rule: QualityRule, name: str, keep: list[str]) -> DataFrame:
+    """keep's columns and terms() of every whole text, of all models one after the other; ratios is a broadcast variable of a fixed size."""
+    models = rule.models
 
     def make():
-        return lambda texts: [[terms(grams(t, rule), ratio.value, rule.windows) for t in texts]]
+        def of(t):
+            return [v for m, r in zip(models, ratios.value, strict=True) for v in terms(grams(t, m), r, m.windows)]
+
+        return lambda texts: [[of(t) for t in texts]]
 
     return per_text(docs, text, [(name, T.ArrayType(T.DoubleType()))], make, keep)
 
@@ -144,17 +183,21 @@ def resample(docs: DataFrame, labels: DataFrame, rule: QualityRule = QualityRule
     (name,) = free_name(docs, "terms")
     label = labels.select(F.col(doc_id).alias("id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).dropna()
     label = label.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(rule.labelled)
-    label = shelf.put(label.withColumn("fit", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == 0))
-    # at most rule.labelled rows
-    marked = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(label), "id")
-    target = gram_counts(marked.where("good and fit"), "text", rule)
-    fitted = bool(target.any())
+    label = shelf.put(label.withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int")))
+    # at most rule.labelled labels; rows of one doc_id are rare, and of many the first ones by a hash calibrate
+    marked = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(label.where("good")), "id")
+    marked = shelf.put(marked.select("half", "text", F.xxhash64("id", "text").alias("h")))
+    halves = [gram_counts(marked.where(F.col("half") == h), "text", rule) for h in (0, 1)]
+    target = [a + b for a, b in zip(*halves, strict=True)]
+    fitted = any(t.any() for t in target)
     raw = gram_counts(docs, text, rule) if fitted else target
-    ratio = spark.sparkContext.broadcast(log_ratios(target, raw, rule) if fitted else np.zeros(1 << rule.bits, dtype=np.float32))
-    # where doc_ids repeat, those with the smallest hashes
-    out_of_fit = marked.where("good and not fit").withColumn("h", F.xxhash64("id", "text"))
-    found = measured(out_of_fit, "text", ratio, rule, "w", ["h"]).orderBy("h").limit(rule.labelled).select("w").collect()
-    middle, step, limit = scales(np.array([r[0] for r in found] or [[0.0] * (1 + len(rule.windows))]), rule.lost)
+    send = lambda t: spark.sparkContext.broadcast([log_ratios(a, b, m) if fitted else np.zeros(1 << m.bits, dtype=np.float32) for a, b, m in zip(t, raw, rule.models, strict=True)])
+    ratio = send(target)
+    # a half is measured by the other's models, by all if the other half is empty
+    by = [send(halves[1 - h]) if halves[1 - h][0].any() else ratio for h in (0, 1)]
+    held = [measured(marked.where(F.col("half") == h), "text", by[h], rule, "w", ["h"]) for h in (0, 1)]
+    found = held[0].unionByName(held[1]).orderBy("h").limit(rule.labelled).select("w").collect()
+    middle, step, limit = scales(np.array([r[0] for r in found] or [[0.0] * sum(1 + len(m.windows) for m in rule.models)]), rule.lost)
     weight = F.least(*[(F.col(name)[i] - float(m)) / float(s) for i, (m, s) in enumerate(zip(middle, step, strict=True))])
     weight = F.when(F.forall(F.col(name), lambda x: x == 0), F.lit(0.0)).otherwise(weight)
     scored = measured(docs, text, ratio, rule, name, list(dict.fromkeys([doc_id, *kept])))

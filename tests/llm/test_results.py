@@ -474,46 +474,48 @@ def test_shards_when_ranges_are_only_halved(spark, monkeypatch):
     assert sorted(out.doc_id) == list(range(3000)) and all(sorted(g.slot) == list(range(375)) for _, g in out.groupby("shard"))
 
 
-def test_quality_on_held_out_labels(spark):
+@pytest.mark.parametrize("sf,good,low,toxic", [("sf0.01", 0.93, 0.35, 0.5), ("sf0.1", 0.98, 0.15, 0.35)])
+def test_quality_on_held_out_labels(spark, sf, good, low, toxic):
     """On documents of which half have labels: nearly all good ones of the other half stay, most of the bad ones go."""
-    folder = "/root/testdata/sf0.01"
-    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
     out = quality.resample(docs, labels.where("doc_id % 2 = 0"), keep=["doc_id"]).toPandas().merge(labels.where("doc_id % 2 = 1").toPandas(), on="doc_id")
-    good = out[(out.quality == 1) & (out.toxic == 0)].keep.mean()
-    assert good > 0.93 and out[out.quality == 0].keep.mean() < 0.35 and out[out.toxic == 1].keep.mean() < 0.5
+    kept_good = out[(out.quality == 1) & (out.toxic == 0)].keep.mean()
+    assert kept_good > good and out[out.quality == 0].keep.mean() < low and out[out.toxic == 1].keep.mean() < toxic
 
 
 def test_quality_by_brute_force(spark):
-    """Weights, limit and draw, counted in dictionaries."""
+    """Weights of all models, limit and draw, counted in dictionaries; good documents are held out in turn."""
     from collections import Counter
 
-    rule = quality.QualityRule(windows=(4, 12), lost=0.02)
+    rule = quality.QualityRule(windows=(4, 12), lost=0.02, also=(quality.Grams(gram=7, bits=18, smooth=2.0, windows=(5,)),))
     rng = random.Random(6)
     good = [" ".join(rng.choices("plain words of a good text that says things".split(), k=30)) for _ in range(120)]
     data = [(i, t) for i, t in enumerate(good)] + [(200 + i, "zzyzx " + good[i]) for i in range(20)] + [(300, None), (301, ""), (302, "x")]
     labels = [(i, 1, 0) for i in range(0, 120, 2)] + [(200, 0, 1), (201, 1, None)]
     docs, lab = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.resample(docs, lab, rule).collect()}
-    fit = {r.id for r in lab.selectExpr("doc_id as id").where("pmod(xxhash64(id, 1), 2) = 0").collect()}
+    half = {r.id: r.h for r in lab.selectExpr("doc_id as id").selectExpr("id", "pmod(xxhash64(id, 1), 2) as h").collect()}
     texts = dict(data)
-    gram = lambda t: [int(x) for x in quality.grams(t.encode(), rule)] if t else []
-    count = lambda ids: Counter(g for i in ids for g in set(gram(texts[i])))
-    target, raw = count([i for i in range(0, 120, 2) if i in fit]), count(texts)
-    share = sum(target.values()) / sum(raw.values())
-    ratio = lambda g: np.float32(np.log((target[g] + rule.smooth) / (raw[g] * share + rule.smooth)))
-
-    def term(t):
-        v = [float(ratio(g)) for g in gram(t)]
-        if not v:
-            return [0.0] * 3
-        return [sum(v) / len(v), *(min(sum(v[i : i + w]) for i in range(len(v) - w + 1)) if w < len(v) else sum(v) for w in rule.windows)]
-
-    held = np.array([term(texts[i]) for i in range(0, 120, 2) if i not in fit])
+    gram = lambda t, m: [int(x) for x in quality.grams(t.encode(), m)] if t else []
+    count = lambda ids, m: Counter(g for i in ids for g in set(gram(texts[i], m)))
+
+    def term(t, ids):
+        out = []
+        for m in rule.models:
+            target, raw = count(ids, m), count(texts, m)
+            share = sum(target.values()) / sum(raw.values())
+            v = [float(np.float32(np.log((target[g] + m.smooth) / (raw[g] * share + m.smooth)))) for g in gram(t, m)]
+            out += [sum(v) / len(v), *(min(sum(v[i : i + w]) for i in range(len(v) - w + 1)) if w < len(v) else sum(v) for w in m.windows)] if v else [0.0] * (1 + len(m.windows))
+        return out
+
+    used = range(0, 120, 2)
+    sides = [[i for i in used if half[i] == h] for h in (0, 1)]
+    held = np.array([term(texts[i], sides[1 - half[i]]) for i in used])
     middle = np.median(held, axis=0)
     step = np.maximum(middle - np.quantile(held, rule.lost, axis=0, method="lower"), 1e-3)
     limit = np.quantile(((held - middle) / step).min(1), rule.lost, method="lower")
-    weight = {i: min((np.array(term(t)) - middle) / step) if gram(t) else 0.0 for i, t in data}
-    assert all(abs(got[i].log_weight - w) < 1e-4 and abs(got[i].log_ratio - term(texts[i])[0]) < 1e-5 for i, w in weight.items())
+    weight = {i: min((np.array(term(t, used)) - middle) / step) if t else 0.0 for i, t in data if t != "x"}
+    assert all(abs(got[i].log_weight - w) < 1e-4 and abs(got[i].log_ratio - term(texts[i], used)[0]) < 1e-5 for i, w in weight.items())
     unit = {r.doc_id: r.u for r in docs.selectExpr("doc_id", "(shiftrightunsigned(xxhash64(doc_id, 42), 11) + 0.5) / cast(9007199254740992 as double) as u").collect()}
     assert all(abs(got[i].gumbel_key - (got[i].log_weight / rule.temperature - np.log(-np.log(unit[i])))) < 1e-6 for i in got)
     k = sum(r.log_weight >= min(limit, 0) - 1e-9 for r in got.values())
