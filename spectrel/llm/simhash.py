@@ -399,21 +399,19 @@ def unite(node: np.ndarray, linked, first: int | None = None) -> tuple[np.ndarra
     return node[out], centre[out]
 
 
-def dealt(members: DataFrame, key: str, slices: DataFrame) -> DataFrame:
-    """members once for each cell (i, j), i <= j, of its key in which its slice takes part; slices: key and k, its slices, for keys with more than one."""
-    cut = members.join(F.broadcast(slices), key, "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    cut = cut.select("*", mine.alias("m")).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    return cut.select(*members.columns, F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"))
+def dealt(members: DataFrame, slices: str = "k") -> DataFrame:
+    """members once for each cell (i, j), i <= j, of its key in which its slice takes part; slices: the column with the number of the key's slices."""
+    mine = F.pmod(F.xxhash64("node"), F.col(slices)).cast("int")
+    cut = members.withColumn("m", mine).select("*", F.explode(F.sequence(F.lit(0), F.col(slices) - 1)).alias("o"))
+    return cut.select(*[c for c in members.columns if c != slices], F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"))
 
 
 def loose_links(nodes: DataFrame, rule: NearRule, shelf: Shelf) -> DataFrame:
     """(a, b): links whose components hold together all nodes that meet in a bucket and agree in enough of the signature."""
     copies = shelf.put(nodes.select(F.explode("buckets").alias("bucket"), "node"))
-    size = shelf.put(copies.groupBy("bucket").count().where("count > 1"))
-    meet = copies.join(size.select("bucket"), "bucket").join(nodes.select("node", "sketch"), "node")
-    slices = size.where(F.col("count") > rule.cell).select("bucket", F.ceil(F.col("count") / rule.cell).cast("int").alias("k"))
-    cells = dealt(meet, "bucket", slices).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    size = shelf.put(copies.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / rule.cell).cast("int").alias("k")))
+    meet = copies.join(size, "bucket").join(nodes.select("node", "sketch"), "node")
+    cells = dealt(meet).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         """t: whole cells in their order."""
