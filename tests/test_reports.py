@@ -79,4 +79,8 @@ def test_controls_are_out_of_domain_and_filtered_background_is_decided(spark, sm
 
 
 def test_group_separation(spark, small):
-    assert all(r.separate for r in QUERIES["i13_group_separation"](spark, small).collect())
+    """In every outer fold a group is tested, or trains and helps to find the threshold; over the folds of a repetition each is tested once."""
+    rows = QUERIES["i13_group_separation"](spark, small).toPandas()
+    assert set(rows.roles) == {"test", "threshold,train"}
+    assert (rows.groupby(["repeat", "group_id"]).roles.apply(lambda r: (r == "test").sum()) == 1).all()
+    assert (rows.groupby(["repeat", "fold"]).size() == rows.group_id.nunique()).all() and rows.repeat.nunique() == 5 and rows.fold.nunique() == 5
