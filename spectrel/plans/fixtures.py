@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectrel.operators.conditioning import preprocess
@@ -54,9 +54,23 @@ def ship_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "lineitem", SHIP_SERIES.format(s="string").replace("from lineitem", "from {lineitem}"))
 
 
+#: Neighbouring vec_ids that are numbered together.
+NUMBERED = 4096
+
+
+def numbered_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings with r, their number from 0 by label in the order of vec_id: counted by blocks of vec_ids, so that no task holds a label."""
+    e = table(spark, sf_dir, "embeddings").withColumn("block_", F.floor(F.col("vec_id") / NUMBERED))
+    before = F.sum("n_").over(Window.partitionBy("label").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    size = e.groupBy("label", "block_").agg(F.count("*").alias("n_")).select("label", "block_", F.coalesce(before, F.lit(0)).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("label", "block_").orderBy("vec_id")) - 1
+    return e.withColumn("own_", own).join(size, ["label", "block_"]).withColumn("r", F.col("before_") + F.col("own_")).drop("block_", "own_", "before_")
+
+
 def emb_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a window, win as an array."""
-    return _view(spark, sf_dir, "embeddings", EMB_BASE.format(s="string", x="cast(embedding as array<double>) as win", t="{embeddings}"))
+    text = EMB_BASE.format(s="string", x="cast(embedding as array<double>) as win", t="")
+    return spark.sql(text[: text.index("from (select *")] + "from {numbered}", numbered=numbered_embeddings(spark, sf_dir))
 
 
 def emb_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
