@@ -57,10 +57,10 @@ def g06_record_bt(spark, d):
     return lf.record_blackman_tukey(s.join(long, ["group_id", "part"], "left_semi"), FS, BT_LAGS, n_fft=64, block=128).withColumn("psd", F.round("psd", 6) + 0)
 
 
-LONG_TAPS = [math.cos(i / 40) / 200 for i in range(257)]
+LONG_TAPS = [math.cos(0.3 + i / 40) / 200 for i in range(257)]
 
 
-@query("g16_long_fir", f"{REC_SQL}, h AS (SELECT i, cos(i / 40.0::DOUBLE) / 200 AS v FROM range(257) t(i)) SELECT a.group_id, a.part, a.n, round(sum(b.x * v), 6) + 0 AS y FROM rc a CROSS JOIN h JOIN rc b ON a.group_id = b.group_id AND a.part = b.part AND b.n = a.n - h.i GROUP BY 1, 2, 3")
+@query("g16_long_fir", f"{REC_SQL}, h AS (SELECT i, cos(0.3::DOUBLE + i / 40.0::DOUBLE) / 200 AS v FROM range(257) t(i)) SELECT a.group_id, a.part, a.n, round(sum(b.x * v), 6) + 0 AS y FROM rc a CROSS JOIN h JOIN rc b ON a.group_id = b.group_id AND a.part = b.part AND b.n = a.n - h.i GROUP BY 1, 2, 3")
 def g16_long(spark, d):
     """257 taps: blocks of 256 samples with the 256 before them, convolved by FFT."""
     y = fi.apply_fir(thousands(spark, d), LONG_TAPS, block=256)

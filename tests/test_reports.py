@@ -1,9 +1,13 @@
 """Builds, bundles and reports on recordings with planted tones."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spectrel.functions.tables import stored
 from spectrel.operators import bundle as bu
+from spectrel.operators import decision as de
+from spectrel.operators import learning as le
 from spectrel.operators import recordings as re
 from spectrel.plans import all_queries
 from spectrel.plans import audits as au
@@ -84,3 +88,37 @@ def test_group_separation(spark, small):
     assert set(rows.roles) == {"test", "threshold,train"}
     assert (rows.groupby(["repeat", "group_id"]).roles.apply(lambda r: (r == "test").sum()) == 1).all()
     assert (rows.groupby(["repeat", "fold"]).size() == rows.group_id.nunique()).all() and rows.repeat.nunique() == 5 and rows.fold.nunique() == 5
+
+
+def test_configurations_by_hand(spark):
+    """One configuration of the comparison restated: models of each number of bands fitted alone, and the figures by balanced accuracies in plain Python."""
+    dev = stored(au.planted_features(spark, FOLDER).where("partition = 'dev'"))
+    decided, _, columns, places = bu.compare_bands(dev, 20)
+    rows = decided.toPandas()
+    wide = bu.band_variants(dev, 20)[0]
+    for i, bands in enumerate(bu.BAND_COUNTS):
+        alone = le.out_of_fold(wide, [columns[k] for k in places[bands]], "activity", 5).toPandas().set_index("group_id")
+        together = rows[rows.run == i * len(le.STAGES)].set_index("group_id")
+        assert set(together.index) == set(alone.index) and (together.fold == alone.fold.reindex(together.index)).all()
+        assert np.allclose(together.score, alone.score__target.reindex(together.index), atol=1e-7)
+    recall = lambda r: np.mean([(g.prediction == c).mean() for c, g in r.groupby("label")])
+    stages = range(len(le.STAGES))
+    want = {}
+    for i, bands in enumerate(bu.BAND_COUNTS):
+        of = [rows[rows.run == i * len(stages) + s] for s in stages]
+        want[bands] = np.mean([recall(r) for r in of]), np.mean([np.std([recall(f) for _, f in r.groupby("fold")]) for r in of])
+    got = {r.band_count: (r["mean"], r.dispersion) for r in bu.comparison_of(decided, len(stages)).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[b], want[b], atol=1e-8) for b in want)
+    best = max(m for m, _ in want.values())
+    near = [b for b in want if round(best - want[b][0], 12) <= 0.02]
+    chosen = de.select_band_count(bu.comparison_of(decided, len(stages))).first()
+    assert chosen.band_count == min(near, key=lambda b: (round(want[b][1], 9), b))
+
+
+def test_sweep_of_configurations(spark):
+    """Six configurations, each with one of the numbers of bands; the chosen one is within the tolerance of the best, and none such varies less."""
+    rows = QUERIES["j04_configurations"](spark, FOLDER).toPandas()
+    assert len(rows) == 6 and rows.chosen.sum() == 1 and set(rows.band_count) <= set(bu.BAND_COUNTS) and rows["mean"].between(0, 1).all()
+    chosen = rows[rows.chosen].iloc[0]
+    near = rows[(rows["mean"].max() - rows["mean"]).round(12) <= 0.02]
+    assert chosen.configuration in set(near.configuration) and chosen.dispersion == near.dispersion.min()
