@@ -18,7 +18,7 @@ REC_SQL = f"WITH {SHIP_SQL}, rc AS (SELECT {G}, n, x / 1000 AS x, count(*) OVER
 HANN = "(0.5::DOUBLE - 0.5 * cos(2 * pi() * n / size))"
 DFT_SQL = f"f AS (SELECT {G}, size, k, sum(y * cos(2 * pi() * ((k * n) % size) / size)) AS re, sum(y * sin(2 * pi() * ((k * n) % size) / size)) AS im FROM w CROSS JOIN (SELECT unnest(range((SELECT max(size) // 2 + 1 FROM rc))) AS k) WHERE k <= size // 2 GROUP BY {G}, size, k)"
 #: Factors that a task holds in these queries, so that the short records of the tables take the same way as long ones.
-SMALL = {"block": 64, "largest": 32}
+SMALL = {"block": 256, "largest": 32}
 
 
 def thousands(spark, d):
