@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spectrel.functions import udtfs
@@ -199,6 +202,29 @@ mg AS MATERIALIZED (SELECT {key}, fs, k, (CASE WHEN k IN (0, 100) THEN 1 ELSE 2
 pk AS (SELECT {key}, fs, k, m, median(m) OVER (PARTITION BY {key}) AS fl, row_number() OVER (PARTITION BY {key} ORDER BY round(m, 9) DESC, k) AS r FROM mg)"""
 
 
+#: Suppliers whose samples one task makes.
+SUPPLIERS = 2000
+
+
+def suppliers(spark, d):
+    """The keys of all suppliers, dealt to tasks by their number: each of a small table's rows becomes hundreds of samples, which the table's size doesn't tell of."""
+    keys = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey").where("s_suppkey is not null")
+    return keys.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(keys.count() / SUPPLIERS)), "s_suppkey")
+
+
+def numbers_to(size: int):
+    return F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
+
+
+def noisy(size: int, at, snr_db):
+    """The numbers that at(n) gives for n below size, as an array, with noise of their own power less snr_db (a number or a column). Made in the supplier's row: no table of samples is
+    joined, and the RMS is found once a row."""
+    level = F.pow(F.lit(10.0), -snr_db / 20) if isinstance(snr_db, Column) else F.lit(10 ** (-snr_db / 20))
+    n = numbers_to(size)
+    mixed = lambda total: F.transform(n, lambda i: at(i) + F.sqrt(total / size) * level * gaussian(3, F.col("s_suppkey"), i))
+    return F.aggregate(F.transform(n, at), F.lit(0.0), lambda a, v: a + v * v, mixed)
+
+
 def sweep_places():
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SWEEP_N - 1).cast("long"))).alias("n")
 
@@ -267,11 +293,9 @@ def h09r(spark, d):
 
 @query("h09_noisy_tone", f"WITH s AS (SELECT s_suppkey, n, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) AS x FROM supplier, range(500) t(n)), y AS (SELECT s_suppkey, n, x + sqrt(avg(x * x) OVER (PARTITION BY s_suppkey)) * power(10, -5 / 20.0::DOUBLE) * {normal_sql("concat('3:', CAST(s_suppkey AS VARCHAR), ':', CAST(n AS VARCHAR))")} AS x FROM s) SELECT s_suppkey, round(avg(x * x), 6) AS power, round(max(abs(x)), 6) AS peak, count(*) AS samples FROM y GROUP BY s_suppkey")
 def h09(spark, d):
-    t = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).alias("n"))
-    s = t.select("s_suppkey", "n", sy.tone(F.col("n") / 2000.0, 180).alias("x"))
-    power = s.groupBy("s_suppkey").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
-    y = s.join(power, "s_suppkey").select("s_suppkey", (F.col("x") + F.col("rms") * 10 ** (-5 / 20) * gaussian(3, F.col("s_suppkey"), F.col("n"))).alias("x"))
+    """Every supplier's tone in noise: its power, peak and length."""
     x = F.col("x")
+    y = suppliers(spark, d).select("s_suppkey", F.explode(noisy(500, lambda n: sy.tone(n / 2000.0, 180.0), 5.0)).alias("x"))
     return y.groupBy("s_suppkey").agg(F.round(F.avg(x * x), 6).alias("power"), F.round(F.max(F.abs(x)), 6).alias("peak"), F.count("*").alias("samples"))
 
 
