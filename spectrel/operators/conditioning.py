@@ -69,10 +69,14 @@ def quantize(samples: DataFrame, bits: int, full_scale: float | None = None, key
         samples = samples.join(top, list(keys)) if keys else samples.crossJoin(F.broadcast(samples.agg(F.max(F.abs(F.col("x"))).alias("scale_"))))
     else:
         samples = samples.withColumn("scale_", F.lit(float(full_scale)))
-    s = F.col("scale_")
-    unit = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("x"), s)))
+    return samples.withColumn("xq", on_levels(F.col("x"), F.col("scale_"), steps)).drop("scale_")
+
+
+def on_levels(x: Column, scale: Column, steps: float | Column) -> Column:
+    """x on the steps + 1 levels between -scale and scale, halves to even; zero where the scale is."""
+    unit = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(x, scale)))
     level = F.rint((unit + 1) / 2 * steps) / steps * 2 - 1
-    return samples.withColumn("xq", F.when(s > 0, level * s).otherwise(F.lit(0.0))).drop("scale_")
+    return F.when(scale > 0, level * scale).otherwise(F.lit(0.0))
 
 
 def clip_range(samples: DataFrame, keys: Sequence[str] = RECORD, low: float = 0.005, high: float = 0.995) -> DataFrame:

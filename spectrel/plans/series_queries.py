@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spectrel.functions import udtfs
-from spectrel.functions.columns import gaussian
+from spectrel.functions.columns import first_max, gaussian
 from spectrel.operators import conditioning as co
 from spectrel.operators import framing as fr
 from spectrel.operators import kernels
@@ -225,26 +225,23 @@ def noisy(size: int, at, snr_db):
     return F.aggregate(F.transform(n, at), F.lit(0.0), lambda a, v: a + v * v, mixed)
 
 
-def sweep_places():
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SWEEP_N - 1).cast("long"))).alias("n")
-
-
-def swept(rows, key: str, expected, keep=()):
-    """(key, expected_hz, peak_hz, error_hz, contrast_db, aliased) of windows in long form: key, fs, n, x."""
-    mag = sp.fft_magnitude(rows, float(SWEEP_N), SWEEP_N, window="hann", keys=(key, "fs"))
-    top = sp.peak(mag, "magnitude", (key, "fs"), 9).withColumn("peak_hz", F.col("peak_hz") * F.col("fs") / SWEEP_N)
-    floor = mag.groupBy(key, "fs").agg(F.median("magnitude").alias("floor"))
-    contrast = 20 * F.log10((F.col("peak") + 1e-12) / (F.col("floor") + 1e-12))
-    return top.join(floor, [key, "fs"]).select(key, *keep, expected.alias("expected_hz"), "peak_hz", F.round(F.abs(F.col("peak_hz") - expected), 6).alias("error_hz"), contrast.alias("contrast_db"))
-
+def swept(rows, expected, *keep):
+    """(s_suppkey, fs, keep, expected_hz, peak_hz, error_hz, contrast_db) of the suppliers' windows as arrays: s_suppkey, fs, win. Narrow."""
+    mag = kernels.spectrum_arrays(rows, "magnitude", lambda x: kernels.fft_batch(x, float(SWEEP_N), SWEEP_N, "hann"), ["s_suppkey", "fs", *keep])
+    digits = F.transform("magnitude", lambda v: F.round(v, 9))
+    place = first_max(digits)
+    floor = F.array_sort("magnitude")[SWEEP_N // 4]  # the middle of SWEEP_N / 2 + 1 values
+    top = F.element_at("magnitude", (place + 1).cast("int"))
+    peak_hz = place * F.col("fs") / SWEEP_N
+    return mag.select("s_suppkey", "fs", *keep, expected.alias("expected_hz"), peak_hz.alias("peak_hz"), F.round(F.abs(peak_hz - expected), 6).alias("error_hz"), (20 * F.log10((top + 1e-12) / (floor + 1e-12))).alias("contrast_db"))
 
 
 @query("h08_rate_sweep", "WITH w AS (SELECT s_suppkey, 700 + 300.0::DOUBLE * (s_suppkey % 12) AS fs, n, sin(2 * pi() * 450 * (n / (700 + 300.0::DOUBLE * (s_suppkey % 12)))) AS x FROM supplier, range(200) t(n)), " + mag_sql("s_suppkey") + ", e AS (SELECT s_suppkey, fs, round(abs(((450 + fs / 2) % fs) - fs / 2), 6) AS expected_hz, k * fs / 200 AS peak_hz FROM pk WHERE r = 1) SELECT s_suppkey, fs, expected_hz, peak_hz, round(abs(peak_hz - expected_hz), 6) AS error_hz, 450 > fs / 2 AS aliased FROM e")
 def h08(spark, d):
     """A tone of 450 Hz at every supplier's rate: where it appears, and whether it is an alias."""
-    rates = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (700 + 300.0 * (F.col("s_suppkey") % 12)).alias("fs"))
-    w = rates.select("s_suppkey", "fs", sweep_places()).select("s_suppkey", "fs", "n", sy.tone(F.col("n") / F.col("fs"), 450.0).alias("x"))
-    out = swept(w, "s_suppkey", F.round(sp.alias_frequency(F.lit(450.0), F.col("fs")), 6), keep=("fs",))
+    rates = suppliers(spark, d).distinct().select("s_suppkey", (700 + 300.0 * (F.col("s_suppkey") % 12)).alias("fs"))
+    w = rates.select("s_suppkey", "fs", F.transform(numbers_to(SWEEP_N), lambda n: sy.tone(n / F.col("fs"), 450.0)).alias("win"))
+    out = swept(w, F.round(sp.alias_frequency(F.lit(450.0), F.col("fs")), 6))
     return out.select("s_suppkey", "fs", "expected_hz", "peak_hz", "error_hz", (F.lit(450.0) > F.col("fs") / 2).alias("aliased"))
 
 
@@ -254,24 +251,22 @@ SWEEP_NOISE = normal_sql("concat('3:', CAST(snr AS VARCHAR), ':', CAST(n AS VARC
 @query("h08_snr_sweep", f"WITH s AS (SELECT s_suppkey AS snr, s_suppkey % 46 - 5 AS db, n, sin(2 * pi() * 450 * (n / 2000.0::DOUBLE)) AS t FROM supplier, range(200) r(n)), w AS (SELECT snr, 2000.0::DOUBLE AS fs, n, t + sqrt(avg(t * t) OVER (PARTITION BY snr)) * power(10, -db / 20.0::DOUBLE) * {SWEEP_NOISE} AS x FROM s), {mag_sql('snr')} SELECT snr AS s_suppkey, k * fs / 200 AS peak_hz, round(abs(k * fs / 200 - 450), 6) AS error_hz, round(20 * log10((m + 1e-12) / (fl + 1e-12)), 6) AS contrast_db FROM pk WHERE r = 1")
 def h08n(spark, d):
     """The same tone in noise, at every supplier's level and seed: how well its peak is found."""
-    levels = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 46 - 5).alias("db"))
-    w = levels.select("s_suppkey", "db", sweep_places()).select("s_suppkey", "db", "n", sy.tone(F.col("n") / 2000.0, 450.0).alias("t"))
-    power = w.groupBy("s_suppkey").agg(F.sqrt(F.avg(F.col("t") * F.col("t"))).alias("rms"))
-    w = w.join(power, "s_suppkey").select("s_suppkey", F.lit(2000.0).alias("fs"), "n", (F.col("t") + F.col("rms") * F.pow(F.lit(10.0), -F.col("db") / 20) * gaussian(3, F.col("s_suppkey"), F.col("n"))).alias("x"))
-    return rounded(swept(w, "s_suppkey", F.lit(450.0)).drop("expected_hz"), 6, "contrast_db")
+    win = noisy(SWEEP_N, lambda n: sy.tone(n / 2000.0, 450.0), F.col("s_suppkey") % 46 - 5)
+    w = suppliers(spark, d).distinct().select("s_suppkey", F.lit(2000.0).alias("fs"), win.alias("win"))
+    return rounded(swept(w, F.lit(450.0)).drop("expected_hz", "fs"), 6, "contrast_db")
 
 
 @query("h08_bit_sweep", f"WITH s AS (SELECT s_suppkey, 2 + s_suppkey % 11 AS bits, n, sin(2 * pi() * (100 + s_suppkey % 700) * (n / 2000.0::DOUBLE)) AS t FROM supplier, range(200) r(n)), w AS (SELECT s_suppkey, bits, 2000.0::DOUBLE AS fs, n, t, (round_even(CAST((greatest(-1, least(1, t / s)) + 1) / 2 * (2 ** bits - 1) AS DOUBLE), 0) / (2 ** bits - 1) * 2 - 1) * s AS x FROM (SELECT *, max(abs(t)) OVER (PARTITION BY s_suppkey) AS s FROM s)), e AS (SELECT s_suppkey, bits, avg((t - x) * (t - x)) AS mse FROM w GROUP BY s_suppkey, bits), {mag_sql('s_suppkey')} SELECT s_suppkey, CAST(bits AS INTEGER) AS bits, k * fs / 200 AS peak_hz, round(mse, 10) AS mse FROM pk JOIN e USING (s_suppkey) WHERE r = 1")
 def h08b(spark, d):
     """Every supplier's tone on few levels: its peak and the error of quantising."""
-    base = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (2 + F.col("s_suppkey") % 11).cast("int").alias("bits"), sweep_places())
-    base = base.select("s_suppkey", "bits", "n", sy.tone(F.col("n") / 2000.0, 100 + F.col("s_suppkey") % 700).alias("x"))
-    w = None
-    for bits in range(2, 13):
-        one = co.quantize(base.where(F.col("bits") == bits), bits, keys=("s_suppkey",)).select("s_suppkey", "bits", F.lit(2000.0).alias("fs"), "n", F.col("x").alias("t"), F.col("xq").alias("x"))
-        w = one if w is None else w.unionByName(one)
-    e = w.groupBy("s_suppkey", "bits").agg(F.round(F.avg((F.col("t") - F.col("x")) * (F.col("t") - F.col("x"))), 10).alias("mse"))
-    return swept(w.drop("t", "bits"), "s_suppkey", F.lit(450.0)).select("s_suppkey", "peak_hz").join(e, "s_suppkey")
+    bits = (2 + F.col("s_suppkey") % 11).cast("int")
+    t = F.transform(numbers_to(SWEEP_N), lambda n: sy.tone(n / 2000.0, 100 + F.col("s_suppkey") % 700))
+    w = suppliers(spark, d).distinct().select("s_suppkey", bits.alias("bits"), F.lit(2000.0).alias("fs"), t.alias("t"))
+    top = F.aggregate("t", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)), lambda s: F.transform("t", lambda v: co.on_levels(v, s, F.pow(F.lit(2.0), F.col("bits")) - 1)))
+    w = w.withColumn("win", top)
+    off = F.aggregate(F.zip_with("t", "win", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v) / SWEEP_N
+    w = w.select("s_suppkey", "bits", "fs", "win", F.round(off, 10).alias("mse"))
+    return swept(w, F.lit(450.0), "bits", "mse").select("s_suppkey", "peak_hz", "bits", "mse")
 
 
 @query("h09_recovery", f"""WITH s AS (SELECT s_suppkey AS v, 100 + s_suppkey % 300 AS hz, n, sin(2 * pi() * (100 + s_suppkey % 300) * n / 2000.0::DOUBLE) AS a FROM supplier, range(500) t(n)), y AS (SELECT v, n, a + 0.4 * sin(2 * pi() * 620 * n / 2000.0::DOUBLE) AS t FROM s), z AS (SELECT v, n, t + sqrt(avg(t * t) OVER (PARTITION BY v)) * power(10, -10 / 20.0::DOUBLE) * {normal_sql("concat('3:', CAST(v AS VARCHAR), ':', CAST(n AS VARCHAR))")} AS x FROM y),
@@ -281,14 +276,11 @@ SELECT v AS s_suppkey, (100 + v % 300) * 1.0::DOUBLE AS expected_hz, arg_max(k,
 def h09r(spark, d):
     """Every supplier's tone in a noisy sum of two, by Welch: the frequency found."""
     hz = 100 + F.col("s_suppkey") % 300
-    t = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).alias("n"))
-    c = F.col("n") / 2000.0
-    mix = t.select("s_suppkey", "n", (sy.tone(c, hz) + sy.tone(c, 620.0, 0.4)).alias("x"))
-    power = mix.groupBy("s_suppkey").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
-    mix = mix.join(power, "s_suppkey").select("s_suppkey", "n", (F.col("x") + F.col("rms") * 10 ** (-10 / 20) * gaussian(3, F.col("s_suppkey"), F.col("n"))).alias("x"))
-    win = mix.groupBy("s_suppkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("win"))
-    top = sp.peak(kernels.welch_table(win, 2000.0, 128, 64, "hann", ("s_suppkey",)), "psd", ("s_suppkey",), 9)
-    return top.select("s_suppkey", hz.cast("double").alias("expected_hz"), F.col("peak_hz").alias("estimated_hz"), F.abs(F.col("peak_hz") - hz).alias("error_hz"))
+    win = noisy(500, lambda n: sy.tone(n / 2000.0, hz) + sy.tone(n / 2000.0, 620.0, 0.4), 10.0)
+    w = suppliers(spark, d).distinct().select("s_suppkey", win.alias("win"))
+    psd = kernels.welch_arrays(w, 2000.0, 128, 64, "hann", ("s_suppkey",))
+    found = first_max(F.transform("psd", lambda v: F.round(v, 9))) * (2000.0 / 128)
+    return psd.select("s_suppkey", hz.cast("double").alias("expected_hz"), found.alias("estimated_hz"), F.abs(found - hz).alias("error_hz"))
 
 
 @query("h09_noisy_tone", f"WITH s AS (SELECT s_suppkey, n, sin(2 * pi() * 180 * n / 2000.0::DOUBLE) AS x FROM supplier, range(500) t(n)), y AS (SELECT s_suppkey, n, x + sqrt(avg(x * x) OVER (PARTITION BY s_suppkey)) * power(10, -5 / 20.0::DOUBLE) * {normal_sql("concat('3:', CAST(s_suppkey AS VARCHAR), ':', CAST(n AS VARCHAR))")} AS x FROM s) SELECT s_suppkey, round(avg(x * x), 6) AS power, round(max(abs(x)), 6) AS peak, count(*) AS samples FROM y GROUP BY s_suppkey")

@@ -12,7 +12,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["h09_noisy_tone"])
+@pytest.mark.parametrize("name", ["h09_noisy_tone", "h09_recovery", "h08_rate_sweep", "h08_snr_sweep", "h08_bit_sweep"])
 def test_suppliers_samples_are_joined_with_nothing(spark, small, name):
     """The samples of the suppliers' tones are made in their rows, by several tasks; the size of the suppliers' table made Spark broadcast them."""
     text = plan(QUERIES[name](spark, small))
