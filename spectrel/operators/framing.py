@@ -79,24 +79,22 @@ def sampled_windows(samples: DataFrame, size: int, hop: int, n_windows: int, key
     """One row a window of `size` samples: keys, keep, number, idx, start, stop, win; of every record's frames n_windows evenly spread ones, all if there
     are no more. Which frames are chosen follows from the record's length, so a sample goes to chosen frames only."""
     length = samples.groupBy(*keys).agg(F.count("*").alias("length_"), *[F.min(k).alias(k) for k in keep])
-    c = frame_count(F.col("length_"), size, hop)
-    step = (c - 1) / F.lit(max(1, n_windows - 1))
-    last = n_windows - 1
-
-    def number(i):
-        """The place of frame i among the chosen ones, null if it isn't."""
-        near = F.ceil(i / step)
-        at = F.coalesce(*[F.when((j >= 0) & (j < last) & (F.floor(j * step) == i), j) for j in (near - 1, near, near + 1)])
-        many = F.when(i == c - 1, F.lit(last)).otherwise(at) if n_windows > 1 else F.when(i == 0, F.lit(0))
-        return F.when(c <= n_windows, i).otherwise(many).cast("long")
+    length = length.withColumn("c_", frame_count(F.col("length_"), size, hop)).where("c_ > 0")
+    c, last = F.col("c_"), n_windows - 1
+    even = F.array(c - 1) if n_windows > 1 else F.array(F.lit(0).cast("long"))
+    if n_windows > 1:
+        even = F.concat(F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda j: F.floor(j * ((c - 1) / F.lit(last)))), even)
+    chosen = F.when(c > n_windows, even).otherwise(F.sequence(F.lit(0).cast("long"), c - 1))
+    length = length.select(*keys, *keep, "c_", chosen.alias("chosen_"))  # a row a record
 
     first = F.greatest(F.lit(0), F.ceil((F.col("n") - size + 1) / F.lit(hop)))
     end = F.least(F.floor(F.col("n") / F.lit(hop)), c - 1)
     frames = F.when(first <= end, F.sequence(first.cast("long"), F.greatest(first, end).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     plain = [k for k in samples.columns if k not in keep]
-    placed = samples.select(*plain).join(length, list(keys)).select(*plain, *keep, "length_", F.explode(frames).alias("idx")).withColumn("number", number(F.col("idx"))).where("number is not null")
-    win = F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("win")
-    out = placed.groupBy(*keys, "number", "idx").agg(*[F.min(k).alias(k) for k in keep], win)
+    placed = samples.select(*plain).join(length, list(keys)).select(*plain, *keep, "chosen_", F.explode(frames).alias("idx"))
+    placed = placed.select(*plain, *keep, "idx", (F.array_position("chosen_", F.col("idx")) - 1).alias("number")).where("number >= 0")
+    win = F.sort_array(F.collect_list(F.struct("n", "x"))).alias("win")
+    out = placed.groupBy(*keys, "number", "idx").agg(*[F.min(k).alias(k) for k in keep], win).withColumn("win", F.col("win.x"))
     return out.select(*keys, *keep, "number", "idx", (F.col("idx") * hop).alias("start"), (F.col("idx") * hop + size).alias("stop"), "win")
 
 
@@ -108,8 +106,8 @@ def blocks(samples: DataFrame, size: int, before: int = 0, keys: Sequence[str] =
     own = F.least(F.floor(F.col("n") / F.lit(size)), F.col("blocks") - 1)
     reach = F.least(F.floor((F.col("n") + before) / F.lit(size)), F.col("blocks") - 1)
     placed = samples.select(*keys, "n", "x").join(length.select(*keys, n.alias("blocks")), list(keys)).select(*keys, "n", "x", "blocks", F.explode(F.sequence(own.cast("long"), reach.cast("long"))).alias("block"))
-    rows = placed.groupBy(*keys, "block", "blocks").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("s"))
-    return rows.select(*keys, "block", "blocks", F.col("s")[0]["n"].alias("start"), F.transform("s", lambda v: v["x"]).alias("x"))
+    rows = placed.groupBy(*keys, "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("s"))
+    return rows.select(*keys, "block", "blocks", F.col("s")[0]["n"].alias("start"), F.col("s.x").alias("x"))
 
 
 def chunks(frames: DataFrame, parts: int, keys: Sequence[str] = RECORD) -> DataFrame:

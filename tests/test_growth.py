@@ -17,3 +17,23 @@ def test_suppliers_samples_are_joined_with_nothing(spark, small, name):
     """The samples of the suppliers' tones are made in their rows, by several tasks; the size of the suppliers' table made Spark broadcast them."""
     text = plan(QUERIES[name](spark, small))
     assert "Join" not in text and "Repartition" in text
+
+
+def test_chosen_windows_are_looked_up_in_the_record_row(spark):
+    """Which frames are chosen is found once a record, not by an expression of the length for every sample and frame."""
+    from pyspark.sql import functions as F
+
+    from spectrel.operators.framing import sampled_windows
+
+    lengths = [("a", 15), ("b", 16), ("c", 24), ("d", 72), ("e", 80), ("f", 1000), ("g", 1003)]
+    s = spark.createDataFrame(lengths, "group_id string, size long").select("group_id", F.lit("L").alias("part"), F.lit("x").alias("label"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("n")).withColumn("x", F.col("n").cast("double"))
+    for most in (1, 2, 7):
+        out = sampled_windows(s, 16, 8, most)
+        assert plan(out).count("ceil") <= 2  # of the sample's frames only
+        got = {(r.group_id, r.number, r.idx): r.win for r in out.collect()}
+        want = {}
+        for g, size in lengths:
+            c = (size - 16) // 8 + 1 if size >= 16 else 0
+            idx = list(range(c)) if c <= most else [0] if most == 1 else [int(j * ((c - 1) / (most - 1))) for j in range(most - 1)] + [c - 1]
+            want |= {(g, j, i): [float(i * 8 + m) for m in range(16)] for j, i in enumerate(idx)}
+        assert got == want
