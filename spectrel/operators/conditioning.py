@@ -26,6 +26,11 @@ def _scale(method: str, eps: float) -> tuple[Column, Column]:
     raise ValueError(f"unknown normalisation: {method}")
 
 
+def by_record(facts: DataFrame) -> DataFrame:
+    """facts (a row a record), to be joined to samples by a hash table of the records: the samples aren't sorted, so a task's memory doesn't grow with them."""
+    return facts.hint("shuffle_hash")
+
+
 def normalize(samples: DataFrame, method: str = "maxabs", keys: Sequence[str] = RECORD, eps: float = 1e-12) -> DataFrame:
     """samples with x normalised by record. The records' scales are aggregated map-side and joined back, so a long record needn't be sorted
     or held by one task."""
@@ -34,7 +39,7 @@ def normalize(samples: DataFrame, method: str = "maxabs", keys: Sequence[str] =
     if method == "none":
         return samples
     stats = samples.groupBy(*keys).agg(centre.alias("centre_"), scale.alias("scale_"))
-    return samples.join(stats, list(keys)).withColumn("x", (F.col("x") - F.col("centre_")) / F.col("scale_")).drop("centre_", "scale_")
+    return samples.join(by_record(stats), list(keys)).withColumn("x", (F.col("x") - F.col("centre_")) / F.col("scale_")).drop("centre_", "scale_")
 
 
 def preprocess(samples: DataFrame, normalization: str = "maxabs", remove_mean: bool = True, keys: Sequence[str] = RECORD, eps: float = 1e-12) -> DataFrame:
@@ -51,7 +56,7 @@ def preprocess(samples: DataFrame, normalization: str = "maxabs", remove_mean: b
     spread = {"none": F.lit(1.0), "maxabs": F.greatest(F.col("hi_") - F.col("mean_"), F.col("mean_") - F.col("lo_"), F.lit(eps)), "rms": F.greatest("sd_", F.lit(eps)), "zscore": F.greatest("sd_", F.lit(eps))}
     if normalization not in spread:
         raise ValueError(f"unknown normalisation: {normalization}")
-    return samples.join(stats, list(keys)).withColumn("x", (F.col("x") - F.col("mean_")) / spread[normalization]).drop("mean_", "lo_", "hi_", "sd_")
+    return samples.join(by_record(stats), list(keys)).withColumn("x", (F.col("x") - F.col("mean_")) / spread[normalization]).drop("mean_", "lo_", "hi_", "sd_")
 
 
 def renormalize_sets(samples: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
@@ -66,7 +71,7 @@ def quantize(samples: DataFrame, bits: int, full_scale: float | None = None, key
     steps = float(2**bits - 1)
     if full_scale is None:
         top = samples.groupBy(*keys).agg(F.max(F.abs(F.col("x"))).alias("scale_"))
-        samples = samples.join(top, list(keys)) if keys else samples.crossJoin(F.broadcast(samples.agg(F.max(F.abs(F.col("x"))).alias("scale_"))))
+        samples = samples.join(by_record(top), list(keys)) if keys else samples.crossJoin(F.broadcast(samples.agg(F.max(F.abs(F.col("x"))).alias("scale_"))))
     else:
         samples = samples.withColumn("scale_", F.lit(float(full_scale)))
     return samples.withColumn("xq", on_levels(F.col("x"), F.col("scale_"), steps)).drop("scale_")

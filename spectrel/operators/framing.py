@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrel.operators.conditioning import RECORD
+from spectrel.operators.conditioning import RECORD, by_record
 
 
 def frame_count(length: Column, size: int, hop: int) -> Column:
@@ -41,7 +41,7 @@ def framed(samples: DataFrame, size: int, hop: int | None = None, keys: Sequence
     first = F.greatest(F.lit(0), F.ceil((F.col("n") - size + 1) / F.lit(hop)))
     last = F.least(F.floor(F.col("n") / F.lit(hop)), frame_count(F.col("length_"), size, hop) - 1)
     j = F.when(first <= last, F.sequence(first.cast("long"), F.greatest(first, last).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    out = samples.join(length, list(keys)).select("*", F.explode(j).alias("idx"))
+    out = samples.join(by_record(length), list(keys)).select("*", F.explode(j).alias("idx"))
     return out.withColumn("m", F.col("n") - F.col("idx") * hop).drop("length_")
 
 
@@ -91,7 +91,7 @@ def sampled_windows(samples: DataFrame, size: int, hop: int, n_windows: int, key
     end = F.least(F.floor(F.col("n") / F.lit(hop)), c - 1)
     frames = F.when(first <= end, F.sequence(first.cast("long"), F.greatest(first, end).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     plain = [k for k in samples.columns if k not in keep]
-    placed = samples.select(*plain).join(length, list(keys)).select(*plain, *keep, "chosen_", F.explode(frames).alias("idx"))
+    placed = samples.select(*plain).join(by_record(length), list(keys)).select(*plain, *keep, "chosen_", F.explode(frames).alias("idx"))
     placed = placed.select(*plain, *keep, "idx", (F.array_position("chosen_", F.col("idx")) - 1).alias("number")).where("number >= 0")
     win = F.sort_array(F.collect_list(F.struct("n", "x"))).alias("win")
     out = placed.groupBy(*keys, "number", "idx").agg(*[F.min(k).alias(k) for k in keep], win).withColumn("win", F.col("win.x"))

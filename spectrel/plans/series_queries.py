@@ -186,7 +186,7 @@ def h07(spark, d):
     x = F.col("x")
     s = ship_series(spark, d).select(F.col("group_id").alias("g"), F.col("part").alias("p"), "n")
     span = s.groupBy("g", "p").agg((F.count("*") / 40e6).alias("span"))
-    axis = s.join(span, ["g", "p"]).withColumn("t", F.col("n") / 40e6)
+    axis = s.join(co.by_record(span), ["g", "p"]).withColumn("t", F.col("n") / 40e6)
     return sy.controls_over(axis, ["g", "p"]).groupBy("g", "p", "group_id", "part").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(x * x)), 6).alias("rms"), F.round(F.max(F.abs(x)), 6).alias("peak"))
 
 

@@ -37,3 +37,17 @@ def test_chosen_windows_are_looked_up_in_the_record_row(spark):
             idx = list(range(c)) if c <= most else [0] if most == 1 else [int(j * ((c - 1) / (most - 1))) for j in range(most - 1)] + [c - 1]
             want |= {(g, j, i): [float(i * 8 + m) for m in range(16)] for j, i in enumerate(idx)}
         assert got == want
+
+
+def test_numbering_by_more_tasks_gives_the_same_series(spark, small, monkeypatch):
+    """Tasks that number series follow from the table's lines; samples meet their records' facts by hash, unsorted."""
+    from spectrel.operators import conditioning as co
+    from spectrel.plans import fixtures
+
+    few = fixtures.ship_series(spark, small)
+    monkeypatch.setattr(fixtures, "LINES", 500)
+    many = fixtures.ship_series(spark, small)
+    assert "RepartitionByExpression" in plan(many) and "RepartitionByExpression" not in plan(few)
+    assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+    for out in (co.quantize(few, 8), co.preprocess(few), co.normalize(few)):
+        assert "shuffle_hash" in plan(out)
