@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import pandas as pd
@@ -10,12 +11,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectrel.functions.columns import finite_or, is_finite, mapped
-from spectrel.functions.tables import shared_folder, stored
+from spectrel.functions.tables import shared_folder, stored, written
 from spectrel.operators import conditioning as co
 from spectrel.operators import decision as de
 from spectrel.operators import filters as fi
 from spectrel.operators import learning as le
 from spectrel.operators import ranks, robust
+from spectrel.plans import fixtures
 from spectrel.plans.decision_queries import ACTIVITY, BIN, GROUP_CTES, REJECTION, SCORE_COLUMNS, THRESHOLD, binary, group_scores, top
 from spectrel.plans.fixtures import SHIP_SQL, USER_SQL, manifest as recordings, one_line_samples, series_user, ship_series, table
 from spectrel.plans.registry import query
@@ -477,8 +479,11 @@ def l_live(spark, d):
     """The suppliers' series as samples that arrive in three micro-batches: framed, scored by their RMS and decided by a stream with state; the last row of each step."""
     s = co.preprocess(ship_series(spark, d), "none").select("group_id", "part", "n", (F.col("x") / 20000).alias("x"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n")).alias("ts"))
     at = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
-    s.withColumn("turn", F.least(F.floor(F.col("n") / 100), F.lit(2)).cast("int")).repartition("turn").write.partitionBy("turn").parquet(f"{at}/samples")
-    files = spark.readStream.schema(s.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{at}/samples")
+    turns = written(s.withColumn("turn", F.least(F.floor(F.col("n") / 100), F.lit(2)).cast("int")), "turns")
+    count = max(1, math.ceil(turns.count() / fixtures.LINES))  # files of a micro-batch, written after those of the one before
+    for turn in range(3):
+        turns.where(F.col("turn") == turn).drop("turn").repartition(count).write.parquet(f"{at}/samples/turn={turn}")
+    files = spark.readStream.schema(s.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", count).parquet(f"{at}/samples")
     stream = live.live_decisions(live.live_scores(files, 16, 8, live.frame_rms, 4, 40, "1 day"), LIVE_THRESHOLD, LIVE_REJECTION)
     return rounded(live.last_rows(live.run_to_table(stream, f"{at}/rows", f"{at}/checkpoint")), 6, "score")
 

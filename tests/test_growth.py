@@ -51,3 +51,22 @@ def test_numbering_by_more_tasks_gives_the_same_series(spark, small, monkeypatch
     assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
     for out in (co.quantize(few, 8), co.preprocess(few), co.normalize(few)):
         assert "shuffle_hash" in plan(out)
+
+
+def test_live_samples_are_written_by_several_tasks(spark, small, monkeypatch):
+    """A micro-batch has as many files as its samples fill, and the stream's decisions don't depend on them."""
+    import duckdb
+
+    from spectrel.functions.tables import shared_folder
+    from spectrel.plans import fixtures
+    from spectrel.plans.registry import ORACLE
+
+    monkeypatch.setattr(fixtures, "LINES", 2000)
+    got = {(r.group_id, r.stop, r.score, r.visible, r.changed) for r in QUERIES["l_live_evolution"](spark, small).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{small}/lineitem.parquet'")
+    want = {(r[0], r[1], r[2], r[5], r[6]) for r in con.execute(ORACLE["l_live_evolution"]).fetchall()}
+    assert got == want and want
+    root = shared_folder(spark)
+    newest = max((p for p in __import__("pathlib").Path(root.removeprefix("file:")).glob("live-*/samples")), key=lambda p: p.stat().st_mtime)
+    assert len(list(newest.glob("turn=0/*.parquet"))) > 1
