@@ -19,7 +19,7 @@ from spectrel.operators import learning as le
 from spectrel.operators import ranks, robust
 from spectrel.plans import fixtures
 from spectrel.plans.decision_queries import ACTIVITY, BIN, GROUP_CTES, REJECTION, SCORE_COLUMNS, THRESHOLD, binary, group_scores, top
-from spectrel.plans.fixtures import SHIP_SQL, USER_SQL, manifest as recordings, one_line_samples, series_user, ship_series, table
+from spectrel.plans.fixtures import SHIP_SQL, USER_SQL, manifest as recordings, one_line_series, series_user, ship_series, table
 from spectrel.plans.registry import query
 from spectrel.plans.spectral_queries import FEATURE_CTES, features4, rounded
 from spectrel.sources import names as na
@@ -185,19 +185,15 @@ def a07(spark, d):
 
 @query("a07_one_line_files", f"WITH {SHIP_SQL} SELECT group_id, part, n, x FROM ser")
 def a07_files(spark, d):
-    """Series written as files of one line and read again by byte ranges, cut at commas; numbered by the counts of the ranges."""
-    at = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    sk.write_one_line(ship_series(spark, d), at)
-    return one_line_samples(spark, at).select("group_id", "part", "n", "x")
+    """Series written as files of one line and read again by byte ranges, cut at commas; numbered by the counts of the ranges and the index of the series."""
+    return one_line_series(spark, d).select("group_id", "part", "n", "x")
 
 
 @query("a08_one_line_files", f"WITH {SHIP_SQL} SELECT group_id, part, count(*) AS samples, CAST(sum(CAST(floor(x / 10) AS BIGINT)) AS BIGINT) AS total, CAST(sum(n * CAST(floor(x / 10) AS BIGINT)) AS BIGINT) AS moment FROM ser GROUP BY group_id, part")
 def a08_files(spark, d):
     """Strict integers with six zero decimals from files of one line: count, sum and first moment by record."""
-    at = f"{shared_folder(spark)}/strict-{uuid.uuid4().hex}"
     whole = F.concat(F.floor(F.col("x") / 10).cast("long").cast("string"), F.lit(".000000"))
-    sk.write_one_line(ship_series(spark, d), at, text=whole)
-    s = one_line_samples(spark, at, strict=True).withColumn("x", F.col("x").cast("long"))
+    s = one_line_series(spark, d, whole).withColumn("x", F.col("x").cast("long"))
     return s.groupBy("group_id", "part").agg(F.count("*").alias("samples"), F.sum("x").alias("total"), F.sum(F.col("n") * F.col("x")).alias("moment"))
 
 

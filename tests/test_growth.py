@@ -70,3 +70,40 @@ def test_live_samples_are_written_by_several_tasks(spark, small, monkeypatch):
     root = shared_folder(spark)
     newest = max((p for p in __import__("pathlib").Path(root.removeprefix("file:")).glob("live-*/samples")), key=lambda p: p.stat().st_mtime)
     assert len(list(newest.glob("turn=0/*.parquet"))) > 1
+
+
+@pytest.mark.parametrize("name", ["a07_one_line_files", "a08_one_line_files", "g13_one_line_features"])
+def test_files_of_one_line_follow_from_the_numbers(spark, small, monkeypatch, name):
+    """Series are written to as many files as their numbers fill, not to a file and a folder a record; pieces and ranges cut through records."""
+    from pathlib import Path
+
+    import duckdb
+
+    from spectrel.functions.tables import shared_folder
+    from spectrel.plans import fixtures
+    from spectrel.plans.registry import ORACLE
+    from spectrel.sources import longtext
+
+    monkeypatch.setattr(fixtures, "LINES", 2000)
+    monkeypatch.setattr(longtext, "PIECE", 100)
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(root.glob("*/**/*.txt"))
+    got = sorted(map(tuple, QUERIES[name](spark, small).collect()))
+    assert len(set(root.glob("*/**/*.txt")) - before) <= 4 < fixtures.manifest(spark, small).count()
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{small}/lineitem.parquet'")
+    assert got == sorted(con.execute(ORACLE[name]).fetchall()) and got
+
+
+def test_numbers_without_a_record_are_an_error(spark):
+    from spectrel.sources import longtext
+
+    blocks = spark.createDataFrame([(0, 0, [float(i) for i in range(7)]), (0, 7, [7.0, 8.0]), (1, 0, [9.0])], "file int, start long, x array<double>")
+    index = spark.createDataFrame([("a", 0, 0, 1), ("b", 0, 1, 0), ("c", 0, 1, 6), ("d", 0, 7, 2), ("e", 1, 0, 1)], "k string, file int, first long, size long")
+    for piece in (1, 2, 3, 5, 100):
+        got = sorted(map(tuple, longtext.record_samples(blocks, index, piece).collect()))
+        assert got == [("a", 0, 0.0), *[("c", i, 1.0 + i) for i in range(6)], ("d", 0, 7.0), ("d", 1, 8.0), ("e", 0, 9.0)]
+        with pytest.raises(Exception, match="differ in length"):
+            longtext.record_samples(blocks, index.where("k <> 'd'"), piece).collect()
+        with pytest.raises(Exception, match="differ in length"):
+            longtext.record_samples(blocks.where("file = 0"), index, piece).collect()
