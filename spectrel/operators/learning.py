@@ -262,6 +262,9 @@ def fit_together(dealt: DataFrame, columns: Sequence[str], specs: Sequence[Model
     # parameters of classes that a model has seen
     free = [np.repeat(np.ones(1, dtype=bool) if shape[m][0] == 1 else seen[m], shape[m][1]) for m in range(models)]
     penalty = [np.tile(np.r_[np.ones(shape[m][1] - 1), 1e-9], shape[m][0]) for m in range(models)]
+    # a softmax doesn't change if all its intercepts do alike, and at the optimum their sum is 0: a step in that direction would be rounding errors over 1e-9, which never end
+    alike = [np.tile(np.r_[np.zeros(shape[m][1] - 1), float(shape[m][0] > 1)], shape[m][0])[free[m]] for m in range(models)]
+    alike = [v / max(1.0, np.linalg.norm(v)) for v in alike]
 
     def sums(beta: list[np.ndarray], todo: list[int]):
         def of(x, y):
@@ -293,8 +296,9 @@ def fit_together(dealt: DataFrame, columns: Sequence[str], specs: Sequence[Model
                 best[m], loss[m] = tried[m], now
                 g = (got[m, 1 : 1 + d] + pull * best[m])[free[m]]
                 h = (got[m, 1 + d : 1 + d + d * d].reshape(d, d) + np.diag(pull))[np.ix_(free[m], free[m])]
+                v = alike[m]
                 step[m] = np.zeros(d)
-                step[m][free[m]] = -np.linalg.solve(h, g)
+                step[m][free[m]] = -np.linalg.solve(h + np.outer(v, v) * np.abs(h).max(), g - v * (v @ g))
             if np.abs(step[m]).max() >= tol * (1 + np.abs(best[m]).max()):
                 going.append(m)
         todo = going

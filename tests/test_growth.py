@@ -107,3 +107,46 @@ def test_numbers_without_a_record_are_an_error(spark):
             longtext.record_samples(blocks, index.where("k <> 'd'"), piece).collect()
         with pytest.raises(Exception, match="differ in length"):
             longtext.record_samples(blocks.where("file = 0"), index, piece).collect()
+
+
+def test_softmax_fits_end(spark, monkeypatch):
+    """A fit of three classes is done after some passes over its rows: rounding errors in the sum of the intercepts kept it going for all 50 steps."""
+    import numpy as np
+
+    from spectrel.operators import learning as le
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(60):
+        x = rng.standard_normal((200, 3)) * [1, 10, 0.1] + [g % 3, 5 * (g % 2), 1000]
+        rows += [(f"g{g}", "LH"[i % 2], "abc"[g % 3], *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "group_id string, part string, label string, u double, v double, w double")
+    passes, summed = [], le._summed
+    monkeypatch.setattr(le, "_summed", lambda *a: passes.append(1) or summed(*a))
+    fits = le.fit_final(df, ["u", "v", "w"], "label")
+    assert len(passes) <= 20
+    # the gradient of the loss as it is told: balanced classes, z-scores, L2 with C = 1
+    x, y = np.array([r[3:] for r in rows]), np.array(["abc".index(r[2]) for r in rows])
+    z = (x - x.mean(0)) / x.std(0)
+    prob = fits.probabilities(x, 0)
+    w = (len(y) / (3 * np.bincount(y)))[y]
+    off = ((prob - np.eye(3)[y]) * w[:, None]).T
+    assert np.abs(off @ z + fits.coef[0] * x.std(0)).max() < 1e-5 and np.abs(off.sum(1)).max() < 1e-5
+    assert abs((fits.intercept[0] + fits.coef[0] @ x.mean(0)).sum()) < 1e-6
+
+
+def test_calibration_makes_its_features_once(spark, monkeypatch):
+    """Which partitions there are is asked of stored features: it made all of them before, once more."""
+    from spectrel.operators import bundle as bu
+
+    class Stop(Exception):
+        pass
+
+    def asked(features):
+        assert "mapInArrow" not in plan(features) and "MapInArrow" not in plan(features)
+        raise Stop
+
+    monkeypatch.setattr(bu, "check_partitions", asked)
+    rows = spark.range(4).mapInArrow(lambda b: b, "id long")
+    with pytest.raises(Stop):
+        bu.calibrate(rows)
