@@ -113,13 +113,15 @@ def noise_grid(windows: DataFrame, levels: Sequence[int], repeats: int, seed: in
     """windows (arrays of 64 samples) once for each noise level and repetition, with noise of the part's RMS and of the repetition's seed; condition: level/repetition. Samples stay in
     their arrays."""
     spark = windows.sparkSession
-    grid = spark.createDataFrame([(v, r) for v in levels for r in range(repeats)], "snr int, rep int")
+    grid = spark.createDataFrame([(r,) for r in range(repeats)], "rep int")
     power = F.aggregate("win", F.lit(0.0), lambda a, v: a + v * v)
     rms = windows.groupBy("group_id", "part").agg(F.sqrt(F.sum(power) / F.sum(F.size("win"))).alias("rms"))
-    rows = windows.join(rms, ["group_id", "part"]).crossJoin(F.broadcast(grid))
+    rows = windows.join(rms, ["group_id", "part"]).crossJoin(F.broadcast(grid)).repartition("window_id", "rep")
     noise = lambda i: gaussian(F.col("rep") + seed, F.col("group_id"), F.col("part"), F.col("window_id") * 64 + i)
-    win = F.transform("win", lambda v, i: v + F.col("rms") * F.pow(F.lit(10.0), -F.col("snr") / 20) * noise(i))
-    return rows.withColumn("win", win).withColumn("condition", F.concat_ws("/", "snr", "rep")).drop("rms", "snr", "rep")
+    rows = rows.withColumn("noise", F.transform("win", lambda v, i: noise(i)))
+    rows = rows.withColumn("snr", F.explode(F.array(*[F.lit(v) for v in levels])))  # a repetition's noise is made once for all levels
+    win = F.zip_with("win", "noise", lambda v, e: v + F.col("rms") * F.pow(F.lit(10.0), -F.col("snr") / 20) * e)
+    return rows.withColumn("win", win).withColumn("condition", F.concat_ws("/", "snr", "rep")).drop("rms", "snr", "rep", "noise")
 
 
 NOISE_ID = "concat(CAST(11 + rep AS VARCHAR), ':', group_id, ':', part, ':', CAST(window_id * 64 + n AS VARCHAR))"

@@ -150,3 +150,19 @@ def test_calibration_makes_its_features_once(spark, monkeypatch):
     rows = spark.range(4).mapInArrow(lambda b: b, "id long")
     with pytest.raises(Stop):
         bu.calibrate(rows)
+
+
+def test_noise_is_made_once_for_all_levels(spark, small):
+    """A window's noise of a repetition is hashed before it is copied for the five levels; it was hashed for each of them."""
+    import duckdb
+
+    from spectrel.plans import audits as au
+    from spectrel.plans.registry import ORACLE
+
+    text = plan(au.noise_grid(au.emb_arrays(spark, small), au.LEVELS, au.REPEATS)).splitlines()
+    assert min(i for i, s in enumerate(text) if "md5" in s) > max(i for i, s in enumerate(text) if "Generate explode" in s)
+    got = {r[0]: r[1:] for r in map(tuple, QUERIES["j05_noise_sensitivity"](spark, small).collect())}
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{small}/embeddings.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(ORACLE["j05_noise_sensitivity"]).fetchall()}
+    assert got.keys() == want.keys() and all(a == pytest.approx(b, abs=1e-8) if a is not None and b is not None else a == b for k in got for a, b in zip(got[k], want[k], strict=True))
