@@ -21,7 +21,7 @@ from spectrel.operators import recordings as re
 from spectrel.operators import synth as sy
 from spectrel.operators.features import FeatureConfig, fold_bands
 from spectrel.plans.decision_queries import ACTIVITY, GROUP_CTES, GUARD, REJECTION, REP, SCORE_COLUMNS, THRESHOLD, METRICS, report_sql
-from spectrel.plans.fixtures import EMB_SQL, FS, SHIP_SQL, contents, emb_arrays, emb_windows, manifest, one_line_samples, planted, ship_series
+from spectrel.plans.fixtures import EMB_SQL, FS, SHIP_SQL, contents, emb_arrays, emb_windows, manifest, one_line_series, planted, ship_series
 from spectrel.plans.registry import query
 from spectrel.plans.series_queries import PRE, STARTS, frames_sql, hex_uniform, normal_sql
 from spectrel.plans.spectral_queries import FEATURE_CTES, FEATURES4, features4, rounded
@@ -239,10 +239,8 @@ def g13(spark, d):
 
 @query("g13_one_line_features", FILE_ROWS)
 def g13_files(spark, d):
-    """The same from files of one line on disk: read by byte ranges, a row a sample, so that no task holds a file."""
-    at = f"{shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
-    sk.write_one_line(ship_series(spark, d), at)
-    s = one_line_samples(spark, at).select(F.concat(F.lit("raw/"), F.substring("group_id", 3, 20), "part", F.lit(".csv")).alias("path"), "n", "x")
+    """The same from files of one line on disk: read by byte ranges, a row a sample, so that no task holds a file. A file holds as many recordings as fill it."""
+    s = one_line_series(spark, d).select(F.concat(F.lit("raw/"), F.substring("group_id", 3, 20), "part", F.lit(".csv")).alias("path"), "n", "x")
     out = re.file_features(manifest(spark, d), s, CONFIG)
     return rounded(out.select("window_id", "group_id", "part", "partition", *FEATURES4), 6, *FEATURES4)
 
