@@ -34,12 +34,18 @@ def whole_number(argument: AnalyzeArgument, name: str) -> int:
     return argument.value
 
 
+def places(row) -> tuple[int, int, list[int]]:
+    """Where a row has n, x and its other columns: found once a part, for a look-up by name searches the names."""
+    names = list(row.__fields__)
+    return names.index("n"), names.index("x"), [i for i, c in enumerate(names) if c not in SAMPLE]
+
+
 class Frames:
     """The samples of every full frame of `size` samples every `hop`: the table's other columns, idx, n, m (the place in the frame) and x. Samples come in order, from 0 without gaps;
     only a frame's samples are held."""
 
     def __init__(self):
-        self.held, self.idx = [], 0
+        self.held, self.idx, self.at = [], 0, None
 
     @staticmethod
     def analyze(table: AnalyzeArgument, size: AnalyzeArgument, hop: AnalyzeArgument) -> AnalyzeResult:
@@ -48,15 +54,18 @@ class Frames:
         return AnalyzeResult(T.StructType([*keys_of(table), *more]))
 
     def eval(self, row, size: int, hop: int) -> Iterator[tuple]:
-        if row["n"] < self.idx * hop:
+        if self.at is None:
+            self.at = places(row)
+        n, x, rest = self.at
+        start = self.idx * hop
+        if row[n] < start:
             return
         self.held.append(row)
         if len(self.held) == size:
-            start = self.idx * hop
             for m, r in enumerate(self.held):
-                if r["n"] != start + m:
+                if r[n] != start + m:
                     raise ValueError(f"sample {start + m} is missing or out of order")
-                yield (*[r[c] for c in r.__fields__ if c not in SAMPLE], self.idx, r["n"], m, float(r["x"]))
+                yield (*[r[i] for i in rest], self.idx, r[n], m, float(r[x]))
             self.idx += 1
             self.held = self.held[hop:] if hop < size else []
 
@@ -85,11 +94,12 @@ def perturbation(change: Callable[[np.ndarray, float], np.ndarray]) -> type:
             self.strength = float(strength)
 
         def terminate(self) -> Iterator[tuple]:
-            x = change(np.array([float(r["x"]) for r in self.rows]), self.strength)
+            n, at, rest = places(self.rows[0]) if self.rows else (0, 0, [])
+            x = change(np.array([float(r[at]) for r in self.rows]), self.strength)
             if len(x) != len(self.rows):
                 raise ValueError("a perturbation keeps the number of samples")
             for r, v in zip(self.rows, x.tolist(), strict=True):
-                yield (*[r[c] for c in r.__fields__ if c not in SAMPLE], r["n"], v)
+                yield (*[r[i] for i in rest], r[n], v)
 
     return Perturbed
 

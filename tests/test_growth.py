@@ -166,3 +166,23 @@ def test_noise_is_made_once_for_all_levels(spark, small):
     con.execute(f"create view embeddings as select * from '{small}/embeddings.parquet'")
     want = {r[0]: r[1:] for r in con.execute(ORACLE["j05_noise_sensitivity"]).fetchall()}
     assert got.keys() == want.keys() and all(a == pytest.approx(b, abs=1e-8) if a is not None and b is not None else a == b for k in got for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_table_functions_look_columns_up_once_a_part():
+    """Names of columns are searched once a part, not for every sample and column."""
+    from spectrel.functions import udtfs
+
+    class Placed(tuple):
+        __fields__ = ["part", "n", "label", "x"]
+
+        def __getitem__(self, i):
+            assert not isinstance(i, str)
+            return tuple.__getitem__(self, i)
+
+    rows = [Placed(("L", n, "a", n / 2)) for n in range(7)]
+    f = udtfs.Frames()
+    assert [t for r in rows for t in f.eval(r, 3, 2)] == [("L", "a", i, 2 * i + m, m, (2 * i + m) / 2) for i in range(3) for m in range(3)]
+    p = udtfs.perturbation(lambda x, k: x * k)()
+    for r in rows:
+        p.eval(r, 4)
+    assert list(p.terminate()) == [("L", "a", n, 2.0 * n) for n in range(7)]
