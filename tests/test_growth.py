@@ -186,3 +186,37 @@ def test_table_functions_look_columns_up_once_a_part():
     for r in rows:
         p.eval(r, 4)
     assert list(p.terminate()) == [("L", "a", n, 2.0 * n) for n in range(7)]
+
+
+@pytest.mark.parametrize("name", ["g03_record_fft"])
+def test_short_records_are_transformed_many_a_call_and_numbered_once(spark, small, name):
+    """Python was called for every block of a record; the samples were numbered for the lengths, for the transform and for that of odd lengths, and sorted in joins."""
+    text = plan(QUERIES[name](spark, small))
+    assert "MapInArrow" in text and "FlatMapGroups" not in text
+    assert "Window" not in text and "LeftSemi" not in text and "strategy=shuffle_hash" in text
+
+
+def test_whole_records_by_more_tasks(spark, monkeypatch):
+    """Tasks follow from the records' numbers; blocks that go over several of Python's batches, and samples in any order, give NumPy's transform."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from spectrel.operators import longfft as lf
+
+    rng = np.random.default_rng(14)
+    records = {f"g{i}": rng.standard_normal(n) for i, n in enumerate([7, 8, 33, 36, 37, 64, 97, 128, 36, 97])}
+    s = spark.createDataFrame([(g, "L", i, float(v)) for g, x in records.items() for i, v in enumerate(x)], "group_id string, part string, n long, x double").cache()
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(most)
+    monkeypatch.setattr(lf, "NUMBERS", 32)
+    try:
+        for rows, order in (("3", F.rand(1)), ("5", F.col("n")), ("10000", F.col("group_id"))):
+            spark.conf.set(most, rows)
+            out = lf.record_fft(s.orderBy(order), block=32, largest=16)
+            assert out.rdd.getNumPartitions() > 4
+            got = out.orderBy("group_id", "k").toPandas()
+            for g, x in records.items():
+                one = got[got.group_id == g]
+                assert one.k.tolist() == list(range(len(x))) and np.abs(one.re.to_numpy() + 1j * one.im.to_numpy() - np.fft.fft(x)).max() < 1e-9
+    finally:
+        spark.conf.set(most, was)
