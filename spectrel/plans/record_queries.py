@@ -34,9 +34,7 @@ def g03_record(spark, d):
 @query("g04_record_psd", f"{REC_SQL}, w AS (SELECT {G}, n, size, (x - mx) * (0.54::DOUBLE - 0.46 * cos(2 * pi() * n / size)) AS y FROM rc JOIN ln USING ({G})), {DFT_SQL} SELECT {G}, CAST(k AS BIGINT) AS k, round((CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END) * (re * re + im * im) / (64 * size * (0.54::DOUBLE * 0.54 + 0.46::DOUBLE * 0.46 / 2)), 6) AS psd FROM f WHERE size >= 8")
 def g04_record(spark, d):
     """Densities of whole records without their means, Hamming window; records of 8 samples or more."""
-    s = thousands(spark, d)
-    long = s.groupBy("group_id", "part").count().where("count >= 8")
-    return rounded(lf.record_spectrum(s.join(long, ["group_id", "part"], "left_semi"), FS, "hamming", "constant", True), 6, "psd").select("group_id", "part", "k", "psd")
+    return rounded(lf.record_spectrum(thousands(spark, d), FS, "hamming", "constant", True, least=8), 6, "psd").select("group_id", "part", "k", "psd")
 
 
 @query("g06_record_autocorrelation", f"{REC_SQL} SELECT a.group_id, a.part, a.n - b.n AS lag, round(sum((a.x - mx) * (b.x - mx)) / max(a.size), 6) + 0 AS r FROM rc a JOIN ln ON a.group_id = ln.group_id AND a.part = ln.part JOIN rc b ON a.group_id = b.group_id AND a.part = b.part AND a.n - b.n BETWEEN 0 AND 90 GROUP BY 1, 2, 3")

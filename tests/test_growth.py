@@ -188,7 +188,7 @@ def test_table_functions_look_columns_up_once_a_part():
     assert list(p.terminate()) == [("L", "a", n, 2.0 * n) for n in range(7)]
 
 
-@pytest.mark.parametrize("name", ["g03_record_fft"])
+@pytest.mark.parametrize("name", ["g03_record_fft", "g04_record_psd"])
 def test_short_records_are_transformed_many_a_call_and_numbered_once(spark, small, name):
     """Python was called for every block of a record; the samples were numbered for the lengths, for the transform and for that of odd lengths, and sorted in joins."""
     text = plan(QUERIES[name](spark, small))
@@ -220,3 +220,11 @@ def test_whole_records_by_more_tasks(spark, monkeypatch):
                 assert one.k.tolist() == list(range(len(x))) and np.abs(one.re.to_numpy() + 1j * one.im.to_numpy() - np.fft.fft(x)).max() < 1e-9
     finally:
         spark.conf.set(most, was)
+
+
+def test_records_too_short_are_left_out_by_their_row(spark):
+    from spectrel.operators import longfft as lf
+
+    s = spark.createDataFrame([(g, "L", i, float(i * i % 5)) for g, n in (("a", 7), ("b", 8), ("c", 9)) for i in range(n)], "group_id string, part string, n long, x double")
+    got = lf.record_spectrum(s, 64.0, "hamming", "constant", True, least=8)
+    assert {(r.group_id, r["count"]) for r in got.groupBy("group_id").count().collect()} == {("b", 5), ("c", 5)}
