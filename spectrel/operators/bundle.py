@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrel.functions.columns import require_columns
-from spectrel.functions.tables import stored
+from spectrel.functions.tables import stored, written
 from spectrel.operators import decision as de
 from spectrel.operators import learning as le
 from spectrel.operators import robust
@@ -66,13 +67,14 @@ def binary(classes: Sequence[str]) -> bool:
     return set(classes) == {de.TARGET, de.BACKGROUND}
 
 
-def decide_runs(long: DataFrame, keys: Sequence[str], is_binary) -> DataFrame:
-    """From group scores by class (keys, group_id, fold, label, class, score): score (of the target), threshold, prediction and margin. Where is_binary
+def decide_runs(scored: DataFrame, keys: Sequence[str], is_binary) -> DataFrame:
+    """From group scores (keys, group_id, fold, label, scores: an array of class, score): score (of the target), threshold, prediction and margin. Where is_binary
     holds, the target is predicted from the keys' best threshold on, else the best class; equal scores go to the first class."""
     keys = list(keys)
-    items = F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("n"), F.col("class").alias("c"))))
-    by = long.groupBy(*keys, "group_id", "fold", "label").agg(items.alias("s_"), F.round(F.max(F.when(F.col("class") == de.TARGET, F.col("score"))), 9).alias("score"), F.min("parts_used").alias("parts_used"))
-    by = stored(by.withColumn("binary", is_binary))
+    items = F.array_sort(F.transform("scores", lambda s: F.struct((-F.round(s["score"], 9)).alias("n"), s["class"].alias("c"))))
+    target = F.array_max(F.transform(F.filter("scores", lambda s: s["class"] == de.TARGET), lambda s: s["score"]))
+    by = scored.select(*keys, "group_id", "fold", "label", items.alias("s_"), F.round(target, 9).alias("score"), "parts_used")
+    by = written(by.withColumn("binary", is_binary), "scores")
     limits = de.choose_thresholds(by.where("binary"), keys, "score").select(*keys, "threshold")
     out = by.join(F.broadcast(limits), keys, "left")
     hit = F.when(F.col("score") >= F.col("threshold"), de.TARGET).otherwise(de.BACKGROUND)
@@ -94,20 +96,65 @@ def compare_bands(dev: DataFrame, bands: int, stages: Sequence[le.StageSpec] = l
     models fitted together."""
     wide, columns, places = band_variants(dev, bands, counts)
     groups = stored(dev.groupBy("group_id").agg(*[F.min(c).alias(c) for c in ("activity", "model", "mode")]))
+    decided, runs = compare_blocks(le.pack(wide, columns), groups, columns, places, 1, stages, splits, seed, counts)
+    return decided, runs, columns, places
+
+
+def compare_blocks(packed: DataFrame, groups: DataFrame, columns: Sequence[str], places: Mapping[int, tuple[int, ...]], tables: int = 1, stages: Sequence[le.StageSpec] = le.STAGES, splits: int = 5, seed: int = 42, counts: Sequence[int] = BAND_COUNTS) -> tuple[DataFrame, DataFrame]:
+    """(decided, runs) as compare_bands(), from blocks of features (le.pack), of one or several tables (t_) with the same groups: run = (table * numbers of bands + bands' place) * stages +
+    stage. All models of all tables are fitted together."""
     runs, classes = stage_runs(groups, stages, seed, splits, len(counts))
     runs = stored(runs)
     specs = [le.ModelSpec(classes[i], places[n]) for n in counts for i in range(len(stages))]
-    long = le.oof_long(wide, columns, runs, specs, splits)
+    scored = le.oof_scores(packed, columns, runs, specs, splits, tables)
     is_binary = F.pmod(F.col("run"), F.lit(len(stages))).isin([i for i in range(len(stages)) if binary(classes[i])])
-    return stored(decide_runs(long, ["run"], is_binary)), runs, columns, places
+    return stored(decide_runs(scored, ["run"], is_binary)), runs
 
 
-def comparison_of(decided: DataFrame, stages: int, counts: Sequence[int] = BAND_COUNTS) -> DataFrame:
-    """(band_count, mean, dispersion): over the stages, of the balanced accuracy and of its deviation between folds."""
+def variant_places(bands: int, counts: Sequence[int] = BAND_COUNTS) -> tuple[list[str], dict[int, tuple[int, ...]], np.ndarray]:
+    """(columns, places) of band_variants(), and the matrix that makes these columns of feature_columns(bands)."""
+    base = feature_columns(bands)[: -bands]
+    columns, places = list(base), {}
+    matrix = [np.eye(len(base) + bands)[: len(base)]]
+    for n in counts:
+        if bands % n:
+            raise ValueError("the number of bands is a multiple of the target")
+        places[n] = (*range(len(base)), *range(len(columns), len(columns) + n))
+        columns += [f"{c}_of_{n}" for c in feature_columns(n)[len(base) :]]
+        matrix.append(np.concatenate([np.zeros((n, len(base))), np.repeat(np.eye(n), bands // n, axis=1)], axis=1))
+    return columns, places, np.concatenate(matrix).T
+
+
+def comparison_by_table(decided: DataFrame, stages: int, counts: Sequence[int] = BAND_COUNTS) -> DataFrame:
+    """(table, band_count, mean, dispersion) of compare_blocks(): over the stages, of the balanced accuracy and of its deviation between folds."""
     whole = de.report(decided, "label", "prediction", ["run"]).select("run", "balanced_accuracy")
     each = whole.join(de.fold_dispersion(decided, "label", "prediction", ["run"]).select("run", "dispersion"), "run")
-    count = F.element_at(F.array(*[F.lit(n) for n in counts]), F.floor(F.col("run") / stages).cast("int") + 1)
-    return each.groupBy(count.alias("band_count")).agg(F.round(F.avg("balanced_accuracy"), 9).alias("mean"), F.round(F.avg("dispersion"), 9).alias("dispersion"))
+    place = F.floor(F.col("run") / stages).cast("int")
+    count = F.element_at(F.array(*[F.lit(n) for n in counts]), F.pmod(place, F.lit(len(counts))) + 1)
+    table = F.floor(place / len(counts)).cast("int")
+    return each.groupBy(table.alias("table"), count.alias("band_count")).agg(F.round(F.avg("balanced_accuracy"), 9).alias("mean"), F.round(F.avg("dispersion"), 9).alias("dispersion"))
+
+
+def comparison_of(decided: DataFrame, stages: int, counts: Sequence[int] = BAND_COUNTS) -> DataFrame:
+    """(band_count, mean, dispersion): over the stages, of the balanced accuracy and of its deviation between folds."""
+    return comparison_by_table(decided, stages, counts).drop("table")
+
+
+def compare_tables(packed: DataFrame, facts: DataFrame, tables: int, columns: Sequence[str], places: Mapping[int, tuple[int, ...]], stages: Sequence[le.StageSpec] = le.STAGES, splits: int = 5, seed: int = 42, counts: Sequence[int] = BAND_COUNTS) -> DataFrame:
+    """(table, band_count, mean, dispersion) of several tables of features (blocks of le.pack). facts: group_id, activity, model, mode. Where all tables have the same groups their models are
+    fitted together; else (recordings too short for some windows) a table's groups and folds are its own, and tables are fitted one by one."""
+    facts = facts.groupBy("group_id").agg(*[F.min(c).alias(c) for c in ("activity", "model", "mode")])
+    have = stored(packed.groupBy("group_id").agg(F.sort_array(F.collect_set("t_")).alias("in_")))
+    if have.where(F.size("in_") < tables).isEmpty():
+        decided, _ = compare_blocks(packed, stored(have.select("group_id").join(facts, "group_id")), columns, places, tables, stages, splits, seed, counts)
+        return comparison_by_table(decided, len(stages), counts)
+    out = None
+    for t in range(tables):
+        groups = stored(have.where(F.array_contains("in_", t)).select("group_id").join(facts, "group_id"))
+        decided, _ = compare_blocks(packed.where(F.col("t_") == t).withColumn("t_", F.lit(0)), groups, columns, places, 1, stages, splits, seed, counts)
+        one = comparison_by_table(decided, len(stages), counts).withColumn("table", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def calibrate(features: DataFrame, bands: int = 20, stages: Sequence[le.StageSpec] = le.STAGES, splits: int = 5, seed: int = 42) -> tuple[dict, DataFrame, DataFrame]:

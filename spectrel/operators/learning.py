@@ -27,6 +27,8 @@ from spectrel.operators.robust import assert_none, inconsistent
 
 #: Rows of a block of features.
 BLOCK_ROWS = 4096
+#: Rows whose products are made at once.
+CHUNK_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -183,27 +185,42 @@ def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of blocks with some thousand rows each."""
-    ends = np.cumsum(batch.column("n_").to_numpy())
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_ROWS, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
-def _summed(dealt: DataFrame, width: int, models: int, lengths: Sequence[int], sums) -> np.ndarray:
-    """The sums over all rows of sums(x, y), an array (models, values) for some blocks, of which a model has lengths[m] values: added up by task, then by model.
-    y, the rows' classes by model, is spread from the blocks' for a few thousand rows at a time."""
-    values = max(lengths)
+def _units(batch: pa.RecordBatch, width: int, families: Sequence[Sequence[int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(table, x, y) of a batch of blocks, some CHUNK_ROWS rows a unit; y: (models, rows), the rows' class by model. Blocks whose rows are of the same class in every family of models
+    (models of the same classes, as those of a cross-validation's folds) are taken together, so that a unit concerns few models or all of its rows."""
+    tables, models = batch.column("t_").to_numpy(), sum(map(len, families))
+    for t in np.unique(tables):
+        own = np.flatnonzero(tables == t)
+        b = batch if len(own) == batch.num_rows else batch.take(pa.array(own))
+        x, y, n = _matrix(b, "x_", width), _matrix(b, "y_", models), b.column("n_").to_numpy().astype(np.int64)
+        first = np.cumsum(n) - n
+        _, of = np.unique(np.stack([y[:, list(f)].max(1) for f in families], axis=1), axis=0, return_inverse=True)
+        order = np.argsort(of.reshape(-1), kind="stable")
+        size = n[order]
+        row = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[order], size)
+        block = np.repeat(order, size)
+        ends = np.r_[0, np.cumsum(np.bincount(of.reshape(-1), weights=n).astype(np.int64))]
+        for start, end in zip(ends[:-1], ends[1:], strict=True):
+            for i in range(start, end, CHUNK_ROWS):
+                some = slice(i, min(i + CHUNK_ROWS, end))
+                yield t, x[row[some]], np.ascontiguousarray(y[block[some]].T)
+
+
+def _summed(dealt: DataFrame, width: int, families: Sequence[Sequence[int]], todo: Sequence[int], lengths: Sequence[int], sums) -> dict[int, np.ndarray]:
+    """What sums(table, x, y, out) adds up over all units, by model (table * models + place) of todo, an array of lengths[place] each: by task, then by model. sums adds to
+    out[place]."""
+    wanted, models = set(todo), len(lengths)
 
     def run(batches):
-        total = np.zeros((models, values))
-        for whole in batches:
-            for b in _pieces(whole):
-                total += sums(_matrix(b, "x_", width), np.repeat(_matrix(b, "y_", models), b.column("n_").to_numpy(), axis=0))
-        yield pa.RecordBatch.from_pydict({"m": np.arange(models, dtype=np.int32), "v": pa.array([total[m, : lengths[m]].tobytes() for m in range(models)], pa.binary())})
+        total: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for t, x, y in _units(b, width, families):
+                if t not in total:
+                    total[t] = [np.zeros(v) for v in lengths]
+                sums(t, x, y, total[t])
+        for t, out in total.items():
+            own = [m for m in range(models) if t * models + m in wanted]
+            yield pa.RecordBatch.from_pydict({"m": pa.array([t * models + m for m in own], pa.int32()), "v": pa.array([out[m].tobytes() for m in own], pa.binary())})
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -213,89 +230,196 @@ def _summed(dealt: DataFrame, width: int, models: int, lengths: Sequence[int], s
                 total[m] = total[m] + one if m in total else one
         yield pa.RecordBatch.from_pydict({"m": pa.array(list(total), pa.int32()), "v": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
-    got = dealt.select("n_", "x_", "y_").mapInArrow(run, "m int, v binary").repartition("m").mapInArrow(add, "m int, v binary").toArrow()
-    out = np.zeros((models, values))
+    got = dealt.select("t_", "n_", "x_", "y_").mapInArrow(run, "m int, v binary").repartition("m").mapInArrow(add, "m int, v binary").toArrow()
+    out = {m: np.zeros(lengths[m % models]) for m in todo}
     for m, v in zip(got.column("m").to_pylist(), got.column("v").to_pylist(), strict=True):
-        out[m, : lengths[m]] = np.frombuffer(v)
+        out[m] = np.frombuffer(v)
     return out
 
 
-def _curves(z1: np.ndarray, c: np.ndarray, w: np.ndarray, beta: np.ndarray, seen: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(loss, gradient, second derivatives) of weighted rows; beta: (1 or classes, features and intercept)."""
-    rows, k = len(beta), len(seen)
-    prob = _probabilities(z1 @ beta.T, seen)
-    loss = -(w * np.log(np.maximum(prob[np.arange(len(c)), c], 1e-300))).sum()
-    target = np.eye(k)[c]
-    if rows == 1:
-        prob, target = prob[:, 1:], target[:, 1:]
-    h = np.empty((rows, beta.shape[1], rows, beta.shape[1]))
-    for u in range(rows):
-        for v in range(u, rows):
-            curve = w * (prob[:, u] * (1 - prob[:, u]) if u == v else -prob[:, u] * prob[:, v])
-            h[u, :, v, :] = z1.T @ (z1 * curve[:, None])
-            h[v, :, u, :] = h[u, :, v, :].T
-    return loss, ((prob - target) * w[:, None]).T @ z1, h
+def _products(zt: np.ndarray) -> np.ndarray:
+    """The products of any two rows of zt, as np.triu_indices orders them."""
+    d, n = zt.shape
+    out, at = np.empty((d * (d + 1) // 2, n)), 0
+    for i in range(d):
+        np.multiply(zt[i:], zt[i], out=out[at : at + d - i])
+        at += d - i
+    return out
 
 
-def fit_together(dealt: DataFrame, columns: Sequence[str], specs: Sequence[ModelSpec], steps: int = 50, tol: float = 1e-9) -> Fits:
+def _curves(zt: np.ndarray, c: np.ndarray, w: np.ndarray, beta: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(loss by model, gradient, curves) of models with as many classes. zt: (features and 1, rows); c: (models, rows), the rows' class, -1 where a row doesn't
+    train the model; w, seen: (models, classes); beta: (models, 1 or classes, features and 1). curves: w * p_u * p_v of a row for all pairs u < v of classes: what the
+    second derivatives are sums of."""
+    models, rows, d = beta.shape
+    score = (beta.reshape(-1, d) @ zt).reshape(models, rows, -1)
+    if rows == 1:
+        one = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+        prob = np.concatenate([1 - one, one], axis=1)
+    else:
+        if not seen.all():
+            score[~seen] = -np.inf
+        score -= score.max(axis=1, keepdims=True)
+        prob = np.exp(score, out=score)
+        prob /= prob.sum(axis=1, keepdims=True)
+    hit, i, most = c >= 0, np.arange(models), c.max(axis=1)
+    same = bool((hit & (c != most[:, None])).sum() == 0)  # a model's rows are of one class
+    if same:
+        weight, own = hit * w[i, most][:, None], prob[i, most]
+    else:
+        some = np.maximum(c, 0)
+        weight, own = np.where(hit, np.take_along_axis(w, some, axis=1), 0.0), np.take_along_axis(prob, some[:, None], axis=1)[:, 0]
+    loss = -(weight * np.log(np.maximum(own, 1e-300))).sum(axis=1)
+    weighted = prob * weight[:, None]
+    pairs = list(zip(*np.triu_indices(prob.shape[1], 1), strict=True))
+    curves = np.empty((models, len(pairs), zt.shape[1]))
+    for a, (u, v) in enumerate(pairs):
+        np.multiply(weighted[:, u], prob[:, v], out=curves[:, a])
+    if same:
+        weighted[i, most] -= weight
+    else:
+        np.put_along_axis(weighted, some[:, None], (np.take_along_axis(weighted, some[:, None], axis=1)[:, 0] - weight)[:, None], axis=1)
+    return loss, weighted[:, -rows:] @ zt.T, curves
+
+
+def fit_together(dealt: DataFrame, columns: Sequence[str], specs: Sequence[ModelSpec], steps: int = 50, tol: float = 1e-9, tables: int = 1) -> Fits:
     """Logistic regressions (two classes) or softmax regressions on the z-scores of a model's own rows, L2 with C = 1 and no penalty of the intercept,
     classes weighted to balance, by damped Newton steps.
 
-    dealt: blocks of deal(); y_ has by model the number of the class of the block's rows, -1 where they don't train the model."""
+    dealt: blocks of deal(); y_ has by model the number of the class of the block's rows, -1 where they don't train the model. tables: how many tables of features (t_) there are, each with
+    models of these specs; model table * models + place. Models with the same features share their z-scores, in the table's scale, and the products of two features: a
+    pass multiplies those by the curves of all such models at once. A model's own scale is put in afterwards."""
     p, models = len(columns), len(specs)
+    every = range(tables * models)
     kinds = [len(s.classes) for s in specs]
     most = max(kinds)
     use = [np.array(s.features if s.features is not None else range(p), dtype=int) for s in specs]
-    first = _summed(dealt, p, models, [most + p] * models, lambda x, y: np.concatenate([np.stack([(y == c).sum(0) for c in range(most)], axis=1), (y >= 0).T.astype(float) @ x], axis=1))
+
+    families = [[m for m in range(models) if specs[m].classes == c] for c in dict.fromkeys(s.classes for s in specs)]
+
+    def counted(t, x, y, out):
+        on = y >= 0
+        s1, s2 = on.astype(float) @ x, on.astype(float) @ (x * x)
+        for m in np.flatnonzero(on.any(1)):
+            out[m][:most] += np.bincount(y[m][on[m]], minlength=most)
+            out[m][most : most + p] += s1[m]
+            out[m][most + p :] += s2[m]
+
+    got = _summed(dealt, p, families, every, [most + 2 * p] * models, counted)
+    first = np.array([got[m] for m in every])
     n = first[:, :most].sum(1)
     if ((first[:, :most] > 0).sum(1) < 2).any():
         raise ValueError("a model has fewer than two classes to train on")
-    centre = first[:, most:] / n[:, None]
-    spread = _summed(dealt, p, models, [p] * models, lambda x, y: np.stack([((x[y[:, m] >= 0] - centre[m]) ** 2).sum(0) for m in range(models)]))
-    scale = np.sqrt(spread / n[:, None])
-    scale[scale <= 1e-12] = 1.0
-    seen = [first[m, : kinds[m]] > 0 for m in range(models)]
-    weight = [np.where(seen[m], n[m] / (seen[m].sum() * np.maximum(first[m, : kinds[m]], 1)), 0.0) for m in range(models)]
-    shape = [(1 if kinds[m] == 2 else kinds[m], len(use[m]) + 1) for m in range(models)]
-    size = [r * c for r, c in shape]
-    lengths = [1 + d + d * d for d in size]
+    centre = first[:, most : most + p] / n[:, None]
+    # a table's common centre and scale: any will do that keep its numbers in range
+    of_table = lambda v: v.reshape(tables, models, -1).sum(1)
+    mid = of_table(first[:, most : most + p]) / of_table(n)
+    about = of_table(first[:, most + p :]) / of_table(n) - mid * mid
+    wide = np.where(about > 1e-9 * mid * mid, np.sqrt(np.maximum(about, 0)), np.where(mid != 0, np.abs(mid), 1.0))
+    wide = np.where(wide > 0, wide, 1.0)
+    seen = [first[m, : kinds[m % models]] > 0 for m in every]
+    weight = [np.where(seen[m], n[m] / (seen[m].sum() * np.maximum(first[m, : kinds[m % models]], 1)), 0.0) for m in every]
+    shape = [(1 if k == 2 else k, len(u) + 1) for k, u in zip(kinds, use, strict=True)]
+    pairs = [k * (k - 1) // 2 for k in kinds]
+    lengths = [1 + r * d + q * (d * (d + 1) // 2) for (r, d), q in zip(shape, pairs, strict=True)]
     # parameters of classes that a model has seen
-    free = [np.repeat(np.ones(1, dtype=bool) if shape[m][0] == 1 else seen[m], shape[m][1]) for m in range(models)]
-    penalty = [np.tile(np.r_[np.ones(shape[m][1] - 1), 1e-9], shape[m][0]) for m in range(models)]
+    free = [np.repeat(np.ones(1, dtype=bool) if shape[m % models][0] == 1 else seen[m], shape[m % models][1]) for m in every]
+    penalty = [np.tile(np.r_[np.ones(d - 1), 1e-9], r) for r, d in shape]
     # a softmax doesn't change if all its intercepts do alike, and at the optimum their sum is 0: a step in that direction would be rounding errors over 1e-9, which never end
-    alike = [np.tile(np.r_[np.zeros(shape[m][1] - 1), float(shape[m][0] > 1)], shape[m][0])[free[m]] for m in range(models)]
+    alike = [np.tile(np.r_[np.zeros(shape[m % models][1] - 1), float(shape[m % models][0] > 1)], shape[m % models][0])[free[m]] for m in every]
     alike = [v / max(1.0, np.linalg.norm(v)) for v in alike]
 
-    def sums(beta: list[np.ndarray], todo: list[int]):
-        def of(x, y):
-            out = np.zeros((models, max(lengths)))
-            for m in todo:
-                i = np.flatnonzero(y[:, m] >= 0)
-                if len(i):
-                    c, d = y[i, m], size[m]
-                    z1 = np.c_[(x[np.ix_(i, use[m])] - centre[m][use[m]]) / scale[m][use[m]], np.ones(len(i))]
-                    loss, g, h = _curves(z1, c, weight[m][c], beta[m].reshape(shape[m]), seen[m])
-                    out[m, 0], out[m, 1 : 1 + d], out[m, 1 + d : 1 + d + d * d] = loss, g.reshape(-1), h.reshape(-1)
-            return out
+    def sums(beta: dict[int, np.ndarray], spread: bool):
+        """Sums of a Newton step; with spread those of the squared distances from a model's own centre, after the others."""
+        plan: dict[int, dict] = {}
+        for g in beta:
+            t, m = divmod(g, models)
+            plan.setdefault(t, {}).setdefault(tuple(use[m]), {}).setdefault(kinds[m], []).append(m)
+
+        def off(t, x, y, out):
+            alike: dict[bytes, list[int]] = {}
+            for m in np.flatnonzero((y >= 0).any(1)):
+                alike.setdefault((y[m] >= 0).tobytes(), []).append(m)
+            for ms in alike.values():
+                own = x[y[ms[0]] >= 0]
+                mean = own.mean(0)
+                around = ((own - mean) ** 2).sum(0)
+                for m in ms:
+                    out[m][lengths[m] :] += around + len(own) * (mean - centre[t * models + m]) ** 2
+
+        def of(t, x, y, out):
+            if spread:
+                off(t, x, y, out)
+            on = (y >= 0).any(1)
+            z = np.ones((p + 1, len(x)))
+            z[:-1] = ((x - mid[t]) / wide[t]).T
+            for features, by_kind in plan.get(t, {}).items():
+                found, curves = [], []
+                zt = z[[*features, p]]
+                for ms in by_kind.values():
+                    ms = [m for m in ms if on[m]]
+                    if ms:
+                        g = [t * models + m for m in ms]
+                        loss, grad, curve = _curves(zt, y[ms], np.array([weight[m] for m in g]), np.array([beta[m] for m in g]), np.array([seen[m] for m in g]))
+                        found.append((ms, loss, grad.reshape(len(ms), -1), curve.shape[1]))
+                        curves.append(curve.reshape(-1, curve.shape[-1]))
+                if not found:
+                    continue
+                h, at = np.concatenate(curves) @ _products(zt).T, 0
+                for ms, loss, grad, q in found:
+                    for i, m in enumerate(ms):
+                        d = grad.shape[1]
+                        out[m][0] += loss[i]
+                        out[m][1 : 1 + d] += grad[i]
+                        out[m][1 + d : lengths[m]] += h[at : at + q].reshape(-1)
+                        at += q
 
         return of
 
-    best, step, loss = [np.zeros(d) for d in size], [np.zeros(d) for d in size], np.full(models, np.inf)
-    todo = list(range(models))
-    for _ in range(steps):
+    def curvature(m: int, v: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """The second derivatives of a model, in its own scale, from the sums by pairs of classes."""
+        (r, d), k = shape[m], kinds[m]
+        i, j = np.triu_indices(d)
+        one = np.empty((pairs[m], d, d))
+        one[:, i, j] = one[:, j, i] = v.reshape(pairs[m], -1)
+        one = to @ one @ to.T
+        if r == 1:
+            return one[0]
+        h = np.zeros((r, d, r, d))
+        for a, (u, w) in enumerate(zip(*np.triu_indices(k, 1), strict=True)):
+            h[u, :, u, :] += one[a]
+            h[w, :, w, :] += one[a]
+            h[u, :, w, :] -= one[a]
+            h[w, :, u, :] -= one[a]
+        return h.reshape(r * d, r * d)
+
+    best = [np.zeros(shape[m % models][0] * shape[m % models][1]) for m in every]
+    step, loss, todo = [np.zeros_like(b) for b in best], np.full(len(best), np.inf), list(every)
+    scale, to = np.ones((len(best), p)), [np.eye(shape[m % models][1]) for m in every]
+    for turn in range(steps):
         if not todo:
             break
-        tried = [b + s for b, s in zip(best, step, strict=True)]
-        got, going = _summed(dealt, p, models, lengths, sums(tried, todo)), []
+        tried = {m: best[m] + step[m] for m in todo}
+        # scores of z-scores as scores of the table's numbers
+        beta = {m: tried[m].reshape(shape[m % models]) @ to[m] for m in todo}
+        got, going = _summed(dealt, p, families, todo, [v + p * (turn == 0) for v in lengths], sums(beta, turn == 0)), []
+        if turn == 0:
+            scale = np.sqrt(np.array([got[m][lengths[m % models] :] for m in every]) / n[:, None])
+            scale[scale <= 1e-12] = 1.0
+            for m in every:
+                t, u = m // models, use[m % models]
+                to[m][range(len(u)), range(len(u))] = wide[t, u] / scale[m, u]
+                to[m][:-1, -1] = (mid[t, u] - centre[m, u]) / scale[m, u]
         for m in todo:
-            d, pull = size[m], penalty[m]
-            now = got[m, 0] + 0.5 * (pull * tried[m] * tried[m]).sum()
+            (r, c), pull = shape[m % models], penalty[m % models]
+            d = r * c
+            now = got[m][0] + 0.5 * (pull * tried[m] * tried[m]).sum()
             if now > loss[m] + 1e-9 * abs(loss[m]):
                 step[m] = step[m] / 2
             else:
                 best[m], loss[m] = tried[m], now
-                g = (got[m, 1 : 1 + d] + pull * best[m])[free[m]]
-                h = (got[m, 1 + d : 1 + d + d * d].reshape(d, d) + np.diag(pull))[np.ix_(free[m], free[m])]
+                g = ((got[m][1 : 1 + d].reshape(r, c) @ to[m].T).reshape(-1) + pull * best[m])[free[m]]
+                h = (curvature(m % models, got[m][1 + d : lengths[m % models]], to[m]) + np.diag(pull))[np.ix_(free[m], free[m])]
                 v = alike[m]
                 step[m] = np.zeros(d)
                 step[m][free[m]] = -np.linalg.solve(h + np.outer(v, v) * np.abs(h).max(), g - v * (v @ g))
@@ -303,67 +427,108 @@ def fit_together(dealt: DataFrame, columns: Sequence[str], specs: Sequence[Model
                 going.append(m)
         todo = going
     coef, intercept = [], []
-    for m in range(models):
-        b = best[m].reshape(shape[m])
-        own = b[:, :-1] / scale[m][use[m]]
+    for m in every:
+        b, u = best[m].reshape(shape[m % models]), use[m % models]
+        own = b[:, :-1] / scale[m][u]
         whole = np.zeros((len(b), p))
-        whole[:, use[m]] = own
+        whole[:, u] = own
         coef.append(whole)
-        intercept.append(b[:, -1] - own @ centre[m][use[m]])
-    return Fits(list(columns), list(specs), coef, intercept, seen)
+        intercept.append(b[:, -1] - own @ centre[m][u])
+    return Fits(list(columns), list(specs) * tables, coef, intercept, seen)
 
 
 def class_names(rows: DataFrame, label: str) -> list[str]:
     return sorted(r[0] for r in rows.select(label).distinct().collect())  # a row a class
 
 
-def deal(rows: DataFrame, columns: Sequence[str], groups: DataFrame) -> DataFrame:
-    """The rows' features in blocks of some thousand rows of one part, with what their group is used for (groups: group_id, y_, tests_), stored:
-    group_id, part, blocks_ (of the part), n_ (rows), x_ (n_ * columns numbers), y_, tests_.
-
-    What a group is used for is held once a block, not once a row. A group's rows are dealt to as many blocks as they fill, so that a group of very many rows
-    is nobody's alone."""
+def pack(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows' features in blocks of some thousand rows of one part: t_ (the table, 0), group_id, part, blocks_ (of the part), n_ (rows), x_ (n_ * columns numbers).
+    A group's rows are dealt to as many blocks as they fill, so that a group of very many rows is nobody's alone."""
     require_columns(rows, ["group_id", "part", *columns])
     size = rows.groupBy("group_id", "part").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks_"))
     x = F.array(*[F.col(c).cast("double") for c in columns])
     every = F.xxhash64(*[F.col(f.name) for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
     slim = rows.select("group_id", "part", x.alias("x_"), every.alias("h_")).join(size, ["group_id", "part"])
     packed = slim.groupBy("group_id", "part", "blocks_", F.pmod(F.col("h_"), F.col("blocks_")).alias("b_")).agg(F.count("*").cast("int").alias("n_"), F.flatten(F.collect_list("x_")).alias("x_"))
+    return packed.drop("b_").withColumn("t_", F.lit(0))
+
+
+def deal(rows: DataFrame, columns: Sequence[str], groups: DataFrame) -> DataFrame:
+    """The rows' features in blocks (pack), with what their group is used for (groups: group_id, y_, tests_), stored.
+
+    What a group is used for is held once a block, not once a row."""
+    return deal_blocks(pack(rows, columns), groups)
+
+
+def deal_blocks(packed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Blocks of pack() with y_ and tests_ of their group, stored, those that are used alike side by side."""
     uses = groups.select("group_id", F.col("y_").cast("array<tinyint>").alias("y_"), "tests_")
-    return written(packed.drop("b_").join(uses, "group_id"), "blocks")
+    return written(packed.join(uses.hint("shuffle_hash"), "group_id").sortWithinPartitions("t_", "y_"), "blocks")
+
+
+def scored_groups(dealt: DataFrame, fits: Fits, tables: int = 1, runs: int = 1) -> DataFrame:
+    """(run, group_id, label, fold, scores, parts_used): the group scores (mean of its parts' medians; an array of class, score) of every run that tests the group. tests_
+    names runs, models and folds, and the label of the run; of several tables those of table t are the runs from t * runs on.
+
+    A part in one block has its medians there. Only for parts of more blocks the rows' scores are shuffled. Blocks of as many rows are scored by a model together."""
+    p, models = len(fits.columns), len(fits.specs) // tables
+    names = ["t_", "group_id", "part", "tests_", "s_"]
+    kinds = np.array([len(s.classes) for s in fits.specs])
+
+    def nested(values: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> pa.ListArray:
+        ends = lambda v: pa.array(v, pa.int32())
+        return pa.ListArray.from_arrays(ends(outer), pa.ListArray.from_arrays(ends(np.r_[0, np.cumsum(inner)]), pa.array(values)))
+
+    def medians(batches):
+        for b in batches:
+            x, n = _matrix(b, "x_", p), b.column("n_").to_numpy().astype(np.int64)
+            first, tests = np.cumsum(n) - n, b.column("tests_")
+            at = tests.offsets.to_numpy().astype(np.int64)
+            block = np.repeat(np.arange(b.num_rows), np.diff(at))
+            model = b.column("t_").to_numpy()[block] * models + tests.values.field("model").to_numpy()[at[0] : at[-1]]
+            many = kinds[model]
+            place, values = np.cumsum(many) - many, np.empty(many.sum())
+            order = np.lexsort((n[block], model))
+            new = np.flatnonzero((np.diff(model[order]) != 0) | (np.diff(n[block[order]]) != 0)) + 1
+            for alike in np.split(order, new):  # tests of one model, of blocks of one length
+                g, size = model[alike[0]], n[block[alike[0]]]
+                for k in range(0, len(alike), max(1, BLOCK_ROWS // size)):
+                    some = alike[k : k + max(1, BLOCK_ROWS // size)]
+                    prob = fits.probabilities(x[(first[block[some]][:, None] + np.arange(size)).reshape(-1)], g)
+                    values[place[some][:, None] + np.arange(kinds[g])] = np.median(prob.reshape(len(some), size, -1), axis=1)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:-1]], nested(values, many, at - at[0])], names=names)
+
+    def every(batches):
+        for whole in batches:
+            for i in range(whole.num_rows):
+                b = whole.slice(i, 1)
+                x, own = _matrix(b, "x_", p), [b.column("t_")[0].as_py() * models + t["model"] for t in b.column("tests_")[0].as_py()]
+                values = np.concatenate([fits.probabilities(x, g) for g in own], axis=1)
+                row = pa.array(np.zeros(len(x), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in names[:-1]], nested(values.reshape(-1), np.tile(kinds[own], len(x)), np.arange(len(x) + 1) * len(own))], names=names)
+
+    one = "struct<run:int,model:int,fold:int,label:string>"
+    schema = f"t_ int, group_id string, part string, tests_ array<{one}>, s_ array<array<double>>"
+    tested = dealt.where(F.size("tests_") > 0).select("t_", "group_id", "part", "blocks_", "n_", "x_", F.col("tests_").cast(f"array<{one}>").alias("tests_"))
+    parts = tested.where("blocks_ = 1").mapInArrow(medians, schema)
+    rows = tested.where("blocks_ > 1").mapInArrow(every, schema)
+    long = rows.select("t_", "group_id", "part", "tests_", F.posexplode("s_").alias("i_", "v_")).select("t_", "group_id", "part", "tests_", "i_", F.posexplode("v_").alias("j_", "v_"))
+    long = long.groupBy("t_", "group_id", "part", "i_", "j_").agg(F.first("tests_").alias("tests_"), F.median("v_").alias("v_"))
+    long = long.groupBy("t_", "group_id", "part", "i_").agg(F.first("tests_").alias("tests_"), F.sort_array(F.collect_list(F.struct("j_", "v_")))["v_"].alias("v_"))
+    long = long.groupBy("t_", "group_id", "part").agg(F.first("tests_").alias("tests_"), F.sort_array(F.collect_list(F.struct("i_", "v_")))["v_"].alias("s_"))
+    by = parts.unionByName(long).groupBy("t_", "group_id").agg(F.first("tests_").alias("tests_"), F.collect_list("s_").alias("l_"))
+    classes = F.array(*[F.array(*[F.lit(c) for c in s.classes]) for s in fits.specs[:models]])
+    mean = lambda i, j: F.aggregate("l_", F.lit(0.0), lambda a, s: a + s[i][j]) / F.size("l_")
+    scores = lambda t, i: F.transform(F.get(classes, t["model"]), lambda c, j: F.struct(c.alias("class"), mean(i, j).alias("score")))
+    each = F.transform("tests_", lambda t, i: F.struct((F.col("t_") * runs + t["run"]).alias("run"), t["fold"].alias("fold"), t["label"].alias("label"), scores(t, i).alias("scores")))
+    out = by.select("group_id", F.size("l_").cast("long").alias("parts_used"), F.explode(each).alias("e_"))
+    return out.select("e_.run", "group_id", "e_.label", "e_.fold", "e_.scores", "parts_used")
 
 
 def scored_runs(dealt: DataFrame, fits: Fits) -> DataFrame:
-    """(run, group_id, label, fold, class, score, parts_used): the group scores (mean of its parts' medians) of every run that tests the group. tests_
-    names runs, models and folds, and the label of the run.
-
-    A part in one block has its medians there. Only for parts of more blocks the rows' scores are shuffled."""
-    p = len(fits.columns)
-    keys = ["run", "group_id", "fold", "label"]
-
-    def of(medians: bool):
-        def run(batches):
-            for b in batches:
-                for i in range(b.num_rows):
-                    one = b.slice(i, 1)
-                    x, tests = _matrix(one, "x_", p), one.column("tests_")[0].as_py()
-                    cols: dict[str, list] = {c: [] for c in ("run", "fold", "label", "class", "score")}
-                    for t in tests:
-                        prob, names = fits.probabilities(x, t["model"]), fits.specs[t["model"]].classes
-                        prob = np.median(prob, axis=0, keepdims=True) if medians else prob
-                        many = prob.size
-                        for c, v in (("run", [t["run"]] * many), ("fold", [t["fold"]] * many), ("label", [t["label"]] * many), ("class", list(names) * len(prob)), ("score", prob.reshape(-1))):
-                            cols[c].extend(v)
-                    n = len(cols["run"])
-                    yield pa.RecordBatch.from_arrays([pa.array(cols["run"], pa.int32()), one.column("group_id").take(pa.array(np.zeros(n, dtype=int))), pa.array(cols["fold"], pa.int32()), pa.array(cols["label"], pa.string()), one.column("part").take(pa.array(np.zeros(n, dtype=int))), pa.array(cols["class"], pa.string()), pa.array(cols["score"], pa.float64())], names=[*keys, "part", "class", "score"])
-
-        return run
-
-    schema = "run int, group_id string, fold int, label string, part string, class string, score double"
-    tested = dealt.where(F.size("tests_") > 0).select("group_id", "part", "blocks_", "x_", "tests_")
-    parts = tested.where("blocks_ = 1").mapInArrow(of(True), schema)
-    long = tested.where("blocks_ > 1").mapInArrow(of(False), schema).groupBy(*keys, "part", "class").agg(F.median("score").alias("score"))
-    return parts.unionByName(long).groupBy(*keys, "class").agg(F.count("*").cast("long").alias("parts_used"), F.avg("score").alias("score"))
+    """(run, group_id, label, fold, class, score, parts_used): scored_groups() with a row a class."""
+    rows = scored_groups(dealt, fits).select("run", "group_id", "fold", "label", "parts_used", F.explode("scores").alias("s_"))
+    return rows.select("run", "group_id", "fold", "label", "s_.class", "parts_used", "s_.score")
 
 
 def wide_scores(long: DataFrame, classes: Sequence[str], label: str, prefix: str = "score__") -> DataFrame:
@@ -390,8 +555,9 @@ def _class_number(label, classes: Sequence[str]):
     return F.array_position(F.array(*[F.lit(c) for c in classes]), label) - 1
 
 
-def oof_long(rows: DataFrame, columns: Sequence[str], runs: DataFrame, specs: Sequence[ModelSpec], splits: int) -> DataFrame:
-    """(run, group_id, label, fold, class, score, parts_used): out-of-fold group scores of several runs, all models fitted together.
+def oof_scores(packed: DataFrame, columns: Sequence[str], runs: DataFrame, specs: Sequence[ModelSpec], splits: int, tables: int = 1) -> DataFrame:
+    """(run, group_id, label, fold, scores, parts_used): out-of-fold group scores of several runs (scored_groups) from blocks of features (pack), all models fitted together. Of
+    several tables every one has these runs and models; those of table t are the runs from t * len(specs) on.
 
     runs: run (numbers specs), group_id, label, fold. A group without a row in a run takes no part in it; no group is on both sides of a fold. A fold that
     holds no group trains nothing."""
@@ -406,9 +572,15 @@ def oof_long(rows: DataFrame, columns: Sequence[str], runs: DataFrame, specs: Se
     by_group = by_group.withColumn("m_", F.map_from_entries(F.transform("r_", lambda r: F.struct(r["run"], r))))
     own = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(f).alias("f")) for r, f in models])
     y = F.transform(own, lambda m: F.coalesce(F.when(F.try_element_at("m_", m["r"])["fold"] != m["f"], F.try_element_at("m_", m["r"])["c_"]), F.lit(-1)))
-    tests = F.transform("r_", lambda r: F.struct(r["run"].alias("run"), place[r["run"] * splits + r["fold"]].alias("model"), r["fold"].alias("fold"), r["label"].alias("label")))
-    dealt = deal(rows, columns, by_group.select("group_id", y.alias("y_"), tests.alias("tests_")))
-    return scored_runs(dealt, fit_together(dealt, columns, [specs[r] for r, _ in models]))
+    tests = F.transform(F.array_sort("r_"), lambda r: F.struct(r["run"].alias("run"), place[r["run"] * splits + r["fold"]].alias("model"), r["fold"].alias("fold"), r["label"].alias("label")))
+    dealt = deal_blocks(packed, by_group.select("group_id", y.alias("y_"), tests.alias("tests_")))
+    return scored_groups(dealt, fit_together(dealt, columns, [specs[r] for r, _ in models], tables=tables), tables, len(specs))
+
+
+def oof_long(rows: DataFrame, columns: Sequence[str], runs: DataFrame, specs: Sequence[ModelSpec], splits: int) -> DataFrame:
+    """(run, group_id, label, fold, class, score, parts_used): oof_scores() of rows, with a row a class."""
+    out = oof_scores(pack(rows, columns), columns, runs, specs, splits)
+    return out.select("run", "group_id", "fold", "label", "parts_used", F.explode("scores").alias("s_")).select("run", "group_id", "fold", "label", "s_.class", "parts_used", "s_.score")
 
 
 def oof_runs(rows: DataFrame, columns: Sequence[str], label: str, seeds: Sequence[tuple[int, int]], splits: int, permute: bool = False) -> DataFrame:

@@ -228,3 +228,57 @@ def test_records_too_short_are_left_out_by_their_row(spark):
     s = spark.createDataFrame([(g, "L", i, float(i * i % 5)) for g, n in (("a", 7), ("b", 8), ("c", 9)) for i in range(n)], "group_id string, part string, n long, x double")
     got = lf.record_spectrum(s, 64.0, "hamming", "constant", True, least=8)
     assert {(r.group_id, r["count"]) for r in got.groupBy("group_id").count().collect()} == {("b", 5), ("c", 5)}
+
+
+@pytest.mark.parametrize("piece", [1 << 14, 100])
+def test_packed_windows_are_those_of_the_long_form(spark, small, monkeypatch, piece):
+    """Recordings are packed once where their lines are sorted; windows of records in one piece or several, that go over Python's batches, have the features of the long form."""
+    import numpy as np
+
+    from spectrel.operators import packed
+    from spectrel.plans import audits as au
+
+    monkeypatch.setattr(packed, "PIECE", piece)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(most)
+    try:
+        spark.conf.set(most, "37" if piece == 100 else was)
+        for config in (au.CONFIG20, au.FeatureConfig(32, 16, 5, 20, 32, "hamming", au.FS)):
+            got = au.planted_features(spark, small, config, partitions=("dev", "eval"))
+            got = got.toPandas().sort_values("window_id").reset_index(drop=True)
+            want = au.planted_features(spark, small, config, lambda s: s).where("partition <> 'holdout'").toPandas().sort_values("window_id").reset_index(drop=True)
+            assert list(got.columns) == list(want.columns) and len(got) == len(want) > 0
+            for c in got.columns:
+                assert np.allclose(got[c], want[c], atol=1e-9) if got[c].dtype == float else (got[c] == want[c]).all()
+    finally:
+        spark.conf.set(most, was)
+
+
+def test_configurations_are_fitted_together(spark, monkeypatch):
+    """Several tables of features take as many passes as one; their figures are those of each alone, also where a table lacks groups."""
+    import numpy as np
+
+    from spectrel.operators import bundle as bu
+    from spectrel.operators import learning as le
+
+    rng = np.random.default_rng(4)
+    columns, places, _ = bu.variant_places(20)
+    stages, rows, facts = le.STAGES[:2], [], []
+    for g in range(48):
+        model = ("none", "bebop", "ar", "phantom")[g % 4]
+        facts.append((f"g{g}", "target" if g % 4 else "background", model, "x"))
+        for t in range(2):
+            for part in "LH":
+                x = rng.standard_normal((5 + g % 3, len(columns))) + 0.4 * (t + 1) * (g % 4)
+                rows.append((t, f"g{g}", part, 1, len(x), x.reshape(-1).tolist()))
+    packed = spark.createDataFrame(rows, "t_ int, group_id string, part string, blocks_ int, n_ int, x_ array<double>").cache()
+    facts = spark.createDataFrame(facts, "group_id string, activity string, model string, mode string")
+    passes, summed = [], le._summed
+    monkeypatch.setattr(le, "_summed", lambda *a: passes.append(1) or summed(*a))
+    figures = lambda p, n: {(r.table, r.band_count): (r["mean"], r.dispersion) for r in bu.compare_tables(p, facts, n, columns, places, stages).collect()}
+    both = figures(packed, 2)
+    assert len(passes) <= 20
+    alone = [figures(packed.where(f"t_ = {t}").withColumn("t_", packed.t_ * 0), 1) for t in range(2)]
+    assert both == {(t, n): v for t in range(2) for (_, n), v in alone[t].items()} and len(both) == 6
+    fewer = figures(packed.where("t_ = 0 or group_id <> 'g5'"), 2)
+    assert {k: v for k, v in fewer.items() if k[0] == 0} == {(0, n): v for (_, n), v in alone[0].items()} and len(fewer) == 6
