@@ -189,7 +189,7 @@ def calibrate(features: DataFrame, bands: int = 20, stages: Sequence[le.StageSpe
         reliability[stage.name] = {"enabled": whole[i].balanced_accuracy > base[i] and better >= splits - 1, "improved_folds": better, "total_folds": splits, "baseline": base[i]}
         seen = reserved_report(reserved, stage, models[stage.name], thresholds[stage.name])
         rows.append((stage.name, whole[i].balanced_accuracy, base[i], thresholds[stage.name]["decision"], thresholds[stage.name]["rejection_margin"], better, reliability[stage.name]["enabled"], seen["balanced_accuracy"], seen["n_groups"], seen["false_alarm_rate"], seen["detection_rate"]))
-    vectors = robust.group_vectors(dev, columns)
+    vectors = stored(robust.group_vectors(dev, columns))  # quantiles read them several times
     params, limit = robust.calibrate_domain(vectors, columns)
     centre = params.first()
     quality = robust.calibrate_quality(dev).first()

@@ -315,7 +315,7 @@ def calibrated(spark, d):
     table."""
     key = (spark.sparkContext.applicationId, d, state_of(spark, f"{d}/lineitem.parquet"))
     if key not in _calibrated:
-        rows = planted_features(spark, d).where("partition <> 'holdout'")
+        rows = planted_features(spark, d, partitions=["dev", "eval"])
         bundle, report, comparison = bu.calibrate(rows)
         path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
         bu.save_bundle(spark, bu.with_policy(bundle, report), path)
@@ -346,7 +346,7 @@ def j15(spark, d):
 @query("j15_holdout_decisions")
 def j15h(spark, d):
     """The held-out package, whose windows carry no label, decided with the loaded bundle; what was expected is joined afterwards."""
-    rows = planted_features(spark, d).where("partition = 'holdout'")
+    rows = planted_features(spark, d, partitions=["holdout"])
     bundle = calibrated(spark, d)[0]
     features = fold_bands(rows, 20, bundle["band_count"]) if bundle["band_count"] != 20 else rows
     at = f"{shared_folder(spark)}/package-{uuid.uuid4().hex}"
@@ -398,15 +398,16 @@ def j13(spark, d):
     bundle = calibrated(spark, d)[0]
     bands = bundle["band_count"]
 
-    def decisions(change=lambda s: s, where="partition = 'eval'"):
-        rows = planted_features(spark, d, change=change).where(where)
-        return bu.decide(bundle, fold_bands(rows, 20, bands) if bands != 20 else rows)
+    def features(**which):
+        rows = planted_features(spark, d, partitions=["eval"], **which)
+        return stored((fold_bands(rows, 20, bands) if bands != 20 else rows).select("group_id", "part", "activity", *bundle["feature_columns"]))
 
-    facts = manifest(spark, d).select("group_id", "activity").distinct()
-    plain = stored(decisions().join(facts, "group_id"))
-    again = stored(decisions()).select("group_id", F.col("state").alias("s2"), F.col("score").alias("c2"))
-    single = decisions(where="partition = 'eval' and part = 'L'")
-    struck = decisions(lambda s: sy.add_impulses(s, 0.02, 12.0, 5)).join(facts, "group_id").where("activity = 'background'")
+    rows = features()
+    facts = rows.select("group_id", "activity").distinct()
+    plain = stored(bu.decide(bundle, rows).join(facts, "group_id"))
+    again = stored(bu.decide(bundle, features())).select("group_id", F.col("state").alias("s2"), F.col("score").alias("c2"))
+    single = bu.decide(bundle, rows.where("part = 'L'"))
+    struck = bu.decide(bundle, features(change=lambda s: sy.add_impulses(s, 0.02, 12.0, 5), classes="activity = 'background'"))
     share = lambda ok: F.avg(ok.cast("double"))
     checks = {
         "background_resolved": plain.where("activity = 'background'").agg((share(F.col("state") == "background") > 0.5).alias("ok")),

@@ -122,3 +122,27 @@ def test_sweep_of_configurations(spark):
     chosen = rows[rows.chosen].iloc[0]
     near = rows[(rows["mean"].max() - rows["mean"]).round(12) <= 0.02]
     assert chosen.configuration in set(near.configuration) and chosen.dispersion == near.dispersion.min()
+
+
+def test_rehearsal_makes_what_it_decides(spark, monkeypatch):
+    """The rehearsal's recordings are those of evaluation, with transients those of background; all recordings were made four times. Leaving lines out changes no series."""
+    from spectrel.operators.features import feature_columns
+    from spectrel.plans import fixtures as fx
+
+    asked, decided, pieces, planted = [], [], au.planted_pieces, au.planted
+    monkeypatch.setattr(au, "planted_pieces", lambda s, d, p, *a: asked.append((tuple(p), "")) or pieces(s, d, p, *a))
+    monkeypatch.setattr(au, "planted", lambda s, d, p, c: asked.append((tuple(p), c)) or planted(s, d, p, c))
+    monkeypatch.setattr(au, "calibrated", lambda s, d: ({"band_count": 20, "feature_columns": feature_columns(20)}, None, None))
+
+    def decide(bundle, rows):
+        decided.append((rows.select("group_id").distinct().count(), rows.select("part").distinct().count()))
+        return rows.groupBy("group_id").agg(F.lit("inconclusive").alias("state"), F.lit(0.5).alias("score"), F.lit("parts").alias("stopped_reason"))
+
+    monkeypatch.setattr(bu, "decide", decide)
+    assert len(QUERIES["j13_rehearsal"](spark, FOLDER).collect()) == 5
+    assert sorted(asked) == [(("eval",), ""), (("eval",), ""), (("eval",), "activity = 'background'")]
+    assert decided == [(30, 2), (30, 2), (30, 1), (3, 2)]
+    of = fx.manifest(spark, FOLDER).where("partition = 'eval' and activity = 'background'").select("group_id", "part")
+    rounded = lambda df: df.withColumn("x", F.round("x", 9))
+    some, every = rounded(fx.planted(spark, FOLDER, ["eval"], "activity = 'background'")), rounded(fx.planted(spark, FOLDER).join(of, ["group_id", "part"], "left_semi"))
+    assert some.count() == every.count() > 0 and some.exceptAll(every.select(some.columns)).isEmpty()
